@@ -1,0 +1,58 @@
+"""Streaming jobs: leads are finished as they arrive, lead state is kept current."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from leadloom.operators import dashboard
+from leadloom.operators.leads import fold_state
+from leadloom.plans.enrichment import enrich
+
+LIVE_TRIGGER = "10 seconds"
+
+
+def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files: int = 1) -> DataFrame:
+    """Parquet files of a folder as they arrive, oldest first."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+            .option("maxFilesPerTrigger", files).parquet(folder))
+
+
+def _start(stream: DataFrame, mode: str, write, checkpoint: str, live: bool) -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=LIVE_TRIGGER) if live else writer.trigger(availableNow=True)).start()
+
+
+def _batch_writer(out: str, work=lambda df: df):
+    """Writes each micro-batch to a folder of its own, so a repeated batch replaces itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return write
+
+
+def enrichment_stream(leads: DataFrame, source_pages: DataFrame, captures: DataFrame, out: str, checkpoint: str,
+                      live: bool = False) -> StreamingQuery:
+    """Finish streamed leads against the page tables; results go to ``out`` per batch."""
+    work = lambda batch: enrich(batch, source_pages, captures)
+    return _start(leads, "append", _batch_writer(out, work), checkpoint, live)
+
+
+def state_stream(events: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
+    """Keep the current row of every lead.
+
+    The fold lives in the state store; each batch writes only the leads it changed.
+    There is no event time, hence no watermark: state is one small row per lead.
+    """
+    return _start(fold_state(events), "update", _batch_writer(out), checkpoint, live)
+
+
+def current_state(spark: SparkSession, out: str) -> DataFrame:
+    """Snapshot from the changes ``state_stream`` wrote: the last row per lead."""
+    changes = spark.read.parquet(out)
+    fields = [n for n in changes.columns if n not in ("lead_id", "batch_id")]
+    return (changes.groupBy("lead_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("row"))
+            .select("lead_id", "row.*"))
+
+
+def live_stats(spark: SparkSession, out: str) -> DataFrame:
+    """Dashboard numbers over the streamed state."""
+    return dashboard.stats(current_state(spark, out))
