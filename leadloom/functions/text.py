@@ -3,7 +3,7 @@
 import json
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import vocab
@@ -82,3 +82,13 @@ def decode_entities(c: Column) -> Column:
         F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)),
         lambda text, e: F.concat(text, F.when(e.isNull(), "").otherwise(one(e))))
     return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+
+
+def exploded_rows(df: DataFrame, column: str) -> DataFrame:
+    """One row per entry of ``column`` as pos and item; the column itself goes.
+
+    A plain explode makes the optimizer add a ``size > 0`` filter and push it below
+    the projections, which works the whole column out twice.  The outer form does not.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.posexplode_outer(column).alias("pos", "item")).where("pos is not null")

@@ -46,7 +46,11 @@ def from_html(raw: DataFrame) -> DataFrame:
 
 
 def signals(df: DataFrame) -> DataFrame:
-    """Adds normal_text, lower_text and the struct ``signals`` of twelve flags."""
+    """Adds normal_text, lower_text, text_form and twelve flags ``sig_<name>``.
+
+    Flags are plain columns: fields of a struct would be inlined, and so worked out
+    again, at every place that reads them.
+    """
     c = F.col
     has_feature = lambda name: F.exists("page_details", lambda d: d["features"][name])
     # With page details the page flags decide, even when all of them are false.
@@ -70,10 +74,14 @@ def signals(df: DataFrame) -> DataFrame:
         .withColumn("lower_text", F.lower("normal_text"))
         .withColumns({"text_form": text_form, "_all": F.when(c("html") == "", c("lower_text")).otherwise(
             F.concat(F.lower("html"), F.lit(" "), c("lower_text")))})
-        .withColumn("signals", F.struct(*[flags[n].alias(n) for n in vocab.SIGNALS]))
+        .withColumns({f"sig_{n}": flags[n] for n in vocab.SIGNALS})
         .drop("_all"))
 
 
+def signal(name: str) -> Column:
+    return F.col(f"sig_{name}")
+
+
 def _details_have(df: DataFrame, name: str) -> bool:
     fields = df.schema["page_details"].dataType.elementType["features"].dataType.names
     return name in fields
@@ -81,7 +89,6 @@ def _details_have(df: DataFrame, name: str) -> bool:
 
 def evidence(df: DataFrame) -> DataFrame:
     """Adds ``evidence``: signal name to a list of (code, arg), empty for false signals."""
-    s = lambda n: F.col("signals")[n]
     note = lambda code, arg="": F.struct(F.lit(code).alias("code"), F.lit(arg).alias("arg")
                                          if isinstance(arg, str) else arg.alias("arg"))
     none = F.expr("cast(array() as array<struct<code:string,arg:string>>)")
@@ -109,7 +116,7 @@ def evidence(df: DataFrame) -> DataFrame:
         lists[n] = F.concat(lists[n], page_notes(n, "feature_page"))
     return df.withColumn("evidence", F.map_from_arrays(
         F.array(*map(F.lit, vocab.SIGNALS)),
-        F.array(*[F.when(s(n), lists[n]).otherwise(none) for n in vocab.SIGNALS])))
+        F.array(*[F.when(signal(n), lists[n]).otherwise(none) for n in vocab.SIGNALS])))
 
 
 def business_name(title: Column, text: Column, url: Column) -> Column:
@@ -134,7 +141,6 @@ def industry(text: Column, schema_types: Column) -> Column:
 def classes(df: DataFrame) -> DataFrame:
     """Adds business_name, industry, services, audiences, workflows, capabilities, conversion_paths."""
     c = F.col
-    s = lambda n: c("signals")[n]
     paths = {"appointment_or_consultation": "booking", "inquiry_form": "lead_form", "phone": "phone",
              "email": "email", "live_chat": "live_chat", "transaction": "ecommerce"}
     return df.withColumns({
@@ -143,22 +149,21 @@ def classes(df: DataFrame) -> DataFrame:
         "services": names_of(vocab.SERVICES, [c("lower_text").contains(t) for t in vocab.SERVICES]),
         "audiences": detect_groups(c("lower_text"), vocab.AUDIENCES),
         "workflows": detect_groups(c("lower_text"), vocab.WORKFLOWS),
-        "capabilities": names_of(vocab.SIGNALS, [s(n) for n in vocab.SIGNALS]),
-        "conversion_paths": names_of(paths, [s(n) for n in paths.values()]),
+        "capabilities": names_of(vocab.SIGNALS, [signal(n) for n in vocab.SIGNALS]),
+        "conversion_paths": names_of(paths, [signal(n) for n in paths.values()]),
     })
 
 
 def summary(df: DataFrame) -> DataFrame:
     """Adds unknown_workflows, journey and data_quality."""
     c = F.col
-    s = lambda n: c("signals")[n]
     flow = lambda n: F.array_contains("workflows", n)
     group = lambda n: F.array_contains("audiences", n)
     block = lambda cond, items: F.when(cond, F.array(*map(F.lit, items))).otherwise(
         F.expr("cast(array() as array<string>)"))
     unknown = F.array_distinct(F.concat(
-        block(s("booking"), ["confirmation", "reminders", "rescheduling", "no_show_recovery"]),
-        block(s("lead_form") | flow("consultation"), ["response_routing", "qualification", "follow_up"]),
+        block(signal("booking"), ["confirmation", "reminders", "rescheduling", "no_show_recovery"]),
+        block(signal("lead_form") | flow("consultation"), ["response_routing", "qualification", "follow_up"]),
         block(flow("intake") | flow("referral"), ["document_collection", "handoffs", "status_updates"]),
         block(flow("recruitment") | group("employees"),
               ["applicant_screening", "interview_scheduling", "candidate_follow_up"]),
@@ -166,14 +171,14 @@ def summary(df: DataFrame) -> DataFrame:
     steps = {
         "discover": F.lit(True),
         "audience_route": F.size("audiences") >= 2,
-        "inquire": s("phone") | s("email") | s("lead_form"),
+        "inquire": signal("phone") | signal("email") | signal("lead_form"),
         "referral": flow("referral"),
         "consultation": flow("consultation"),
-        "book": s("booking"),
+        "book": signal("booking"),
         "intake": flow("intake"),
         "membership": flow("membership"),
         "ongoing_follow_up": flow("follow_up") | flow("recall"),
-        "review": s("reviews"),
+        "review": signal("reviews"),
     }
     count = F.size("capabilities")
     score = F.least(F.lit(100), 25 + 5 * count + F.when(c("text") != "", 20).otherwise(0)
@@ -199,6 +204,8 @@ def intelligence() -> Column:
 
 
 def analyze(df: DataFrame) -> DataFrame:
-    """All analysis columns, with content_length of the normalised text."""
+    """All analysis columns, the struct ``signals`` and content_length of the normalised text."""
     out = summary(classes(evidence(signals(df))))
-    return out.withColumn("content_length", F.length("normal_text"))
+    return out.withColumns({
+        "signals": F.struct(*[signal(n).alias(n) for n in vocab.SIGNALS]),
+        "content_length": F.length("normal_text")})

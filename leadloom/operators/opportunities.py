@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import vocab
-from leadloom.functions.text import contains_any
+from leadloom.functions.text import contains_any, exploded_rows
+from leadloom.operators.analysis import signal
 from leadloom.operators.rules import RULES
 
 
@@ -32,9 +33,12 @@ def page_hint(pages: Column, *words: str) -> Column:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Adds ``opportunities``: the rules that fire, best score first, ties in rule order."""
+    """Adds ``opportunities``: the rules that fire, best score first, ties in rule order.
+
+    Needs the flags ``sig_<name>`` and the columns pages, industry, audiences, workflows.
+    """
     c = F.col
-    s = lambda n: F.coalesce(c("signals")[n], F.lit(False))
+    s = lambda n: F.coalesce(signal(n), F.lit(False))
     flow = lambda n: F.array_contains("workflows", n)
     group = lambda n: F.array_contains("audiences", n)
     healthcare = c("industry") == "healthcare"
@@ -122,8 +126,8 @@ def detect(df: DataFrame) -> DataFrame:
 
 def exploded(df: DataFrame, key: str) -> DataFrame:
     """The opportunity table: one row per lead and opportunity, with its rank."""
-    return df.select(key, F.posexplode("opportunities").alias("pos", "o")).select(
-        key, (F.col("pos") + 1).alias("rank"), "o.*")
+    return exploded_rows(df.select(key, "opportunities"), "opportunities").select(
+        key, (F.col("pos") + 1).alias("rank"), "item.*")
 
 
 def best_per_type(table: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import urls, vocab
 from leadloom.functions.html import ATTRS, attribute_values, decoded
 from leadloom.functions.skew import skewed_left_join
-from leadloom.functions.text import collapse, is_blank, strip
+from leadloom.functions.text import collapse, strip
 from leadloom.operators import pages
 from leadloom.session import stored
 
@@ -54,10 +54,9 @@ def parsed_captures(captures: DataFrame) -> DataFrame:
     A site keeps the first 15,000 characters of its joined text, so no page needs
     to carry more than that.
     """
-    real = captures.where(~is_blank(F.col("html")) | (F.col("channel") == "http"))
-    parsed = with_subpages(pages.parse(real))
+    parsed = with_subpages(pages.parse(captures))
     return parsed.select(
-        "url", "channel", "page_id", "usable", "subpages",
+        "url", "channel", "page_id", "usable", (F.col("reason") == "empty").alias("blank"), "subpages",
         F.struct("url", F.substring("text", 1, vocab.SITE_TEXT_CHARS).alias("text"), "emails", "phones",
                  F.struct(*pages.FEATURE_COLUMNS).alias("features")).alias("page"))
 
@@ -89,7 +88,7 @@ def requested_pages(homes: DataFrame) -> DataFrame:
 
 def fetched(requests: DataFrame, parsed: DataFrame) -> DataFrame:
     """Requests left join captures; a page very many sites link to may be hot."""
-    return skewed_left_join(requests, parsed.drop("subpages"), "url")
+    return skewed_left_join(requests, parsed.drop("subpages", "blank"), "url")
 
 
 def merged_sites(requests: DataFrame, parsed: DataFrame, use_browser: bool = True) -> DataFrame:
@@ -144,7 +143,8 @@ def site_tables(websites: DataFrame, captures: DataFrame, use_browser: bool = Tr
     """
     if not use_browser:
         captures = captures.where("channel = 'http'")
-    parsed = stored(parsed_captures(captures), "parsed-captures")
+    # An empty browser capture cannot be parsed: it counts as missing.
+    parsed = stored(parsed_captures(captures), "parsed-captures").where("channel = 'http' or not blank")
     distinct = websites.select("website").where("website is not null").distinct()
     return stored(requested_pages(home_pages(distinct, parsed)), "page-requests"), parsed
 
@@ -184,7 +184,7 @@ def official_links(source_pages: DataFrame) -> DataFrame:
     return (
         layered.withColumn("_texts", F.transform("_anchors", lambda a: F.regexp_replace(
             F.regexp_replace(pages.html.content_of(a), pages.html.TAG, ""), pages.html.MARK, "")))
-        .withColumn("_texts", F.transform(decoded(c("_texts")), collapse))
+        .withColumn("_texts", F.transform(decoded(c("_texts")), lambda t: collapse(t)))
         .withColumn("_hrefs", attribute_values(c("_anchors"), "href"))
         .withColumn("_ids", attribute_values(c("_anchors"), "data-testid"))
         .withColumn("_out", F.transform("_hrefs", lambda h, i: F.struct(
@@ -200,9 +200,8 @@ def with_website(leads: DataFrame, source_pages: DataFrame) -> DataFrame:
     Many leads can name the same source page.
     """
     c = F.col
-    links = (official_links(source_pages).where("official is not null").groupBy("url")
-             .agg(F.max_by("official", "page_id").alias("official"))
-             .withColumnRenamed("url", "source_url"))
+    links = (official_links(source_pages).groupBy(c("url").alias("source_url"))
+             .agg(F.max_by("official", "page_id").alias("official")))
     is_http = c("source_url").startswith("http://") | c("source_url").startswith("https://")
     return skewed_left_join(leads, links, "source_url").withColumn("website", (
         F.when(~F.coalesce(is_http, F.lit(False)), "NOT_FOUND")

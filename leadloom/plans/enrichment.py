@@ -9,8 +9,16 @@ from leadloom.session import stored
 
 
 def analysed_sites(site_rows: DataFrame) -> DataFrame:
-    """Analysis, opportunities and score of merged sites."""
-    return opportunities.detect(analysis.analyze(analysis.from_sites(site_rows)))
+    """Analysis, opportunities and score of merged sites, written once.
+
+    Later steps filter and unnest this table; over a stored table that costs a scan
+    instead of a second run of the analysis.
+    """
+    found = opportunities.detect(analysis.analyze(analysis.from_sites(site_rows)))
+    return stored(found.select(
+        "website", "method", "text", "emails", "phones", "pages", "business_name", "industry", "services",
+        "signals", "evidence", "opportunities", "opportunity_score", "opportunity_band", "score_breakdown",
+        analysis.intelligence().alias("business_intelligence")), "analysed-sites")
 
 
 def enrich(leads: DataFrame, source_pages: DataFrame, captures: DataFrame, use_browser: bool = True) -> DataFrame:
@@ -21,10 +29,7 @@ def enrich(leads: DataFrame, source_pages: DataFrame, captures: DataFrame, use_b
     """
     c = F.col
     located = stored(sites.with_website(leads, source_pages), "located-leads")
-    found = analysed_sites(sites.assemble(located, captures, use_browser)).select(
-        "website", "method", "text", "emails", "phones", "pages", "business_name", "industry", "services",
-        "signals", "opportunities", "opportunity_score", "opportunity_band", "score_breakdown",
-        analysis.intelligence().alias("business_intelligence"))
+    found = analysed_sites(sites.assemble(located, captures, use_browser))
     done = skewed_left_join(located, found, "website")
     # A lead without a website is finished with empty data; it never reads pages.
     failed = (c("website") != "NOT_FOUND") & (c("method") == "failed")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import contacts, urls, vocab
+from leadloom.functions.text import exploded_rows
 from leadloom.operators import analysis, dashboard, leads, opportunities, pages, reports, sites
 from leadloom.plans import enrichment
 from leadloom.session import new_path
@@ -117,8 +118,8 @@ _page_query("p19_cta_count", "cta_count")
 def _(spark, d):
     out = pages.links(pages.text_layers(seeding.seeded_pages(spark, d)))
     pair = F.transform("hrefs", lambda h, i: F.struct(h.alias("href"), F.get("link_texts", i).alias("text")))
-    return out.select("page_id", "link_count", F.posexplode(pair).alias("pos", "a")).select(
-        "page_id", "link_count", "pos", "a.href", "a.text")
+    return exploded_rows(out.select("page_id", "link_count", pair.alias("a")), "a").select(
+        "page_id", "link_count", "pos", "item.href", "item.text")
 
 
 @query("p11_email_validity")
@@ -128,9 +129,10 @@ def _(spark, d):
                                                  c("html").alias("body"))
     doc = tables.table(spark, d, "documents").select(F.lit("document").alias("origin"), c("doc_id").alias("id"),
                                                      c("text").alias("body"))
-    return page.unionByName(doc).select(
-        "origin", "id", F.explode(F.array_distinct(contacts.scan_emails(c("body")))).alias("email")).select(
-        "origin", "id", "email", contacts.valid_email(c("email")).alias("valid"))
+    found = page.unionByName(doc).select(
+        "origin", "id", F.array_distinct(contacts.scan_emails(c("body"))).alias("found"))
+    return exploded_rows(found, "found").select(
+        "origin", "id", c("item").alias("email"), contacts.valid_email(c("item")).alias("valid"))
 
 
 @query("p14_document_phones")
@@ -142,16 +144,16 @@ def _(spark, d):
 @query("p15_toll_free")
 def _(spark, d):
     out = pages.text_layers(seeding.seeded_pages(spark, d))
-    return out.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        "text", F.lit(contacts.PHONE), F.lit(1)))).alias("phone")).select(
-        "page_id", "phone", contacts.toll_free(F.col("phone")).alias("toll_free"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(contacts.PHONE), F.lit(1)))
+    return exploded_rows(out.select("page_id", found.alias("found")), "found").select(
+        "page_id", F.col("item").alias("phone"), contacts.toll_free(F.col("item")).alias("toll_free"))
 
 
 @query("p16_form_details")
 def _(spark, d):
-    return pages.parse(seeding.seeded_pages(spark, d)).select(
-        "page_id", "form_count", F.posexplode("form_details").alias("pos", "f")).select(
-        "page_id", "form_count", "pos", "f.action", joined("f.fields").alias("fields"), "f.text")
+    out = pages.parse(seeding.seeded_pages(spark, d)).select("page_id", "form_count", "form_details")
+    return exploded_rows(out, "form_details").select(
+        "page_id", "form_count", "pos", "item.action", joined("item.fields").alias("fields"), "item.text")
 
 
 @query("p20_page_job")
@@ -188,14 +190,15 @@ def _(spark, d):
 @query("w2_resolved_links")
 def _(spark, d):
     out = pages.links(pages.text_layers(seeding.seeded_pages(spark, d)))
-    return out.select("page_id", "url", F.posexplode("hrefs").alias("pos", "href")).select(
-        "page_id", "pos", urls.resolve(F.col("url"), F.trim("href")).alias("resolved"))
+    return exploded_rows(out.select("page_id", "url", "hrefs"), "hrefs").select(
+        "page_id", "pos", urls.resolve(F.col("url"), F.trim("item")).alias("resolved"))
 
 
 @query("w3_subpages")
 def _(spark, d):
     out = sites.with_subpages(pages.parse(seeding.seeded_pages(spark, d)))
-    return out.select("page_id", F.posexplode("subpages").alias("rank", "subpage"))
+    return exploded_rows(out.select("page_id", "subpages"), "subpages").select(
+        "page_id", F.col("pos").alias("rank"), F.col("item").alias("subpage"))
 
 
 @query("w4_requested_pages")
@@ -214,9 +217,10 @@ def _(spark, d):
 
 @query("w5_page_details")
 def _(spark, d):
-    return _sites(spark, d).select("website", F.posexplode("page_details").alias("pos", "p")).select(
-        "website", "pos", "p.url", "p.features.lead_form", "p.features.booking", joined("p.emails").alias("emails"),
-        joined("p.phones").alias("phones"), "p.text_preview")
+    out = exploded_rows(_sites(spark, d).select("website", "page_details"), "page_details")
+    return out.select("website", "pos", "item.url", "item.features.lead_form", "item.features.booking",
+                      joined("item.emails").alias("emails"), joined("item.phones").alias("phones"),
+                      "item.text_preview")
 
 
 @query("w6_method")
@@ -285,16 +289,20 @@ def _(spark, d):
     return _analysed_pages(spark, d).select("website", "signals.*")
 
 
+def _evidence_rows(analysed) -> DataFrame:
+    out = exploded_rows(analysed.select("website", F.map_entries("evidence").alias("e")), "e")
+    return out.where(F.size("item.value") > 0).select(
+        "website", F.col("item.key").alias("signal"), notes("item.value").alias("notes"))
+
+
 @query("a06_signal_evidence")
 def _(spark, d):
-    return _analysed(spark, d).select("website", F.explode("evidence").alias("signal", "notes")).where(
-        F.size("notes") > 0).select("website", "signal", notes("notes").alias("notes"))
+    return _evidence_rows(_analysed(spark, d))
 
 
 @query("a06_page_evidence")
 def _(spark, d):
-    return _analysed_pages(spark, d).select("website", F.explode("evidence").alias("signal", "notes")).where(
-        F.size("notes") > 0).select("website", "signal", notes("notes").alias("notes"))
+    return _evidence_rows(_analysed_pages(spark, d))
 
 
 @query("a10_page_analysis")
@@ -319,7 +327,7 @@ def _(spark, d):
 # --- opportunities ------------------------------------------------------------
 
 def _detected(spark, d) -> DataFrame:
-    return opportunities.detect(_analysed(spark, d))
+    return enrichment.analysed_sites(_sites(spark, d))
 
 
 def _opportunity_table(spark, d) -> DataFrame:

@@ -7,6 +7,8 @@ used, and the work grows with it.  Blocks of five consecutive page ids form a si
 building the view needs no shuffle.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,7 +141,10 @@ def seeded_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def seed(raw: DataFrame) -> DataFrame:
     page_id = F.col("page_id")
-    extra = F.concat(*[F.when(page_id % m == r, F.lit(text)).otherwise("") for m, r, text in SEEDS])
+    rules = F.from_json(F.lit(json.dumps([dict(m=m, r=r, html=text) for m, r, text in SEEDS])),
+                        "array<struct<m:long,r:long,html:string>>")
+    fitting = F.filter(rules, lambda s: page_id % s["m"] == s["r"])
+    extra = F.array_join(F.transform(fitting, lambda s: s["html"]), "")
     block = F.floor(page_id / 5)
     nav = F.when(page_id % 5 == 0, F.element_at(F.array(*map(F.lit, NAVIGATION)), (block % 4 + 1).cast("int"))
                  ).otherwise("")
