@@ -94,21 +94,21 @@ def _(spark, d):
 # --- pages --------------------------------------------------------------------
 
 def _page_query(name, *columns):
-    QUERIES[name] = lambda spark, d: pages.parse(seeding.seeded_pages(spark, d)).select("page_id", *columns)
+    QUERIES[name] = lambda spark, d: pages.parse(seeding.seeded_pages(spark, d)).selectExpr("page_id", *columns)
 
 
 _page_query("p01_html_quality", "usable", "reason", "text_length", "html_length")
 _page_query("p02_visible_text", "text")
-_page_query("p03_raw_text", F.lower("raw_text").alias("raw_text"))
+_page_query("p03_raw_text", "lower(raw_text) as raw_text")
 _page_query("p04_title", "title")
 _page_query("p05_meta_description", "description")
-_page_query("p06_schema_types", joined("schema_types").alias("schema_types"))
-_page_query("p08_mailto_emails", joined("mailto_emails").alias("emails"))
-_page_query("p09_scanned_emails", joined("scanned_emails").alias("emails"))
-_page_query("p10_obfuscated_emails", joined("obfuscated_emails").alias("emails"))
-_page_query("p12_ordered_contacts", joined("emails").alias("emails"), joined("phones").alias("phones"))
-_page_query("p13_tel_phones", joined("tel_phones").alias("phones"))
-_page_query("p14_text_phones", joined("text_phones").alias("phones"))
+_page_query("p06_schema_types", "array_join(schema_types, '|') as schema_types")
+_page_query("p08_mailto_emails", "array_join(mailto_emails, '|') as emails")
+_page_query("p09_scanned_emails", "array_join(scanned_emails, '|') as emails")
+_page_query("p10_obfuscated_emails", "array_join(obfuscated_emails, '|') as emails")
+_page_query("p12_ordered_contacts", "array_join(emails, '|') as emails", "array_join(phones, '|') as phones")
+_page_query("p13_tel_phones", "array_join(tel_phones, '|') as phones")
+_page_query("p14_text_phones", "array_join(text_phones, '|') as phones")
 _page_query("p17_lead_form", "lead_form")
 _page_query("p18_keyword_features", *vocab.FEATURES)
 _page_query("p19_cta_count", "cta_count")
@@ -256,7 +256,7 @@ def _analysed_pages(spark, d) -> DataFrame:
 
 
 def _analysis_query(name, *columns):
-    QUERIES[name] = lambda spark, d: _analysed(spark, d).select("website", *columns)
+    QUERIES[name] = lambda spark, d: _analysed(spark, d).selectExpr("website", *columns)
 
 
 @query("a01_feature_rollup")
@@ -269,19 +269,19 @@ _analysis_query("a02_signals", "signals.*")
 _analysis_query("a03_text_form", "text_form")
 _analysis_query("a04_contact_signal", "signals.contact_page")
 _analysis_query("a05_contact_presence", "signals.email", "signals.phone",
-                F.size("emails").alias("email_count"), F.size("phones").alias("phone_count"))
+                "size(emails) as email_count", "size(phones) as phone_count")
 _analysis_query("a07_business_name", "business_name")
 _analysis_query("a08_industry", "industry")
-_analysis_query("a09_services", joined("services").alias("services"))
-_analysis_query("a11_audiences", joined("audiences").alias("audiences"))
-_analysis_query("a12_workflows", joined("workflows").alias("workflows"))
-_analysis_query("a13_capabilities", joined("capabilities").alias("capabilities"),
-                joined("conversion_paths").alias("conversion_paths"))
-_analysis_query("a14_unknown_workflows", joined("unknown_workflows").alias("unknown_workflows"))
-_analysis_query("a15_customer_journey", joined("journey").alias("journey"))
+_analysis_query("a09_services", "array_join(services, '|') as services")
+_analysis_query("a11_audiences", "array_join(audiences, '|') as audiences")
+_analysis_query("a12_workflows", "array_join(workflows, '|') as workflows")
+_analysis_query("a13_capabilities", "array_join(capabilities, '|') as capabilities",
+                "array_join(conversion_paths, '|') as conversion_paths")
+_analysis_query("a14_unknown_workflows", "array_join(unknown_workflows, '|') as unknown_workflows")
+_analysis_query("a15_customer_journey", "array_join(journey, '|') as journey")
 _analysis_query("a16_data_quality", "data_quality.*")
-_analysis_query("a10_site_analysis", "business_name", "industry", joined("services").alias("services"),
-                "content_length", "link_count", joined("pages").alias("pages"))
+_analysis_query("a10_site_analysis", "business_name", "industry", "array_join(services, '|') as services",
+                "content_length", "link_count", "array_join(pages, '|') as pages")
 
 
 @query("a02_page_signals")
