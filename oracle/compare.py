@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
-         "timestamp": "TIMESTAMP"}
+         "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 def connect(folder: str):

@@ -222,7 +222,7 @@ CTES = {
         WHERE prio IS NOT NULL AND {site_domain('full_url')} = {site_domain('url')} GROUP BY ALL""",
     "subpages": """SELECT src, page_id, full_url, rank FROM (SELECT *, row_number() OVER (PARTITION BY src, page_id ORDER BY prio, full_url) AS rank
         FROM sublinks) WHERE rank <= 3""",
-    "jsonld": f"""SELECT src, page_id, CASE json_type(j) WHEN 'ARRAY' THEN unnest(from_json(j, '["json"]')) ELSE j END AS item FROM (SELECT src, page_id,
+    "jsonld": f"""SELECT src, page_id, unnest(CASE json_type(j) WHEN 'ARRAY' THEN from_json(j, '["json"]') ELSE [j::JSON] END) AS item FROM (SELECT src, page_id,
         unnest(regexp_extract_all(html, {q(H + r'<script type="application/ld\+json">(.*?)</script>')}, 1)) AS j FROM docs) WHERE json_valid(j)""",
     # --- leads and sites ---
     "newleads": f"""SELECT page_id + 1 AS lead_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Company ' || page_id END AS company_name,

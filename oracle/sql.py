@@ -170,7 +170,7 @@ def queries() -> dict[str, str]:
         "l07_recent_leads": "SELECT lead_id, status, source_url, updated_at FROM decoded ORDER BY lead_id DESC LIMIT 100",
         "l08_dashboard_stats": f"SELECT {STATS} FROM state",
         "l09_dashboard_rows": f"""SELECT lead_id, {NAME}, coalesce(nullif(website, ''), source_url) AS address, status, coalesce(opportunity_score, -1) AS score,
-            CASE WHEN opportunity_score IS NULL THEN '-' ELSE {SHOWN} END AS band, array_to_string([nullif(emails, ''), nullif(phones, '')], '|') AS contacts,
+            CASE WHEN opportunity_score IS NULL THEN '-' ELSE {SHOWN} END AS band, coalesce(array_to_string([nullif(emails, ''), nullif(phones, '')], '|'), '') AS contacts,
             coalesce(array_to_string(list_transform(from_json(doc->'$.opportunities', '["json"]')[1:4], lambda o: (o->>'$.title') || ':' || (o->>'$.score') || ':' || (o->>'$.confidence')), '|'), '') AS top
             FROM decoded ORDER BY lead_id DESC LIMIT 100""",
         "l10_fallback_band": f"SELECT rule_no AS event_id, score, {BAND4.format('score')} AS band FROM scored",
