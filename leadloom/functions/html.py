@@ -10,7 +10,7 @@ their input more than once and want it stored.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import WS, collapse, decode_entities
+from leadloom.functions.text import WS, collapse
 
 MARK = "\u0001"  # stands where a tag or a removed element was
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
@@ -121,10 +121,6 @@ def has_attribute(attrs: Column, name: str) -> Column:
     return attrs.rlike(rf"(?is)^[\s/]*+{_SKIP_ATTR.format(name=name)}{name}(?:[\s=/]|$)")
 
 
-def decoded(arr: Column) -> Column:
-    return F.transform(arr, decode_entities)
-
-
 def elements(c: Column, name: str) -> Column:
     """``<name ...>content`` of every such element, in document order."""
     stop = rf"</{name}\s*+>|<{name}[\s/>]|\z" if name == "a" else rf"</{name}\s*+>|\z"
@@ -145,12 +141,11 @@ def content_of(element: Column) -> Column:
     return F.regexp_replace(element, rf"(?s)^<[a-zA-Z]{ATTRS}>", "")
 
 
-def texts_of(element_array: Column) -> Column:
-    """Joined text of each element."""
-    marked = F.transform(element_array, lambda e: tags_to_marks(content_of(e)))
-    return F.transform(decoded(marked), joined_text)
+def marked_contents(element_array: Column) -> Column:
+    """Content of each element with marks for tags; next come decoding and ``joined_text``."""
+    return F.transform(element_array, lambda e: tags_to_marks(content_of(e)))
 
 
-def attribute_values(element_array: Column, name: str) -> Column:
-    """Entity-decoded attribute value of each element."""
-    return decoded(F.transform(element_array, lambda e: attribute(attrs_of(e), name)))
+def raw_values(element_array: Column, name: str) -> Column:
+    """Attribute value of each element, not decoded yet."""
+    return F.transform(element_array, lambda e: attribute(attrs_of(e), name))

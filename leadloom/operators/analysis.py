@@ -55,18 +55,18 @@ def signals(df: DataFrame) -> DataFrame:
     has_feature = lambda name: F.exists("page_details", lambda d: d["features"][name])
     # With page details the page flags decide, even when all of them are false.
     feature = lambda name: F.when(F.size("page_details") > 0, has_feature(name)).otherwise(
-        contains_any(c("_all"), vocab.FEATURES[name])) if _details_have(df, name) else contains_any(
-        c("_all"), vocab.FEATURES[name])
-    text_form = ((count_words(c("lower_text"), vocab.TEXT_FORM_FIELD_WORDS) >= 2)
-                 & contains_any(c("lower_text"), vocab.TEXT_FORM_ACTION_WORDS))
+        contains_any("_all", vocab.FEATURES[name])) if _details_have(df, name) else contains_any(
+        "_all", vocab.FEATURES[name])
+    text_form = ((count_words("lower_text", vocab.TEXT_FORM_FIELD_WORDS) >= 2)
+                 & contains_any("lower_text", vocab.TEXT_FORM_ACTION_WORDS))
     contact_url = F.exists("pages", lambda p: F.lower(p).contains("/contact") | F.lower(p).contains("contact-us"))
     flags = {
-        "contact_page": contains_any(c("lower_text"), vocab.CONTACT_WORDS) | contact_url,
+        "contact_page": contains_any("lower_text", vocab.CONTACT_WORDS) | contact_url,
         "booking": feature("booking"),
         "lead_form": has_feature("lead_form") | c("has_form") | c("text_form"),
         "phone": c("has_tel") | c("lower_text").rlike(PHONE_ANY) | (F.size("phones") > 0),
         "email": c("_all").rlike(EMAIL_ANY) | (F.size("emails") > 0),
-        "services": contains_any(c("_all"), vocab.SERVICE_SIGNAL_WORDS),
+        "services": contains_any("_all", vocab.SERVICE_SIGNAL_WORDS),
         **{n: feature(n) for n in vocab.FEATURES if n != "booking"},
     }
     return (
@@ -146,9 +146,9 @@ def classes(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "business_name": business_name(c("title"), c("normal_text"), c("website")),
         "industry": industry(c("normal_text"), c("schema_types")),
-        "services": names_of(vocab.SERVICES, [c("lower_text").contains(t) for t in vocab.SERVICES]),
-        "audiences": detect_groups(c("lower_text"), vocab.AUDIENCES),
-        "workflows": detect_groups(c("lower_text"), vocab.WORKFLOWS),
+        "services": names_of(vocab.SERVICES, [contains_any("lower_text", [t]) for t in vocab.SERVICES]),
+        "audiences": detect_groups("lower_text", vocab.AUDIENCES),
+        "workflows": detect_groups("lower_text", vocab.WORKFLOWS),
         "capabilities": names_of(vocab.SIGNALS, [signal(n) for n in vocab.SIGNALS]),
         "conversion_paths": names_of(paths, [signal(n) for n in paths.values()]),
     })

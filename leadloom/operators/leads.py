@@ -73,7 +73,7 @@ def manual_upsert(submitted: DataFrame, leads: DataFrame, last_id: Column) -> Da
     good = (submitted.withColumn("website", strip(c("url")))
             .where((c("website") != "") & ~is_blank(c("html"))))
     per_site = good.groupBy("website").agg(F.max_by("html", "seq").alias("html"), F.min("seq").alias("first_seq"))
-    parsed = pages.parse(per_site.withColumn("url", c("website"))).select(
+    parsed = pages.parse(per_site.withColumn("url", c("website")), pages.emails, pages.phones).select(
         "website", "first_seq", "emails", "phones", c("text").alias("body_text"))
     parsed = parsed.withColumn("status", final_status("emails", "phones"))
     known = latest_by_website(leads.select("lead_id", "website", "company_name", "location", "source_url"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import contacts, html, vocab
-from leadloom.functions.text import (collapse, contains_any, count_words, decode_entities, is_blank,
+from leadloom.functions.text import (contains_any, count_words, decode_all, decode_entities, is_blank,
                                      strip)
 
 FEATURE_COLUMNS = ["form_count", "lead_form", "form_details", *vocab.FEATURES, "cta_count"]
@@ -25,42 +25,34 @@ def text_layers(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("_html", F.coalesce("html", F.lit("")))
         .withColumn("_base", html.drop_code(c("_html")))
-        .withColumn("_plain", html.drop_noscript_svg(c("_base")))
-        .withColumn("_shown", html.drop_iframe(c("_plain")))
-        .withColumn("_shown", html.drop_hidden(c("_shown")))
-        .withColumn("_raw", html.tags_to_marks(c("_base")))
+        .withColumns({"_plain": html.drop_noscript_svg(c("_base")), "_raw_marks": html.tags_to_marks(c("_base"))})
         # Most pages have nothing more to drop: then the earlier text is reused.
-        .withColumn("_less", F.when(c("_plain") != c("_base"), html.tags_to_marks(c("_plain"))))
-        .withColumn("_least", F.when(c("_shown") != c("_plain"), html.tags_to_marks(c("_shown"))))
-        .withColumn("_raw", decode_entities(c("_raw")))
-        .withColumn("_less", F.coalesce(decode_entities(c("_less")), c("_raw")))
-        .withColumn("raw_text", html.joined_text(c("_raw")))
-        .withColumn("plain_text", html.flat_text(c("_less")))
-        .withColumn("text", F.coalesce(html.flat_text(decode_entities(c("_least"))), c("plain_text"))))
+        .withColumns({"_framed": html.drop_iframe(c("_plain")),
+                      "_less_marks": F.when(c("_plain") != c("_base"), html.tags_to_marks(c("_plain"))),
+                      "_raw": decode_entities("_raw_marks")})
+        .withColumns({"_shown": html.drop_hidden(c("_framed")), "raw_text": html.joined_text(c("_raw")),
+                      "plain_text": html.flat_text(F.coalesce(decode_entities("_less_marks"), c("_raw")))})
+        .withColumn("_least_marks", F.when(c("_shown") != c("_plain"), html.tags_to_marks(c("_shown"))))
+        .withColumn("text", F.coalesce(html.flat_text(decode_entities("_least_marks")), c("plain_text"))))
 
 
 def quality(df: DataFrame) -> DataFrame:
     """Adds usable, reason, text_length, html_length; needs ``text_layers``."""
     c = F.col
-    lower = F.lower(c("plain_text"))
+    lower, size = F.lower("plain_text"), F.length("_html")
     phrase = F.coalesce(*[F.when(lower.contains(p), F.lit(p)) for p in vocab.BLOCK_PHRASES])
-    size = F.length("_html")
-    return (
-        df.withColumn("_phrase", phrase)
-        .withColumn("reason", (
-            F.when(is_blank(c("_html")), "empty")
-            .when(size < vocab.MIN_HTML_CHARS, "small_html")
-            .when(c("_phrase").isNotNull(), F.concat(F.lit("blocked: "), c("_phrase")))
-            .when(F.length("plain_text") < vocab.MIN_TEXT_CHARS, "little_text")
-            .otherwise("ok")))
-        .withColumn("usable", c("reason") == "ok")
-        .withColumn("text_length", F.when(c("reason").isin("empty", "small_html"), 0)
-                    .otherwise(F.length("plain_text")))
-        .withColumn("html_length", F.when(c("reason") == "empty", 0).otherwise(size)))
+    reason = F.coalesce(
+        F.when(is_blank(c("_html")), "empty"), F.when(size < vocab.MIN_HTML_CHARS, "small_html"),
+        F.concat(F.lit("blocked: "), phrase),
+        F.when(F.length("plain_text") < vocab.MIN_TEXT_CHARS, "little_text"), F.lit("ok"))
+    return df.withColumn("reason", reason).withColumns({
+        "usable": c("reason") == "ok",
+        "text_length": F.when(c("reason").isin("empty", "small_html"), 0).otherwise(F.length("plain_text")),
+        "html_length": F.when(c("reason") == "empty", 0).otherwise(size)})
 
 
 def head_fields(df: DataFrame) -> DataFrame:
-    """Adds title, description and schema_types."""
+    """Adds title, description and schema_types; needs ``text_layers``."""
     c = F.col
     title = F.regexp_extract("_base", rf"(?is)<title(?=[\s/>]){html.ATTRS}>(.*?)(?:</title|\z)", 1)
     metas = F.filter(html.open_tags(c("_base"), "meta"), lambda t: F.lower(strip(
@@ -77,24 +69,23 @@ def head_fields(df: DataFrame) -> DataFrame:
     kinds = F.filter(F.transform(items, lambda i: i["@type"]), lambda k: k.isNotNull() & (k != ""))
     names = F.flatten(F.transform(kinds, lambda k: F.when(
         k.startswith("["), F.coalesce(F.from_json(k, "array<string>"), F.array(k))).otherwise(F.array(k))))
-    return (
-        df.withColumn("_title", title)
-        .withColumn("title", strip(decode_entities(c("_title"))))
-        .withColumn("_meta", F.coalesce(html.attribute(html.attrs_of(F.get(metas, 0)), "content"), F.lit("")))
-        .withColumn("description", strip(decode_entities(c("_meta"))))
-        .withColumn("schema_types", F.when(c("_html").contains("ld+json"), F.array_sort(F.array_distinct(names)))
-                    .otherwise(F.expr("cast(array() as array<string>)"))))
+    return df.withColumns({
+        "_title": title,
+        "_meta": F.coalesce(html.attribute(html.attrs_of(F.get(metas, 0)), "content"), F.lit("")),
+        "schema_types": F.when(c("_html").contains("ld+json"), F.array_sort(F.array_distinct(names)))
+        .otherwise(F.expr("cast(array() as array<string>)")),
+    }).withColumns({"title": strip(decode_entities("_title")), "description": strip(decode_entities("_meta"))})
 
 
 def links(df: DataFrame) -> DataFrame:
     """Adds hrefs and link_texts (same positions, one entry per anchor) and link_count."""
     c = F.col
-    return (
-        df.withColumn("_anchors", html.elements(c("_base"), "a"))
-        .withColumn("hrefs", html.attribute_values(c("_anchors"), "href"))
-        .withColumn("link_texts", html.texts_of(c("_anchors")))
-        .withColumn("link_count", F.size(F.filter(
-            c("_anchors"), lambda a: html.has_attribute(html.attrs_of(a), "href")))))
+    return df.withColumn("_anchors", html.elements(c("_base"), "a")).withColumns({
+        "_href_raw": html.raw_values(c("_anchors"), "href"),
+        "_link_marks": html.marked_contents(c("_anchors")),
+        "link_count": F.size(F.filter("_anchors", lambda a: html.has_attribute(html.attrs_of(a), "href"))),
+    }).withColumns({"hrefs": decode_all("_href_raw"),
+                    "link_texts": F.transform(decode_all("_link_marks"), html.joined_text)})
 
 
 def emails(df: DataFrame) -> DataFrame:
@@ -104,13 +95,13 @@ def emails(df: DataFrame) -> DataFrame:
     maybe_obfuscated = F.lower("_html").contains("dot") | c("_html").contains("&#")
     valid = lambda a: F.array_sort(F.array_distinct(F.filter(a, contacts.valid_email)))
     return (
-        df.withColumn("_coded", F.array_join(coded_tags, " "))
-        .withColumn("_coded", decode_entities(c("_coded")))
-        .withColumn("_unescaped", F.when(maybe_obfuscated, decode_entities(c("_html"))).otherwise(""))
-        .withColumn("mailto_emails", F.array_sort(contacts.mailto_emails(c("hrefs"))))
-        .withColumn("scanned_emails", valid(F.concat(
-            contacts.scan_emails(c("_html")), contacts.scan_emails(c("_coded")))))
-        .withColumn("obfuscated_emails", valid(contacts.obfuscated_emails(c("_unescaped"))))
+        df.withColumns({"_coded_raw": F.array_join(coded_tags, " "),
+                        "_unescaped": F.when(maybe_obfuscated, decode_entities("_html")).otherwise("")})
+        .withColumn("_coded", decode_entities("_coded_raw"))
+        .withColumns({
+            "mailto_emails": F.array_sort(contacts.mailto_emails(c("hrefs"))),
+            "scanned_emails": valid(F.concat(contacts.scan_emails(c("_html")), contacts.scan_emails(c("_coded")))),
+            "obfuscated_emails": valid(contacts.obfuscated_emails(c("_unescaped")))})
         .withColumn("emails", contacts.high_first(
             c("mailto_emails"), F.concat("scanned_emails", "obfuscated_emails"))))
 
@@ -119,10 +110,10 @@ def phones(df: DataFrame) -> DataFrame:
     """Adds tel_phones, text_phones and their ordered union phones."""
     c = F.col
     return (
-        df.withColumn("_shown_hrefs", F.when(c("_shown") == c("_base"), c("hrefs")).otherwise(
-            html.attribute_values(html.elements(c("_shown"), "a"), "href")))
-        .withColumn("tel_phones", F.array_sort(contacts.tel_phones(c("_shown_hrefs"))))
-        .withColumn("text_phones", F.array_sort(contacts.text_phones(c("text"))))
+        df.withColumn("_shown_raw", F.when(c("_shown") == c("_base"), c("_href_raw")).otherwise(
+            html.raw_values(html.elements(c("_shown"), "a"), "href")))
+        .withColumns({"tel_phones": F.array_sort(contacts.tel_phones(decode_all("_shown_raw"))),
+                      "text_phones": F.array_sort(contacts.text_phones(c("text")))})
         .withColumn("phones", contacts.high_first(c("tel_phones"), c("text_phones"))))
 
 
@@ -130,41 +121,62 @@ def features(df: DataFrame) -> DataFrame:
     """Adds the form columns, the seven keyword flags and cta_count."""
     c = F.col
 
-    def labels(form):
+    def raw_labels(form):
         tags = html.open_tags(form, "input|textarea|select")
-        joined = F.transform(tags, lambda t: F.concat_ws(" ", *[
+        return F.transform(tags, lambda t: F.concat_ws(" ", *[
             html.attribute(html.attrs_of(t), n) for n in ("name", "id", "placeholder", "aria-label")]))
-        cut = F.transform(html.decoded(joined), lambda l: F.substring(strip(l), 1, vocab.FORM_LABEL_CHARS))
+
+    def labels(decoded):
+        cut = F.transform(decoded, lambda l: F.substring(strip(l), 1, vocab.FORM_LABEL_CHARS))
         return F.filter(cut, lambda l: l != "")
 
     def is_lead(form):
         return (F.size(form["fields"]) >= 2) | contains_any(F.lower(form["text"]), vocab.FORM_ACTION_WORDS)
 
     cta = lambda a: F.size(F.filter(a, lambda t: contains_any(F.lower(t), vocab.CTA_WORDS)))
-    out = (
-        df.withColumn("_form_html", html.elements(c("_base"), "form"))
-        .withColumn("_form_texts", html.texts_of(c("_form_html")))
-        .withColumn("_form_actions", html.attribute_values(c("_form_html"), "action"))
-        .withColumn("_forms", F.transform(c("_form_html"), lambda f, i: F.struct(
-            F.get(c("_form_actions"), i).alias("action"), labels(f).alias("fields"),
-            F.substring(F.get(c("_form_texts"), i), 1, vocab.FORM_TEXT_CHARS).alias("text"))))
-        .withColumn("_lower", F.lower("raw_text"))
-        .withColumn("_haystack", F.concat(F.lower("_html"), F.lit(" "), c("_lower")))
-        .withColumn("form_count", F.size("_forms"))
-        .withColumn("form_details", F.slice("_forms", 1, vocab.FORM_DETAILS_KEPT))
-        .withColumn("lead_form", F.exists("_forms", is_lead) | (
-            (count_words(c("_lower"), vocab.FORM_FIELD_WORDS) >= 2)
-            & contains_any(c("_lower"), vocab.FORM_ACTION_WORDS)))
-        .withColumn("_button_texts", html.texts_of(html.elements(c("_base"), "button")))
-        .withColumn("cta_count", cta(c("link_texts")) + cta(c("_button_texts"))))
-    return out.withColumns({n: contains_any(c("_haystack"), w) for n, w in vocab.FEATURES.items()})
-
-
-def parse(df: DataFrame) -> DataFrame:
-    """All page columns; the input columns stay, helper columns go."""
+    return (
+        df.withColumns({"_form_html": html.elements(c("_base"), "form"),
+                        "_button_html": html.elements(c("_base"), "button"), "_lower": F.lower("raw_text")})
+        .withColumns({"_form_marks": html.marked_contents(c("_form_html")),
+                      "_action_raw": html.raw_values(c("_form_html"), "action"),
+                      "_label_raw": F.transform("_form_html", raw_labels),
+                      "_button_marks": html.marked_contents(c("_button_html")),
+                      "_haystack": F.concat(F.lower("_html"), F.lit(" "), c("_lower"))})
+        .withColumns({"_form_texts": F.transform(decode_all("_form_marks"), html.joined_text),
+                      "_actions": decode_all("_action_raw"),
+                      "_labels": F.transform(decode_all("_label_raw", 2), labels),
+                      "_button_texts": F.transform(decode_all("_button_marks"), html.joined_text)})
+        .withColumn("_forms", F.transform("_labels", lambda l, i: F.struct(
+            F.get("_actions", i).alias("action"), l.alias("fields"),
+            F.substring(F.get("_form_texts", i), 1, vocab.FORM_TEXT_CHARS).alias("text"))))
+        .withColumns({
+            "form_count": F.size("_forms"),
+            "form_details": F.slice("_forms", 1, vocab.FORM_DETAILS_KEPT),
+            "lead_form": F.exists("_forms", is_lead) | (
+                (count_words("_lower", vocab.FORM_FIELD_WORDS) >= 2)
+                & contains_any("_lower", vocab.FORM_ACTION_WORDS)),
+            **{n: contains_any("_haystack", w) for n, w in vocab.FEATURES.items()},
+            "cta_count": cta(c("link_texts")) + cta(c("_button_texts"))}))
+
+
+# Each step and the steps it builds on.
+STEPS = {text_layers: [], quality: [text_layers], head_fields: [text_layers], links: [text_layers],
+         emails: [links], phones: [links], features: [links]}
+
+
+def parse(df: DataFrame, *steps) -> DataFrame:
+    """Page columns of the given steps and those they build on (default: all).
+
+    The input columns stay, helper columns go.
+    """
+    wanted = set(steps or STEPS)
+    for step in reversed(STEPS):
+        if step in wanted:
+            wanted.update(STEPS[step])
     out = df
-    for step in (text_layers, quality, head_fields, links, emails, phones, features):
-        out = step(out)
+    for step in STEPS:
+        if step in wanted:
+            out = step(out)
     return out.drop(*[n for n in out.columns if n.startswith("_")])
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import urls, vocab
-from leadloom.functions.html import ATTRS, attribute_values, decoded
+from leadloom.functions.html import raw_values
 from leadloom.functions.skew import skewed_left_join
-from leadloom.functions.text import collapse, strip
+from leadloom.functions.text import collapse, decode_all, strip
 from leadloom.operators import pages
 from leadloom.session import stored
 
@@ -54,7 +54,7 @@ def parsed_captures(captures: DataFrame) -> DataFrame:
     A site keeps the first 15,000 characters of its joined text, so no page needs
     to carry more than that.
     """
-    parsed = with_subpages(pages.parse(captures))
+    parsed = with_subpages(pages.parse(captures, pages.quality, pages.emails, pages.phones, pages.features))
     return parsed.select(
         "url", "channel", "page_id", "usable", (F.col("reason") == "empty").alias("blank"), "subpages",
         F.struct("url", F.substring("text", 1, vocab.SITE_TEXT_CHARS).alias("text"), "emails", "phones",
@@ -182,11 +182,12 @@ def official_links(source_pages: DataFrame) -> DataFrame:
     patterns.append(lambda a: a["testid"] == vocab.WEBSITE_LINK_TESTID)
     layered = pages.text_layers(source_pages).withColumn("_anchors", pages.html.elements(c("_base"), "a"))
     return (
-        layered.withColumn("_texts", F.transform("_anchors", lambda a: F.regexp_replace(
-            F.regexp_replace(pages.html.content_of(a), pages.html.TAG, ""), pages.html.MARK, "")))
-        .withColumn("_texts", F.transform(decoded(c("_texts")), lambda t: collapse(t)))
-        .withColumn("_hrefs", attribute_values(c("_anchors"), "href"))
-        .withColumn("_ids", attribute_values(c("_anchors"), "data-testid"))
+        layered.withColumns({
+            "_text_raw": F.transform("_anchors", lambda a: F.regexp_replace(F.regexp_replace(
+                pages.html.content_of(a), pages.html.TAG, ""), pages.html.MARK, "")),
+            "_href_raw": raw_values(c("_anchors"), "href"), "_id_raw": raw_values(c("_anchors"), "data-testid")})
+        .withColumns({"_texts": F.transform(decode_all("_text_raw"), lambda t: collapse(t)),
+                      "_hrefs": decode_all("_href_raw"), "_ids": decode_all("_id_raw")})
         .withColumn("_out", F.transform("_hrefs", lambda h, i: F.struct(
             h.alias("href"), F.get("_texts", i).alias("text"), F.get("_ids", i).alias("testid"))))
         .withColumn("_out", F.filter("_out", outside))

@@ -93,25 +93,31 @@ def _(spark, d):
 
 # --- pages --------------------------------------------------------------------
 
-def _page_query(name, *columns):
-    QUERIES[name] = lambda spark, d: pages.parse(seeding.seeded_pages(spark, d)).selectExpr("page_id", *columns)
-
-
-_page_query("p01_html_quality", "usable", "reason", "text_length", "html_length")
-_page_query("p02_visible_text", "text")
-_page_query("p03_raw_text", "lower(raw_text) as raw_text")
-_page_query("p04_title", "title")
-_page_query("p05_meta_description", "description")
-_page_query("p06_schema_types", "array_join(schema_types, '|') as schema_types")
-_page_query("p08_mailto_emails", "array_join(mailto_emails, '|') as emails")
-_page_query("p09_scanned_emails", "array_join(scanned_emails, '|') as emails")
-_page_query("p10_obfuscated_emails", "array_join(obfuscated_emails, '|') as emails")
-_page_query("p12_ordered_contacts", "array_join(emails, '|') as emails", "array_join(phones, '|') as phones")
-_page_query("p13_tel_phones", "array_join(tel_phones, '|') as phones")
-_page_query("p14_text_phones", "array_join(text_phones, '|') as phones")
-_page_query("p17_lead_form", "lead_form")
-_page_query("p18_keyword_features", *vocab.FEATURES)
-_page_query("p19_cta_count", "cta_count")
+def _page_query(name, step, *columns):
+    QUERIES[name] = lambda spark, d: pages.parse(seeding.seeded_pages(spark, d), step).selectExpr(
+        "page_id", *columns)
+
+
+_page_query("p01_html_quality", pages.quality, "usable", "reason", "text_length", "html_length")
+_page_query("p02_visible_text", pages.text_layers, "text")
+_page_query("p03_raw_text", pages.text_layers, "lower(raw_text) as raw_text")
+_page_query("p04_title", pages.head_fields, "title")
+_page_query("p05_meta_description", pages.head_fields, "description")
+_page_query("p06_schema_types", pages.head_fields, "array_join(schema_types, '|') as schema_types")
+_page_query("p08_mailto_emails", pages.emails, "array_join(mailto_emails, '|') as emails")
+_page_query("p09_scanned_emails", pages.emails, "array_join(scanned_emails, '|') as emails")
+_page_query("p10_obfuscated_emails", pages.emails, "array_join(obfuscated_emails, '|') as emails")
+_page_query("p13_tel_phones", pages.phones, "array_join(tel_phones, '|') as phones")
+_page_query("p14_text_phones", pages.phones, "array_join(text_phones, '|') as phones")
+_page_query("p17_lead_form", pages.features, "lead_form")
+_page_query("p18_keyword_features", pages.features, *vocab.FEATURES)
+_page_query("p19_cta_count", pages.features, "cta_count")
+
+
+@query("p12_ordered_contacts")
+def _(spark, d):
+    return pages.parse(seeding.seeded_pages(spark, d), pages.emails, pages.phones).select(
+        "page_id", joined("emails").alias("emails"), joined("phones").alias("phones"))
 
 
 @query("p07_anchors")
@@ -151,7 +157,8 @@ def _(spark, d):
 
 @query("p16_form_details")
 def _(spark, d):
-    out = pages.parse(seeding.seeded_pages(spark, d)).select("page_id", "form_count", "form_details")
+    out = pages.parse(seeding.seeded_pages(spark, d), pages.features).select(
+        "page_id", "form_count", "form_details")
     return exploded_rows(out, "form_details").select(
         "page_id", "form_count", "pos", "item.action", joined("item.fields").alias("fields"), "item.text")
 
@@ -196,7 +203,7 @@ def _(spark, d):
 
 @query("w3_subpages")
 def _(spark, d):
-    out = sites.with_subpages(pages.parse(seeding.seeded_pages(spark, d)))
+    out = sites.with_subpages(pages.parse(seeding.seeded_pages(spark, d), pages.links))
     return exploded_rows(out.select("page_id", "subpages"), "subpages").select(
         "page_id", F.col("pos").alias("rank"), F.col("item").alias("subpage"))
 
