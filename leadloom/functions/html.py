@@ -10,13 +10,13 @@ their input more than once and want it stored.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import WS, collapse
+from leadloom.functions.text import WS, collapse, strip
 
 MARK = "\u0001"  # stands where a tag or a removed element was
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TAG = rf"<[!?/a-zA-Z]{ATTRS}>"
-CODE = (r"(?is)<!--.*?(?:-->|\z)"
-        rf"|<(script|style|template)(?=[\s/>]){ATTRS}>.*?(?:</\1\s*+>|\z)")
+CODE = (r"(?is)<(?:!--.*?(?:-->|\z)"
+        rf"|(script|style|template)(?=[\s/>]){ATTRS}>.*?(?:</\1\s*+>|\z))")
 _ELEMENT = r"(?is)<({names})(?=[\s/>])" + ATTRS + r"(?<!/)>.*?</\1\s*+>"
 NOSCRIPT_SVG = _ELEMENT.format(names="noscript|svg")
 IFRAME = _ELEMENT.format(names="iframe")
@@ -37,17 +37,17 @@ def drop_code(html: Column) -> Column:
     return F.regexp_replace(html, CODE, MARK)
 
 
-def drop_noscript_svg(c: Column) -> Column:
-    low = F.lower(c)
+def drop_noscript_svg(c: Column, low: Column) -> Column:
+    """``low`` is the whole page in lower case: a cheap look spares most pages the scan."""
     return F.when(low.contains("<noscript") | low.contains("<svg"),
                   F.regexp_replace(c, NOSCRIPT_SVG, MARK)).otherwise(c)
 
 
-def drop_iframe(c: Column) -> Column:
-    return F.when(F.lower(c).contains("<iframe"), F.regexp_replace(c, IFRAME, MARK)).otherwise(c)
+def drop_iframe(c: Column, low: Column) -> Column:
+    return F.when(low.contains("<iframe"), F.regexp_replace(c, IFRAME, MARK)).otherwise(c)
 
 
-def drop_hidden(c: Column) -> Column:
+def drop_hidden(c: Column, low: Column) -> Column:
     """Without elements hidden by an inline style or ``aria-hidden="true"``.
 
     Pages with such an element (few) are cut into tags and text and folded once,
@@ -85,7 +85,8 @@ def drop_hidden(c: Column) -> Column:
         s["start"].alias("a"), (s["i"] - s["start"]).alias("n")))))
     kept = F.array_join(F.transform(
         spans, lambda p: F.array_join(F.slice(tokens, p["a"], p["n"]), "")), MARK)
-    return F.when(c.rlike(HIDDEN_ANY), kept).otherwise(c)
+    maybe = low.contains("display") | low.contains("aria-hidden")
+    return F.when(maybe & c.rlike(HIDDEN_ANY), kept).otherwise(c)
 
 
 def tags_to_marks(c: Column) -> Column:
@@ -97,9 +98,7 @@ def joined_text(c: Column) -> Column:
 
     ``c`` has marks for tags and is entity-decoded.
     """
-    return F.regexp_replace(
-        F.regexp_replace(c, rf"(?U)[{WS}]*+{MARK}[{WS}{MARK}]*+", " "),
-        rf"(?U)^[{WS}]+|[{WS}]+$", "")
+    return strip(F.regexp_replace(c, rf"(?U)[{WS}]*+{MARK}[{WS}{MARK}]*+", " "))
 
 
 def flat_text(c: Column) -> Column:
@@ -121,11 +120,16 @@ def has_attribute(attrs: Column, name: str) -> Column:
     return attrs.rlike(rf"(?is)^[\s/]*+{_SKIP_ATTR.format(name=name)}{name}(?:[\s=/]|$)")
 
 
-def elements(c: Column, name: str) -> Column:
-    """``<name ...>content`` of every such element, in document order."""
+def elements(c: Column, name: str, low: Column | None = None) -> Column:
+    """``<name ...>content`` of every such element, in document order.
+
+    With ``low``, the page in lower case, pages without the element are not scanned.
+    """
     stop = rf"</{name}\s*+>|<{name}[\s/>]|\z" if name == "a" else rf"</{name}\s*+>|\z"
-    return F.regexp_extract_all(
+    found = F.regexp_extract_all(
         c, F.lit(rf"(?is)<{name}(?=[\s/>]){ATTRS}>(?:.*?)(?={stop})"), F.lit(0))
+    return found if low is None else F.when(low.contains(f"<{name}"), found).otherwise(
+        F.expr("cast(array() as array<string>)"))
 
 
 def open_tags(c: Column, names: str) -> Column:

@@ -10,6 +10,7 @@ from leadloom.functions import vocab
 
 # Python's idea of white space: Unicode White_Space plus the four separators.
 WS = r"\s\x1c-\x1f"
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 ENTITY = r"&#?[A-Za-z0-9]++;"
 
 
@@ -24,12 +25,13 @@ def collapse(c: Column, also: str = "") -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Strip all white space from both ends (``trim`` only knows spaces)."""
-    return F.regexp_replace(c, rf"(?U)^[{WS}]+|[{WS}]+$", "")
+    """Strip all white space from both ends (plain ``trim`` only knows spaces)."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    """Null, or nothing but white space; stops at the first other character."""
+    return c.isNull() | ~c.rlike(rf"(?U)[^{WS}]")
 
 
 def contains_any(c: Column | str, words) -> Column:

@@ -1,11 +1,12 @@
 """Lead intake and state: queueing links, manual pages, folding events, final status."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.skew import numbered
 from leadloom.functions.text import is_blank, strip
 from leadloom.operators import pages
+from leadloom.session import stored
 
 
 def intake(link_lists: DataFrame, last_id: Column) -> DataFrame:
@@ -30,8 +31,6 @@ def numbered_spans(df: DataFrame, order: str, size: Column, after: Column, block
     Rows are summed inside blocks of the order column (at most ``block`` rows each);
     only one total per block meets in a single task.
     """
-    from pyspark.sql import Window
-
     blocked = df.withColumn("_size", size).withColumn("_block", F.floor(F.col(order) / block))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocked.groupBy("_block").agg(F.sum("_size").alias("_total")).select(
@@ -77,7 +76,8 @@ def manual_upsert(submitted: DataFrame, leads: DataFrame, last_id: Column) -> Da
         "website", "first_seq", "emails", "phones", c("text").alias("body_text"))
     parsed = parsed.withColumn("status", final_status("emails", "phones"))
     known = latest_by_website(leads.select("lead_id", "website", "company_name", "location", "source_url"))
-    matched = parsed.join(known, "website", "left")
+    # Stored: the parsed pages feed updates, inserts and the numbering of inserts.
+    matched = stored(parsed.join(known, "website", "left"), "manual-pages")
     updates = matched.where("lead_id is not null").withColumn("action", F.lit("update"))
     fresh = matched.where("lead_id is null").drop("lead_id")
     inserts = numbered(fresh, "first_seq", "lead_id", last_id).withColumns({

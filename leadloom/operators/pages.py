@@ -24,13 +24,13 @@ def text_layers(df: DataFrame) -> DataFrame:
     c = F.col
     return (
         df.withColumn("_html", F.coalesce("html", F.lit("")))
-        .withColumn("_base", html.drop_code(c("_html")))
-        .withColumns({"_plain": html.drop_noscript_svg(c("_base")), "_raw_marks": html.tags_to_marks(c("_base"))})
+        .withColumns({"_low": F.lower("_html"), "_base": html.drop_code(c("_html"))})
+        .withColumns({"_plain": html.drop_noscript_svg(c("_base"), c("_low")), "_raw_marks": html.tags_to_marks(c("_base"))})
         # Most pages have nothing more to drop: then the earlier text is reused.
-        .withColumns({"_framed": html.drop_iframe(c("_plain")),
+        .withColumns({"_framed": html.drop_iframe(c("_plain"), c("_low")),
                       "_less_marks": F.when(c("_plain") != c("_base"), html.tags_to_marks(c("_plain"))),
                       "_raw": decode_entities("_raw_marks")})
-        .withColumns({"_shown": html.drop_hidden(c("_framed")), "raw_text": html.joined_text(c("_raw")),
+        .withColumns({"_shown": html.drop_hidden(c("_framed"), c("_low")), "raw_text": html.joined_text(c("_raw")),
                       "plain_text": html.flat_text(F.coalesce(decode_entities("_less_marks"), c("_raw")))})
         .withColumn("_least_marks", F.when(c("_shown") != c("_plain"), html.tags_to_marks(c("_shown"))))
         .withColumn("text", F.coalesce(html.flat_text(decode_entities("_least_marks")), c("plain_text"))))
@@ -92,10 +92,12 @@ def emails(df: DataFrame) -> DataFrame:
     """Adds mailto_emails, scanned_emails, obfuscated_emails and their ordered union emails."""
     c = F.col
     coded_tags = F.regexp_extract_all("_base", F.lit(rf"<[a-zA-Z](?=[^>]*&){html.ATTRS}>"), F.lit(0))
-    maybe_obfuscated = F.lower("_html").contains("dot") | c("_html").contains("&#")
+    # A coded @ or letter needs one of these; most pages have none and are not scanned.
+    maybe_coded = c("_html").contains("@") | c("_html").contains("&#") | c("_html").contains("&commat;")
+    maybe_obfuscated = c("_low").contains("dot") | c("_html").contains("&#")
     valid = lambda a: F.array_sort(F.array_distinct(F.filter(a, contacts.valid_email)))
     return (
-        df.withColumns({"_coded_raw": F.array_join(coded_tags, " "),
+        df.withColumns({"_coded_raw": F.when(maybe_coded, F.array_join(coded_tags, " ")).otherwise(""),
                         "_unescaped": F.when(maybe_obfuscated, decode_entities("_html")).otherwise("")})
         .withColumn("_coded", decode_entities("_coded_raw"))
         .withColumns({
@@ -135,13 +137,13 @@ def features(df: DataFrame) -> DataFrame:
 
     cta = lambda a: F.size(F.filter(a, lambda t: contains_any(F.lower(t), vocab.CTA_WORDS)))
     return (
-        df.withColumns({"_form_html": html.elements(c("_base"), "form"),
-                        "_button_html": html.elements(c("_base"), "button"), "_lower": F.lower("raw_text")})
+        df.withColumns({"_form_html": html.elements(c("_base"), "form", c("_low")),
+                        "_button_html": html.elements(c("_base"), "button", c("_low")), "_lower": F.lower("raw_text")})
         .withColumns({"_form_marks": html.marked_contents(c("_form_html")),
                       "_action_raw": html.raw_values(c("_form_html"), "action"),
                       "_label_raw": F.transform("_form_html", raw_labels),
                       "_button_marks": html.marked_contents(c("_button_html")),
-                      "_haystack": F.concat(F.lower("_html"), F.lit(" "), c("_lower"))})
+                      "_haystack": F.concat(c("_low"), F.lit(" "), c("_lower"))})
         .withColumns({"_form_texts": F.transform(decode_all("_form_marks"), html.joined_text),
                       "_actions": decode_all("_action_raw"),
                       "_labels": F.transform(decode_all("_label_raw", 2), labels),

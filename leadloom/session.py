@@ -39,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its files give fewer splits than there are cores.
+
+    Page work is heavy per row, so a small input must not run in one or two tasks.
+    Large inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

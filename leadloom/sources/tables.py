@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import is_blank
+from leadloom.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -12,7 +12,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Raw pages: page_id, url, html."""
-    return table(spark, folder, "pages").select("page_id", "url", "html")
+    return spread(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
 def admission(crawl: DataFrame) -> DataFrame:
