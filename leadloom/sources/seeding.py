@@ -65,7 +65,7 @@ SEEDS = [
     (19, 2, "<p>Careers: we are hiring, join our team</p>"),
     (17, 9, "<p>Membership for a monthly fee</p>"),
     (10, 7, "<p>Intake and registration</p>"),
-    (12, 1, "<p>Free consultation</p>"),
+    (8, 3, "<p>Free consultation</p>"),
     (15, 4, "<p>Follow-up and ongoing care</p>"),
     (20, 13, "<p>Reactivation for a return visit</p>"),
     (14, 5, "<p>Financing and insurance</p>"),
