@@ -139,7 +139,7 @@ def seeded_pages(spark: SparkSession, folder: str) -> DataFrame:
     return seed(pages(spark, folder))
 
 
-def seed(raw: DataFrame) -> DataFrame:
+def seed(raw: DataFrame, *kept: str) -> DataFrame:
     page_id = F.col("page_id")
     rules = F.from_json(F.lit(json.dumps([dict(m=m, r=r, html=text) for m, r, text in SEEDS])),
                         "array<struct<m:long,r:long,html:string>>")
@@ -155,7 +155,7 @@ def seed(raw: DataFrame) -> DataFrame:
         F.when(page_id % 31 == 5, F.lit(" \n\t "))
         .when(page_id % 37 == 7, _fill(F.lit(SMALL_PAGE), page_id))
         .when(page_id % 41 == 6, _fill(F.lit(THIN_PAGE), page_id))
-        .otherwise(full).alias("html"))
+        .otherwise(full).alias("html"), *kept)
 
 
 def crawl_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,16 +179,16 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     Over HTTP some pages are missing.  A browser capture shows the raw page, so a
     page that is blocked over HTTP can be whole there.
     """
-    seeded = seeded_pages(spark, folder)
-    p = F.col("page_id")
-    http = seeded.where(p % 23 != 6).withColumn("channel", F.lit("http"))
-    browser = (pages(spark, folder).where(p % 3 != 1)
-               .select("page_id", _page_url(p).alias("url"),
-                       F.replace(F.col("html"), F.lit("</footer>"), F.concat(
-                           F.lit("<p>Seen in a browser. Contact us. Book now.</p>"),
-                           _fill(F.lit(NAVIGATION[0]), p), F.lit("</footer>"))).alias("html"))
-               .withColumn("channel", F.lit("browser")))
-    return http.unionByName(browser)
+    p, raw = F.col("page_id"), pages(spark, folder)
+    shown = F.replace(F.col("raw_html"), F.lit("</footer>"), F.concat(
+        F.lit("<p>Seen in a browser. Contact us. Book now.</p>"), _fill(F.lit(NAVIGATION[0]), p), F.lit("</footer>")))
+    capture = lambda channel, html: F.struct(F.lit(channel).alias("channel"), html.alias("html"))
+    # One branch for both channels: over a union everything after it is planned twice.
+    return (
+        seed(raw.withColumn("raw_html", F.col("html")), "raw_html")
+        .select("page_id", "url", F.inline_outer(F.array_compact(F.array(
+            F.when(p % 23 != 6, capture("http", F.col("html"))), F.when(p % 3 != 1, capture("browser", shown))))))
+        .where("channel is not null").select("page_id", "url", "html", "channel"))
 
 
 def new_leads(spark: SparkSession, folder: str) -> DataFrame:
