@@ -3,38 +3,56 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 256     # a key is hot when it holds over 1/256 of the rows ...
-SALTS = 64          # ... and its rows are then spread over this many parts
+HOT_SHARE = 4096       # a key is hot with over 1/4096 of the rows ...
+HOT_ROWS = 1000        # ... and over this many rows: fewer are never a problem
+FEW_KEYS = 100_000     # key lists up to this size may be broadcast ...
+KEY_CHARS = 2048       # ... if no key is longer than this
 BLOCK = 1 << 16
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with over 1/``share`` of the non-null rows: fewer than ``share`` of them.
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """Hot keys and the number of parts (``salts``) their rows are spread over.
 
-    Counts are combined before the shuffle, so the hot key itself costs nothing.
+    Fewer than ``HOT_SHARE`` keys can be hot.  A part holds about 1/``HOT_SHARE`` of
+    all rows, so the salts of all hot keys together number less than twice that.
+    Counts are combined before the shuffle: the hot key itself costs nothing.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n"))
-    return counts.where(F.col("_n") * share > total.scalar()).where("_n > 1").select(key)
+    share = F.ceil(F.col("_n") * HOT_SHARE / total.scalar())
+    return counts.where(F.col("_n") > HOT_ROWS).select(key, share.alias("salts")).where("salts > 1")
 
 
 def skewed_left_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     """``many`` left join ``one`` on ``key`` where some keys are hot in ``many``.
 
-    Rows of hot keys get a random-like salt; the matching rows of ``one`` are
-    repeated per salt.  The broadcast list of hot keys is bounded by ``HOT_SHARE``.
+    Rows of a hot key get a random-like salt, and the matching rows of ``one`` are
+    repeated once per salt.  Rows without a key match nothing and are spread too.
+    The broadcast list of hot keys is bounded by ``HOT_SHARE``.
     """
-    hot = F.broadcast(hot_keys(many, key).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[c for c in many.columns if c != key] or [key]), F.lit(SALTS))
-    left = many.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+    hot = F.broadcast(hot_keys(many, key))
+    mixed = F.xxhash64(*[c for c in many.columns if c != key] or [key])
+    salts = F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce("salts", F.lit(1)))
+    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(mixed, salts)).drop("salts")
     right = one.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
-    right = right.withColumn("_salt", F.col("_salt").cast("long"))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+def narrowed(df: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``value`` is in the one column of ``keys``, if these are few.
+
+    A small batch of leads then parses only its own pages.  The broadcast happens
+    behind a check of number and length; with more keys ``df`` comes back whole,
+    which is right too, as the joins that follow pick the rows they need.
+    """
+    distinct = keys.toDF("_key").where("_key is not null").distinct()
+    size = distinct.limit(FEW_KEYS + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("_key")).alias("chars")).first()
+    if size.n > FEW_KEYS or (size.chars or 0) > KEY_CHARS:
+        return df
+    return df.join(F.broadcast(distinct), value == F.col("_key"), "left_semi")
+
+
 def numbered(df: DataFrame, order: str, name: str, after: Column, block: int = BLOCK) -> DataFrame:
     """Consecutive numbers following ``after`` in the order of a unique integer column.
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.skew import skewed_left_join
+from leadloom.functions import urls
+from leadloom.functions.skew import narrowed, skewed_left_join
 from leadloom.operators import analysis, leads as lead_ops, opportunities, sites
 from leadloom.session import stored
 
@@ -25,11 +26,14 @@ def enrich(leads: DataFrame, source_pages: DataFrame, captures: DataFrame, use_b
     """One finished row per lead (lead_id, company_name, location, source_url).
 
     Each distinct website is read and analysed once, however many leads share it;
-    the result is then joined back to the leads.
+    the result is then joined back to the leads.  A small batch parses only the pages
+    its leads name: sources by address, captures by domain (subpages never leave it).
     """
     c = F.col
-    located = stored(sites.with_website(leads, source_pages), "located-leads")
-    found = analysed_sites(sites.assemble(located, captures, use_browser))
+    sources = narrowed(source_pages, c("url"), leads.select("source_url"))
+    located = stored(sites.with_website(leads, sources), "located-leads")
+    near = narrowed(captures, urls.site_domain(c("url")), located.select(urls.site_domain(c("website"))))
+    found = analysed_sites(sites.assemble(located, near, use_browser))
     done = skewed_left_join(located, found, "website")
     # A lead without a website is finished with empty data; it never reads pages.
     failed = (c("website") != "NOT_FOUND") & (c("method") == "failed")

@@ -117,7 +117,7 @@ def test_skewed_join_equals_plain_join(spark):
                                     .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"))
     one = spark.range(0, 4000, 2).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("v"))
     one = one.unionByName(spark.createDataFrame([("hot", -1), ("hot", -2)], "key string, v long"))
-    assert [r.key for r in skew.hot_keys(many, "key").collect()] == ["hot"]
+    assert [(r.key, r.salts > 1000) for r in skew.hot_keys(many, "key").collect()] == [("hot", True)]
     got = sorted(map(tuple, skew.skewed_left_join(many, one, "key").select("id", "key", "v").collect()), key=str)
     assert got == sorted(map(tuple, many.join(one, "key", "left").select("id", "key", "v").collect()), key=str)
 
@@ -126,9 +126,19 @@ def test_hot_rows_are_spread(spark):
     many = spark.range(20000).select("id", F.lit("hot").alias("key"))
     one = spark.createDataFrame([("hot", 1)], "key string, v long")
     joined = skew.skewed_left_join(many, one, "key")
+    spread = many.join(skew.hot_keys(many, "key"), "key").first()
+    assert spread.salts == skew.HOT_SHARE
     assert joined.count() == 20000 and joined.where("v = 1").count() == 20000
 
 
+def test_narrowing_is_exact_and_checked(spark, monkeypatch):
+    df = spark.range(100).select(F.col("id").cast("string").alias("u"))
+    keys = spark.createDataFrame([("3",), ("3",), ("7",), (None,)], "k string")
+    assert sorted(r.u for r in skew.narrowed(df, F.col("u"), keys).collect()) == ["3", "7"]
+    monkeypatch.setattr(skew, "FEW_KEYS", 1)
+    assert skew.narrowed(df, F.col("u"), keys) is df
+
+
 def test_numbering_is_consecutive(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("n")).repartition(7)
     rows = skew.numbered(df, "n", "k", F.lit(10), block=64).orderBy("n").collect()
