@@ -12,7 +12,7 @@ from leadloom.operators import analysis, dashboard, leads, opportunities, pages,
 from leadloom.plans import enrichment
 from leadloom.session import new_path
 from leadloom.sources import seeding, tables
-from leadloom.streaming import pipeline
+from leadloom.streaming import jobs
 
 QUERIES = {}
 
@@ -532,27 +532,27 @@ def _(spark, d):
 
 def _streamed_state(spark, d) -> str:
     schema = tables.table(spark, d, "events").schema
-    events = seeding.as_lead_events(pipeline.file_stream(spark, d, schema, "events.parquet"))
+    events = seeding.as_lead_events(jobs.file_stream(spark, d, schema, "events.parquet"))
     out = new_path(spark, "lead-state")
-    pipeline.state_stream(events, out, new_path(spark, "state-checkpoint")).awaitTermination()
+    jobs.state_stream(events, out, new_path(spark, "state-checkpoint")).awaitTermination()
     return out
 
 
 @query("t1_streamed_enrichment")
 def _(spark, d):
     schema = tables.table(spark, d, "pages").schema
-    arriving = seeding.as_leads(pipeline.file_stream(spark, d, schema, "pages.parquet"))
+    arriving = seeding.as_leads(jobs.file_stream(spark, d, schema, "pages.parquet"))
     out = new_path(spark, "finished-leads")
-    pipeline.enrichment_stream(arriving, seeding.seeded_pages(spark, d), seeding.captures(spark, d), out,
+    jobs.enrichment_stream(arriving, seeding.seeded_pages(spark, d), seeding.captures(spark, d), out,
                                new_path(spark, "lead-checkpoint")).awaitTermination()
     return _flat_enriched(spark.read.parquet(out))
 
 
 @query("t2_streamed_state")
 def _(spark, d):
-    return _flat_state(pipeline.current_state(spark, _streamed_state(spark, d)))
+    return _flat_state(jobs.current_state(spark, _streamed_state(spark, d)))
 
 
 @query("t3_live_stats")
 def _(spark, d):
-    return pipeline.live_stats(spark, _streamed_state(spark, d))
+    return jobs.live_stats(spark, _streamed_state(spark, d))

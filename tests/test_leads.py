@@ -8,7 +8,7 @@ from leadloom.operators import dashboard, leads, reports
 from leadloom.plans import enrichment
 from leadloom.session import new_path
 from leadloom.sources import seeding, tables
-from leadloom.streaming import pipeline
+from leadloom.streaming import jobs
 
 EVENT = ("seq long, lead_id long, ts timestamp, kind string, status string, website string, company_name string, "
          "emails string, phones string, body_text string, score int, analysis_json string")
@@ -124,15 +124,15 @@ def test_state_stream_equals_batch_over_many_files(spark, folder):
     source = new_path(spark, "event-files")
     tables.table(spark, folder, "events").repartitionByRange(4, "event_id").write.parquet(source)
     schema = spark.read.parquet(source).schema
-    stream = seeding.as_lead_events(pipeline.file_stream(spark, source, schema))
+    stream = seeding.as_lead_events(jobs.file_stream(spark, source, schema))
     out, checkpoint = new_path(spark, "state"), new_path(spark, "check")
-    pipeline.state_stream(stream, out, checkpoint).awaitTermination()
+    jobs.state_stream(stream, out, checkpoint).awaitTermination()
     batches = spark.read.parquet(out).select("batch_id").distinct().count()
     assert batches == 4
     batch = leads.fold_state(seeding.lead_events(spark, folder))
-    streamed = pipeline.current_state(spark, out).select(*batch.columns)
+    streamed = jobs.current_state(spark, out).select(*batch.columns)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
     # Started again with nothing new, it changes nothing.
-    pipeline.state_stream(stream, out, checkpoint).awaitTermination()
-    assert pipeline.current_state(spark, out).count() == batch.count()
-    assert pipeline.live_stats(spark, out).first() == dashboard.stats(batch).first()
+    jobs.state_stream(stream, out, checkpoint).awaitTermination()
+    assert jobs.current_state(spark, out).count() == batch.count()
+    assert jobs.live_stats(spark, out).first() == dashboard.stats(batch).first()
