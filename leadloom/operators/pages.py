@@ -61,8 +61,10 @@ def head_fields(df: DataFrame) -> DataFrame:
         F.regexp_extract_all("_html", F.lit(
             rf"(?is)<!--.*?-->|<script(?=[\s/>]){html.ATTRS}>.*?(?=</script)"), F.lit(0)),
         lambda s: html.attribute(html.attrs_of(s), "type") == "application/ld+json")
-    bodies = F.filter(F.transform(scripts, html.content_of),
-                      lambda b: F.try_parse_json(b).isNotNull())
+    # In brackets, text after the document makes it invalid, or a second element.
+    listed = lambda b: F.try_parse_json(F.concat(F.lit("["), b, F.lit("]")))
+    bodies = F.filter(F.transform(scripts, html.content_of), lambda b: listed(b).isNotNull()
+                      & F.try_variant_get(listed(b), "$[1]", "variant").isNull())
     items = F.flatten(F.transform(bodies, lambda b: F.coalesce(
         F.from_json(b, "array<struct<`@type`:string>>"),
         F.expr("cast(array() as array<struct<`@type`:string>>)"))))

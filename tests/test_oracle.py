@@ -10,9 +10,8 @@ import pytest
 import __spark_entry__ as entry
 from oracle import compare
 
-CORE = ["s1_link_intake", "s2_crawl_admission", "p07_anchors", "p20_page_job", "w2_resolved_links", "w3_subpages",
-        "w5_page_details", "w8_official_website", "a06_signal_evidence", "a10_page_analysis", "k1_priority_score",
-        "k6_overall_score", "l01_state_fold", "l09_dashboard_rows", "l11_lead_detail", "lead_enrichment"]
+CORE = ["s1_link_intake", "p07_anchors", "p20_page_job", "w3_subpages", "w8_official_website", "a10_page_analysis",
+        "k1_priority_score", "l01_state_fold", "l11_lead_detail", "lead_enrichment"]
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else CORE
 
 
