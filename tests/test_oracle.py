@@ -8,15 +8,16 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from leadloom.plans.queries import QUERIES
 from oracle import compare
 
 CORE = ["s1_link_intake", "p07_anchors", "p20_page_job", "w3_subpages", "w8_official_website", "a10_page_analysis",
         "k1_priority_score", "l01_state_fold", "l11_lead_detail", "lead_enrichment"]
-NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else CORE
+NAMES = list(QUERIES) if os.environ.get("ALL_QUERIES") else CORE
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
