@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     [batch.column(1)[first:last], pa.array(each, pa.list_(pa.int32())), pa.array(marked)],
                     ["label", "places", "marked"])
 
-    sample = (known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("text", "label")
-              if totals.docs > TRAIN_ROWS else known.select("text", "label"))
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    sample = known.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "label")
     rows = sample.mapInArrow(sparse, "label int, places array<int>, marked long").toPandas()
     return _regress(model, rows)
 
