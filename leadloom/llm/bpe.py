@@ -51,10 +51,12 @@ class Bpe:
         spec = json.loads(file)
         model = spec["model"]
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
-        self.names = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        names = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.decimals = [str(i) for i in range(len(self.names))]
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self._added = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")")
-        self._letters = _byte_letters()
+        self._letters = {b: letter for b, letter in enumerate(_byte_letters())}
         self._view = view
         # parts and rank of the merge that makes a token; a token without merge is a letter.
         self._merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -77,15 +79,6 @@ class Bpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their letters stand side by side."""
-        key = left << 20 | right
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > 4 * CACHED:
-                self._fits.clear()
-            known = self._fits[key] = self._border(left, right)
-        return known
-
-    def _border(self, left: int, right: int) -> bool:
         split, merge = self._split, self._merge
         # Ranks of the merges that take the tokens at the border into larger ones; none yet.
         left_by = right_by = 1 << 30
@@ -108,13 +101,25 @@ class Bpe:
         text = letters + _END
         last = [0] * (len(text) + 1)  # the token that ends the encoding of each prefix
         length = [0] * (len(text) + 1)
+        known = self._fits
         for end, (token, size) in self._automaton.iter(text):
             stop = end + 1
             if length[stop]:
                 continue
             start = stop - size
-            if start == 0 or length[start] and self.fits(last[start], token):
-                last[stop], length[stop] = token, size
+            if start:
+                # Only the prefix that lacks the word's end mark alone has no last token.
+                if not length[start]:
+                    continue
+                key = last[start] << 20 | token
+                fit = known.get(key)
+                if fit is None:
+                    if len(known) > 4 * CACHED:
+                        known.clear()
+                    fit = known[key] = self.fits(last[start], token)
+                if not fit:
+                    continue
+            last[stop], length[stop] = token, size
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -124,15 +129,22 @@ class Bpe:
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of a stretch without white space."""
-        if not piece.isascii():
-            piece = "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
-        else:
+        if piece.isascii():
             piece = piece.lower()
+        else:
+            piece = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
+        # Mostly a piece is letters, or letters and one sign; isalpha() and isalnum() are the classes of the pattern.
+        if piece.isalpha():
+            words = (piece,)
+        elif piece[:-1].isalpha() and not piece[-1].isalnum():
+            words = (piece[:-1], piece[-1])
+        else:
+            words = _WORD.findall(piece)
         out: list[int] = []
-        for word in _WORD.findall(piece):
+        for word in words:
             ids = self._words.get(word)
             if ids is None:
-                ids = self.word("".join([self._letters[b] for b in word.encode()]))
+                ids = self.word(word.encode().decode("latin-1").translate(self._letters))
                 if len(word) <= CACHED_LENGTH:
                     if len(self._words) >= CACHED:
                         self._words.clear()
@@ -148,7 +160,7 @@ class Bpe:
             if part in self.added:
                 out.append(self._view([self.added[part]], self))
                 continue
-            for piece in _GAPS.split(part) if _OTHER_GAPS.search(part) else part.split():
+            for piece in filter(None, _GAPS.split(part)) if _OTHER_GAPS.search(part) else part.split():
                 view = known.get(piece)
                 if view is None:
                     view = self._view(self._piece(piece), self)
@@ -165,7 +177,8 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so the tokens are joined by spaces; ids outside the vocabulary are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        names = self.names
+        return " ".join([names[i] for i in ids if i < len(names)])
 
 
 def as_ids(ids: list[int], _: Bpe) -> list[int]:
@@ -179,7 +192,8 @@ def as_bytes(ids: list[int], _: Bpe) -> bytes:
 
 def as_text(ids: list[int], bpe: Bpe) -> tuple[int, str, str]:
     """Number of ids, the ids in decimal, and their decoded text."""
-    return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
+    decimals, names = bpe.decimals, bpe.names
+    return len(ids), " ".join([decimals[i] for i in ids]), " ".join([names[i] for i in ids])
 
 
 _made: dict[tuple, Bpe] = {}
@@ -203,10 +217,10 @@ def shared_file(docs: DataFrame, path: str):
 def _digests(column: pa.Array, bpe: Bpe) -> dict:
     n, ids, decoded = array("q"), [], []
     for text in column:
-        views = [v for v in bpe.views(text.as_py() or "") if v[0]]
-        n.append(sum(v[0] for v in views))
-        ids.append(hashlib.sha256(" ".join([v[1] for v in views]).encode()).hexdigest())
-        decoded.append(hashlib.sha256(" ".join([v[2] for v in views]).encode()).hexdigest())
+        counts, decimal, names = zip(*views) if (views := bpe.views(text.as_py() or "")) else ((), (), ())
+        n.append(sum(counts))
+        ids.append(hashlib.sha256(" ".join(decimal).encode()).hexdigest())
+        decoded.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
     return {"n_tokens": np.array(n, np.int64), "ids_sha256": ids, "decoded_sha256": decoded}
 
 

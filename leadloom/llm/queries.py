@@ -2,12 +2,21 @@
 
 import public_tokenizers
 
-from leadloom.llm import bpe, jaccard_join, packing, quality_rules, toxicity
+from leadloom.llm import bpe, jaccard_join, packing, quality_rules, sql, toxicity, url_filters, vector_dedup, warc
 from leadloom.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Rules of op1 as (host, path, verdict).
+RULES = """VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, verdict)"""
+
+
+def op1_url_filters(spark, sf_dir):
+    return url_filters.url_filters(read(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {RULES}"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -20,6 +29,10 @@ def op6_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return vector_dedup.vector_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -28,6 +41,13 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard_join, op5_bpe_encoding, op6_packing, op8_quality_rules, op9_toxicity)}
-SQL: dict[str, str] = {}
+    op1_url_filters, op2_ngram_jaccard_join, op5_bpe_encoding, op6_packing, op7_embedding_near_dedup, op8_quality_rules,
+    op9_toxicity, op10_warc)}
+#: The others are learned models, tokenizer ids and packing, which SQL cannot express; tests/llm holds brute-force versions.
+SQL = {"op1_url_filters": sql.OP1, "op2_ngram_jaccard_join": sql.OP2, "op7_embedding_near_dedup": sql.OP7,
+       "op10_warc": sql.OP10}
