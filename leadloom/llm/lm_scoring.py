@@ -1,12 +1,13 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is read as its lower-cased words, one space between them and one end mark, so the model and the word-unigram
-base score the same events.  Every byte is a path of yes/no decisions in a Huffman tree of the training bytes.  Five
-predictors estimate each decision from counts under a hashed context: the last one, two and four bytes, the current word so
-far, and that with the word before it.  Their log odds are added with weights chosen by the decision's
-node in the tree (the gate).  The weights are learned online, decision by decision in small steps, on every sixteenth
-training document, which the context counts leave out; tasks' weights are averaged by use.  While a text is scored its own
-correction to the weights is refined after 256, 512, 1024, ... bytes from what it has shown so far.
+base score the same events.  Every byte is a path of yes/no decisions in the Huffman tree of the training bytes that
+follow the byte before it.  Three predictors estimate each decision from counts under a hashed context: the last four
+bytes, the current word so far, and that with the word before it.  Their log odds are added with weights
+chosen by a gate: the depth of the decision and the place in the word.  The weights are learned online, in small steps,
+on every sixteenth training document, which the context counts leave out; tasks' weights are averaged by
+use.  While a text is scored its own correction to the weights is refined after 256, 512, 1024, ... bytes from what it
+has shown so far.
 
 All counts cover all training documents.  The hashed tables have a fixed size (``BITS``), so their broadcast doesn't
 grow; words counted often are broadcast up to ``FREQUENT`` entries, all others are looked up by a join.
@@ -30,16 +31,19 @@ from leadloom.llm.words import SPACE, Words, _power, chunks, mix
 
 FOLDS = 10
 MIXING_FOLDS = 16
-#: Table sizes, as powers of two, of the contexts: one, two and four bytes, word, two words.
-BITS = (16, 19, 21, 21, 21)
+#: Table sizes, as powers of two, of the contexts: four bytes, word, two words.
+BITS = (21, 22, 22)
+GATES = 256
 FREQUENT = 500_000
 BLOCK = 4096
 #: Counts that a table slot starts with on either side.
 PRIOR = 0.4
 SEGMENT, LONGEST_SEGMENT = 256, 65_536
 STEP = 4096
-RATE, DAMPING, INERTIA = 0.02, 0.25, 20.0
-_CHUNK = 1 << 17
+#: Decisions that are gathered before they are counted.
+_GATHERED = 1 << 22
+RATE, DAMPING, INERTIA = 0.15, 0.3, 20.0
+_CHUNK = 1 << 18
 _UNIT = 256.0  # log odds are kept as 16-bit numbers in this unit
 _LIMIT = 14.0
 _END_TOKEN = np.int64(-1)
@@ -47,32 +51,45 @@ _U = np.uint64
 _TOP = [sum(1 << b for b in BITS[:k]) for k in range(len(BITS) + 1)]
 
 
+def _code(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Huffman code of all bytes, (node, bit) from the root down; the nodes of frequent bytes have small numbers."""
+    heap = [(int(c) * 256 + 1, b, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    above: dict[int, tuple[int, int]] = {}
+    for node in range(256, 511):
+        (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+        above[left], above[right] = (node, 0), (node, 1)
+        heapq.heappush(heap, (a + b, node, node))
+    paths = []
+    for byte in range(256):
+        path, at = [], byte
+        while at in above:
+            at, bit = above[at]
+            path.append((510 - at, bit))
+        paths.append(path[::-1])
+    return paths
+
+
 @dataclass
 class Tree:
-    """Huffman code of all 256 bytes: for each byte its decisions, one after the other in two flat arrays."""
+    """A Huffman code for each preceding byte: where the decisions of (before, byte) start in the flat arrays, and how many."""
 
     start: np.ndarray
     length: np.ndarray
     node: np.ndarray
+    depth: np.ndarray
     bit: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> "Tree":
-        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        below = {b: [b] for b in range(256)}
-        for node in range(255):
-            (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, child in enumerate((left, right)):
-                for byte in below[child]:
-                    paths[byte].append((254 - node, bit))
-            below[256 + node] = below.pop(left) + below.pop(right)
-            heapq.heappush(heap, (a + b, 256 + node, 256 + node))
+    def of(cls, pairs: np.ndarray) -> "Tree":
+        """From the counts of byte pairs; bytes that never come before share one code."""
+        pairs = pairs.reshape(256, 256)
+        rest = _code(pairs.sum(axis=0))
+        paths = [path for before in pairs for path in (_code(before) if before.any() else rest)]
         length = np.array([len(p) for p in paths])
-        flat = [step for p in paths for step in reversed(p)]
-        return cls(np.cumsum(length) - length, length, np.array([n for n, _ in flat], np.uint32),
-                   np.array([b for _, b in flat], np.uint8))
+        flat = np.array([(n, d, b) for p in paths for d, (n, b) in enumerate(p)])
+        return cls(np.cumsum(length) - length, length, flat[:, 0].astype(np.uint32),
+                   np.minimum(flat[:, 1], 15).astype(np.uint8), flat[:, 2].astype(np.uint8))
 
 
 class Stream:
@@ -96,18 +113,26 @@ class Stream:
         self.data[stop[last]] = 0x0A
         self.size = np.diff(stop[last], prepend=-1)
         self.first = np.cumsum(self.size) - self.size
-        self.row = np.repeat(np.arange(self.texts), self.size)
-        self.place = np.arange(n) - self.first[self.row]
-        self.contexts = self._contexts(unit_length, stop, units)
-
-    def _contexts(self, unit_length, stop, units) -> list[np.ndarray]:
+        self.before = np.empty(n, np.uint8)
+        self.before[1:] = self.data[:-1]
+        self.before[:1] = 0x0A
+        self._units = unit_length, stop, units
+
+    def pairs(self) -> np.ndarray:
+        """Each byte with the one before it, as a number."""
+        return self.before.astype(np.int64) << 8 | self.data
+
+    def prepare(self) -> "Stream":
+        """Context hashes and the place in the word, for predicting."""
+        unit_length, stop, units = self._units
         n = len(self.data)
+        place = np.arange(n) - np.repeat(self.first, self.size)
         before = []
         for k in range(1, 5):
-            shifted = np.full(n, 0x0A, np.uint64)
-            shifted[k:] = self.data[:-k] if k < n else shifted[k:]
-            shifted[self.place < k] = 0x0A
-            before.append(shifted)
+            shifted = np.full(n, 0x0A, np.uint32)
+            shifted[k:] = self.data[:max(n - k, 0)]
+            shifted[place < k] = 0x0A
+            before.append(shifted << np.uint32(8 * (k - 1)))
         begin = stop - unit_length + 1
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
@@ -118,26 +143,25 @@ class Stream:
             earlier[1:] = whole[:-1]
             earlier[np.cumsum(units) - units] = 0
             word = (sums[:-1] - np.repeat(sums[begin], unit_length)) * np.repeat(down[begin], unit_length)
-            one, two = before[0], before[0] | before[1] << _U(8)
-            four = two | before[2] << _U(16) | before[3] << _U(24)
-            made = [one, two, four, word, word + np.repeat(mix(earlier + _U(99)), unit_length)]
-            return [(mix(c + _U(k + 1)) >> _U(32)).astype(np.uint32) for k, c in enumerate(made)]
+            four = (before[0] | before[1] | before[2] | before[3]).astype(np.uint64)
+            made = [four, word, word + np.repeat(mix(earlier + _U(99)), unit_length)]
+            self.contexts = [(mix(c + _U(k + 1)) >> _U(64 - BITS[k])).astype(np.uint32) for k, c in enumerate(made)]
+        self.letters = np.minimum(np.arange(n) - np.repeat(begin, unit_length), 15).astype(np.uint8)
+        return self
 
     def decisions(self, tree: Tree, at: np.ndarray):
-        """Byte, node, bit and one table slot per context of every decision of the bytes at ``at``."""
-        byte = self.data[at]
-        length = tree.length[byte]
-        which = np.repeat(at, length)
+        """Number of decisions of each byte at ``at``; gate, bit and one table slot per context of each decision.
+
+        The decisions of one context lie side by side in its table, so they share a cache line.
+        """
+        pair = self.before[at].astype(np.int64) << 8 | self.data[at]
+        length = tree.length[pair]
         begin = np.cumsum(length) - length
-        flat = np.arange(len(which)) + np.repeat(tree.start[byte] - begin, length)
-        node, bit = tree.node[flat], tree.bit[flat]
-        turned = node * np.uint32(0x9E3779B1)
-        slots = []
-        for k, context in enumerate(self.contexts):
-            h = (context[which] ^ turned) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-            slots.append(((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS[k])))
-        return which, node, bit, slots
+        flat = np.arange(int(length.sum())) + np.repeat(tree.start[pair] - begin, length)
+        node = tree.node[flat]
+        gate = tree.depth[flat] << 4 | np.repeat(self.letters[at], length)
+        slots = [(np.repeat(c[at], length) + node) & np.uint32((1 << bits) - 1) for c, bits in zip(self.contexts, BITS)]
+        return length, gate, tree.bit[flat], slots
 
 
 def _windows(n: int, width: int = LONGEST_SEGMENT):
@@ -146,8 +170,8 @@ def _windows(n: int, width: int = LONGEST_SEGMENT):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of word hashes (kind 0) and of bytes (kind 1), summed in the task as far as memory allows."""
-    held, size, bytes_, ends = [], 0, np.zeros(256, np.int64), 0
+    """Counts of word hashes (kind 0) and of byte pairs (kind 1), summed in the task as far as memory allows."""
+    held, size, pairs, ends = [], 0, np.zeros(1 << 16, np.int64), 0
 
     def summed():
         value, place = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
@@ -159,14 +183,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for first, last, data, offsets in chunks(batch.column(0)):
-            words = Words(data, offsets, lower=True)
-            value, count = np.unique(words.hashes(), return_counts=True)
+            stream = Stream(data, offsets)
+            value, count = np.unique(stream.words.hashes(), return_counts=True)
             held.append((value.view(np.int64), count))
             size += len(value)
-            seen = np.bincount(words.data, minlength=256)
-            seen[SPACE] = 0
-            seen[0x20] = len(words.start)
-            bytes_ += seen
+            pairs += np.bincount(stream.pairs(), minlength=1 << 16)
             ends += last - first
             if size > 2_000_000:
                 held = [summed()]
@@ -174,8 +195,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size > 1_000_000:
                     yield out(0, *held[0])
                     held, size = [], 0
-    bytes_[0x0A] = ends
-    yield out(1, np.arange(256), bytes_)
+    met = np.flatnonzero(pairs)
+    yield out(1, met, pairs[met])
     if ends:
         yield out(0, np.array([_END_TOKEN]), np.array([ends]))
     if held:
@@ -187,13 +208,27 @@ def _context_counts(tree: Tree):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * _TOP[-1], np.int32)
+        gathered: list[list[np.ndarray]] = [[] for _ in BITS]
+        size = 0
+
+        def count():
+            for k, parts in enumerate(gathered):
+                if parts:
+                    counts[2 * _TOP[k]:2 * _TOP[k + 1]] += np.bincount(np.concatenate(parts), minlength=2 << BITS[k]).astype(np.int32)
+                parts.clear()
+
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), _CHUNK):
-                stream = Stream(data, offsets)
+                stream = Stream(data, offsets).prepare()
                 for at in _windows(len(stream.data)):
                     _, _, bit, slots = stream.decisions(tree, at)
                     for k, slot in enumerate(slots):
-                        np.add.at(counts[2 * _TOP[k]:2 * _TOP[k + 1]], 2 * slot + bit, 1)
+                        gathered[k].append(slot << np.uint32(1) | bit)
+                    size += len(bit)
+                    if size >= _GATHERED:
+                        count()
+                        size = 0
+        count()
         parts = []
         for block, part in enumerate(counts.reshape(-1, 2 * BLOCK)):
             filled = np.flatnonzero(part)
@@ -223,87 +258,103 @@ def _log_odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Mixer:
-    """Tree, log odds of all slots, and the weight of each context at each node."""
+    """Tree, log odds of all slots, and the weight of each context at each gate."""
 
     tree: Tree
     odds: np.ndarray
     weight: np.ndarray
 
-    def inputs(self, slots: list[np.ndarray]) -> np.ndarray:
-        return np.stack([self.odds[_TOP[k]:_TOP[k + 1]][slot] for k, slot in enumerate(slots)]).astype(np.float32) / np.float32(_UNIT)
+    def inputs(self, slots: list[np.ndarray]) -> list[np.ndarray]:
+        """Log odds of each decision under each context, in units of 1 / _UNIT."""
+        return [self.odds[_TOP[k]:_TOP[k + 1]][slot].astype(np.float32) for k, slot in enumerate(slots)]
 
     def learned(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Weights after online steps over the task's documents, times the node's decisions, and those decisions."""
-        weight, power, use = self.weight.astype(np.float64), np.full_like(self.weight, 1.0, np.float64), np.zeros(256)
+        """Weights after online steps over the task's documents, times the gate's decisions, and those decisions."""
+        weight, power, use = self.weight.astype(np.float64), np.ones(self.weight.shape), np.zeros(GATES)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), _CHUNK):
-                stream = Stream(data, offsets)
+                stream = Stream(data, offsets).prepare()
                 for at in _windows(len(stream.data)):
-                    _, node, bit, slots = stream.decisions(self.tree, at)
-                    x = self.inputs(slots)
-                    for i in range(0, len(node), STEP):
-                        gate, part = node[i:i + STEP], x[:, i:i + STEP]
+                    _, gates, bit, slots = stream.decisions(self.tree, at)
+                    x = np.stack(self.inputs(slots)) / _UNIT
+                    for i in range(0, len(gates), STEP):
+                        gate, part = gates[i:i + STEP], x[:, i:i + STEP]
                         z = np.clip((weight[:, gate] * part).sum(axis=0), -_LIMIT, _LIMIT)
                         wrong = bit[i:i + STEP] - 1 / (1 + np.exp(-z))
-                        use += np.bincount(gate, minlength=256)
+                        use += np.bincount(gate, minlength=GATES)
                         for k in range(len(BITS)):
-                            slope = np.bincount(gate, wrong * part[k], minlength=256)
+                            slope = np.bincount(gate, wrong * part[k], minlength=GATES)
                             power[k] += slope ** 2
-                            weight[k] += RATE * 8 * slope / np.sqrt(power[k])
+                            weight[k] += RATE * slope / np.sqrt(power[k])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.tile(np.arange(256, dtype=np.int32), len(BITS))), pa.array(np.repeat(np.arange(len(BITS), dtype=np.int32), 256)),
-             pa.array((weight * use).ravel()), pa.array(np.tile(use, len(BITS)))], ["node", "context", "weighted", "used"])
+            [pa.array(np.tile(np.arange(GATES, dtype=np.int32), len(BITS))),
+             pa.array(np.repeat(np.arange(len(BITS), dtype=np.int32), GATES)),
+             pa.array((weight * use).ravel()), pa.array(np.tile(use, len(BITS)))], ["gate", "context", "weighted", "used"])
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
         """Natural log probability and number of bytes of each text, its weights refined as it goes."""
-        stream = Stream(data, offsets)
+        stream = Stream(data, offsets).prepare()
+        weight = (self.weight / _UNIT).astype(np.float32)
         total = np.zeros(stream.texts)
         own = np.zeros((len(BITS), stream.texts), np.float32)
-        slope, curve = np.zeros_like(own, np.float64), np.full_like(own, INERTIA, np.float64)
+        curve = np.full(own.shape, INERTIA * _UNIT ** 2)
         start, width = 0, SEGMENT
         longest = int(stream.size.max()) if stream.texts else 0
         while start < longest:
             live = np.flatnonzero(stream.size > start)
-            length = np.minimum(stream.size[live] - start, width)
-            begin = np.cumsum(length) - length
-            at = np.arange(length.sum()) + np.repeat(stream.first[live] + start - begin, length)
-            for i in range(0, len(at), LONGEST_SEGMENT):
-                which, node, bit, slots = stream.decisions(self.tree, at[i:i + LONGEST_SEGMENT])
-                row = stream.row[which]
-                x = self.inputs(slots)
-                z = np.zeros(len(node), np.float32)
-                for k in range(len(BITS)):
-                    z += (self.weight[k][node] + own[k][row]) * x[k]
-                np.clip(z, -_LIMIT, _LIMIT, out=z)
-                small = np.exp(-np.abs(z))
-                total += np.bincount(row, np.minimum(np.where(bit, z, -z), 0) - np.log1p(small), minlength=stream.texts)
-                p = np.where(z >= 0, 1, small) / (1 + small)
-                wrong, spread = bit - p, p * (1 - p)
-                for k in range(len(BITS)):
-                    slope[k] += np.bincount(row, wrong * x[k], minlength=stream.texts)
-                    curve[k] += np.bincount(row, spread * x[k] * x[k], minlength=stream.texts)
-            own += (DAMPING * slope / curve).astype(np.float32)
-            slope[:] = 0
+            for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(np.minimum(stream.size[live] - start, width)) // LONGEST_SEGMENT)) + 1):
+                self._segment(stream, some, start, width, weight, own, curve, total)
             start, width = start + width, min(2 * width, LONGEST_SEGMENT)
         return total, stream.size, stream.words
 
-
-def train(known: DataFrame, byte_counts: np.ndarray) -> Mixer:
+    def _segment(self, stream: Stream, live, start: int, width: int, weight, own, curve, total) -> None:
+        """Score the bytes from ``start`` of the texts ``live``, and refine the weights of those that go on."""
+        size = np.minimum(stream.size[live] - start, width)
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(stream.first[live] + start - begin, size)
+        length, gate, bit, slots = stream.decisions(self.tree, at)
+        edges = np.add.reduceat(length, begin)
+        x = self.inputs(slots)
+        z = np.zeros(len(gate), np.float32)
+        for k in range(len(BITS)):
+            w = weight[k][gate]
+            if start:
+                w += np.repeat(own[k][live], edges)
+            w *= x[k]
+            z += w
+        np.clip(z, -_LIMIT, _LIMIT, out=z)
+        toward = np.where(bit, z, -z)  # log odds of what came
+        small = np.exp(-np.abs(z))
+        first = np.cumsum(edges) - edges
+        total[live] += np.add.reduceat(np.minimum(toward, 0) - np.log(1 + small), first, dtype=np.float64)
+        on = stream.size[live] > start + width
+        if not on.any():
+            return
+        p = np.where(z >= 0, 1, small) / (1 + small)
+        wrong = bit - p
+        spread = p * (1 - p)
+        for k in range(len(BITS)):
+            slope = np.add.reduceat(wrong * x[k], first, dtype=np.float64)
+            curve[k][live] += np.add.reduceat(spread * x[k] * x[k], first, dtype=np.float64)
+            own[k][live] += DAMPING * slope / curve[k][live]
+
+
+def train(known: DataFrame, pairs: np.ndarray) -> Mixer:
     """The mixer from the training texts (doc_id, text)."""
-    tree = Tree.of(byte_counts)
+    tree = Tree.of(pairs)
     mixing = F.pmod(F.xxhash64("doc_id"), F.lit(MIXING_FOLDS)) == 0
     blocks = (known.where(~mixing).select("text").mapInArrow(_context_counts(tree), "block int, places binary, counts binary")
               .repartition("block").mapInArrow(_log_odds, "block int, odds binary"))
     odds = np.zeros(_TOP[-1], np.int16)
     for r in blocks.collect():
         odds[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.odds, np.int16)
-    mixer = Mixer(tree, odds, np.full((len(BITS), 256), 0.3, np.float32))
+    mixer = Mixer(tree, odds, np.full((len(BITS), GATES), 0.3, np.float32))
     shared = known.sparkSession.sparkContext.broadcast(mixer)
     learned = (known.where(mixing).select("text")
-               .mapInArrow(lambda batches: shared.value.learned(batches), "node int, context int, weighted double, used double")
-               .groupBy("node", "context").agg(F.sum("weighted").alias("weighted"), F.sum("used").alias("used")))
+               .mapInArrow(lambda batches: shared.value.learned(batches), "gate int, context int, weighted double, used double")
+               .groupBy("gate", "context").agg(F.sum("weighted").alias("weighted"), F.sum("used").alias("used")))
     for r in learned.where("used > 0").collect():
-        mixer.weight[r.context, r.node] = round(r.weighted / r.used, 4)
+        mixer.weight[r.context, r.gate] = round(r.weighted / r.used, 4)
     return mixer
 
 
@@ -314,9 +365,9 @@ def lm_scoring(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     known = docs.where(fold(F.col("doc_id"), folds) != 0)
     counts = stored(known.select("text").mapInArrow(_tokens, "kind int, token long, n long")
                     .groupBy("kind", "token").agg(F.sum("n").alias("n")), "tokens")
-    byte_counts = np.zeros(256, np.int64)
+    pairs = np.zeros(1 << 16, np.int64)
     for r in counts.where("kind = 1").collect():
-        byte_counts[r.token] = r.n
+        pairs[r.token] = r.n
     tokens = counts.where("kind = 0")
     sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
     # The lowest power of two above which at most FREQUENT words are counted.
@@ -330,7 +381,7 @@ def lm_scoring(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     often = tokens.where(F.floor(F.log2("n")) >= power).select("token", "n").toArrow()
     token, n = (often[c].to_numpy() for c in ("token", "n"))
     order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], n[order], train(known, byte_counts)))
+    shared = spark.sparkContext.broadcast((token[order], n[order], train(known, pairs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, n, mixer = shared.value

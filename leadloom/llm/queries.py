@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from leadloom.llm import bpe, jaccard_join, packing, quality_rules, sql, toxicity, url_filters, vector_dedup, warc
+from leadloom.llm import (bpe, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, sql, toxicity, url_filters,
+                          vector_dedup, warc)
 from leadloom.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +22,14 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scoring(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_bpe_encoding(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -46,8 +55,8 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filters, op2_ngram_jaccard_join, op5_bpe_encoding, op6_packing, op7_embedding_near_dedup, op8_quality_rules,
-    op9_toxicity, op10_warc)}
+    op1_url_filters, op2_ngram_jaccard_join, op3_lm_scoring, op4_quality_classifier, op5_bpe_encoding, op6_packing,
+    op7_embedding_near_dedup, op8_quality_rules, op9_toxicity, op10_warc)}
 #: The others are learned models, tokenizer ids and packing, which SQL cannot express; tests/llm holds brute-force versions.
 SQL = {"op1_url_filters": sql.OP1, "op2_ngram_jaccard_join": sql.OP2, "op7_embedding_near_dedup": sql.OP7,
        "op10_warc": sql.OP10}
