@@ -6,6 +6,14 @@ from pyspark.sql import functions as F
 from leadloom.llm.tables import stored
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(hub, low): the smallest neighbour of each node a.
+
+    hub is worked out anew, so the join that follows shuffles both sides for itself and a hub's edges can be split.
+    """
+    return edges.groupBy("a").agg(F.min("b").alias("low")).select(F.expr("a ^ 0L").alias("hub"), "low")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b); component is the smallest node it is linked to.
 
@@ -21,13 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
-        large = (both.join(low, "a").where("b > a")
+        large = (both.join(_lowest(both), F.col("a") == F.col("hub")).where("b > a")
                  .select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(low, "a")
-        small = (joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-                 .union(low.select("a", F.col("low").alias("b"))).distinct())
+        low = _lowest(large)
+        small = (large.join(low, F.col("a") == F.col("hub")).where("b <> low")
+                 .select(F.col("b").alias("a"), F.col("low").alias("b"))
+                 .union(low.select(F.col("hub").alias("a"), F.col("low").alias("b"))).distinct())
         now = stored(small, "edges")
         # A checksum that doesn't depend on order tells whether the stars have changed.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
