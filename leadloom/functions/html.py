@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from leadloom.functions.text import WS, collapse, strip
 
 MARK = "\u0001"  # stands where a tag or a removed element was
-ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A quote opens a value only right after "="; anywhere else it is an ordinary character.
+ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])))*+"""
 TAG = rf"<[!?/a-zA-Z]{ATTRS}>"
 CODE = (r"(?is)<(?:!--.*?(?:-->|\z)"
         rf"|(script|style|template)(?=[\s/>]){ATTRS}>.*?(?:</\1\s*+>|\z))")
@@ -21,8 +22,8 @@ _ELEMENT = r"(?is)<({names})(?=[\s/>])" + ATTRS + r"(?<!/)>.*?</\1\s*+>"
 NOSCRIPT_SVG = _ELEMENT.format(names="noscript|svg")
 IFRAME = _ELEMENT.format(names="iframe")
 
-_SKIP_ATTR = r"""(?:(?!{name}[\s=>/]|{name}$)[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+[\s/]*+)*+"""
-_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_SKIP_ATTR = r"""(?:(?!{name}[\s=>/]|{name}$)[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+[\s/]*+)*+"""
+_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
 _HIDDEN_ATTR = (
     r"""(?i:\sstyle\s*=\s*(?:"[^">]*?display *: *none[^"]*"|'[^'>]*?display *: *none[^']*'|display:none[^\s>]*))"""
     r"""|\s(?i:aria-hidden)\s*=\s*(?:"true"|'true'|true(?=[\s>]))""")
@@ -30,6 +31,10 @@ HIDDEN_OPEN = rf"""(?s)^<[a-zA-Z](?=[^>]*?(?:{_HIDDEN_ATTR}))"""
 HIDDEN_ANY = rf"""(?s)<[a-zA-Z](?=[^>]*?(?:{_HIDDEN_ATTR}))"""
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
         "track", "wbr"]
+# What HTML ends without a close tag.
+ENDS_PARAGRAPH = ["address", "article", "aside", "blockquote", "center", "div", "dl", "fieldset", "footer", "form", "h1", "h2",
+                  "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"]
+SIBLINGS = [["li"], ["dt", "dd"], ["option"], ["tr"], ["td", "th"]]
 
 
 def drop_code(html: Column) -> Column:
@@ -47,46 +52,56 @@ def drop_iframe(c: Column, low: Column) -> Column:
     return F.when(low.contains("<iframe"), F.regexp_replace(c, IFRAME, MARK)).otherwise(c)
 
 
-def drop_hidden(c: Column, low: Column) -> Column:
-    """Without elements hidden by an inline style or ``aria-hidden="true"``.
+def hidden_tokens(c: Column, low: Column) -> Column:
+    """Tags and texts in order, of pages that may have a hidden element; null for all others (most)."""
+    maybe = low.contains("display") | low.contains("aria-hidden")
+    return F.when(maybe & c.rlike(HIDDEN_ANY), F.regexp_extract_all(c, F.lit(rf"(?s){TAG}|[^<]++|<"), F.lit(0)))
+
+
+def token_kinds(tokens: str) -> Column:
+    """For each token of a stored array: lower-case tag name, kind (1 opens, 2 closes, 0 neither) and whether it hides."""
+    def kind(t):
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
+        alone = t.endswith("/>") | name.isin(VOID)
+        return F.when(~t.startswith("<") | (name == ""), F.struct(F.lit("").alias("tag"), F.lit(0).alias("kind"), F.lit(False).alias("hides"))).otherwise(
+            F.struct(name.alias("tag"), F.when(t.startswith("</"), 2).when(alone, 0).otherwise(1).alias("kind"),
+                     (~alone & t.rlike(HIDDEN_OPEN)).alias("hides")))
+    return F.transform(tokens, kind)
 
-    Pages with such an element (few) are cut into tags and text and folded once,
-    counting open and close tags of the hidden element's name, so nested elements
-    of the same name are handled.  Only the bounds of the kept stretches are
-    stored; an element that is never closed is kept.
+
+def shown_spans(kinds: str) -> Column:
+    """(first token, number of tokens) of the stretches outside elements hidden by an inline style or ``aria-hidden="true"``.
+
+    One pass over a stored array with the names of the open elements.  An element ends at its close tag, at that of
+    an element around it, or where HTML ends it without one (a paragraph before a block, an item before the next).
     """
-    tokens = F.regexp_extract_all(c, F.lit(rf"(?s){TAG}|[^<]++|<"), F.lit(0))
-    tag_name = lambda t: F.lower(F.regexp_extract(t, r"^<(/?[a-zA-Z][a-zA-Z0-9:-]*)", 1))
-    no_spans = F.expr("cast(array() as array<struct<a:int,n:int>>)")
-    state = F.struct(F.lit(1).alias("i"), F.lit(1).alias("start"), F.lit("").alias("name"),
-                     F.lit(0).alias("depth"), no_spans.alias("spans"))
-
-    def step(s, t):
-        name = tag_name(t)
-        outside = s["depth"] == 0
-        opens = (outside & t.startswith("<") & ~t.endswith("/>") & t.rlike(HIDDEN_OPEN)
-                 & ~name.isin(VOID))
-        depth = (F.when(outside, F.when(opens, 1).otherwise(0))
-                 .when(~t.startswith("<"), s["depth"])
-                 .when((name == s["name"]) & ~t.endswith("/>"), s["depth"] + 1)
-                 .when(name == F.concat(F.lit("/"), s["name"]), s["depth"] - 1)
-                 .otherwise(s["depth"]))
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(opens, s["i"]).when((s["depth"] == 1) & (depth == 0), s["i"] + 1)
-            .otherwise(s["start"]).alias("start"),
-            F.when(opens, name).otherwise(s["name"]).alias("name"),
-            depth.alias("depth"),
-            F.when(opens, F.concat(s["spans"], F.array(F.struct(
-                s["start"].alias("a"), (s["i"] - s["start"]).alias("n")))))
-            .otherwise(s["spans"]).alias("spans"))
-
-    spans = F.aggregate(tokens, state, step, lambda s: F.concat(s["spans"], F.array(F.struct(
-        s["start"].alias("a"), (s["i"] - s["start"]).alias("n")))))
-    kept = F.array_join(F.transform(
-        spans, lambda p: F.array_join(F.slice(tokens, p["a"], p["n"]), "")), MARK)
-    maybe = low.contains("display") | low.contains("aria-hidden")
-    return F.when(maybe & c.rlike(HIDDEN_ANY), kept).otherwise(c)
+    names = lambda words: ", ".join(f"'{w}'" for w in words)
+    top = "s.stack[size(s.stack) - 1]"
+    implied = (f"(size(s.stack) > 0 and (({top} = 'p' and k.tag in ({names(ENDS_PARAGRAPH)}))"
+               + "".join(f" or ({top} in ({names(g)}) and k.tag in ({names(g)}))" for g in SIBLINGS) + "))")
+    popped = f"""case when k.kind = 1 and {implied} then 1 when k.kind = 2
+        then cast(array_position(reverse(s.stack), k.tag) as int) else 0 end"""
+    left = f"(size(s.stack) - {popped})"
+    # ``at`` is the place of the hidden element among the open ones, 0 outside.
+    ended = f"(s.at > 0 and {left} < s.at)"
+    start = f"if({ended}, if(k.kind = 1, s.i, s.i + 1), s.start)"
+    hides = f"(k.hides and (s.at = 0 or {ended}))"
+    # Only the stack is small: the spans are carried as they are and grow by hidden elements alone.
+    step = f"""named_struct('i', s.i + 1, 'start', {start},
+        'at', case when {hides} then {left} + 1 when {ended} then 0 else s.at end,
+        'stack', case k.kind when 0 then s.stack when 1 then concat(slice(s.stack, 1, {left}), array(k.tag))
+            else slice(s.stack, 1, {left}) end,
+        'spans', if({hides}, concat(s.spans, array(named_struct('a', {start}, 'n', s.i - {start}))), s.spans))"""
+    begin = """named_struct('i', 1, 'start', 1, 'at', 0, 'stack', cast(array() as array<string>),
+        'spans', cast(array() as array<struct<a:int,n:int>>))"""
+    return F.expr(f"""aggregate({kinds}, {begin}, (s, k) -> {step}, s -> if(s.at > 0, s.spans,
+        concat(s.spans, array(named_struct('a', s.start, 'n', s.i - s.start)))))""")
+
+
+def shown(c: Column, tokens: str, spans: str) -> Column:
+    """The page without hidden elements; ``c`` itself where nothing is hidden."""
+    kept = F.array_join(F.transform(spans, lambda p: F.array_join(F.slice(tokens, p["a"], p["n"]), "")), MARK)
+    return F.coalesce(kept, c)
 
 
 def tags_to_marks(c: Column) -> Column:
@@ -113,7 +128,7 @@ def attribute(attrs: Column, name: str) -> Column:
     """
     v = F.regexp_extract(
         attrs, rf"(?is)^[\s/]*+{_SKIP_ATTR.format(name=name)}{name}\s*+=\s*+{_VALUE}", 1)
-    return F.regexp_replace(v, r"""^["']|["']$""", "")
+    return F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def has_attribute(attrs: Column, name: str) -> Column:

@@ -1,70 +1,29 @@
-"""Joins and numbering that stay balanced when one key holds much of the data."""
+"""Numbering that stays balanced whatever the ids look like."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 4096       # a key is hot with over 1/4096 of the rows ...
-HOT_ROWS = 1000        # ... and over this many rows: fewer are never a problem
-FEW_KEYS = 100_000     # key lists up to this size may be broadcast ...
-KEY_CHARS = 2048       # ... if no key is longer than this
-BLOCK = 1 << 16
+from leadloom.session import stored
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Hot keys and the number of parts (``salts``) their rows are spread over.
+def numbered_spans(df: DataFrame, order: str, size: Column, after: Column, name: str = "first_id") -> DataFrame:
+    """Adds ``name``: each row takes ``size`` consecutive ids after ``after``, in the order of a unique column.
 
-    Fewer than ``HOT_SHARE`` keys can be hot.  A part holds about 1/``HOT_SHARE`` of
-    all rows, so the salts of all hot keys together number less than twice that.
-    Counts are combined before the shuffle: the hot key itself costs nothing.
+    Rows are dealt out by ranges of the order column and stored with their partition's number, for a range
+    partition is drawn from a sample.  They are summed inside partitions; only one total per partition meets in a
+    single task, whatever the ids look like.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n"))
-    share = F.ceil(F.col("_n") * HOT_SHARE / total.scalar())
-    return counts.where(F.col("_n") > HOT_ROWS).select(key, share.alias("salts")).where("salts > 1")
-
-
-def skewed_left_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """``many`` left join ``one`` on ``key`` where some keys are hot in ``many``.
-
-    Rows of a hot key get a random-like salt, and the matching rows of ``one`` are
-    repeated once per salt.  Rows without a key match nothing and are spread too.
-    The broadcast list of hot keys is bounded by ``HOT_SHARE``.
-    """
-    hot = F.broadcast(hot_keys(many, key))
-    mixed = F.xxhash64(*[c for c in many.columns if c != key] or [key])
-    salts = F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce("salts", F.lit(1)))
-    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(mixed, salts)).drop("salts")
-    right = one.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
-
-
-def narrowed(df: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``value`` is in the one column of ``keys``, if these are few.
-
-    A small batch of leads then parses only its own pages.  The broadcast happens
-    behind a check of number and length; with more keys ``df`` comes back whole,
-    which is right too, as the joins that follow pick the rows they need.
-    """
-    distinct = keys.toDF("_key").where("_key is not null").distinct()
-    size = distinct.limit(FEW_KEYS + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("_key")).alias("chars")).first()
-    if size.n > FEW_KEYS or (size.chars or 0) > KEY_CHARS:
-        return df
-    return df.join(F.broadcast(distinct), value == F.col("_key"), "left_semi")
-
-
-def numbered(df: DataFrame, order: str, name: str, after: Column, block: int = BLOCK) -> DataFrame:
-    """Consecutive numbers following ``after`` in the order of a unique integer column.
-
-    Rows are numbered inside blocks of the order column, which hold at most
-    ``block`` rows each; only the one-row-per-block counts meet in one task.
-    """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
-    counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_block").orderBy(order)
-    return (blocked.withColumn("_rank", F.row_number().over(inside))
-            .join(offsets, "_block")
-            .withColumn(name, (after + F.col("_before") + F.col("_rank")).cast("long"))
-            .drop("_block", "_rank", "_before"))
+    dealt = stored(df.withColumn("_size", size).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(F.sum("_size").alias("_total"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+            .join(F.broadcast(offsets), "_part")  # a row per partition
+            .withColumn(name, (after + F.col("_before") + F.col("_inside") + 1).cast("long"))
+            .drop("_part", "_inside", "_before", "_size"))
+
+
+def numbered(df: DataFrame, order: str, name: str, after: Column) -> DataFrame:
+    """Consecutive numbers following ``after`` in the order of a unique column."""
+    return numbered_spans(df, order, F.lit(1), after, name)

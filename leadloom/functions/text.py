@@ -11,6 +11,7 @@ from leadloom.functions import vocab
 # Python's idea of white space: Unicode White_Space plus the four separators.
 WS = r"\s\x1c-\x1f"
 SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+WINDOWS_1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 ENTITY = r"&#?[A-Za-z0-9]++;"
 
 
@@ -64,10 +65,12 @@ def detect_groups(c: str, groups: dict) -> Column:
 def _decode_sql(c: str) -> str:
     # The JSON text is foldable, so the optimizer turns it into one literal map.
     table = json.dumps(vocab.ENTITIES).replace("'", "\\u0027")
-    hexa, digits = "lower(substr(e, 3, 1)) = 'x'", "regexp_extract(e, '^&#[xX]?([0-9A-Fa-f]+);$', 1)"
+    # Leading zeros don't count; 128 to 159 stand for the signs of Windows-1252, as in HTML.
+    hexa, digits = "lower(substr(e, 3, 1)) = 'x'", "regexp_extract(e, '^&#[xX]?0*([0-9A-Fa-f]*);$', 1)"
     code = f"if({hexa}, try_cast(conv({digits}, 16, 10) as int), try_cast({digits} as int))"
     char = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
-    number = f"""case when {digits} = '' then e when length({digits}) > 8 then e
+    number = f"""case when not e rlike '^&#([0-9]+|[xX][0-9A-Fa-f]+);$' then e when length({digits}) > 8 then '\ufffd'
+        when {code} between 128 and 159 then substr('{WINDOWS_1252}', {code} - 127, 1)
         when {code} between 1 and 55295 or {code} between 57344 and 1114111 then {char} else '\ufffd' end"""
     one = (f"case when e is null then '' when startswith(e, '&#') then {number} "
            f"else coalesce(try_element_at(from_json(r'{table}', 'map<string,string>'), e), e) end")

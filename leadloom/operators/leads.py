@@ -1,9 +1,9 @@
 """Lead intake and state: queueing links, manual pages, folding events, final status."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.skew import numbered
+from leadloom.functions.skew import numbered, numbered_spans
 from leadloom.functions.text import is_blank, strip
 from leadloom.operators import pages
 from leadloom.session import stored
@@ -25,23 +25,6 @@ def intake(link_lists: DataFrame, last_id: Column) -> DataFrame:
         F.lit("").alias("company_name"), F.lit("").alias("location"))
 
 
-def numbered_spans(df: DataFrame, order: str, size: Column, after: Column, block: int = 1 << 16) -> DataFrame:
-    """Adds ``first_id``: each row takes ``size`` consecutive ids, in the order of a unique column.
-
-    Rows are summed inside blocks of the order column (at most ``block`` rows each);
-    only one total per block meets in a single task.
-    """
-    blocked = df.withColumn("_size", size).withColumn("_block", F.floor(F.col(order) / block))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocked.groupBy("_block").agg(F.sum("_size").alias("_total")).select(
-        "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (blocked.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-            .join(offsets, "_block")
-            .withColumn("first_id", (after + F.col("_before") + F.col("_inside") + 1).cast("long"))
-            .drop("_block", "_inside", "_before", "_size"))
-
-
 def final_status(emails: Column, phones: Column) -> Column:
     """MISSING_DATA when both contact lists are empty."""
     return F.when((F.size(emails) == 0) & (F.size(phones) == 0), "MISSING_DATA").otherwise("COMPLETED")
@@ -69,12 +52,14 @@ def manual_upsert(submitted: DataFrame, leads: DataFrame, last_id: Column) -> Da
     website the last one counts; new ids follow the order of first arrival.
     """
     c = F.col
-    good = (submitted.withColumn("website", strip(c("url")))
+    good = (submitted.select("seq", strip(c("url")).alias("website"), "html")
             .where((c("website") != "") & ~is_blank(c("html"))))
-    per_site = good.groupBy("website").agg(F.max_by("html", "seq").alias("html"), F.min("seq").alias("first_seq"))
-    parsed = pages.parse(per_site.withColumn("url", c("website")), pages.emails, pages.phones).select(
-        "website", "first_seq", "emails", "phones", c("text").alias("body_text"))
-    parsed = parsed.withColumn("status", final_status("emails", "phones"))
+    # Which page counts is found by seq alone, so neither html nor text of the others is moved or kept.
+    last = good.groupBy("website").agg(F.max("seq").alias("seq"), F.min("seq").alias("first_seq"))
+    counted = good.join(last.select("seq"), "seq", "left_semi")
+    parsed = pages.parse(counted.withColumn("url", c("website")), pages.emails, pages.phones).select(
+        "website", "seq", "emails", "phones", c("text").alias("body_text"))
+    parsed = parsed.join(last, ["website", "seq"]).drop("seq").withColumn("status", final_status("emails", "phones"))
     known = latest_by_website(leads.select("lead_id", "website", "company_name", "location", "source_url"))
     # Stored: the parsed pages feed updates, inserts and the numbering of inserts.
     matched = stored(parsed.join(known, "website", "left"), "manual-pages")

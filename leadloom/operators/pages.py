@@ -30,7 +30,10 @@ def text_layers(df: DataFrame) -> DataFrame:
         .withColumns({"_framed": html.drop_iframe(c("_plain"), c("_low")),
                       "_less_marks": F.when(c("_plain") != c("_base"), html.tags_to_marks(c("_plain"))),
                       "_raw": decode_entities("_raw_marks")})
-        .withColumns({"_shown": html.drop_hidden(c("_framed"), c("_low")), "raw_text": html.joined_text(c("_raw")),
+        .withColumn("_tokens", html.hidden_tokens(c("_framed"), c("_low")))
+        .withColumn("_kinds", html.token_kinds("_tokens"))
+        .withColumn("_spans", html.shown_spans("_kinds"))
+        .withColumns({"_shown": html.shown(c("_framed"), "_tokens", "_spans"), "raw_text": html.joined_text(c("_raw")),
                       "plain_text": html.flat_text(F.coalesce(decode_entities("_less_marks"), c("_raw")))})
         .withColumn("_least_marks", F.when(c("_shown") != c("_plain"), html.tags_to_marks(c("_shown"))))
         .withColumn("text", F.coalesce(html.flat_text(decode_entities("_least_marks")), c("plain_text"))))

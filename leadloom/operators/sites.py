@@ -2,7 +2,10 @@
 
 ``captures`` are page fetches: page_id, url, html, channel ('http' or 'browser').
 Which subpages a page leads to depends on that page alone, so it is worked out in
-the page job; joins then move parsed columns only, never html.
+the page job.  The site steps read parsed captures only; no html reaches them.
+
+Joins have one row per key on their right side, read from a table or through an exchange of its own, so adaptive
+execution can split a key that is hot on the left.
 """
 
 from functools import reduce
@@ -12,7 +15,6 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import urls, vocab
 from leadloom.functions.html import raw_values
-from leadloom.functions.skew import skewed_left_join
 from leadloom.functions.text import collapse, decode_all, strip
 from leadloom.operators import pages
 from leadloom.session import stored
@@ -49,7 +51,7 @@ def with_subpages(df: DataFrame) -> DataFrame:
 
 
 def parsed_captures(captures: DataFrame) -> DataFrame:
-    """url, channel, page_id, usable, subpages and the payload that goes into a site.
+    """url, channel, page_id, usable, subpages and the payload that goes into a site; row-local.
 
     A site keeps the first 15,000 characters of its joined text, so no page needs
     to carry more than that.
@@ -61,19 +63,27 @@ def parsed_captures(captures: DataFrame) -> DataFrame:
                  F.struct(*pages.FEATURE_COLUMNS).alias("features")).alias("page"))
 
 
-def home_pages(websites: DataFrame, parsed: DataFrame) -> DataFrame:
+def latest_captures(parsed: DataFrame) -> DataFrame:
+    """One parsed capture per url and channel: over HTTP the last usable one if there is any, else the last.
+
+    The choice is made on ids alone; the payload follows by a join whose key holds the id, so a page captured
+    millions of times is no hot key.
+    """
+    usable = F.when((F.col("channel") == "browser") | F.col("usable"), F.col("page_id"))
+    chosen = parsed.groupBy("url", "channel").agg(F.coalesce(F.max(usable), F.max("page_id")).alias("page_id"))
+    return parsed.join(chosen, ["url", "channel", "page_id"], "left_semi")
+
+
+def home_pages(websites: DataFrame, latest: DataFrame) -> DataFrame:
     """website, mode and the subpages its home page leads to, per distinct website.
 
-    mode: http when the HTTP page is usable, else browser when there is a capture,
-    else none.  ``websites`` are distinct, so no key is hot in this join.
+    mode: http when the HTTP page is usable, else browser when there is a capture, else none.
     """
-    latest = lambda cond: F.max_by("subpages", F.when(cond, F.col("page_id")))
-    http_ok = (F.col("channel") == "http") & F.col("usable")
-    in_browser = F.col("channel") == "browser"
-    light = parsed.select(F.col("url").alias("website"), "channel", "page_id", "usable", "subpages")
+    http_ok, in_browser = (F.col("channel") == "http") & F.col("usable"), F.col("channel") == "browser"
+    light = latest.select(F.col("url").alias("website"), "channel", "usable", "subpages")
     found = websites.join(light, "website", "left").groupBy("website").agg(
-        latest(http_ok).alias("http"), F.max(http_ok).alias("has_http"),
-        latest(in_browser).alias("browser"), F.max(in_browser).alias("has_browser"))
+        F.any_value(F.when(http_ok, F.col("subpages")), True).alias("http"), F.max(http_ok).alias("has_http"),
+        F.any_value(F.when(in_browser, F.col("subpages")), True).alias("browser"), F.max(in_browser).alias("has_browser"))
     return found.select(
         "website",
         F.when(F.col("has_http"), "http").when(F.col("has_browser"), "browser").otherwise("none").alias("mode"),
@@ -86,22 +96,21 @@ def requested_pages(homes: DataFrame) -> DataFrame:
     return homes.select("website", "mode", F.posexplode(urls_wanted).alias("rank", "url"))
 
 
-def fetched(requests: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Requests left join captures; a page very many sites link to may be hot."""
-    return skewed_left_join(requests, parsed.drop("subpages", "blank"), "url")
+def fetched(requests: DataFrame, latest: DataFrame) -> DataFrame:
+    """Requests left join the captures that count."""
+    return requests.join(latest.drop("subpages", "blank"), "url", "left")
 
 
-def merged_sites(requests: DataFrame, parsed: DataFrame, use_browser: bool = True) -> DataFrame:
+def merged_sites(requests: DataFrame, latest: DataFrame, use_browser: bool = True) -> DataFrame:
     """One row per website: method, text, emails, phones, pages, page_details.
 
-    At most four page rows per site go through the merge; repeated captures of a
-    page fold to the latest before the shuffle.
+    At most four requests with two captures each go into a site.
     """
     c = F.col
-    rows = fetched(requests, parsed)
+    rows = fetched(requests, latest)
 
     def at(rank, channel, extra=F.lit(True)):
-        return F.max_by("page", F.when((c("rank") == rank) & (c("channel") == channel) & extra, c("page_id")))
+        return F.any_value(F.when((c("rank") == rank) & (c("channel") == channel) & extra, c("page")), True)
 
     folded = rows.groupBy("website").agg(
         F.first("mode").alias("mode"),
@@ -135,24 +144,20 @@ def merged_sites(requests: DataFrame, parsed: DataFrame, use_browser: bool = Tru
             F.substring(p["text"], 1, vocab.PREVIEW_CHARS).alias("text_preview"))).alias("page_details"))
 
 
-def site_tables(websites: DataFrame, captures: DataFrame, use_browser: bool = True):
-    """(requests, parsed captures) of the distinct, non-null ``websites.website``.
-
-    Both are written once: the parsed pages because parsing is the dear step and two
-    joins read them, the small request table because its join feeds the skew check too.
-    """
+def site_tables(websites: DataFrame, parsed: DataFrame, use_browser: bool = True):
+    """(requests, captures that count) of the distinct, non-null ``websites.website``; both are written once."""
     if not use_browser:
-        captures = captures.where("channel = 'http'")
+        parsed = parsed.where("channel = 'http'")
     # An empty browser capture cannot be parsed: it counts as missing.
-    parsed = stored(parsed_captures(captures), "parsed-captures").where("channel = 'http' or not blank")
+    latest = stored(latest_captures(parsed.where("channel = 'http' or not blank")), "latest-captures")
     distinct = websites.select("website").where("website is not null").distinct()
-    return stored(requested_pages(home_pages(distinct, parsed)), "page-requests"), parsed
+    return stored(requested_pages(home_pages(distinct, latest)), "page-requests"), latest
 
 
-def assemble(websites: DataFrame, captures: DataFrame, use_browser: bool = True) -> DataFrame:
-    """Merged site rows for the distinct, non-null values of ``websites.website``."""
-    requests, parsed = site_tables(websites, captures, use_browser)
-    return merged_sites(requests, parsed, use_browser)
+def assemble(websites: DataFrame, parsed: DataFrame, use_browser: bool = True) -> DataFrame:
+    """Merged site rows for the distinct, non-null values of ``websites.website``, from parsed captures."""
+    requests, latest = site_tables(websites, parsed, use_browser)
+    return merged_sites(requests, latest, use_browser)
 
 
 # --- from a source page to the official website ------------------------------
@@ -195,16 +200,19 @@ def official_links(source_pages: DataFrame) -> DataFrame:
             F.get(F.filter("_out", p), 0)["href"] for p in patterns]).alias("official")))
 
 
-def with_website(leads: DataFrame, source_pages: DataFrame) -> DataFrame:
+def with_website(leads: DataFrame, links: DataFrame) -> DataFrame:
     """Adds ``website`` to leads: UNSCRAPABLE, the official link, the source itself or NOT_FOUND.
 
-    Many leads can name the same source page.
+    ``links`` are ``official_links`` rows; the last page of an address counts, found by its id alone.  Many leads can
+    name the same source page.
     """
     c = F.col
-    links = (official_links(source_pages).groupBy(c("url").alias("source_url"))
-             .agg(F.max_by("official", "page_id").alias("official")))
+    last = links.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    one = links.join(last, ["url", "page_id"], "left_semi").dropDuplicates(["url"]).where("official is not null")
+    # The key is worked out anew, so the join has an exchange of its own on either side.
+    one = one.select(F.concat("url", F.lit("")).alias("source_url"), "official")
     is_http = c("source_url").startswith("http://") | c("source_url").startswith("https://")
-    return skewed_left_join(leads, links, "source_url").withColumn("website", (
+    return leads.join(one, "source_url", "left").withColumn("website", (
         F.when(~F.coalesce(is_http, F.lit(False)), "NOT_FOUND")
         .when(is_directory(c("source_url")), "UNSCRAPABLE")
         .otherwise(F.coalesce("official", "source_url")))).drop("official")

@@ -1,13 +1,15 @@
 """The whole lead job: leads and page captures in, finished leads out."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import urls
-from leadloom.functions.skew import narrowed, skewed_left_join
 from leadloom.operators import analysis, leads as lead_ops, opportunities, sites
 from leadloom.session import stored
 
+#: Parts of the parsed tables.
+BUCKETS = 64
+
 
 def analysed_sites(site_rows: DataFrame) -> DataFrame:
     """Analysis, opportunities and score of merged sites, written once.
@@ -22,19 +24,48 @@ def analysed_sites(site_rows: DataFrame) -> DataFrame:
         analysis.intelligence().alias("business_intelligence")), "analysed-sites")
 
 
-def enrich(leads: DataFrame, source_pages: DataFrame, captures: DataFrame, use_browser: bool = True) -> DataFrame:
+def parsed_sources(source_pages: DataFrame) -> DataFrame:
+    """What the lead job reads of source pages: url, page_id, official link, bucket.  Row-local, no shuffle."""
+    return sites.official_links(source_pages).withColumn("bucket", bucket(F.col("url")))
+
+
+def parsed_captures(captures: DataFrame) -> DataFrame:
+    """What the lead job reads of page captures (page_id, url, html, channel), and the bucket.  Row-local, no shuffle."""
+    return sites.parsed_captures(captures).withColumn("bucket", bucket(F.col("url")))
+
+
+def bucket(url: Column) -> Column:
+    """Pages of a site share a bucket: a hash of the site's domain."""
+    return F.pmod(F.xxhash64(urls.site_domain(url)), F.lit(BUCKETS)).cast("int")
+
+
+def append_parsed(parsed: DataFrame, path: str) -> None:
+    """Add newly parsed pages to a table that is partitioned by bucket."""
+    parsed.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def wanted(parsed: DataFrame, url: Column, keys: DataFrame) -> DataFrame:
+    """The rows of a parsed table whose ``url`` value is among the one column of ``keys``.
+
+    A bucketed table is read only in the buckets of the keys where these are few enough for Spark to prune by.
+    """
+    keys = keys.toDF("_key").where("_key is not null").distinct().withColumn("_bucket", bucket(F.col("_key")))
+    return parsed.join(keys, (F.col("bucket") == F.col("_bucket")) & (url == F.col("_key")), "left_semi").drop("bucket")
+
+
+def enrich(leads: DataFrame, links: DataFrame, captures: DataFrame, use_browser: bool = True) -> DataFrame:
     """One finished row per lead (lead_id, company_name, location, source_url).
 
-    Each distinct website is read and analysed once, however many leads share it;
-    the result is then joined back to the leads.  A small batch parses only the pages
-    its leads name: sources by address, captures by domain (subpages never leave it).
+    ``links`` and ``captures`` are the parsed tables: html is parsed once, when it arrives, and never here.  Each
+    distinct website is read and analysed once, however many leads share it; the result is then joined
+    back to the leads.  Sources are picked by address, captures by the sites' domains (subpages never leave them).
     """
     c = F.col
-    sources = narrowed(source_pages, c("url"), leads.select("source_url"))
-    located = stored(sites.with_website(leads, sources), "located-leads")
-    near = narrowed(captures, urls.site_domain(c("url")), located.select(urls.site_domain(c("website"))))
+    located = stored(sites.with_website(leads, wanted(links, c("url"), leads.select("source_url"))), "located-leads")
+    domain = lambda u: F.concat(F.lit("//"), urls.site_domain(u))  # noqa: E731  an address of the domain itself
+    near = wanted(captures, domain(c("url")), located.select(domain(c("website"))))
     found = analysed_sites(sites.assemble(located, near, use_browser))
-    done = skewed_left_join(located, found, "website")
+    done = located.join(found, "website", "left")
     # A lead without a website is finished with empty data; it never reads pages.
     failed = (c("website") != "NOT_FOUND") & (c("method") == "failed")
     kept = [n for n in found.columns if n not in ("website", "method")]

@@ -10,7 +10,7 @@ from leadloom.functions import contacts, urls, vocab
 from leadloom.functions.text import exploded_rows
 from leadloom.operators import analysis, dashboard, leads, opportunities, pages, reports, sites
 from leadloom.plans import enrichment
-from leadloom.session import new_path
+from leadloom.session import new_path, stored
 from leadloom.sources import seeding, tables
 from leadloom.streaming import jobs
 
@@ -51,8 +51,9 @@ def _(spark, d):
 
 
 def _manual(spark, d) -> DataFrame:
-    located = sites.with_website(seeding.new_leads(spark, d), seeding.seeded_pages(spark, d))
-    last = located.agg(F.max("lead_id").alias("m")).scalar()
+    new = seeding.new_leads(spark, d)
+    located = sites.with_website(new, _links(spark, d))
+    last = new.agg(F.max("lead_id").alias("m")).scalar()
     return leads.manual_upsert(seeding.manual_pages(spark, d), located, last)
 
 
@@ -181,8 +182,31 @@ def _websites(spark, d) -> DataFrame:
     return seeding.new_leads(spark, d).select(F.col("source_url").alias("website"))
 
 
+#: Tests share the parsed tables between queries, by session and folder; elsewhere every query parses for itself.
+SHARED: dict | None = None
+
+
+def _once(spark, d, name, make) -> DataFrame:
+    if SHARED is None:
+        return stored(make(), name)
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in SHARED:
+        SHARED[key] = stored(make(), name)
+    return SHARED[key]
+
+
+def _links(spark, d) -> DataFrame:
+    """The parsed source pages."""
+    return _once(spark, d, "parsed-sources", lambda: enrichment.parsed_sources(seeding.seeded_pages(spark, d)))
+
+
+def _parsed(spark, d) -> DataFrame:
+    """The parsed captures."""
+    return _once(spark, d, "parsed-captures", lambda: enrichment.parsed_captures(seeding.captures(spark, d)))
+
+
 def _sites(spark, d, use_browser=True) -> DataFrame:
-    return sites.assemble(_websites(spark, d), seeding.captures(spark, d), use_browser)
+    return sites.assemble(_websites(spark, d), _parsed(spark, d).drop("bucket"), use_browser)
 
 
 @query("w1_domains")
@@ -210,8 +234,8 @@ def _(spark, d):
 
 @query("w4_requested_pages")
 def _(spark, d):
-    requests, parsed = sites.site_tables(_websites(spark, d), seeding.captures(spark, d))
-    return sites.fetched(requests, parsed).select(
+    requests, latest = sites.site_tables(_websites(spark, d), _parsed(spark, d).drop("bucket"))
+    return sites.fetched(requests, latest).select(
         "website", "mode", "rank", "url", F.coalesce("channel", F.lit("missing")).alias("channel"),
         F.coalesce(F.col("usable").cast("string"), F.lit("-")).alias("usable"))
 
@@ -248,7 +272,7 @@ def _(spark, d):
 
 @query("w8_official_website")
 def _(spark, d):
-    return sites.with_website(seeding.new_leads(spark, d), seeding.seeded_pages(spark, d)).select(
+    return sites.with_website(seeding.new_leads(spark, d), _links(spark, d)).select(
         "lead_id", "source_url", "website")
 
 
@@ -449,8 +473,8 @@ def _(spark, d):
     return _flat_state(_state(spark, d))
 
 
-def _enriched(spark, d) -> DataFrame:
-    return enrichment.enrich(seeding.new_leads(spark, d), seeding.seeded_pages(spark, d), seeding.captures(spark, d))
+def _enriched(spark, d, use_browser=True) -> DataFrame:
+    return enrichment.enrich(seeding.new_leads(spark, d), _links(spark, d), _parsed(spark, d), use_browser)
 
 
 def _flat_enriched(df) -> DataFrame:
@@ -464,6 +488,12 @@ def _(spark, d):
     return _enriched(spark, d).groupBy("status", "method").agg(F.count(F.lit(1)).alias("leads"))
 
 
+@query("l02_failed_without_browser")
+def _(spark, d):
+    return _enriched(spark, d, use_browser=False).select(
+        "lead_id", "website", "method", (F.col("status") == "FAILED").alias("failed"))
+
+
 @query("lead_enrichment")
 def _(spark, d):
     return _flat_enriched(_enriched(spark, d))
@@ -540,11 +570,16 @@ def _streamed_state(spark, d) -> str:
 
 @query("t1_streamed_enrichment")
 def _(spark, d):
-    schema = tables.table(spark, d, "pages").schema
-    arriving = seeding.as_leads(jobs.file_stream(spark, d, schema, "pages.parquet"))
-    out = new_path(spark, "finished-leads")
-    jobs.enrichment_stream(arriving, seeding.seeded_pages(spark, d), seeding.captures(spark, d), out,
-                               new_path(spark, "lead-checkpoint")).awaitTermination()
+    arriving = seeding.new_leads(spark, d)
+    folder, out = new_path(spark, "arriving-leads"), new_path(spark, "finished-leads")
+    # Four files, so four micro-batches.
+    arriving.repartition(4).write.parquet(folder)
+    stream = jobs.file_stream(spark, folder, arriving.schema)
+    links, captures = new_path(spark, "source-table"), new_path(spark, "capture-table")
+    enrichment.append_parsed(_links(spark, d), links)
+    enrichment.append_parsed(_parsed(spark, d), captures)
+    jobs.enrichment_stream(stream, spark.read.parquet(links), spark.read.parquet(captures), out,
+                           new_path(spark, "lead-checkpoint")).awaitTermination()
     return _flat_enriched(spark.read.parquet(out))
 
 

@@ -1,52 +1,52 @@
 """Session set-up and the shared folder for tables that cut lineage."""
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+_written: list[str] = []
+_own: set[str] = set()
 
 
-def local_session(cores="*", shuffle_partitions=8, memory="8g") -> SparkSession:
+def local_session(cores="*", shuffle_partitions=8, memory="8g", work_folder=None) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
-    return (SparkSession.builder.master(f"local[{cores}]").appName("leadloom")
-            .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-            .config("spark.sql.adaptive.enabled", "true")
-            .config("spark.sql.session.timeZone", "UTC")
-            .config("spark.driver.memory", memory)
-            .config("spark.ui.enabled", "false")
-            .config("spark.ui.showConsoleProgress", "false")
-            # Call-site capture costs several JVM round trips per column expression.
-            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-            .getOrCreate())
+    builder = (SparkSession.builder.master(f"local[{cores}]").appName("leadloom")
+               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+               .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.driver.memory", memory)
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               # Call-site capture costs several JVM round trips per column expression.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
+    if work_folder:
+        builder = builder.config(_FOLDER, work_folder)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Where that is unset, a folder of this application in the warehouse, which is shared too; it goes when the
+    driver ends.
     """
     folder = spark.conf.get(_FOLDER, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_FOLDER} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="leadloom-")
-    return _local_folders[app]
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_leadloom-{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when its files give fewer splits than there are cores.
-
-    Page work is heavy per row, so a small input must not run in one or two tasks.
-    Large inputs have more splits than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session was stopped before the driver ends
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -57,9 +57,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several later steps read a table that is dear to compute; the
-    files outlive lost executors.
+    files outlive lost executors.  ``release`` deletes them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the stored tables written since ``mark``: once the results that read them are written."""
+    while len(_written) > mark:
+        _delete(spark, _written.pop())

@@ -12,7 +12,11 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.sources.tables import pages, table
+from leadloom.sources import tables
+from leadloom.sources.tables import table
+
+#: The given pages are one file of one row group; the test view deals them out.  Real tables have many files.
+SPLITS = 16
 
 # (modulus, remainder, html): added to pages with page_id % modulus = remainder.
 # {id} is the page id, {id4} its last four digits, {origin} scheme and host of the
@@ -21,9 +25,9 @@ SEEDS = [
     (3, 0, "<p>Contact us or get in touch with our office.</p>"),
     (7, 1, '<a class="btn" href="/book">Book <b>online</b></a>'),
     (11, 3, "<p>Make an appointment today.</p>"),
-    (6, 1, '<form action="/contact-submit" method="post"><input name="full_name" placeholder="Your name">'
-           "<input type='email' name='email' placeholder='Email address'>"
-           '<textarea name="message">Message</textarea><button type="submit">Send Message</button></form>'),
+    (6, 1, '<form action="/ask" method="post"><select name="branch" aria-label="Nearest branch"></select>'
+           "<input type='tel' id='callback' placeholder='Number for a call back'><input name=\"arrival\">"
+           '<textarea placeholder="What can we do?"></textarea><button>Contact the desk</button></form>'),
     (13, 2, '<form action="/find?a=1&amp;b=2"><input name=q id="news" aria-label="Search &quot;x&quot;">'
             "<input type=hidden value=1><button>Go</button></form>"),
     (17, 4, "<form></form><form></form><form></form><form></form><form></form>"
@@ -87,6 +91,11 @@ SEEDS = [
     (12, 3, '<a href="https://low.example.edu/">our WEBSITE</a><a href="{next}">Business <i>Website</i></a>'),
     (15, 2, '<a rel="x" href="{next}"><span>Official</span> site</a>'),
     (14, 13, '<a href="https://out.example.edu/?biz_redir={id}&amp;x=1">biz</a>'),
+    (20, 3, '<p class="a"">Stray quote {id}</p><p title=don\'t>Apostrophe</p><p>Between</p><p title=can\'t>After</p>'),
+    (22, 9, '<a href="/stray-{id}"">Contact the crew</a>'),
+    (25, 11, '<script data-x=don\'t>var hidden = "checkout";</script>'),
+    (18, 5, "<p>z{id}&#0000000064;zero{id}.org &#150; dash</p>"),
+    (27, 13, '<div class="box"><p style="display:none">Lost {id}<span>inner</span></div><p>Found {id}</p>'),
 ]
 
 # Links on the home page, by block % 4.
@@ -134,6 +143,10 @@ def _page_url(page_id: Column) -> Column:
                                 .when(part == 3, "/people/team.html").otherwise("/services?ref=nav"))))
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.pages(spark, folder).repartition(SPLITS)
+
+
 def seeded_pages(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, html of every raw page with site address and snippets."""
     return seed(pages(spark, folder))
@@ -176,18 +189,20 @@ def crawl_log(spark: SparkSession, folder: str) -> DataFrame:
 def captures(spark: SparkSession, folder: str) -> DataFrame:
     """Seeded pages as fetched over HTTP, and browser captures of a part of them.
 
-    Over HTTP some pages are missing.  A browser capture shows the raw page, so a
-    page that is blocked over HTTP can be whole there.
+    Over HTTP some pages are missing, and some have an older capture that is nearly empty.  A browser capture
+    shows the raw page, so a page that is blocked over HTTP can be whole there.
     """
     p, raw = F.col("page_id"), pages(spark, folder)
     shown = F.replace(F.col("raw_html"), F.lit("</footer>"), F.concat(
         F.lit("<p>Seen in a browser. Contact us. Book now.</p>"), _fill(F.lit(NAVIGATION[0]), p), F.lit("</footer>")))
-    capture = lambda channel, html: F.struct(F.lit(channel).alias("channel"), html.alias("html"))
+    capture = lambda channel, html, page_id=p: F.struct(
+        page_id.alias("page_id"), F.lit(channel).alias("channel"), html.alias("html"))
     # One branch for both channels: over a union everything after it is planned twice.
     return (
         seed(raw.withColumn("raw_html", F.col("html")), "raw_html")
-        .select("page_id", "url", F.inline_outer(F.array_compact(F.array(
-            F.when(p % 23 != 6, capture("http", F.col("html"))), F.when(p % 3 != 1, capture("browser", shown))))))
+        .select("url", F.inline_outer(F.array_compact(F.array(
+            F.when(p % 23 != 6, capture("http", F.col("html"))), F.when(p % 3 != 1, capture("browser", shown)),
+            F.when((p % 4 == 1) & (p % 23 != 6), capture("http", F.lit("<p>Older</p>"), p - 1_000_000_000))))))
         .where("channel is not null").select("page_id", "url", "html", "channel"))
 
 

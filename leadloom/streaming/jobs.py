@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leadloom.operators import dashboard
 from leadloom.operators.leads import fold_state
 from leadloom.plans.enrichment import enrich
+from leadloom.session import release, stored_so_far
 
 LIVE_TRIGGER = "10 seconds"
 
@@ -23,16 +24,31 @@ def _start(stream: DataFrame, mode: str, write, checkpoint: str, live: bool) ->
 
 
 def _batch_writer(out: str, work=lambda df: df):
-    """Writes each micro-batch to a folder of its own, so a repeated batch replaces itself."""
+    """Writes each micro-batch to a folder of its own, so a repeated batch replaces itself.
+
+    Tables stored on the way to a batch's results go once these are written.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
+        mark = stored_so_far()
         work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        release(batch.sparkSession, mark)
     return write
 
 
-def enrichment_stream(leads: DataFrame, source_pages: DataFrame, captures: DataFrame, out: str, checkpoint: str,
+def parse_stream(arriving: DataFrame, parse, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
+    """Parse pages once, as their files arrive; ``parse`` is ``parsed_sources`` or ``parsed_captures``.
+
+    The parsed table is partitioned by bucket; ``parsed_table`` reads it.
+    """
+    writer = parse(arriving).writeStream.format("parquet").partitionBy("bucket").option("path", out).option(
+        "checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=LIVE_TRIGGER) if live else writer.trigger(availableNow=True)).start()
+
+
+def enrichment_stream(leads: DataFrame, links: DataFrame, captures: DataFrame, out: str, checkpoint: str,
                       live: bool = False) -> StreamingQuery:
-    """Finish streamed leads against the page tables; results go to ``out`` per batch."""
-    work = lambda batch: enrich(batch, source_pages, captures)
+    """Finish streamed leads against the parsed page tables; results go to ``out`` per batch."""
+    work = lambda batch: enrich(batch, links, captures)
     return _start(leads, "append", _batch_writer(out, work), checkpoint, live)
 
 

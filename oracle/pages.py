@@ -22,7 +22,8 @@ def count_of(column: str, words) -> str:
 
 WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{2000}-\x{200A}\x{3000}]"
 WSM = r"[\s\x01\x{000B}\x{0085}\x{00A0}\x{2000}-\x{200A}\x{3000}]"
-TAG = r"""<[!?/a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+INSIDE = r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*"""
+TAG = rf"<[!?/a-zA-Z]{INSIDE}>"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
@@ -32,7 +33,7 @@ def rx(column, pattern, by):
 
 def unentity(x):
     for name, char in (("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&eacute;", "'é'"),
-                       ("&ndash;", "'–'"), ("&#64;", "'@'"), ("&#39;", "''''"), ("&lt;", "'<'"), ("&gt;", "'>'"),
+                       ("&ndash;", "'–'"), ("&#64;", "'@'"), ("&#0000000064;", "'@'"), ("&#150;", "'–'"), ("&#39;", "''''"), ("&lt;", "'<'"), ("&gt;", "'>'"),
                        ("&quot;", "'\"'"), ("&amp;", "'&'")):
         x = f"replace({x}, {q(name)}, {char})"
     return x
@@ -166,13 +167,13 @@ CTES = {
                             H + r"<svg\b[^>]*>.*?</svg\s*>", "chr(1)") + " AS plain FROM d0",
     "d2": "SELECT *, " + rx(rx(rx("plain", H + r"<iframe\b[^>]*>.*?</iframe\s*>", "chr(1)"),
                                H + r"<div\b[^>]*style=\"[^\">]*display: *none[^>]*>.*?</div>", "chr(1)"),
-                            r'(?s)<span aria-hidden="true">.*?</span>', "chr(1)") + " AS shown FROM d1",
+                            r'(?s)<span aria-hidden="true">.*?</span>|<p style="display:none">.*?</div>', "chr(1)") + " AS shown FROM d1",
     "texts": f"SELECT *, {flat('shown')} AS text, {flat('plain')} AS plain_text, {nodes('base')} AS raw_text FROM d2",
     "quality": "SELECT src, page_id, CASE WHEN " + strip("html") + " = '' THEN 'empty' WHEN length(html) < 500 THEN 'small_html' "
         + " ".join(f"WHEN contains(lower(plain_text), {q(p)}) THEN {q('blocked: ' + p)}" for p in vocab.BLOCK_PHRASES)
         + " WHEN length(plain_text) < 100 THEN 'little_text' ELSE 'ok' END AS reason, plain_text, html FROM texts",
     "anchors0": f"""SELECT src, page_id, url, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT src, page_id, url,
-        regexp_extract_all(base, {q(H + r"""<a(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?>.*?</a>""")}) AS l FROM d0)""",
+        regexp_extract_all(base, {q(H + rf"<a(?:\s{INSIDE})?>.*?</a>")}) AS l FROM d0)""",
     "anchors": f"SELECT src, page_id, url, pos, a, {attr('a', 'href')} AS href, {nodes('a')} AS text FROM anchors0",
     "mailto": f"""SELECT src, page_id, list_sort(list_distinct(list(e))) AS l FROM (SELECT src, page_id,
         lower({strip("split_part(substr(" + strip('href') + ", 8), '?', 1)")}) AS e FROM anchors

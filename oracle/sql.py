@@ -161,6 +161,9 @@ def queries() -> dict[str, str]:
             CASE WHEN phone THEN 'phone_signals=' || greatest(len(phones), 1) ELSE '' END AS phone_notes FROM site_an a JOIN site_score o USING (website) WHERE o.top IS NOT NULL""",
         "l01_state_fold": f"SELECT {STATE} FROM state",
         "l02_final_status": "SELECT status, method, count(*) AS leads FROM done GROUP BY ALL",
+        "l02_failed_without_browser": """SELECT l.lead_id, CASE WHEN l.website = 'NOT_FOUND' OR h.mode = 'http' THEN l.website ELSE 'ERROR' END AS website,
+            CASE WHEN l.website = 'NOT_FOUND' THEN 'none' WHEN h.mode = 'http' THEN 'http' ELSE 'failed' END AS method,
+            l.website <> 'NOT_FOUND' AND h.mode <> 'http' AS failed FROM located l LEFT JOIN homes h USING (website)""",
         "lead_enrichment": DONE,
         "l03_next_pending": f"SELECT lead_id, status, {dash('website')} FROM state WHERE status = 'PENDING' ORDER BY lead_id LIMIT 1",
         "l04_lead_by_id": f"SELECT {STATE} FROM state WHERE lead_id = 17",
@@ -190,5 +193,5 @@ def queries() -> dict[str, str]:
     for n, kind in enumerate(kinds, 1):
         out[f"r{n:02d}_{kind}"] = (f"SELECT website, rank, priority, score, impact, confidence, fit AS solution_fit, evidence, unknowns "
                                    f"FROM site_opps WHERE type = '{kind}'")
-    leads_first = {"lead_enrichment", "l02_final_status", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
+    leads_first = {"lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
     return {n: full(s, "located" if n in leads_first else "newweb") for n, s in out.items()}

@@ -5,12 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from leadloom.plans import queries  # noqa: E402
 from leadloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8")
+def spark(tmp_path_factory):
+    session = local_session("8", work_folder=str(tmp_path_factory.mktemp("work")))
+    queries.SHARED = {}
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

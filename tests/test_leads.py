@@ -32,7 +32,7 @@ def test_intake(spark):
 
 def test_intake_numbers_across_blocks(spark):
     df = spark.range(500).select(F.col("id").alias("r"), (F.col("id") % 4).cast("int").alias("n"))
-    rows = leads.numbered_spans(df, "r", F.col("n"), F.lit(0), block=37).orderBy("r").collect()
+    rows = leads.numbered_spans(df, "r", F.col("n"), F.lit(0)).orderBy("r").collect()
     expected, start = [], 1
     for r in rows:
         expected.append(start)
@@ -108,7 +108,7 @@ def test_failed_without_browser(spark):
     new = spark.createDataFrame([(1, None, "", "https://a.org/"), (2, "B", "", "none")],
                                 "lead_id long, company_name string, location string, source_url string")
     empty = spark.createDataFrame([], "page_id long, url string, html string, channel string")
-    rows = {r.lead_id: r for r in enrichment.enrich(new, empty.drop("channel"), empty, use_browser=False).collect()}
+    rows = {r.lead_id: r for r in enrichment.enrich(new, enrichment.parsed_sources(empty.drop("channel")), enrichment.parsed_captures(empty), use_browser=False).collect()}
     assert (rows[1].status, rows[1].website, rows[1].opportunity_score) == ("FAILED", "ERROR", None)
     assert (rows[2].status, rows[2].website, rows[2].method, rows[2].business_name) == ("MISSING_DATA", "NOT_FOUND", "none", "Not Found")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import skew, urls
 from leadloom.operators import sites
 from leadloom.operators import pages as page_ops
+from leadloom.plans import enrichment
 
 FILL = "<p>" + "word " * 120 + "</p>"
 
@@ -53,7 +54,7 @@ def captures(spark, rows):
 
 def build(spark, rows, use_browser=True, websites=("https://a.org/",)):
     web = spark.createDataFrame([(w,) for w in websites], "website string")
-    return {r.website: r for r in sites.assemble(web, captures(spark, rows), use_browser).collect()}
+    return {r.website: r for r in sites.assemble(web, sites.parsed_captures(captures(spark, rows)), use_browser).collect()}
 
 
 HOME = FILL + '<a href="/contact">c</a><a href="/about">a</a> z@a.dev'
@@ -101,45 +102,44 @@ def test_latest_capture_counts_and_text_is_cut(spark):
 def test_official_link(spark, html, expected):
     leads = spark.createDataFrame([(1, "https://dir.org/lead")], "lead_id long, source_url string")
     source = spark.createDataFrame([(1, "https://dir.org/lead", html)], "page_id long, url string, html string")
-    assert sites.with_website(leads, source).first().website == expected
+    assert sites.with_website(leads, sites.official_links(source)).first().website == expected
 
 
 def test_website_without_page(spark):
     leads = spark.createDataFrame([(1, "https://www.linkedin.com/x"), (2, "Manual"), (3, None), (4, "http://k.org")],
                                   "lead_id long, source_url string")
     source = spark.createDataFrame([], "page_id long, url string, html string")
-    got = {r.lead_id: r.website for r in sites.with_website(leads, source).collect()}
+    got = {r.lead_id: r.website for r in sites.with_website(leads, sites.official_links(source)).collect()}
     assert got == {1: "UNSCRAPABLE", 2: "NOT_FOUND", 3: "NOT_FOUND", 4: "http://k.org"}
 
 
-def test_skewed_join_equals_plain_join(spark):
-    many = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, None)
-                                    .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"))
-    one = spark.range(0, 4000, 2).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("v"))
-    one = one.unionByName(spark.createDataFrame([("hot", -1), ("hot", -2)], "key string, v long"))
-    assert [(r.key, r.salts > 1000) for r in skew.hot_keys(many, "key").collect()] == [("hot", True)]
-    got = sorted(map(tuple, skew.skewed_left_join(many, one, "key").select("id", "key", "v").collect()), key=str)
-    assert got == sorted(map(tuple, many.join(one, "key", "left").select("id", "key", "v").collect()), key=str)
+def test_many_captures_of_one_url(spark):
+    """100,000 captures of one page fold to the one that counts; an older usable one beats a newer unusable one."""
+    many = spark.range(100_000).select(
+        F.lit("http://a.org/").alias("url"), F.lit("http").alias("channel"), F.col("id").alias("page_id"),
+        (F.col("id") < 70_000).alias("usable"), F.concat(F.lit("v"), F.col("id")).alias("page"))
+    rows = sites.latest_captures(many.unionByName(many.limit(5).withColumn("channel", F.lit("browser")))).collect()
+    assert sorted((r.channel, r.page_id, r.page) for r in rows) == [("browser", 4, "v4"), ("http", 69_999, "v69999")]
+    none = many.withColumn("usable", F.lit(False))
+    assert [r.page_id for r in sites.latest_captures(none).collect()] == [99_999]
 
 
-def test_hot_rows_are_spread(spark):
-    many = spark.range(20000).select("id", F.lit("hot").alias("key"))
-    one = spark.createDataFrame([("hot", 1)], "key string, v long")
-    joined = skew.skewed_left_join(many, one, "key")
-    spread = many.join(skew.hot_keys(many, "key"), "key").first()
-    assert spread.salts == skew.HOT_SHARE
-    assert joined.count() == 20000 and joined.where("v = 1").count() == 20000
-
-
-def test_narrowing_is_exact_and_checked(spark, monkeypatch):
-    df = spark.range(100).select(F.col("id").cast("string").alias("u"))
-    keys = spark.createDataFrame([("3",), ("3",), ("7",), (None,)], "k string")
-    assert sorted(r.u for r in skew.narrowed(df, F.col("u"), keys).collect()) == ["3", "7"]
-    monkeypatch.setattr(skew, "FEW_KEYS", 1)
-    assert skew.narrowed(df, F.col("u"), keys) is df
+def test_lead_job_reads_no_html(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, channel string")
+    links, parsed = enrichment.parsed_sources(empty.drop("channel")), enrichment.parsed_captures(empty)
+    assert "html" not in links.columns + parsed.columns
+    wanted = enrichment.wanted(parsed, F.col("url"), spark.createDataFrame([("http://a.org/",)], "u string"))
+    assert wanted.columns == [c for c in parsed.columns if c != "bucket"]
 
 
 def test_numbering_is_consecutive(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("n")).repartition(7)
-    rows = skew.numbered(df, "n", "k", F.lit(10), block=64).orderBy("n").collect()
+    rows = skew.numbered(df, "n", "k", F.lit(10)).orderBy("n").collect()
     assert [r.k for r in rows] == list(range(11, 1011))
+
+
+def test_sparse_ids_are_numbered(spark):
+    """Ids far apart: the serial step has a row per partition, not per id."""
+    df = spark.range(20_000).select((F.col("id") * 1_000_000_007).alias("n")).repartition(5)
+    out = skew.numbered(df, "n", "k", F.lit(0))
+    assert [r.k for r in out.orderBy("n").collect()] == list(range(1, 20_001))
