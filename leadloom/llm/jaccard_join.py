@@ -282,8 +282,10 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, recall:
     kept = (jaccard_join(docs, similarity, recall, n).where("kept").groupBy(F.col("doc_id").alias("_kept_id"))
             .agg(F.count("*").alias("_kept_rows")))
     kept = stored(kept, "kept")
-    few = kept.count() <= BROADCAST_IDS
     here = F.col("doc_id") == F.col("_kept_id")
-    once, often = kept.where("_kept_rows = 1"), kept.where("_kept_rows > 1")
-    return docs.join(F.broadcast(once) if few else once, here, "left_semi").union(
-        docs.join(often, here, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+    def those(ids: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, here, "left_semi")
+
+    return those(kept.where("_kept_rows = 1")).union(
+        those(kept.where("_kept_rows > 1")).dropDuplicates(["doc_id", "text"]))
