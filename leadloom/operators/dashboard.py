@@ -6,10 +6,26 @@ from pyspark.sql import functions as F
 from leadloom.functions import vocab
 from leadloom.operators.opportunities import fallback_band
 
-ANALYSIS_SCHEMA = """
-    business_name string, opportunity_score_band string,
-    opportunity_score_breakdown struct<top_opportunity:int, secondary_opportunity:int>,
-    opportunities array<struct<type:string, title:string, score:int, confidence:int>>
+_NOTES = "array<struct<code:string, arg:string>>"
+_FLAGS = ", ".join(f"{n}:boolean" for n in ["lead_form", *vocab.FEATURES])
+OPPORTUNITY = ("struct<type:string, title:string, priority:string, score:int, impact:int, confidence:int, solution_fit:int, "
+               f"evidence:{_NOTES}, unknowns:array<string>, recommendation:string>")
+#: The stored analysis document, whole.
+ANALYSIS_SCHEMA = f"""
+    url string, business_name string, industry string, services array<string>, title string, description string,
+    schema_types array<string>, signals struct<{", ".join(f"{n}:boolean" for n in vocab.SIGNALS)}>,
+    signal_evidence map<string, {_NOTES}>, opportunity_score int, opportunity_score_band string,
+    opportunity_score_breakdown struct<top_opportunity:int, secondary_opportunity:int, top_type:string, reason:string>,
+    opportunities array<{OPPORTUNITY}>, content_length int, link_count int, pages_analyzed array<string>,
+    page_details array<struct<url:string, features:struct<form_count:int, {_FLAGS}, cta_count:int>,
+        emails:array<string>, phones:array<string>, text_preview:string>>,
+    business_intelligence struct<analysis_version:string,
+        business_profile:struct<industry:string, audiences:array<string>, services:array<string>>,
+        customer_journey:array<string>,
+        observed:struct<website_capabilities:array<string>, conversion_paths:array<string>, audiences:array<string>,
+            workflows:array<string>, services:array<string>>,
+        unknowns:array<string>,
+        data_quality:struct<score:int, text_present:boolean, pages_analyzed:int, signal_count:int>>
 """
 DEFAULT_ROWS, MAX_ROWS = 100, 500
 
@@ -53,8 +69,7 @@ def rows(decoded: DataFrame) -> DataFrame:
         _first_text("website", "source_url").alias("address"), "status", "opportunity_score",
         F.when(F.col("opportunity_score").isNotNull(), shown_band()).alias("band"),
         F.array_compact(F.array(_first_text("emails"), _first_text("phones"))).alias("contacts"),
-        F.slice(F.coalesce("analysis.opportunities", F.expr(
-            "cast(array() as array<struct<type:string,title:string,score:int,confidence:int>>)")), 1, 4
+        F.slice(F.coalesce("analysis.opportunities", F.expr(f"cast(array() as array<{OPPORTUNITY}>)")), 1, 4
                 ).alias("top_opportunities"))
 
 
@@ -70,5 +85,5 @@ def detail(decoded: DataFrame) -> DataFrame:
         F.col("analysis.opportunity_score_breakdown.top_opportunity").alias("top_opportunity"),
         F.col("analysis.opportunity_score_breakdown.secondary_opportunity").alias("secondary_opportunity"),
         F.posexplode_outer("analysis.opportunities").alias("pos", "o"),
-    ).select("*", F.col("o.type").alias("type"), F.col("o.title").alias("title"), F.col("o.score").alias("score"),
-             F.col("o.confidence").alias("confidence")).drop("o")
+    ).select("*", *[F.col(f"o.{n}").alias(n) for n in (
+        "type", "title", "priority", "score", "impact", "confidence", "evidence", "recommendation")]).drop("o")

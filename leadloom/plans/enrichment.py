@@ -21,6 +21,7 @@ def analysed_sites(site_rows: DataFrame) -> DataFrame:
     return stored(found.select(
         "website", "method", "text", "emails", "phones", "pages", "business_name", "industry", "services",
         "signals", "evidence", "opportunities", "opportunity_score", "opportunity_band", "score_breakdown",
+        "title", "description", "schema_types", "content_length", "link_count", "page_details",
         analysis.intelligence().alias("business_intelligence")), "analysed-sites")
 
 
@@ -71,12 +72,56 @@ def enrich(leads: DataFrame, links: DataFrame, captures: DataFrame, use_browser:
     kept = [n for n in found.columns if n not in ("website", "method")]
     return done.select(
         "lead_id", F.coalesce("company_name", F.lit("")).alias("company_name"), "location", "source_url",
-        F.when(failed, "ERROR").otherwise(c("website")).alias("website"),
+        F.when(failed, "ERROR").otherwise(c("website")).alias("website"), c("website").alias("found_website"),
         F.when(c("website") == "NOT_FOUND", "none").otherwise(c("method")).alias("method"),
         F.when(failed, "FAILED").otherwise(lead_ops.final_status("emails", "phones")).alias("status"),
         *[F.when(~failed, c(n)).alias(n) for n in kept])
 
 
+def analysis_document() -> Column:
+    """The whole analysis of a finished lead as JSON, as ``dashboard.ANALYSIS_SCHEMA`` reads it."""
+    c = F.col
+    return F.to_json(F.struct(
+        c("website").alias("url"), "business_name", "industry", "services", "title", "description", "schema_types", "signals",
+        c("evidence").alias("signal_evidence"), "opportunity_score", c("opportunity_band").alias("opportunity_score_band"),
+        c("score_breakdown").alias("opportunity_score_breakdown"),
+        F.transform("opportunities", lambda o: o.dropFields("rule_no")).alias("opportunities"),
+        "content_length", "link_count", c("pages").alias("pages_analyzed"), "page_details", "business_intelligence"),
+        {"ignoreNullFields": "false"})
+
+
+#: Events of a finished lead, in order.
+STEPS = ("processing", "enriched", "scraped", "analysis", "final")
+
+
+def to_events(finished: DataFrame, ts: Column, after: Column | None = None) -> DataFrame:
+    """The state changes that store finished leads, as ``leads.fold_state`` reads them.
+
+    PROCESSING, then ENRICHED with website and company, the scraped contacts and text, the analysis document, and the
+    final status; a failed lead goes from ENRICHED to FAILED.  A lead's events have rising numbers from
+    ``after`` (default 0): five per lead id.
+    """
+    c = F.col
+    failed = c("status") == "FAILED"
+    nothing = F.lit(None).cast("string")
+
+    def event(kind, when=F.lit(True), **fields):
+        names = ("status", "website", "company_name", "emails", "phones", "body_text")
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), *[fields.get(n, nothing).alias(n) for n in names],
+                                     fields.get("score", F.lit(None).cast("int")).alias("score"),
+                                     fields.get("analysis_json", nothing).alias("analysis_json")))
+
+    steps = F.array(
+        event("status", status=F.lit("PROCESSING")),
+        event("status", status=F.lit("ENRICHED"), website=c("found_website"), company_name=c("company_name")),
+        event("scraped", ~failed, emails=F.array_join("emails", ", "), phones=F.array_join("phones", ", "), body_text=c("text")),
+        event("analysis", ~failed, score=c("opportunity_score"), analysis_json=analysis_document()),
+        event("status", status=c("status"), website=c("website")))
+    return finished.select("lead_id", F.posexplode(steps).alias("step", "event")).where("event is not null").select(
+        ((F.lit(0) if after is None else after) + c("lead_id") * len(STEPS) + c("step")).cast("long").alias("seq"), "lead_id",
+        ts.alias("ts"), "event.*")
+
+
 def report(enriched: DataFrame) -> DataFrame:
     """Report input of finished leads: the company falls back to the business name."""
     return enriched.withColumn("company_name", F.coalesce(

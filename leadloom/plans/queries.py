@@ -28,6 +28,11 @@ def joined(c, sep="|") -> Column:
     return F.array_join(c, sep)
 
 
+def _signals(c) -> list[Column]:
+    """The twelve signals as columns, beside a column of services."""
+    return [c[n].alias("services_signal" if n == "services" else n) for n in vocab.SIGNALS]
+
+
 def notes(c) -> Column:
     """Evidence entries as ``code=arg`` text."""
     return joined(F.transform(c, lambda e: F.concat(e["code"], F.lit("="), e["arg"])))
@@ -440,13 +445,17 @@ def _(spark, d):
     out = opportunities.outreach_payload(_detected(spark, d))
     p = F.from_json("payload", "business_name string, industry string, services array<string>, "
                     "opportunity_score int, top_opportunities array<struct<type:string,score:int>>, "
-                    "signals struct<booking:boolean,lead_form:boolean>, "
+                    f"signals struct<{', '.join(f'{n}:boolean' for n in vocab.SIGNALS)}>, "
                     "signal_evidence map<string,array<struct<code:string,arg:string>>>, website string")
+    # Every signal's notes as one text, in the order of the signals.
+    told = F.array_join(F.array_compact(F.array(*[
+        F.when(F.size(F.col("p.signal_evidence")[n]) > 0, F.concat(F.lit(f"{n}: "), notes(F.col("p.signal_evidence")[n])))
+        for n in vocab.SIGNALS])), "; ")
     return out.select("website", p.alias("p")).select(
         "website", "p.business_name", "p.industry", joined("p.services").alias("services"), "p.opportunity_score",
         joined(F.transform("p.top_opportunities", lambda o: F.concat(
             o["type"], F.lit(":"), o["score"].cast("string")))).alias("top"),
-        "p.signals.booking", "p.signals.lead_form", notes("p.signal_evidence.phone").alias("phone_notes"))
+        *_signals(F.col("p.signals")), told.alias("evidence"))
 
 
 # --- lead state and dashboard -------------------------------------------------
@@ -558,6 +567,60 @@ def _(spark, d):
                       F.coalesce("type", F.lit("-")).alias("type"), number("score"), number("confidence"))
 
 
+# --- from pages to the dashboard -------------------------------------------------
+
+def _stored_leads(spark, d) -> DataFrame:
+    """Leads finished from pages, stored as events and folded again, with the columns the dashboard shows."""
+    new = seeding.new_leads(spark, d)
+    events = enrichment.to_events(_enriched(spark, d), F.lit("2024-01-01").cast("timestamp"))
+    return leads.fold_state(events).join(new.select("lead_id", "source_url", "location"), "lead_id")
+
+
+def _evidence(o) -> Column:
+    return F.array_join(F.transform(o, lambda e: F.concat(e["code"], F.lit("="), e["arg"])), ",")
+
+
+@query("a10_analysis_document")
+def _(spark, d):
+    a = F.col("analysis")
+    out = dashboard.decode_analysis(_stored_leads(spark, d))
+    return out.select(
+        "lead_id", "status", a["url"].alias("url"), a["business_name"].alias("business_name"), a["industry"].alias("industry"),
+        joined(a["services"]).alias("services"), a["content_length"].alias("content_length"), a["link_count"].alias("link_count"),
+        joined(a["pages_analyzed"]).alias("pages"), F.size(a["page_details"]).alias("details"),
+        *_signals(a["signals"]), a["opportunity_score"].alias("score"),
+        a["opportunity_score_band"].alias("band"), F.coalesce(a["opportunity_score_breakdown"]["top_type"], F.lit("")).alias("top_type"),
+        joined(F.transform(a["opportunities"], lambda o: o["type"])).alias("types"),
+        joined(a["business_intelligence"]["business_profile"]["audiences"]).alias("audiences"))
+
+
+@query("l05_stored_analysis")
+def _(spark, d):
+    return dashboard.decode_analysis(_stored_leads(spark, d)).select(
+        "lead_id", "status", F.coalesce("website", F.lit("-")).alias("website"), F.coalesce("emails", F.lit("-")).alias("emails"),
+        F.coalesce("phones", F.lit("-")).alias("phones"), F.coalesce("opportunity_score", F.lit(-1)).alias("score"),
+        F.length(F.coalesce("body_text", F.lit(""))).alias("text_chars"),
+        F.col("analysis").isNull().alias("no_analysis"), "last_seq")
+
+
+@query("l09_stored_rows")
+def _(spark, d):
+    out = dashboard.rows(dashboard.decode_analysis(dashboard.recent(_stored_leads(spark, d))))
+    return out.select("lead_id", "name", "address", "status", "opportunity_score", "band", joined("contacts").alias("contacts"),
+                      joined(F.transform("top_opportunities", lambda o: F.concat(o["type"], F.lit(":"), o["score"]))).alias("top"))
+
+
+@query("l11_stored_detail")
+def _(spark, d):
+    out = dashboard.detail(dashboard.decode_analysis(_stored_leads(spark, d)))
+    dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+    return out.select(
+        "lead_id", "name", "address", "status", "opportunity_score", "band", "email", "phone", dash("pos"), dash("type"),
+        dash("priority"), dash("score"), dash("impact"), dash("confidence"),
+        F.coalesce(_evidence("evidence"), F.lit("-")).alias("evidence"),
+        (F.length(F.coalesce("recommendation", F.lit(""))) > 0).alias("recommended"))
+
+
 # --- streams --------------------------------------------------------------------
 
 def _streamed_state(spark, d) -> str:

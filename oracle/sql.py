@@ -157,8 +157,26 @@ def queries() -> dict[str, str]:
         "k6_overall_from_table": f"""SELECT user_id, top, coalesce(second, -1) AS second, top_type, score, {L.bands('score')} AS band FROM (SELECT *,
             round_even(top::DOUBLE * 0.75::DOUBLE + coalesce(second::DOUBLE * 0.25::DOUBLE, 0), 0)::INT AS score FROM (SELECT user_id, max(score) FILTER (WHERE rank = 1) AS top,
             max(score) FILTER (WHERE rank = 2) AS second, max(type) FILTER (WHERE rank = 1) AS top_type FROM best_ranked GROUP BY user_id))""",
-        "k7_outreach_payload": f"""SELECT a.website, {L.NAME} AS business_name, industry, {lst('services')} AS services, o.score AS opportunity_score, o.top3 AS top, booking, lead_form,
-            CASE WHEN phone THEN 'phone_signals=' || greatest(len(phones), 1) ELSE '' END AS phone_notes FROM site_an a JOIN site_score o USING (website) WHERE o.top IS NOT NULL""",
+        "k7_outreach_payload": f"""SELECT a.website, {L.NAME} AS business_name, industry, {lst('services')} AS services, o.score AS opportunity_score, o.top3 AS top,
+            {', '.join('services_sig AS services_signal' if n == 'services' else n for n in vocab.SIGNALS)}, coalesce(n.evidence, '') AS evidence FROM site_an a JOIN site_score o USING (website) LEFT JOIN (
+                SELECT website, string_agg(signal || ': ' || notes, '; ' ORDER BY list_position([{', '.join(q(n) for n in vocab.SIGNALS)}], signal)) AS evidence
+                FROM ({L.note_list('site')}) WHERE notes <> '' GROUP BY website) n USING (website) WHERE o.top IS NOT NULL""",
+        "a10_analysis_document": f"""SELECT d.lead_id, d.status, d.website AS url, d.business_name, d.industry, {lst('a.services')} AS services,
+            length(a.nt)::INT AS content_length, a.link_count, {lst('a.pages')} AS pages, len(a.pages)::INT AS details, {', '.join('a.services_sig AS services_signal' if n == 'services' else f'a.{n}' for n in vocab.SIGNALS)},
+            d.score, d.band, coalesce(o.top_type, '') AS top_type, d.types, {lst('a.audiences')} AS audiences
+            FROM done d JOIN site_an a USING (website) JOIN site_score o USING (website)""",
+        "l05_stored_analysis": """SELECT lead_id, status, website, array_to_string(emails, ', ') AS emails, array_to_string(phones, ', ') AS phones, score,
+            length(text)::INT AS text_chars, false AS no_analysis, lead_id * 5 + 4 AS last_seq FROM done""",
+        "l09_stored_rows": f"""SELECT d.lead_id, coalesce(nullif(d.company_name, ''), nullif(d.business_name, ''), 'Unknown') AS name, d.website AS address, d.status,
+            d.score AS opportunity_score, d.band, array_to_string(list_filter([array_to_string(d.emails, ', '), array_to_string(d.phones, ', ')], lambda x: x <> ''), '|') AS contacts,
+            coalesce(t.top, '') AS top FROM done d LEFT JOIN (SELECT website, string_agg(type || ':' || score, '|' ORDER BY rank) FILTER (WHERE rank <= 4) AS top
+                FROM site_opps GROUP BY website) t USING (website) ORDER BY d.lead_id DESC LIMIT 100""",
+        "l11_stored_detail": f"""SELECT d.lead_id, coalesce(nullif(d.company_name, ''), nullif(d.business_name, ''), 'Unknown') AS name, d.website AS address, d.status,
+            d.score AS opportunity_score, d.band, coalesce(nullif(array_to_string(d.emails, ', '), ''), 'Not found') AS email,
+            coalesce(nullif(array_to_string(d.phones, ', '), ''), 'Not found') AS phone, {', '.join(f"coalesce({e}::VARCHAR, '-') AS {n}" for n, e in (
+                ('pos', '(o.rank - 1)'), ('type', 'o.type'), ('priority', 'o.priority'), ('score', 'o.score'), ('impact', 'o.impact'), ('confidence', 'o.confidence'),
+                ('evidence', "replace(o.evidence, '|', ',')")))}, o.type IS NOT NULL AS recommended
+            FROM done d LEFT JOIN site_opps o USING (website)""",
         "l01_state_fold": f"SELECT {STATE} FROM state",
         "l02_final_status": "SELECT status, method, count(*) AS leads FROM done GROUP BY ALL",
         "l02_failed_without_browser": """SELECT l.lead_id, CASE WHEN l.website = 'NOT_FOUND' OR h.mode = 'http' THEN l.website ELSE 'ERROR' END AS website,
@@ -193,5 +211,5 @@ def queries() -> dict[str, str]:
     for n, kind in enumerate(kinds, 1):
         out[f"r{n:02d}_{kind}"] = (f"SELECT website, rank, priority, score, impact, confidence, fit AS solution_fit, evidence, unknowns "
                                    f"FROM site_opps WHERE type = '{kind}'")
-    leads_first = {"lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
+    leads_first = {"a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
     return {n: full(s, "located" if n in leads_first else "newweb") for n, s in out.items()}
