@@ -18,6 +18,7 @@ every decision is even.
 """
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ PRIOR = 0.4
 SEGMENT, LONGEST_SEGMENT = 256, 65_536
 STEP = 4096
 #: Decisions that are gathered before they are counted.
-_GATHERED = 1 << 22
+_GATHERED = 1 << 23
 RATE, DAMPING, INERTIA = 0.15, 0.3, 20.0
 _CHUNK = 1 << 18
 _UNIT = 256.0  # log odds are kept as 16-bit numbers in this unit
@@ -72,13 +73,14 @@ def _code(counts: np.ndarray) -> list[list[tuple[int, int]]]:
 
 @dataclass
 class Tree:
-    """A Huffman code for each preceding byte: where the decisions of (before, byte) start in the flat arrays, and how many."""
+    """A Huffman code for each preceding byte: where the decisions of (before, byte) start in a flat array, and how many.
+
+    A decision is a node number, its depth times 16 from bit 16 on, and the outcome as bit 24.
+    """
 
     start: np.ndarray
     length: np.ndarray
-    node: np.ndarray
-    depth: np.ndarray
-    bit: np.ndarray
+    decision: np.ndarray
 
     @classmethod
     def of(cls, pairs: np.ndarray) -> "Tree":
@@ -86,10 +88,9 @@ class Tree:
         pairs = pairs.reshape(256, 256)
         rest = _code(pairs.sum(axis=0))
         paths = [path for before in pairs for path in (_code(before) if before.any() else rest)]
-        length = np.array([len(p) for p in paths])
-        flat = np.array([(n, d, b) for p in paths for d, (n, b) in enumerate(p)])
-        return cls(np.cumsum(length) - length, length, flat[:, 0].astype(np.uint32),
-                   np.minimum(flat[:, 1], 15).astype(np.uint8), flat[:, 2].astype(np.uint8))
+        length = np.array([len(p) for p in paths], np.int32)
+        flat = [n | min(d, 15) << 20 | b << 24 for p in paths for d, (n, b) in enumerate(p)]
+        return cls((np.cumsum(length) - length).astype(np.int32), length, np.array(flat, np.uint32))
 
 
 class Stream:
@@ -150,18 +151,26 @@ class Stream:
         return self
 
     def decisions(self, tree: Tree, at: np.ndarray):
-        """Number of decisions of each byte at ``at``; gate, bit and one table slot per context of each decision.
+        """Number of decisions of each byte at ``at``; gate, outcome and one table slot per context of each decision.
 
         The decisions of one context lie side by side in its table, so they share a cache line.
         """
-        pair = self.before[at].astype(np.int64) << 8 | self.data[at]
+        pair = self.before[at].astype(np.int32) << 8 | self.data[at]
         length = tree.length[pair]
-        begin = np.cumsum(length) - length
-        flat = np.arange(int(length.sum())) + np.repeat(tree.start[pair] - begin, length)
-        node = tree.node[flat]
-        gate = tree.depth[flat] << 4 | np.repeat(self.letters[at], length)
-        slots = [(np.repeat(c[at], length) + node) & np.uint32((1 << bits) - 1) for c, bits in zip(self.contexts, BITS)]
-        return length, gate, tree.bit[flat], slots
+        begin = np.cumsum(length, dtype=np.int32) - length
+        flat = np.repeat(tree.start[pair] - begin, length)
+        flat += np.arange(len(flat), dtype=np.int32)
+        decision = tree.decision[flat]
+        node = decision & np.uint32(0xFFFF)
+        gate = (decision >> np.uint32(16)).astype(np.uint8)
+        gate |= np.repeat(self.letters[at], length)
+        slots = []
+        for context, bits in zip(self.contexts, BITS):
+            slot = np.repeat(context[at], length)
+            slot += node
+            slot &= np.uint32((1 << bits) - 1)
+            slots.append(slot)
+        return length, gate, (decision >> np.uint32(24)).astype(np.uint8), slots
 
 
 def _windows(n: int, width: int = LONGEST_SEGMENT):
@@ -204,7 +213,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_counts(tree: Tree):
-    """Counts of both outcomes in every slot, as the filled places of blocks of ``BLOCK`` slots."""
+    """Counts of both outcomes in every slot, by blocks of ``BLOCK`` slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * _TOP[-1], np.int32)
@@ -229,15 +238,14 @@ def _context_counts(tree: Tree):
                         count()
                         size = 0
         count()
-        parts = []
+        # Most counts fit a byte and most bytes are 0 or 1, which deflate brings to about two bits.
         for block, part in enumerate(counts.reshape(-1, 2 * BLOCK)):
-            filled = np.flatnonzero(part)
-            if len(filled):
-                parts.append((block, filled.astype(np.uint16).tobytes(), part[filled].tobytes()))
-        for i in range(0, len(parts), 256):
-            block, places, filled = zip(*parts[i:i + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(places), pa.array(filled)],
-                                             ["block", "places", "counts"])
+            if part.any():
+                large = np.flatnonzero(part > 255)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([zlib.compress(np.minimum(part, 255).astype(np.uint8), 1)]),
+                     pa.array([large.astype(np.uint16).tobytes()]), pa.array([(part[large] - 255).tobytes()])],
+                    ["block", "small", "places", "rest"])
 
     return run
 
@@ -246,10 +254,11 @@ def _log_odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the blocks of a partition as they come (all blocks together have a fixed size) and gives their log odds."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+        for block, small, places, rest in zip(*(c.to_pylist() for c in batch.columns)):
             if block not in total:
                 total[block] = np.zeros(2 * BLOCK, np.int64)
-            total[block][np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32)
+            total[block] += np.frombuffer(zlib.decompress(small), np.uint8)
+            total[block][np.frombuffer(places, np.uint16)] += np.frombuffer(rest, np.int32)
     for block, sums in total.items():
         odds = np.log((sums[1::2] + PRIOR) / (sums[::2] + PRIOR))
         kept = np.clip(np.round(odds * _UNIT), -32767, 32767).astype(np.int16)
@@ -297,17 +306,18 @@ class Mixer:
         weight = (self.weight / _UNIT).astype(np.float32)
         total = np.zeros(stream.texts)
         own = np.zeros((len(BITS), stream.texts), np.float32)
+        bend = np.zeros(own.shape)  # curvature of a text's log probability per decision, from its first bytes
         curve = np.full(own.shape, INERTIA * _UNIT ** 2)
         start, width = 0, SEGMENT
         longest = int(stream.size.max()) if stream.texts else 0
         while start < longest:
             live = np.flatnonzero(stream.size > start)
             for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(np.minimum(stream.size[live] - start, width)) // LONGEST_SEGMENT)) + 1):
-                self._segment(stream, some, start, width, weight, own, curve, total)
+                self._segment(stream, some, start, width, weight, own, bend, curve, total)
             start, width = start + width, min(2 * width, LONGEST_SEGMENT)
         return total, stream.size, stream.words
 
-    def _segment(self, stream: Stream, live, start: int, width: int, weight, own, curve, total) -> None:
+    def _segment(self, stream: Stream, live, start: int, width: int, weight, own, bend, curve, total) -> None:
         """Score the bytes from ``start`` of the texts ``live``, and refine the weights of those that go on."""
         size = np.minimum(stream.size[live] - start, width)
         begin = np.cumsum(size) - size
@@ -322,20 +332,29 @@ class Mixer:
                 w += np.repeat(own[k][live], edges)
             w *= x[k]
             z += w
+        sign = bit.astype(np.float32)
+        sign += sign
+        sign -= 1
+        z *= sign  # log odds of what came
         np.clip(z, -_LIMIT, _LIMIT, out=z)
-        toward = np.where(bit, z, -z)  # log odds of what came
-        small = np.exp(-np.abs(z))
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
         first = np.cumsum(edges) - edges
-        total[live] += np.add.reduceat(np.minimum(toward, 0) - np.log(1 + small), first, dtype=np.float64)
+        total[live] -= np.add.reduceat(np.log(z), first, dtype=np.float64)
         on = stream.size[live] > start + width
         if not on.any():
             return
-        p = np.where(z >= 0, 1, small) / (1 + small)
-        wrong = bit - p
-        spread = p * (1 - p)
+        np.divide(1, z, out=z)
+        if not start:
+            spread = z * (1 - z)
+        z -= 1
+        z *= sign  # what the model gave away
         for k in range(len(BITS)):
-            slope = np.add.reduceat(wrong * x[k], first, dtype=np.float64)
-            curve[k][live] += np.add.reduceat(spread * x[k] * x[k], first, dtype=np.float64)
+            if not start:
+                bend[k][live] = np.add.reduceat(spread * x[k] * x[k], first, dtype=np.float64) / edges
+            slope = -np.add.reduceat(z * x[k], first, dtype=np.float64)
+            curve[k][live] += bend[k][live] * edges
             own[k][live] += DAMPING * slope / curve[k][live]
 
 
@@ -343,7 +362,7 @@ def train(known: DataFrame, pairs: np.ndarray) -> Mixer:
     """The mixer from the training texts (doc_id, text)."""
     tree = Tree.of(pairs)
     mixing = F.pmod(F.xxhash64("doc_id"), F.lit(MIXING_FOLDS)) == 0
-    blocks = (known.where(~mixing).select("text").mapInArrow(_context_counts(tree), "block int, places binary, counts binary")
+    blocks = (known.where(~mixing).select("text").mapInArrow(_context_counts(tree), "block int, small binary, places binary, rest binary")
               .repartition("block").mapInArrow(_log_odds, "block int, odds binary"))
     odds = np.zeros(_TOP[-1], np.int16)
     for r in blocks.collect():
