@@ -287,6 +287,22 @@ def test_vectors_found(spark):
     assert [rows[i].component_id for i in range(1500)] == reach.tolist()
 
 
+def test_vector_recall_at_the_threshold(spark, monkeypatch):
+    """Random vectors in 78 lists, each with a neighbour whose cosine is 0.95 to 0.96."""
+    monkeypatch.setattr(vector_dedup, "LIST_ROWS", 64)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((2500, 64))
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.96, (2500, 1))
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine ** 2) * away])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    rows = vector_dedup.vector_dedup(table).collect()
+    assert sum(r.n_links for r in rows) >= 0.98 * 5000
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x.com/{i}\r\nEvil: 1", "é<p>" * (300 if i % 3 else 2)) for i in range(30)],
                                   "page_id long, url string, html string").repartition(2)
