@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import urls
 from leadloom.operators import analysis, leads as lead_ops, opportunities, sites
 from leadloom.session import stored
+from leadloom.sources import tables
 
 #: Parts of the parsed tables.
 BUCKETS = 64
@@ -31,8 +32,23 @@ def parsed_sources(source_pages: DataFrame) -> DataFrame:
 
 
 def parsed_captures(captures: DataFrame) -> DataFrame:
-    """What the lead job reads of page captures (page_id, url, html, channel), and the bucket.  Row-local, no shuffle."""
-    return sites.parsed_captures(captures).withColumn("bucket", bucket(F.col("url")))
+    """What the lead job reads of page captures (page_id, url, html, channel), and the bucket.  Row-local, no shuffle.
+
+    With the columns status_code and content_type, HTTP captures that the crawl checks refuse count as not fetched;
+    ``refused_captures`` has them.
+    """
+    return sites.parsed_captures(_judged(captures).where("verdict = 'ok'")).withColumn("bucket", bucket(F.col("url")))
+
+
+def refused_captures(captures: DataFrame) -> DataFrame:
+    """page_id, url, channel and the verdict of captures that do not count."""
+    return _judged(captures).where("verdict <> 'ok'").select("page_id", "url", "channel", "verdict")
+
+
+def _judged(captures: DataFrame) -> DataFrame:
+    if "status_code" not in captures.columns:
+        return captures.withColumn("verdict", F.lit("ok"))
+    return tables.admission(captures).withColumn("verdict", F.when(F.col("channel") == "browser", "ok").otherwise(F.col("verdict")))
 
 
 def bucket(url: Column) -> Column:
@@ -122,6 +138,12 @@ def to_events(finished: DataFrame, ts: Column, after: Column | None = None) -> D
         ts.alias("ts"), "event.*")
 
 
+def rejects(finished: DataFrame) -> DataFrame:
+    """lead_id, website and reason of failed leads: no page of their website could be read."""
+    return finished.where("status = 'FAILED'").select(
+        "lead_id", F.col("found_website").alias("website"), F.lit("no_page").alias("reason"))
+
+
 def report(enriched: DataFrame) -> DataFrame:
     """Report input of finished leads: the company falls back to the business name."""
     return enriched.withColumn("company_name", F.coalesce(

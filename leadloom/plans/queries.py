@@ -623,34 +623,54 @@ def _(spark, d):
 
 # --- streams --------------------------------------------------------------------
 
-def _streamed_state(spark, d) -> str:
-    schema = tables.table(spark, d, "events").schema
-    events = seeding.as_lead_events(jobs.file_stream(spark, d, schema, "events.parquet"))
-    out = new_path(spark, "lead-state")
-    jobs.state_stream(events, out, new_path(spark, "state-checkpoint")).awaitTermination()
+def _streamed_state(spark, d) -> tuple[str, str, str]:
+    """Folders of state changes, payloads and snapshot, from events that arrived in four files."""
+    arriving, out, payloads, snapshot = (new_path(spark, n) for n in ("events", "lead-state", "lead-payloads", "lead-snapshot"))
+    events = tables.table(spark, d, "events")
+    events.repartition(4).write.parquet(arriving)
+    stream = seeding.as_lead_events(jobs.file_stream(spark, arriving, events.schema))
+    jobs.state_stream(stream, out, new_path(spark, "state-checkpoint")).awaitTermination()
+    jobs.payload_stream(stream, payloads, new_path(spark, "payload-checkpoint")).awaitTermination()
+    jobs.compact_state(spark, out, snapshot)
+    return out, payloads, snapshot
+
+
+def _streamed_leads(spark, d, **options) -> str:
+    """Folder of leads finished by the stream, four files in four micro-batches."""
+    arriving = seeding.new_leads(spark, d)
+    folder, out, links, captures = (new_path(spark, n) for n in ("arriving", "finished", "source-table", "capture-table"))
+    arriving.repartition(4).write.parquet(folder)
+    enrichment.append_parsed(_links(spark, d), links)
+    enrichment.append_parsed(_parsed(spark, d), captures)
+    jobs.enrichment_stream(jobs.file_stream(spark, folder, arriving.schema), spark.read.parquet(links), spark.read.parquet(captures), out,
+                           new_path(spark, "lead-checkpoint"), **options).awaitTermination()
     return out
 
 
 @query("t1_streamed_enrichment")
 def _(spark, d):
-    arriving = seeding.new_leads(spark, d)
-    folder, out = new_path(spark, "arriving-leads"), new_path(spark, "finished-leads")
-    # Four files, so four micro-batches.
-    arriving.repartition(4).write.parquet(folder)
-    stream = jobs.file_stream(spark, folder, arriving.schema)
-    links, captures = new_path(spark, "source-table"), new_path(spark, "capture-table")
-    enrichment.append_parsed(_links(spark, d), links)
-    enrichment.append_parsed(_parsed(spark, d), captures)
-    jobs.enrichment_stream(stream, spark.read.parquet(links), spark.read.parquet(captures), out,
-                           new_path(spark, "lead-checkpoint")).awaitTermination()
-    return _flat_enriched(spark.read.parquet(out))
+    return _flat_enriched(spark.read.parquet(_streamed_leads(spark, d)))
+
+
+@query("t1_rejects")
+def _(spark, d):
+    rejects = new_path(spark, "rejects")
+    _streamed_leads(spark, d, use_browser=False, rejects=rejects)
+    return spark.read.parquet(rejects).select("lead_id", "website", "reason")
+
+
+@query("s2_refused_captures")
+def _(spark, d):
+    return enrichment.refused_captures(seeding.captures(spark, d)).where("page_id >= 0")
 
 
 @query("t2_streamed_state")
 def _(spark, d):
-    return _flat_state(jobs.current_state(spark, _streamed_state(spark, d)))
+    out, payloads, snapshot = _streamed_state(spark, d)
+    return _flat_state(jobs.current_state(spark, out, payloads, snapshot))
 
 
 @query("t3_live_stats")
 def _(spark, d):
-    return jobs.live_stats(spark, _streamed_state(spark, d))
+    out, _, snapshot = _streamed_state(spark, d)
+    return jobs.live_stats(spark, out, snapshot)

@@ -38,11 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_leadloom-{spark.sparkContext.applicationId}"
     if folder not in _own:
         _own.add(folder)
-        atexit.register(_delete, spark, folder)
+        atexit.register(delete, spark, folder)
     return folder
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # the session was stopped before the driver ends
         return
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,4 +74,4 @@ def stored_so_far() -> int:
 def release(spark: SparkSession, mark: int = 0) -> None:
     """Delete the stored tables written since ``mark``: once the results that read them are written."""
     while len(_written) > mark:
-        _delete(spark, _written.pop())
+        delete(spark, _written.pop())

@@ -195,15 +195,20 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     p, raw = F.col("page_id"), pages(spark, folder)
     shown = F.replace(F.col("raw_html"), F.lit("</footer>"), F.concat(
         F.lit("<p>Seen in a browser. Contact us. Book now.</p>"), _fill(F.lit(NAVIGATION[0]), p), F.lit("</footer>")))
+    # Some HTTP answers are errors or no pages: they count as not fetched.
+    status = F.when(p % 29 == 9, 404).otherwise(200)
+    kind = F.when(p % 31 == 12, "application/pdf").otherwise("text/html; charset=utf-8")
     capture = lambda channel, html, page_id=p: F.struct(
-        page_id.alias("page_id"), F.lit(channel).alias("channel"), html.alias("html"))
+        page_id.alias("page_id"), F.lit(channel).alias("channel"), html.alias("html"),
+        (status if channel == "http" else F.lit(None).cast("int")).alias("status_code"),
+        (kind if channel == "http" else F.lit(None).cast("string")).alias("content_type"))
     # One branch for both channels: over a union everything after it is planned twice.
     return (
         seed(raw.withColumn("raw_html", F.col("html")), "raw_html")
         .select("url", F.inline_outer(F.array_compact(F.array(
             F.when(p % 23 != 6, capture("http", F.col("html"))), F.when(p % 3 != 1, capture("browser", shown)),
             F.when((p % 4 == 1) & (p % 23 != 6), capture("http", F.lit("<p>Older</p>"), p - 1_000_000_000))))))
-        .where("channel is not null").select("page_id", "url", "html", "channel"))
+        .where("channel is not null").select("page_id", "url", "html", "channel", "status_code", "content_type"))
 
 
 def new_leads(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.session import delete
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -34,14 +36,45 @@ def admitted(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (judged.where("verdict = 'ok'").drop("verdict"), judged.where("verdict <> 'ok'"))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Lead snapshot; files from before a column was added give null for it."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a snapshot, oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(place)]
+    done = [n for n in names if n.startswith("v=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n[2:]) for n in done)
+
 
+def read_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The newest complete version; a column that its older files lack is null there.
+
+    Before the first version it is empty, with ``schema``.
+    """
+    versions = _versions(spark, path)
+    if not versions and schema is not None:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("mergeSchema", "true").parquet(f"{path}/v={versions[-1]}" if versions else path)
 
-def write_snapshot(leads: DataFrame, path: str) -> None:
-    """Write to a new folder: the folder a plan reads from is never overwritten."""
-    leads.write.mode("errorifexists").parquet(path)
+
+def write_snapshot(leads: DataFrame, path: str, keep: int = 2) -> None:
+    """Write the next version to a folder of its own, then drop all but the newest ``keep``.
+
+    A plan that still reads the version before is never disturbed, and a write that fails leaves no version.
+    """
+    spark = leads.sparkSession
+    versions = _versions(spark, path)
+    leads.write.mode("overwrite").parquet(f"{path}/v={versions[-1] + 1 if versions else 0}")
+    for old in _versions(spark, path)[:-keep]:
+        delete(spark, f"{path}/v={old}")
+
+
+def merged_snapshot(old: DataFrame, changed: DataFrame, key: str = "lead_id", order: str = "last_seq") -> DataFrame:
+    """Old and changed rows folded to the last one per key; either side may lack columns."""
+    both = with_added_columns(old, changed)
+    fields = [n for n in both.columns if n != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("row")).select(key, "row.*")
 
 
 def with_added_columns(old: DataFrame, new: DataFrame) -> DataFrame:

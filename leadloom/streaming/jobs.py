@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadloom.operators import dashboard
-from leadloom.operators.leads import fold_state
 from leadloom.plans.enrichment import enrich
+from leadloom.plans.enrichment import rejects as failed_leads
 from leadloom.session import release, stored_so_far
+from leadloom.sources import tables
 
 LIVE_TRIGGER = "10 seconds"
 
@@ -46,29 +47,102 @@ def parse_stream(arriving: DataFrame, parse, out: str, checkpoint: str, live: bo
 
 
 def enrichment_stream(leads: DataFrame, links: DataFrame, captures: DataFrame, out: str, checkpoint: str,
-                      live: bool = False) -> StreamingQuery:
-    """Finish streamed leads against the parsed page tables; results go to ``out`` per batch."""
-    work = lambda batch: enrich(batch, links, captures)
-    return _start(leads, "append", _batch_writer(out, work), checkpoint, live)
+                      live: bool = False, use_browser: bool = True, rejects: str | None = None) -> StreamingQuery:
+    """Finish streamed leads against the parsed page tables; results go to ``out`` per batch.
+
+    A lead whose pages cannot be read ends as FAILED and is listed in ``rejects``; it never stops the stream.
+    """
+    finish = _batch_writer(out, lambda batch: enrich(batch, links, captures, use_browser))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        finish(batch, batch_id)
+        if rejects:
+            done = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
+            failed_leads(done).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+
+    return _start(leads, "append", write, checkpoint, live)
+
+
+# Contacts, page text and analysis documents are large; the state only keeps which event holds the last of them.
+PAYLOAD = ["emails", "phones", "body_text", "analysis_json"]
+
+
+def slim_state(events: DataFrame) -> DataFrame:
+    """Current scalars per lead, and the numbers of the events with its last scrape and analysis."""
+    c = F.col
+    last = lambda value, cond: F.max_by(value, F.when(cond, c("seq")))
+    kind = lambda k: c("kind") == k
+    return events.groupBy("lead_id").agg(
+        F.coalesce(last("status", kind("status")), F.lit("PENDING")).alias("status"),
+        last("website", kind("status") & c("website").isNotNull()).alias("website"),
+        last("company_name", kind("status") & c("company_name").isNotNull()).alias("company_name"),
+        F.max(F.when(kind("scraped"), c("seq"))).alias("scraped_seq"),
+        F.max(F.when(kind("analysis"), c("seq"))).alias("analysis_seq"),
+        last("score", kind("analysis")).alias("opportunity_score"),
+        F.min("ts").alias("created_at"), F.max_by("ts", "seq").alias("updated_at"), F.max("seq").alias("last_seq"))
+
+
+STATE_SCHEMA = ("lead_id long, status string, website string, company_name string, scraped_seq long, analysis_seq long, "
+                "opportunity_score int, created_at timestamp, updated_at timestamp, last_seq long, batch_id int")
 
 
 def state_stream(events: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
     """Keep the current row of every lead.
 
-    The fold lives in the state store; each batch writes only the leads it changed.
-    There is no event time, hence no watermark: state is one small row per lead.
+    The fold lives in the state store; each batch writes only the leads it changed.  There is no event time, hence
+    no watermark: state is one small row per lead, for what is large stays with ``payload_stream``.
     """
-    return _start(fold_state(events), "update", _batch_writer(out), checkpoint, live)
+    return _start(slim_state(events), "update", _batch_writer(out), checkpoint, live)
+
 
+def payload_stream(events: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
+    """The contacts, texts and documents of events, by lead and event number."""
+    held = events.where("kind in ('scraped', 'analysis')").select("lead_id", "seq", *PAYLOAD)
+    return _start(held, "append", _batch_writer(out), checkpoint, live)
 
-def current_state(spark: SparkSession, out: str) -> DataFrame:
-    """Snapshot from the changes ``state_stream`` wrote: the last row per lead."""
-    changes = spark.read.parquet(out)
-    fields = [n for n in changes.columns if n not in ("lead_id", "batch_id")]
-    return (changes.groupBy("lead_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("row"))
-            .select("lead_id", "row.*"))
 
+def _changes(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
+    """State rows that batches after ``after`` wrote; none before the first batch."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.schema(STATE_SCHEMA).parquet(out).where(F.col("batch_id") > after)
 
-def live_stats(spark: SparkSession, out: str) -> DataFrame:
-    """Dashboard numbers over the streamed state."""
-    return dashboard.stats(current_state(spark, out))
+
+def compact_state(spark: SparkSession, out: str, snapshot: str) -> None:
+    """Fold the changes since the last snapshot into the next one, so that reading never goes through all history.
+
+    The folders of batches that the snapshot before this one holds already are deleted.
+    """
+    old = tables.read_snapshot(spark, snapshot, STATE_SCHEMA)
+    seen = old.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+    tables.write_snapshot(tables.merged_snapshot(old, _changes(spark, out, seen), order="batch_id"), snapshot)
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(place) if system.exists(place) else []:
+        name = folder.getPath().getName()
+        if name.startswith("batch_id=") and int(name[9:]) <= seen:
+            system.delete(folder.getPath(), True)
+
+
+def slim_current(spark: SparkSession, out: str, snapshot: str | None = None) -> DataFrame:
+    """The last state row per lead: the snapshot and the changes after it."""
+    if snapshot is None:
+        return tables.merged_snapshot(spark.createDataFrame([], STATE_SCHEMA), _changes(spark, out), order="batch_id").drop("batch_id")
+    old = tables.read_snapshot(spark, snapshot, STATE_SCHEMA)
+    seen = old.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+    return tables.merged_snapshot(old, _changes(spark, out, seen), order="batch_id").drop("batch_id")
+
+
+def current_state(spark: SparkSession, out: str, payloads: str, snapshot: str | None = None) -> DataFrame:
+    """Lead rows as ``leads.fold_state`` gives them, with contacts, text and document."""
+    held = spark.read.parquet(payloads).dropDuplicates(["lead_id", "seq"])
+    scraped = held.select("lead_id", F.col("seq").alias("scraped_seq"), "emails", "phones", "body_text")
+    analysis = held.select("lead_id", F.col("seq").alias("analysis_seq"), "analysis_json")
+    return (slim_current(spark, out, snapshot).join(scraped, ["lead_id", "scraped_seq"], "left")
+            .join(analysis, ["lead_id", "analysis_seq"], "left").drop("scraped_seq", "analysis_seq"))
+
+
+def live_stats(spark: SparkSession, out: str, snapshot: str | None = None) -> DataFrame:
+    """Dashboard numbers over the streamed state; zeros before the first batch."""
+    return dashboard.stats(slim_current(spark, out, snapshot))

