@@ -42,7 +42,7 @@ PRIOR = 0.4
 SEGMENT, LONGEST_SEGMENT = 256, 65_536
 STEP = 4096
 #: Decisions that are gathered before they are counted.
-_GATHERED = 1 << 23
+_GATHERED = 5 << 20
 RATE, DAMPING, INERTIA = 0.15, 0.3, 20.0
 _CHUNK = 1 << 18
 _UNIT = 256.0  # log odds are kept as 16-bit numbers in this unit
@@ -150,17 +150,21 @@ class Stream:
         self.letters = np.minimum(np.arange(n) - np.repeat(begin, unit_length), 15).astype(np.uint8)
         return self
 
-    def decisions(self, tree: Tree, at: np.ndarray):
-        """Number of decisions of each byte at ``at``; gate, outcome and one table slot per context of each decision.
-
-        The decisions of one context lie side by side in its table, so they share a cache line.
-        """
+    def _steps(self, tree: Tree, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of decisions of each byte at ``at``, and all of them."""
         pair = self.before[at].astype(np.int32) << 8 | self.data[at]
         length = tree.length[pair]
         begin = np.cumsum(length, dtype=np.int32) - length
         flat = np.repeat(tree.start[pair] - begin, length)
         flat += np.arange(len(flat), dtype=np.int32)
-        decision = tree.decision[flat]
+        return length, tree.decision[flat]
+
+    def decisions(self, tree: Tree, at: np.ndarray):
+        """Number of decisions of each byte at ``at``; gate, outcome and one table slot per context of each decision.
+
+        The decisions of one context lie side by side in its table, so they share a cache line.
+        """
+        length, decision = self._steps(tree, at)
         node = decision & np.uint32(0xFFFF)
         gate = (decision >> np.uint32(16)).astype(np.uint8)
         gate |= np.repeat(self.letters[at], length)
@@ -172,6 +176,19 @@ class Stream:
             slots.append(slot)
         return length, gate, (decision >> np.uint32(24)).astype(np.uint8), slots
 
+    def outcomes(self, tree: Tree, at: np.ndarray) -> list[np.ndarray]:
+        """For each context twice the slot of each decision, plus the outcome."""
+        length, decision = self._steps(tree, at)
+        step = (decision & np.uint32(0xFFFF)) << np.uint32(1)
+        step |= decision >> np.uint32(24)
+        made = []
+        for context, bits in zip(self.contexts, BITS):
+            place = np.repeat(context[at] << np.uint32(1), length)
+            place += step
+            place &= np.uint32((2 << bits) - 1)
+            made.append(place)
+        return made
+
 
 def _windows(n: int, width: int = LONGEST_SEGMENT):
     for i in range(0, n, width):
@@ -230,10 +247,9 @@ def _context_counts(tree: Tree):
             for _, _, data, offsets in chunks(batch.column(0), _CHUNK):
                 stream = Stream(data, offsets).prepare()
                 for at in _windows(len(stream.data)):
-                    _, _, bit, slots = stream.decisions(tree, at)
-                    for k, slot in enumerate(slots):
-                        gathered[k].append(slot << np.uint32(1) | bit)
-                    size += len(bit)
+                    for parts, places in zip(gathered, stream.outcomes(tree, at)):
+                        parts.append(places)
+                    size += len(places)
                     if size >= _GATHERED:
                         count()
                         size = 0
@@ -311,14 +327,17 @@ class Mixer:
         start, width = 0, SEGMENT
         longest = int(stream.size.max()) if stream.texts else 0
         while start < longest:
-            live = np.flatnonzero(stream.size > start)
-            for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(np.minimum(stream.size[live] - start, width)) // LONGEST_SEGMENT)) + 1):
-                self._segment(stream, some, start, width, weight, own, bend, curve, total)
+            on = stream.size > start + width
+            for live in (np.flatnonzero(on), np.flatnonzero((stream.size > start) & ~on)):
+                length = np.minimum(stream.size[live] - start, width)
+                for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(length) // LONGEST_SEGMENT)) + 1):
+                    if len(some):
+                        self._segment(stream, some, start, width, weight, own, bend, curve, total)
             start, width = start + width, min(2 * width, LONGEST_SEGMENT)
         return total, stream.size, stream.words
 
     def _segment(self, stream: Stream, live, start: int, width: int, weight, own, bend, curve, total) -> None:
-        """Score the bytes from ``start`` of the texts ``live``, and refine the weights of those that go on."""
+        """Score the bytes from ``start`` of the texts ``live``; if they go on after ``width`` bytes, refine their weights."""
         size = np.minimum(stream.size[live] - start, width)
         begin = np.cumsum(size) - size
         at = np.arange(int(size.sum())) + np.repeat(stream.first[live] + start - begin, size)
@@ -342,8 +361,7 @@ class Mixer:
         z += 1
         first = np.cumsum(edges) - edges
         total[live] -= np.add.reduceat(np.log(z), first, dtype=np.float64)
-        on = stream.size[live] > start + width
-        if not on.any():
+        if stream.size[live[0]] <= start + width:
             return
         np.divide(1, z, out=z)
         if not start:
