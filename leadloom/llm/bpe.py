@@ -14,6 +14,7 @@ tokens.  Null counts as empty; an empty text has no ids.  Repeated rows are enco
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from leadloom.llm.tables import per_text, texts
 
-CACHED = 300_000
+CACHED = 600_000
 CACHED_LENGTH = 64
 _END = "\n"
 # White space as the file's patterns mean it, and the file's word pattern.
@@ -114,7 +115,7 @@ class Bpe:
                 key = last[start] << 20 | token
                 fit = known.get(key)
                 if fit is None:
-                    if len(known) > 4 * CACHED:
+                    if len(known) > 2 * CACHED:
                         known.clear()
                     fit = known[key] = self.fits(last[start], token)
                 if not fit:
@@ -187,7 +188,7 @@ def as_ids(ids: list[int], _: Bpe) -> list[int]:
 
 def as_bytes(ids: list[int], _: Bpe) -> bytes:
     """Little-endian unsigned 32-bit numbers."""
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def as_text(ids: list[int], bpe: Bpe) -> tuple[int, str, str]:

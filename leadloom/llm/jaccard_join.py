@@ -37,7 +37,7 @@ _SLAB = 4096
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows per band): the most rows, so the fewest false candidates, that still reach the recall."""
     for rows in range(hashes, 0, -1):
-        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity ** rows))) if similarity ** rows < 1 else 1
+        bands = int(np.ceil(np.log1p(-recall) / np.log1p(-similarity ** rows))) if similarity < 1 else 1
         if bands * rows <= hashes:
             return bands, rows
     raise ValueError("this recall needs more hashes")
