@@ -107,13 +107,14 @@ def features(column: pa.Array, weights: np.ndarray) -> dict:
 def _repeated_lines(words: Words) -> np.ndarray:
     """Lines that hold a word and equal an earlier line of their text."""
     breaks = np.flatnonzero(words.data == 10)
-    ends = np.unique(np.concatenate([breaks, words.offsets[1:]]))
     start = np.unique(np.concatenate([breaks + 1, words.offsets[:-1]]))
     start = start[start < len(words.data)]
-    end = ends[np.searchsorted(ends, start)]
-    holds = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
-    start, end = start[holds], end[holds]
     row = np.searchsorted(words.offsets, start, "right") - 1
+    # A line ends at the next break or with its text.
+    end = np.append(breaks, len(words.data))[np.searchsorted(breaks, start)]
+    end = np.minimum(end, words.offsets[row + 1])
+    holds = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
+    start, end, row = start[holds], end[holds], row[holds]
     h = words.hashed(start, end)
     order = np.lexsort((h, row))
     again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])

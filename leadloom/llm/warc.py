@@ -71,7 +71,7 @@ def inflated(source, piece: int = _PIECE) -> Iterator[bytes]:
     while data := source.read(piece):
         while data:
             yield inflate.decompress(data, piece)
-            while inflate.unconsumed_tail:
+            while inflate.unconsumed_tail and not inflate.eof:
                 yield inflate.decompress(inflate.unconsumed_tail, piece)
             data = inflate.unused_data
             if inflate.eof:
