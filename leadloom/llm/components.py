@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from leadloom.llm.tables import stored
 
 
-def _lowest(edges: DataFrame) -> DataFrame:
-    """(hub, low): the smallest neighbour of each node a.
+def lowest(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(hub, ``name``): the smallest ``value`` of each long ``key``.
 
-    hub is worked out anew, so the join that follows shuffles both sides for itself and a hub's edges can be split.
+    hub is worked out anew, so the join that follows shuffles both sides for itself and a hub's rows can be split.
     """
-    return edges.groupBy("a").agg(F.min("b").alias("low")).select(F.expr("a ^ 0L").alias("hub"), "low")
+    return rows.groupBy(key).agg(F.min(value).alias(name)).select(F.expr(f"{key} ^ 0L").alias("hub"), name)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.union(now.select("b", "a"))
-        large = (both.join(_lowest(both), F.col("a") == F.col("hub")).where("b > a")
+        large = (both.join(lowest(both, "a", "b", "low"), F.col("a") == F.col("hub")).where("b > a")
                  .select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct())
-        low = _lowest(large)
+        low = lowest(large, "a", "b", "low")
         small = (large.join(low, F.col("a") == F.col("hub")).where("b <> low")
                  .select(F.col("b").alias("a"), F.col("low").alias("b"))
                  .union(low.select(F.col("hub").alias("a"), F.col("low").alias("b"))).distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.components import components
+from leadloom.llm.components import components, lowest
 from leadloom.llm.tables import per_text, stored, texts
 from leadloom.llm.words import Words, chunks, mix, shingles, sorted_sets
 
@@ -261,8 +261,8 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     joined = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     linked = joined.join(near.select("node", "rep"), "node")
-    smallest = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    linked = (linked.join(smallest, "component").join(counts, "node", "left")
+    smallest = lowest(linked, "component", "rep", "class_id")
+    linked = (linked.join(smallest, F.col("component") == F.col("hub")).join(counts, "node", "left")
               .select(F.col("node").alias("high"), "class_id", "classes", "documents"))
     known = (classes.join(linked, "high", "left")
              .select("high", "low", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.components import components
+from leadloom.llm.components import components, lowest
 from leadloom.llm.jaccard_join import _roots
 from leadloom.llm.tables import stored
 
@@ -241,8 +241,8 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = joined.join(classes.select("node", "rep"), "node")
-    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(smallest, "component").select("node", "component_id").join(counts, "node", "left")
+    smallest = lowest(known, "component", "rep", "component_id")
+    known = known.join(smallest, F.col("component") == F.col("hub")).select("node", "component_id").join(counts, "node", "left")
     known = (classes.select("node", "low", "rep", "copies").join(known, "node", "left")
              .select(F.col("node").alias("high"), "low", F.coalesce("component_id", "rep").alias("component_id"),
                      (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
