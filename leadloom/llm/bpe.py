@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from leadloom.llm.tables import per_text, texts
 
-CACHED = 600_000
+CACHED = 300_000
 CACHED_LENGTH = 64
 _END = "\n"
 # White space as the file's patterns mean it, and the file's word pattern.
@@ -115,7 +115,7 @@ class Bpe:
                 key = last[start] << 20 | token
                 fit = known.get(key)
                 if fit is None:
-                    if len(known) > 2 * CACHED:
+                    if len(known) > 4 * CACHED:
                         known.clear()
                     fit = known[key] = self.fits(last[start], token)
                 if not fit:
