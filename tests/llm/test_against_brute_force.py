@@ -303,6 +303,21 @@ def test_vector_recall_at_the_threshold(spark, monkeypatch):
     assert sum(r.n_links for r in rows) >= 0.98 * 5000
 
 
+def test_vector_hot_cluster(spark, monkeypatch):
+    """A third of the rows are distinct vectors of one tight cluster, spread over some thirty lists; no link is lost."""
+    monkeypatch.setattr(vector_dedup, "LIST_ROWS", 32)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 64))
+    x[::3] = x[0] + rng.standard_normal((1000, 64)) * 0.15
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 500_000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r.n_links for r in vector_dedup.vector_dedup(table).collect()}
+    assert [rows[i] for i in range(3000)] == near.sum(axis=1).tolist()
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x.com/{i}\r\nEvil: 1", "é<p>" * (300 if i % 3 else 2)) for i in range(30)],
                                   "page_id long, url string, html string").repartition(2)
