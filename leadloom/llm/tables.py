@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from leadloom.session import new_path, stored
 
-__all__ = ["read", "stored", "new_path", "texts", "fold", "labelled", "per_text", "kept_rows"]
+__all__ = ["read", "stored", "new_path", "texts", "fold", "labelled", "distinct_texts", "per_text", "kept_rows"]
 
 #: Up to so many label rows (16 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Up to so many hashes of repeated texts (16 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_REPEATED = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +42,22 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, worst: Callable =
     return docs.join(F.broadcast(one) if few else one, "doc_id")
 
 
+def distinct_texts(docs: DataFrame, label: str | None = None) -> DataFrame:
+    """(text, ``label``) of each distinct text of ``texts`` once, by 128 bits of hash; of several labels the largest counts.
+
+    Only rows whose text repeats move, combined in each task before.
+    """
+    keys = ["high", "low"]
+    rows = docs.select("text", *([label] if label else []), F.xxhash64("text").alias("high"),
+                       F.xxhash64(F.lit(1), "text").alias("low"))
+    again = stored(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1").select(*keys), "repeated")
+    again = F.broadcast(again) if again.count() <= BROADCAST_REPEATED else again
+    made = [F.first("text").alias("text"), *([F.max(label).alias(label)] if label else [])]
+    out = ["text", *([label] if label else [])]
+    return (rows.join(again, keys, "left_anti").select(*out)
+            .union(rows.join(again, keys, "left_semi").groupBy(*keys).agg(*made).select(*out)))
+
+
 def per_text(docs: DataFrame, schema: str, work: Callable[[pa.Array], dict]) -> DataFrame:
     """(doc_id, *schema) for each row of ``texts``; ``work`` gets the texts of a batch and returns its columns."""
     names = [c.split()[0] for c in schema.split(", ")]

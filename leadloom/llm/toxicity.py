@@ -1,12 +1,12 @@
 """Toxicity: cumulative-link ordinal regression from sparse word features to severity grades.
 
 Features of a text are the distinct hashes of its lower-cased words and of their first four, five and six bytes.
-All labelled documents are counted, and the ``FEATURES`` features most tied to toxic labels are the model's
-columns.  A labelled document has grade 0 (not toxic), 1, 2 or 3: toxic ones by their number of distinct marker
+All labelled documents are counted, each distinct text once, and every feature whose odds among toxic texts are over
+``ODDS`` times those among clean ones, by a likelihood ratio above ``SIGNIFICANT``, is a column of the model.  A labelled document has grade 0 (not toxic), 1, 2 or 3: toxic ones by their number of distinct marker
 words (a marker stands almost only in toxic texts).  The regression is P(grade > k) = sigmoid(w.x - cut_k): one weight
 vector for all ordered cuts.  The result is the expected grade, the sum of those probabilities.
 
-The regression is fitted on at most ``TRAIN_ROWS`` labelled rows (by hash of the id), everything else on all rows.
+The regression is fitted on at most ``TRAIN_ROWS`` distinct labelled texts (by hash), everything else on all of them.
 Nulls and empty texts have no features.  Repeated rows and ties are judged row by row.  With no toxic label nothing
 is toxic.
 """
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.tables import kept_rows, labelled, per_text, texts
+from leadloom.llm.tables import distinct_texts, kept_rows, labelled, per_text, stored, texts
 from leadloom.llm.words import NO_LETTER, Words, chunks, mix
 
-FEATURES = 4096
+#: Least ratio of odds and least G squared of a feature; neither depends on the share of toxic labels.
+ODDS = 3.0
+SIGNIFICANT = 2.0
 TRAIN_ROWS = 20_000
 GRADES = 4
 #: Rejecting at even odds would miss some texts with a single rare marker; labels show hardly a clean text above this.
@@ -131,17 +133,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Choose the features over all labelled documents, then fit weights and cuts."""
     known = labelled(texts(docs), labels, "toxic")
-    totals = known.agg(F.count("*").alias("docs"), F.sum("label").alias("toxic")).first()
+    once = stored(distinct_texts(known, "label"), "labelled")
+    totals = once.agg(F.count("*").alias("docs"), F.sum("label").alias("toxic")).first()
     none = Model(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0), np.full(GRADES - 1, 30.0))
     if not totals.docs or not totals.toxic:
         return none
-    base = totals.toxic / totals.docs
-    counted = (known.select("text", "label").mapInArrow(_counts, "feature long, docs long, toxic long")
+    counted = (once.mapInArrow(_counts, "feature long, docs long, toxic long")
                .groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")))
-    share = (F.col("toxic") + 0.5) / (F.col("docs") + 1.0)
-    chosen = (counted.where(F.col("toxic") >= max(2, 0.0005 * totals.toxic))
-              .withColumn("share", share).where(F.col("share") > max(2 * base, 0.3))
-              .orderBy((F.col("toxic") * F.log(F.col("share") / base)).desc(), "feature").limit(FEATURES).collect())
+    toxic, clean = F.col("toxic"), F.col("docs") - F.col("toxic")
+    no_toxic, no_clean = totals.toxic - toxic, totals.docs - totals.toxic - clean
+    odds = (toxic + 0.5) * (no_clean + 0.5) / ((clean + 0.5) * (no_toxic + 0.5))
+
+    def part(seen, with_, of):
+        return F.when(seen > 0, 2 * seen * F.log(seen * float(totals.docs) / (with_ * F.lit(float(of))))).otherwise(0.0)
+
+    without = totals.docs - F.col("docs")
+    g = (part(toxic, F.col("docs"), totals.toxic) + part(clean, F.col("docs"), totals.docs - totals.toxic)
+         + part(no_toxic, without, totals.toxic) + part(no_clean, without, totals.docs - totals.toxic))
+    share = (toxic + 0.5) / (F.col("docs") + 1.0)
+    chosen = (counted.where(toxic >= 2).withColumn("share", share)
+              .where((odds > ODDS) & (g > SIGNIFICANT)).select("feature", "share").collect())
     if not chosen:
         return none
     chosen.sort(key=lambda r: r.feature % (1 << 64))
@@ -157,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     [batch.column(1)[first:last], pa.array(each, pa.list_(pa.int32())), pa.array(marked)],
                     ["label", "places", "marked"])
 
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = known.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "label")
+    picked = once.select(F.xxhash64("text").alias("hash")).orderBy("hash").limit(TRAIN_ROWS)
+    sample = once.join(F.broadcast(picked), F.xxhash64("text") == F.col("hash"), "left_semi")
     rows = sample.mapInArrow(sparse, "label int, places array<int>, marked long").toPandas()
     return _regress(model, rows)
 

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -270,6 +271,28 @@ def test_toxic_and_clean(larger):
     assert all(0 <= r.severity <= 3 and r.toxic == (r.toxic_chance > toxicity.REJECT_ABOVE) for r in rows)
 
 
+def with_copies(docs, labels, doc_id, copies, **given):
+    """The tables with ``copies`` more rows of one document, labelled if ``given``."""
+    ids = docs.sparkSession.range(copies).select((F.col("id") + 10 ** 9).alias("doc_id"))
+    more = docs.where(F.col("doc_id") == doc_id).drop("doc_id").crossJoin(ids).select(*docs.columns)
+    if given:
+        labels = labels.unionByName(ids.select("doc_id", *(F.lit(v).alias(k) for k, v in given.items())), allowMissingColumns=True)
+    return docs.unionByName(more), labels
+
+
+def test_toxic_with_skewed_labels(larger):
+    """Toxic texts are found where half of the labels are toxic, and where copies of one long toxic text are half of them."""
+    docs, labels = larger
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+
+    def recall(docs, labels):
+        return sum(r.toxic for r in toxicity.toxicity(docs, labels).collect() if r.doc_id in toxic) / len(toxic)
+
+    assert recall(docs, labels.where("toxic = 1 or crc32(cast(doc_id as string)) % 8 = 0")) > 0.95
+    longest = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").orderBy(F.length("text").desc()).first().doc_id
+    assert recall(*with_copies(docs, labels, longest, 2000, toxic=1)) > 0.95
+
+
 def test_vectors_found(spark):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((40, 24))
