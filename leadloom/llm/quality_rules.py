@@ -2,8 +2,9 @@
 
 Every run of four bytes of a lower-cased text falls in one of 2**16 buckets.  Two multinomials are counted: over
 the texts that labels call good (trusted target) and over all texts (raw corpus).  A text's score is the
-mean of log(target/raw) over its n-grams, in whole micro-nats, so it is the same in any order of work; texts
-below a fixed threshold are rejected.  Plain rules come first: at least 50 words, and at most half of the
+mean of log(target/raw) over its n-grams, in whole micro-nats, so it is the same in any order of work.  ``score``
+counts every row; ``distinct_score`` counts each distinct text once, so that no group of copies can move other texts,
+and texts whose distinct_score is below a fixed threshold are rejected.  Plain rules come first: at least 50 words, and at most half of the
 words in word triples that repeat.
 
 Nulls and empty texts have no words and fail the plain rules.  Texts under four bytes score 0.  Repeated rows and
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.tables import kept_rows, labelled, per_text, texts
+from leadloom.llm.tables import distinct_texts, kept_rows, labelled, per_text, texts
 from leadloom.llm.words import LOWER, Words, chunks, shingles
 
 GRAM = 4
@@ -28,7 +29,7 @@ THRESHOLD = -0.2
 MICRO = 1_000_000
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SPACED = np.isin(np.arange(256), [0x20, *range(9, 14)])
-_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, distinct_score double"
 
 
 def _buckets(data: np.ndarray) -> np.ndarray:
@@ -60,13 +61,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(target/raw) for each bucket in micro-nats, counted over all documents; 2**16 numbers reach the driver."""
+def ratios(docs: DataFrame, labels: DataFrame, once: bool) -> np.ndarray:
+    """log(target/raw) for each bucket in micro-nats, over all documents or ``once`` for each distinct text; 2**16 numbers
+    reach the driver."""
     def counted(df, name):
         return df.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias(name))
 
     good = labelled(docs, labels, "quality", F.min).where("label = 1").select("text")
-    rows = counted(docs.select("text"), "raw").join(counted(good, "target"), "bucket", "left").collect()
+    raw, good = (distinct_texts(docs), distinct_texts(good)) if once else (docs.select("text"), good)
+    rows = counted(raw, "raw").join(counted(good, "target"), "bucket", "left").collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
         raw[r.bucket], target[r.bucket] = r.raw, r.target or 0
@@ -80,8 +83,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.round(out * MICRO).astype(np.int64)
 
 
-def features(column: pa.Array, weights: np.ndarray) -> dict:
-    """The plain counts and the score of each text."""
+def features(column: pa.Array, *weights: np.ndarray) -> dict:
+    """The plain counts of each text, and its score by each table of weights."""
     parts: list[tuple] = []
     for _, _, data, offsets in chunks(column):
         words = Words(data, offsets)
@@ -89,18 +92,20 @@ def features(column: pa.Array, weights: np.ndarray) -> dict:
         spaced = _SPACED[data]
         chars = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & ~spaced)])
         symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[data])])
-        weight = np.zeros(len(data) + 1, np.int64)
         found = _buckets(data)
-        np.cumsum(weights[found], out=weight[1:len(found) + 1])
         start, stop = offsets[:-1], offsets[1:]
         grams = np.maximum(stop - start - GRAM + 1, 0)
-        score = _per_text(weight, start, start + grams)
+        scores = []
+        for each in weights:
+            weight = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(each[found], out=weight[1:len(found) + 1])
+            scores.append(_per_text(weight, start, start + grams) / np.maximum(grams, 1) / MICRO)
         parts.append((words.count, _per_text(chars, start, stop), _per_text(symbols, start, stop),
                       _repeated_lines(words), _repeated_words(words, row, n),
-                      score / np.maximum(grams, 1) / MICRO))
-    names = [c.split()[0] for c in _FEATURES.split(", ")]
+                      *scores))
+    names = [c.split()[0] for c in _FEATURES.split(", ")][:5] + ["score", "distinct_score"][-len(weights):]
     if not parts:
-        return {n: np.zeros(0, np.float64 if n == "score" else np.int64) for n in names}
+        return {n: np.zeros(0, np.float64 if n.endswith("score") else np.int64) for n in names}
     return {n: np.concatenate(x) for n, x in zip(names, zip(*parts))}
 
 
@@ -146,22 +151,22 @@ def _failed(made: dict) -> np.ndarray:
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, score, base_failed and kept of every document."""
     docs = texts(docs)
-    weights = ratios(docs, labels)
+    weights = ratios(docs, labels, once=False), ratios(docs, labels, once=True)
 
     def work(column):
-        made = features(column, weights)
+        made = features(column, *weights)
         failed = _failed(made)
-        return made | {"base_failed": failed, "kept": ~failed & (made["score"] >= threshold)}
+        return made | {"base_failed": failed, "kept": ~failed & (made["distinct_score"] >= threshold)}
 
     return per_text(docs, _FEATURES + ", base_failed boolean, kept boolean", work)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns as they are, that the rules keep."""
-    weights = ratios(texts(docs), labels)
+    weights = ratios(texts(docs), labels, once=True)
 
     def keep(column):
         made = features(column, weights)
-        return ~_failed(made) & (made["score"] >= threshold)
+        return ~_failed(made) & (made["distinct_score"] >= threshold)
 
     return kept_rows(docs, "text", keep)

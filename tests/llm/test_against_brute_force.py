@@ -280,6 +280,18 @@ def with_copies(docs, labels, doc_id, copies, **given):
     return docs.unionByName(more), labels
 
 
+@pytest.mark.parametrize("given", [{}, {"quality": 1}])
+def test_rules_with_a_third_of_copies(larger, given):
+    """Copies of one text, without labels or all labelled good, move no document over the bar."""
+    docs, labels = larger
+    before = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, labels).collect()}
+    assert sum(before.values()) > 5000
+    one = min(r.doc_id for r in labels.where("quality = 1").collect() if before[r.doc_id])
+    rows = quality_rules.quality_rules(*with_copies(docs, labels, one, 5000, **given)).collect()
+    assert {r.doc_id: r.kept for r in rows if r.doc_id in before} == before
+    assert all(r.kept for r in rows if r.doc_id not in before)
+
+
 def test_toxic_with_skewed_labels(larger):
     """Toxic texts are found where half of the labels are toxic, and where copies of one long toxic text are half of them."""
     docs, labels = larger
