@@ -7,7 +7,8 @@ recall at that similarity; at the default of 0.9999 a linked pair is missed once
 practically never above 0.85.
 
 Documents without words (null, empty, only white space) have no n-grams and link with nothing, each its own class.
-Repeated rows with one doc_id are copies of each other: each row is returned, and counts as a document.  An empty
+Repeated rows with one doc_id are copies of each other: each row is returned, and counts as a document.  Rows with a
+null doc_id are documents like others: they link by their words, and come after all ids where the smallest is taken.  An empty
 table gives an empty result.  Other columns are neither read nor returned.
 """
 
@@ -217,22 +218,30 @@ def _verify(similarity: float):
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = WORDS) -> DataFrame:
     """One row per document: doc_id, copy_id (smallest doc_id with the same words), class_id (smallest doc_id
     reachable by links), n_links (other documents linked directly, copies too), n_linked_classes (different texts
-    linked directly), kept (the row with doc_id = class_id; of repeated such rows all).
+    linked directly), kept (the row with doc_id = class_id, null-safe; of repeated such rows all that have the same words).
 
     Buckets are cut in blocks, each pair of blocks is its own group, and a group gives counts per class and the
     edges of a spanning forest, never its pairs.  Buckets whose members all share an earlier band are left out,
     for their pairs are found there.  The sets of documents in a shared bucket are made anew from the text and are the
     only ones that move.
     """
+    return _joined(docs, similarity, recall, n).select(
+        "doc_id", "copy_id", "class_id", "n_links", "n_linked_classes", "kept")
+
+
+def _joined(docs: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
+    """The rows of ``jaccard_join`` with the key of their class (high, low) and ``row``, a hash of id and text."""
     docs = texts(docs)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("row")).alias("doc_id"), "text")
     bands, per_band = choose_bands(similarity, recall)
-    signed = stored(per_text(docs, "size long, high long, low long, bands array<bigint>",
-                             lambda column: _signatures(column, bands, per_band, n)), "signatures")
+    signed = stored(per_text(keyed, "size long, high long, low long, bands array<bigint>",
+                             lambda column: _signatures(column, bands, per_band, n))
+                    .select("doc_id.doc_id", "doc_id.row", "size", "high", "low", "bands"), "signatures")
     classes = stored(signed.where("size > 0").groupBy("high", "low")
                      .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # A class is compared by one row of its smallest id; its node is half of its key, so ids may repeat.
-    nodes = (signed.where("size > 0").join(classes, ["high", "low"]).where("doc_id = rep").dropDuplicates(["high", "low"])
-             .select(F.col("high").alias("node"), "rep", "size", "copies", "bands"))
+    nodes = (signed.where("size > 0").join(classes, ["high", "low"]).where("doc_id <=> rep").dropDuplicates(["high", "low"])
+             .select(F.col("high").alias("node"), "rep", "row", "size", "copies", "bands"))
     spots = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash"))
     shared = (spots.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum("size").alias("grams"))
               .where("members > 1"))
@@ -244,9 +253,10 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_DOCS, F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
     open_ = (found.join(near.select("node", "bands"), "node").groupBy("band", "hash", "members", "grams").agg(*ends)
              .where(~F.expr(covered)).select("band", "hash", blocks.alias("blocks")))
-    ids = near.select(F.col("rep").alias("doc_id")).distinct()
+    ids = near.select("row").distinct()
     ids = F.broadcast(ids) if near.count() <= BROADCAST_IDS else ids
-    grams = (per_text(docs.join(ids, "doc_id", "left_semi"), "node long, grams binary", lambda column: _sets(column, n))
+    picked = docs.join(ids, F.xxhash64("doc_id", "text") == F.col("row"), "left_semi")
+    grams = (per_text(picked, "node long, grams binary", lambda column: _sets(column, n))
              .select("node", "grams").dropDuplicates(["node"]))
     members = near.join(grams, "node").select("node", "copies", "bands", "grams")
     placed = (found.select("node", "band", "hash").join(open_, ["band", "hash"])
@@ -262,16 +272,22 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     counts = verified.groupBy("node").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     linked = joined.join(near.select("node", "rep"), "node")
     smallest = lowest(linked, "component", "rep", "class_id")
-    linked = (linked.join(smallest, F.col("component") == F.col("hub")).join(counts, "node", "left")
-              .select(F.col("node").alias("high"), "class_id", "classes", "documents"))
+    # Of classes with the smallest id (ids may repeat or be null) the one with the smallest node is kept.
+    linked = stored(linked.join(smallest, F.col("component") == F.col("hub")).select("node", "component", "rep", "class_id"),
+                    "linked")
+    first = lowest(linked.where("rep <=> class_id"), "component", "node", "first")
+    linked = (linked.join(first, F.col("component") == F.col("hub")).join(counts, "node", "left")
+              .select(F.col("node").alias("high"), "class_id", "classes", "documents", F.expr("node = first").alias("leads")))
     known = (classes.join(linked, "high", "left")
              .select("high", "low", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"),
                      (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"),
-                     F.coalesce("classes", F.lit(0)).alias("n_linked_classes")))
-    rows = signed.select("doc_id", "high", "low").join(known, ["high", "low"], "left")
+                     F.coalesce("classes", F.lit(0)).alias("n_linked_classes"),
+                     F.coalesce("leads", F.lit(True)).alias("leads")))
+    rows = signed.select("doc_id", "row", "high", "low").join(known, ["high", "low"], "left")
     own = [F.coalesce(c, "doc_id").alias(c) for c in ("copy_id", "class_id")]
     none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_links", "n_linked_classes")]
-    return rows.select("doc_id", *own, *none).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return rows.select("doc_id", "row", "high", "low", *own, *none, F.coalesce("leads", F.lit(True)).alias("leads")).withColumn(
+        "kept", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = WORDS) -> DataFrame:
@@ -279,13 +295,16 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, recall:
 
     Of rows that repeat both id and text one stays.
     """
-    kept = (jaccard_join(docs, similarity, recall, n).where("kept").groupBy(F.col("doc_id").alias("_kept_id"))
-            .agg(F.count("*").alias("_kept_rows")))
+    kept = _joined(docs, similarity, recall, n).where("kept")
+    # Of a class, the rows of one text; documents without words are each their own class.
+    kept = (kept.where("high is not null").groupBy("high", "low").agg(F.min("row").alias("_kept_row"), F.count("*").alias("_kept_rows"))
+            .select("_kept_row", "_kept_rows")
+            .union(kept.where("high is null").groupBy("row").agg(F.count("*"))))
     kept = stored(kept, "kept")
-    here = F.col("doc_id") == F.col("_kept_id")
+    here = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))) == F.col("_kept_row")
 
-    def those(ids: DataFrame) -> DataFrame:
-        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, here, "left_semi")
+    def those(rows: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, here, "left_semi")
 
     return those(kept.where("_kept_rows = 1")).union(
         those(kept.where("_kept_rows > 1")).dropDuplicates(["doc_id", "text"]))

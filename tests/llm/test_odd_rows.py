@@ -70,6 +70,20 @@ def test_jaccard_odd_values(odd_docs):
     assert rows[8].n_links == 1 and rows[8].kept
 
 
+def test_jaccard_null_and_repeated_ids(spark, odd_docs):
+    """A row without an id stays if nothing resembles it; a near copy with the id of a kept row doesn't come back."""
+    assert sum(r.doc_id is None for r in jaccard_join.distinct_documents(odd_docs).collect()) == 1
+    words = [f"w{k}" for k in range(80)]
+    first, near, other = " ".join(words), " ".join(words[:79] + ["x"]), " ".join(reversed(words))
+    rows = [(1, first), (1, near), (None, other), (None, other + " y"), (2, "alone " * 9), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = jaccard_join.jaccard_join(docs).collect()
+    assert sorted(r.n_links for r in joined) == [0, 0, 0, 1, 1, 1, 1] and sum(r.kept for r in joined) == 5
+    left = [(r.doc_id, r.text) for r in jaccard_join.distinct_documents(docs).collect()]
+    assert len(left) == 5 and len({first, near} & {t for _, t in left}) == 1
+    assert len({other, other + " y"} & {t for _, t in left}) == 1
+
+
 def test_urls_and_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "no scheme", ""), (3, "http://A.com/x", "h" * 2_000_000), (3, "http://A.com/x", "h" * 2_000_000),
                                    (None, "x://", "é"), (4, "http://" + "a." * 5000 + "com/" + "p/" * 5000, "h" * 2_000_000)],
