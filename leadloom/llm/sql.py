@@ -54,3 +54,27 @@ k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) E
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM k"""
+
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(words) < 100 AS INT) AS a, CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT) AS b,
+    CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) AS c,
+    CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d, CAST(coalesce(w.doc_id > first_id, false) AS INT) AS e
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+x AS (SELECT part, good, toxic, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n FROM m GROUP BY ALL),
+orders AS (SELECT '' AS o UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(f) WHERE NOT contains(o, f)),
+steps AS (SELECT o, i AS step, substr(o, i, 1) AS letter, 1 << (ascii(substr(o, i, 1)) - 65) AS bit,
+    CAST(list_sum([0] || list_transform(range(1, i), lambda k: 1 << (ascii(substr(o, k, 1)) - 65))) AS INT) AS before
+  FROM orders, range(1, 6) AS r(i) WHERE length(o) = 5),
+r AS (SELECT part, o AS filter_order, CAST(step AS INT) AS step, letter,
+    CAST(sum(CASE WHEN (mask & (bit | before)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN (mask & bit) <> 0 AND (mask & before) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN (mask & bit) <> 0 AND (mask & before) <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN good AND (mask & bit) <> 0 AND (mask & before) = 0 THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN toxic AND (mask & bit) <> 0 AND (mask & before) = 0 THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM x, steps GROUP BY part, o, step, letter)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
