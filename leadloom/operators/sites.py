@@ -101,41 +101,63 @@ def fetched(requests: DataFrame, latest: DataFrame) -> DataFrame:
     return requests.join(latest.drop("subpages", "blank"), "url", "left")
 
 
-def merged_sites(requests: DataFrame, latest: DataFrame, use_browser: bool = True) -> DataFrame:
-    """One row per website: method, text, emails, phones, pages, page_details.
+#: What tells a capture from others; a page store adds where it keeps it.
+CAPTURE = ("url", "channel", "page_id")
 
-    At most four requests with two captures each go into a site.
+
+def picked(requests: DataFrame, latest: DataFrame, use_browser: bool = True, place: tuple = ()) -> DataFrame:
+    """website, method and the captures that go into the site, home page first; decided without any page's text.
+
+    At most four requests with two captures each are weighed per site.  ``place`` names further columns of ``latest``.
     """
     c = F.col
     rows = fetched(requests, latest)
+    capture = F.when(c("channel").isNotNull(), F.struct(*CAPTURE, *place))
 
-    def at(rank, channel, extra=F.lit(True)):
-        return F.any_value(F.when((c("rank") == rank) & (c("channel") == channel) & extra, c("page")), True)
+    def at(rank, channel):
+        return F.any_value(F.when((c("rank") == rank) & (c("channel") == channel), capture), True)
 
     folded = rows.groupBy("website").agg(
         F.first("mode").alias("mode"),
-        *[at(r, "http", c("usable")).alias(f"http{r}") for r in RANKS],
+        *[at(r, "http").alias(f"http{r}") for r in RANKS],
         *[F.max(F.when((c("rank") == r) & (c("channel") == "http"), c("usable"))).alias(f"ok{r}") for r in RANKS],
-        *[at(r, "browser").alias(f"browser{r}") for r in RANKS],
-        *[F.max((c("rank") == r) & (c("channel") == "browser")).alias(f"seen{r}") for r in RANKS])
+        *[at(r, "browser").alias(f"browser{r}") for r in RANKS])
 
     def from_browser(r):
         # In a site read over HTTP the browser only stands in for unusable pages.
         wanted = (c("mode") == "browser") | ((c("mode") == "http") & ~c(f"ok{r}"))
-        return wanted & c(f"seen{r}") & F.lit(use_browser)
+        return wanted & c(f"browser{r}").isNotNull() & F.lit(use_browser)
 
     picks = F.array_compact(F.array(*[
         F.when((c("mode") == "http") & c(f"ok{r}"), c(f"http{r}")).when(from_browser(r), c(f"browser{r}"))
         for r in RANKS]))
     helped = reduce(lambda a, b: a | b, [F.coalesce(from_browser(r), F.lit(False)) for r in RANKS])
-    out = folded.select("website", "mode", picks.alias("picks"), helped.alias("helped"))
+    return folded.select(
+        "website",
+        F.when(c("mode") == "http", F.when(helped, "http+playwright").otherwise("http"))
+        .when(F.lit(use_browser), "playwright").otherwise("failed").alias("method"), picks.alias("picks"))
+
+
+def wanted_captures(picks: DataFrame) -> DataFrame:
+    """website, method, n_picks, pos and the columns of each picked capture."""
+    return picks.select("website", "method", F.size("picks").alias("n_picks"), F.posexplode("picks").alias("pos", "capture")).select(
+        "website", "method", "n_picks", "pos", "capture.*")
+
+
+def gathered(fetched_pages: DataFrame, *keys: str) -> DataFrame:
+    """Per website (and ``keys``) its picked pages as columns page0 to page3."""
+    return fetched_pages.groupBy(*keys, "website").agg(
+        F.first("method").alias("method"), F.first("n_picks").alias("n_picks"),
+        *[F.any_value(F.when(F.col("pos") == r, F.col("page")), True).alias(f"page{r}") for r in RANKS])
+
+
+def merged_sites(found: DataFrame) -> DataFrame:
+    """One row per website: method, text, emails, phones, pages, page_details; from ``gathered`` pages."""
+    out = found.select("website", "method", F.array_compact(F.array(*[f"page{r}" for r in RANKS])).alias("picks"))
     texts = F.filter(F.transform("picks", lambda p: p["text"]), lambda t: t != "")
     union = lambda field: F.array_sort(F.array_distinct(F.flatten(F.transform("picks", lambda p: p[field]))))
     return out.select(
-        "website",
-        F.when(c("mode") == "http", F.when(c("helped"), "http+playwright").otherwise("http"))
-        .when(F.lit(use_browser), "playwright").otherwise("failed").alias("method"),
-        F.substring(F.array_join(texts, " "), 1, vocab.SITE_TEXT_CHARS).alias("text"),
+        "website", "method", F.substring(F.array_join(texts, " "), 1, vocab.SITE_TEXT_CHARS).alias("text"),
         union("emails").alias("emails"), union("phones").alias("phones"),
         F.transform("picks", lambda p: p["url"]).alias("pages"),
         F.transform("picks", lambda p: F.struct(
@@ -144,20 +166,39 @@ def merged_sites(requests: DataFrame, latest: DataFrame, use_browser: bool = Tru
             F.substring(p["text"], 1, vocab.PREVIEW_CHARS).alias("text_preview"))).alias("page_details"))
 
 
-def site_tables(websites: DataFrame, parsed: DataFrame, use_browser: bool = True):
-    """(requests, captures that count) of the distinct, non-null ``websites.website``; both are written once."""
+def unread(picks: DataFrame, like: DataFrame) -> DataFrame:
+    """Websites of which no capture counts, with the columns of ``gathered`` pages."""
+    none = picks.where(F.size("picks") == 0)
+    return none.select(*[F.lit(0).alias(n) if n == "n_picks" else F.col(n) if n in ("website", "method")
+                         else F.lit(None).cast(like.schema[n].dataType).alias(n) for n in like.columns])
+
+
+def light(parsed: DataFrame, *place: str) -> DataFrame:
+    """What decides which captures count, without their payload."""
+    return parsed.select(*CAPTURE, "usable", "blank", "subpages", *place)
+
+
+def site_tables(websites: DataFrame, captures: DataFrame, use_browser: bool = True):
+    """(requests, captures that count) of the distinct, non-null ``websites.website``; both are written once.
+
+    ``captures`` are ``light`` rows.
+    """
     if not use_browser:
-        parsed = parsed.where("channel = 'http'")
+        captures = captures.where("channel = 'http'")
     # An empty browser capture cannot be parsed: it counts as missing.
-    latest = stored(latest_captures(parsed.where("channel = 'http' or not blank")), "latest-captures")
+    latest = stored(latest_captures(captures.where("channel = 'http' or not blank")), "latest-captures")
     distinct = websites.select("website").where("website is not null").distinct()
     return stored(requested_pages(home_pages(distinct, latest)), "page-requests"), latest
 
 
 def assemble(websites: DataFrame, parsed: DataFrame, use_browser: bool = True) -> DataFrame:
-    """Merged site rows for the distinct, non-null values of ``websites.website``, from parsed captures."""
-    requests, latest = site_tables(websites, parsed, use_browser)
-    return merged_sites(requests, latest, use_browser)
+    """Merged site rows for the distinct, non-null values of ``websites.website``, from parsed captures.
+
+    Which captures count is decided on light rows; of the payload only what goes into a site moves.
+    """
+    picks = stored(picked(*site_tables(websites, light(parsed), use_browser), use_browser), "picks")
+    found = gathered(parsed.select(*CAPTURE, "page").join(wanted_captures(picks), list(CAPTURE)))
+    return merged_sites(found.unionByName(unread(picks, found)))
 
 
 # --- from a source page to the official website ------------------------------
@@ -204,15 +245,16 @@ def with_website(leads: DataFrame, links: DataFrame) -> DataFrame:
     """Adds ``website`` to leads: UNSCRAPABLE, the official link, the source itself or NOT_FOUND.
 
     ``links`` are ``official_links`` rows; the last page of an address counts, found by its id alone.  Many leads can
-    name the same source page.
+    name the same source page.  ``source_known`` tells whether the source page has been read.
     """
     c = F.col
     last = links.groupBy("url").agg(F.max("page_id").alias("page_id"))
-    one = links.join(last, ["url", "page_id"], "left_semi").dropDuplicates(["url"]).where("official is not null")
+    one = links.join(last, ["url", "page_id"], "left_semi").dropDuplicates(["url"])
     # The key is worked out anew, so the join has an exchange of its own on either side.
-    one = one.select(F.concat("url", F.lit("")).alias("source_url"), "official")
+    one = one.select(F.concat("url", F.lit("")).alias("source_url"), "official", F.lit(True).alias("source_known"))
     is_http = c("source_url").startswith("http://") | c("source_url").startswith("https://")
     return leads.join(one, "source_url", "left").withColumn("website", (
         F.when(~F.coalesce(is_http, F.lit(False)), "NOT_FOUND")
         .when(is_directory(c("source_url")), "UNSCRAPABLE")
-        .otherwise(F.coalesce("official", "source_url")))).drop("official")
+        .otherwise(F.coalesce("official", "source_url")))).drop("official").withColumn(
+        "source_known", F.coalesce("source_known", F.lit(False)))

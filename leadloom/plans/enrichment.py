@@ -7,6 +7,7 @@ from leadloom.functions import urls
 from leadloom.operators import analysis, leads as lead_ops, opportunities, sites
 from leadloom.session import stored
 from leadloom.sources import tables
+from leadloom.sources.page_store import PageStore
 
 #: Parts of the parsed tables.
 BUCKETS = 64
@@ -61,6 +62,13 @@ def append_parsed(parsed: DataFrame, path: str) -> None:
     parsed.write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def unready() -> Column:
+    """A finished lead whose source page or home page has not been read, though it has an address."""
+    c = F.col
+    web = lambda n: F.coalesce(c(n).startswith("http://") | c(n).startswith("https://"), F.lit(False))
+    return web("found_website") & (~c("source_known") | (F.coalesce(F.size("pages"), F.lit(0)) <= 0))
+
+
 def wanted(parsed: DataFrame, url: Column, keys: DataFrame) -> DataFrame:
     """The rows of a parsed table whose ``url`` value is among the one column of ``keys``.
 
@@ -70,18 +78,23 @@ def wanted(parsed: DataFrame, url: Column, keys: DataFrame) -> DataFrame:
     return parsed.join(keys, (F.col("bucket") == F.col("_bucket")) & (url == F.col("_key")), "left_semi").drop("bucket")
 
 
-def enrich(leads: DataFrame, links: DataFrame, captures: DataFrame, use_browser: bool = True) -> DataFrame:
+def enrich(leads: DataFrame, links: DataFrame, captures: DataFrame | PageStore, use_browser: bool = True) -> DataFrame:
     """One finished row per lead (lead_id, company_name, location, source_url).
 
     ``links`` and ``captures`` are the parsed tables: html is parsed once, when it arrives, and never here.  Each
     distinct website is read and analysed once, however many leads share it; the result is then joined
-    back to the leads.  Sources are picked by address, captures by the sites' domains (subpages never leave them).
+    back to the leads.  Sources are picked by address, captures by the sites' domains (subpages never leave them); a
+    ``PageStore`` is read in the buckets of these domains, and its payload stays where it is.
     """
     c = F.col
-    located = stored(sites.with_website(leads, wanted(links, c("url"), leads.select("source_url"))), "located-leads")
-    domain = lambda u: F.concat(F.lit("//"), urls.site_domain(u))  # noqa: E731  an address of the domain itself
-    near = wanted(captures, domain(c("url")), located.select(domain(c("website"))))
-    found = analysed_sites(sites.assemble(located, near, use_browser))
+    sources = wanted(links, c("url"), leads.select("source_url")) if "bucket" in links.columns else links
+    located = stored(sites.with_website(leads, sources), "located-leads")
+    if isinstance(captures, PageStore):
+        found = analysed_sites(captures.assemble(located.select("website"), use_browser))
+    else:
+        domain = lambda u: F.concat(F.lit("//"), urls.site_domain(u))  # noqa: E731  an address of the domain itself
+        near = wanted(captures, domain(c("url")), located.select(domain(c("website"))))
+        found = analysed_sites(sites.assemble(located, near, use_browser))
     done = located.join(found, "website", "left")
     # A lead without a website is finished with empty data; it never reads pages.
     failed = (c("website") != "NOT_FOUND") & (c("method") == "failed")
@@ -90,7 +103,7 @@ def enrich(leads: DataFrame, links: DataFrame, captures: DataFrame, use_browser:
         "lead_id", F.coalesce("company_name", F.lit("")).alias("company_name"), "location", "source_url",
         F.when(failed, "ERROR").otherwise(c("website")).alias("website"), c("website").alias("found_website"),
         F.when(c("website") == "NOT_FOUND", "none").otherwise(c("method")).alias("method"),
-        F.when(failed, "FAILED").otherwise(lead_ops.final_status("emails", "phones")).alias("status"),
+        F.when(failed, "FAILED").otherwise(lead_ops.final_status("emails", "phones")).alias("status"), "source_known",
         *[F.when(~failed, c(n)).alias(n) for n in kept])
 
 

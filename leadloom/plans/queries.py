@@ -12,7 +12,9 @@ from leadloom.operators import analysis, dashboard, leads, opportunities, pages,
 from leadloom.plans import enrichment
 from leadloom.session import new_path, stored
 from leadloom.sources import seeding, tables
+from leadloom.sources.page_store import PageStore
 from leadloom.streaming import jobs
+from leadloom.streaming.waiting import WaitingLeads
 
 QUERIES = {}
 
@@ -239,7 +241,7 @@ def _(spark, d):
 
 @query("w4_requested_pages")
 def _(spark, d):
-    requests, latest = sites.site_tables(_websites(spark, d), _parsed(spark, d).drop("bucket"))
+    requests, latest = sites.site_tables(_websites(spark, d), sites.light(_parsed(spark, d)))
     return sites.fetched(requests, latest).select(
         "website", "mode", "rank", "url", F.coalesce("channel", F.lit("missing")).alias("channel"),
         F.coalesce(F.col("usable").cast("string"), F.lit("-")).alias("usable"))
@@ -492,6 +494,12 @@ def _flat_enriched(df) -> DataFrame:
                      "opportunity_band", joined(F.transform("opportunities", lambda o: o["type"])).alias("types"))
 
 
+@query("lead_enrichment_in_place")
+def _(spark, d):
+    store = _page_store(spark, d)
+    return _flat_enriched(enrichment.enrich(seeding.new_leads(spark, d), store.links(), store))
+
+
 @query("l02_final_status")
 def _(spark, d):
     return _enriched(spark, d).groupBy("status", "method").agg(F.count(F.lit(1)).alias("leads"))
@@ -635,18 +643,52 @@ def _streamed_state(spark, d) -> tuple[str, str, str]:
     return out, payloads, snapshot
 
 
+def _page_store(spark, d) -> PageStore:
+    """A new store that holds the parsed pages."""
+    store = PageStore(spark, new_path(spark, "pages"), buckets=16, splits=4)
+    store.append("all", _parsed(spark, d), _links(spark, d))
+    return store
+
+
 def _streamed_leads(spark, d, **options) -> str:
     """Folder of leads finished by the stream, four files in four micro-batches."""
     arriving = seeding.new_leads(spark, d)
-    folder, out, links, captures = (new_path(spark, n) for n in ("arriving", "finished", "source-table", "capture-table"))
+    folder, out = (new_path(spark, n) for n in ("arriving", "finished"))
     arriving.repartition(4).write.parquet(folder)
-    enrichment.append_parsed(_links(spark, d), links)
-    enrichment.append_parsed(_parsed(spark, d), captures)
-    jobs.enrichment_stream(jobs.file_stream(spark, folder, arriving.schema), spark.read.parquet(links), spark.read.parquet(captures), out,
+    jobs.enrichment_stream(jobs.file_stream(spark, folder, arriving.schema), _page_store(spark, d), out,
                            new_path(spark, "lead-checkpoint"), **options).awaitTermination()
     return out
 
 
+def _waited(spark, d) -> WaitingLeads:
+    """Leads that came before any page: half the pages arrive by a stream, the others by a batch job, then time passes."""
+    at = lambda minutes: F.lit("2024-01-01 00:00:00").cast("timestamp") + F.expr(f"interval {minutes} minutes")
+    asked = seeding.new_leads(spark, d).withColumn("asked", at(0) + F.make_interval(mins=F.col("lead_id") % 60))
+    pages, leads_folder = new_path(spark, "arriving-pages"), new_path(spark, "arriving-leads")
+    asked.repartition(2).write.parquet(leads_folder)
+    store = PageStore(spark, new_path(spark, "pages"), buckets=16, splits=4)
+    service = WaitingLeads(store, new_path(spark, "service"), patience="6 hours")
+    service.intake_stream(jobs.file_stream(spark, leads_folder, asked.schema), new_path(spark, "intake-checkpoint")).awaitTermination()
+    captures = seeding.captures(spark, d)
+    early = (F.xxhash64("url") % 2) == 0  # all captures of an address together
+    captures.where(early).repartition(2).write.parquet(pages)
+    jobs.parse_stream(jobs.file_stream(spark, pages, captures.schema, files=2), store, new_path(spark, "parse-checkpoint"), sources=False,
+                      arrived=at(90)).awaitTermination()
+    store.append("rest", enrichment.parsed_captures(captures.where(~early)), enrichment.parsed_sources(seeding.seeded_pages(spark, d)), at(120))
+    checkpoint = new_path(spark, "waiting-checkpoint")
+    for round_ in range(3):  # arrivals, addresses that source pages named anew, and those whose time is over
+        service.waiting_stream(checkpoint).awaitTermination()
+        service.tick(str(round_), at(600 + 600 * round_))
+    service.waiting_stream(checkpoint).awaitTermination()
+    service.finish_overdue(at(5000), "overdue")
+    return service
+
+
+@query("t1_pages_after_leads")
+def _(spark, d):
+    return _flat_enriched(_waited(spark, d).finished())
+
+
 @query("t1_streamed_enrichment")
 def _(spark, d):
     return _flat_enriched(spark.read.parquet(_streamed_leads(spark, d)))
@@ -672,5 +714,14 @@ def _(spark, d):
 
 @query("t3_live_stats")
 def _(spark, d):
-    out, _, snapshot = _streamed_state(spark, d)
-    return jobs.live_stats(spark, out, snapshot)
+    return jobs.live_stats(spark, _streamed_state(spark, d)[0])
+
+
+@query("l03_stored_pending")
+def _(spark, d):
+    return _flat_state(jobs.next_pending(spark, *_streamed_state(spark, d))).select("lead_id", "status", "website")
+
+
+@query("l04_stored_lead")
+def _(spark, d):
+    return _flat_state(jobs.lead_by_id(spark, *_streamed_state(spark, d), 17))

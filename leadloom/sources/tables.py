@@ -1,6 +1,6 @@
 """Reading the raw tables, the crawl log and the lead snapshot."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.session import delete
@@ -70,6 +70,56 @@ def write_snapshot(leads: DataFrame, path: str, keep: int = 2) -> None:
         delete(spark, f"{path}/v={old}")
 
 
+#: Parts of lead tables, by a hash of the lead's id.
+PARTS = 16
+
+
+def part(lead_id: Column) -> Column:
+    return F.pmod(F.xxhash64(lead_id), F.lit(PARTS)).cast("int")
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders below ``path`` that start so."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def read_parts(spark: SparkSession, path: str, schema: str, parts: list[int] | None = None) -> DataFrame:
+    """The newest version of every part (or of ``parts``), each read from the version that wrote it last."""
+    found = {}
+    for version in reversed(_versions(spark, path)):
+        for name in _folders(spark, f"{path}/v={version}", "part="):
+            if parts is None or int(name[5:]) in parts:
+                found.setdefault(name, f"{path}/v={version}/{name}")
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*found.values()).drop("v")
+
+
+def write_parts(rows: DataFrame, path: str, keep: int = 2, bloom: tuple = ()) -> None:
+    """Write the parts that ``rows`` touch as the next version; other parts stay in the versions that hold them.
+
+    A part goes once it has been written again by ``keep`` - 1 later versions at least, so a reader is not disturbed.
+    """
+    spark = rows.sparkSession
+    versions = _versions(spark, path)
+    number = versions[-1] + 1 if versions else 0
+    writer = rows.repartition("part").sortWithinPartitions("part", "lead_id").write
+    for name in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.partitionBy("part").mode("overwrite").parquet(f"{path}/v={number}")
+    held = set()  # parts that versions old enough for every reader hold
+    for version in reversed([v for v in _versions(spark, path) if v <= number - keep + 1]):
+        names = set(_folders(spark, f"{path}/v={version}", "part="))
+        if names <= held:
+            delete(spark, f"{path}/v={version}")
+        for name in names & held:
+            delete(spark, f"{path}/v={version}/{name}")
+        held |= names
+
+
 def merged_snapshot(old: DataFrame, changed: DataFrame, key: str = "lead_id", order: str = "last_seq") -> DataFrame:
     """Old and changed rows folded to the last one per key; either side may lack columns."""
     both = with_added_columns(old, changed)

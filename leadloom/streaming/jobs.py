@@ -1,14 +1,14 @@
 """Streaming jobs: leads are finished as they arrive, lead state is kept current."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leadloom.operators import dashboard
-from leadloom.plans.enrichment import enrich
-from leadloom.plans.enrichment import rejects as failed_leads
-from leadloom.session import release, stored_so_far
+from leadloom.functions import vocab
+from leadloom.plans import enrichment
+from leadloom.session import delete, release, stored, stored_so_far
 from leadloom.sources import tables
+from leadloom.sources.page_store import PageStore
 
 LIVE_TRIGGER = "10 seconds"
 
@@ -31,34 +31,45 @@ def _batch_writer(out: str, work=lambda df: df):
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         mark = stored_so_far()
-        work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        release(batch.sparkSession, mark)
+        try:
+            work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            release(batch.sparkSession, mark)
     return write
 
 
-def parse_stream(arriving: DataFrame, parse, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
-    """Parse pages once, as their files arrive; ``parse`` is ``parsed_sources`` or ``parsed_captures``.
+def parse_stream(arriving: DataFrame, store: PageStore, checkpoint: str, name: str = "stream", live: bool = False,
+                 sources: bool = True, captures: bool = True, arrived: Column | None = None) -> StreamingQuery:
+    """Parse pages once, as their files arrive, into a page store; each batch is a load of its own.
 
-    The parsed table is partitioned by bucket; ``parsed_table`` reads it.
+    ``arriving`` are captures (page_id, url, html, channel and what the crawl checks need).  As source pages only those
+    fetched over HTTP count.  Batch jobs may append to the same store meanwhile.
     """
-    writer = parse(arriving).writeStream.format("parquet").partitionBy("bucket").option("path", out).option(
-        "checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(processingTime=LIVE_TRIGGER) if live else writer.trigger(availableNow=True)).start()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mark = stored_so_far()
+        try:
+            store.append(f"{name}-{batch_id}", enrichment.parsed_captures(batch) if captures else None,
+                         enrichment.parsed_sources(batch.where("channel = 'http'")) if sources else None, arrived)
+        finally:
+            release(batch.sparkSession, mark)
+
+    return _start(arriving, "append", write, checkpoint, live)
 
 
-def enrichment_stream(leads: DataFrame, links: DataFrame, captures: DataFrame, out: str, checkpoint: str,
+def enrichment_stream(leads: DataFrame, store: PageStore, out: str, checkpoint: str,
                       live: bool = False, use_browser: bool = True, rejects: str | None = None) -> StreamingQuery:
-    """Finish streamed leads against the parsed page tables; results go to ``out`` per batch.
+    """Finish streamed leads at once, against the pages that the store holds when their batch runs; results go to ``out`` per batch.
 
     A lead whose pages cannot be read ends as FAILED and is listed in ``rejects``; it never stops the stream.
+    ``waiting`` has the service in which leads wait for their pages.
     """
-    finish = _batch_writer(out, lambda batch: enrich(batch, links, captures, use_browser))
+    finish = _batch_writer(out, lambda batch: enrichment.enrich(batch, store.links(), store, use_browser))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         finish(batch, batch_id)
         if rejects:
             done = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
-            failed_leads(done).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+            enrichment.rejects(done).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
 
     return _start(leads, "append", write, checkpoint, live)
 
@@ -83,66 +94,203 @@ def slim_state(events: DataFrame) -> DataFrame:
 
 
 STATE_SCHEMA = ("lead_id long, status string, website string, company_name string, scraped_seq long, analysis_seq long, "
-                "opportunity_score int, created_at timestamp, updated_at timestamp, last_seq long, batch_id int")
+                "opportunity_score int, created_at timestamp, updated_at timestamp, last_seq long, batch_id int, part int")
+PAYLOAD_SCHEMA = "lead_id long, seq long, emails string, phones string, body_text string, analysis_json string, part int"
+#: Up to so many leads are looked up by their ids, which reach the files; more by their parts and a join.
+LOOKED_UP = 1000
+#: Up to so many event numbers (24 bytes each) are sent to the payloads; with more, payloads are shuffled.
+BROADCAST_POINTERS = 2_000_000
 
 
-def state_stream(events: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
-    """Keep the current row of every lead.
+def state_stream(events: DataFrame, out: str, checkpoint: str, live: bool = False, snapshot: str | None = None) -> StreamingQuery:
+    """Keep the current row of every lead, and the dashboard's numbers.
 
-    The fold lives in the state store; each batch writes only the leads it changed.  There is no event time, hence
-    no watermark: state is one small row per lead, for what is large stays with ``payload_stream``.
+    The fold lives in the state store; each batch writes only the leads it changed, by part, and how it changed the numbers:
+    the old rows of these leads taken out, the new ones put in.  There is no event time, hence
+    no watermark: state is one small row per lead, for what is large stays with ``payload_stream``.  ``snapshot`` is where
+    ``compact_state`` folds the changes, if it runs beside the stream.
     """
-    return _start(slim_state(events), "update", _batch_writer(out), checkpoint, live)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, mark = batch.sparkSession, stored_so_far()
+        try:
+            new = stored(batch.withColumn("part", tables.part(F.col("lead_id"))), "changed-leads")
+            # A repeated batch finds its numbers written, and its own rows among the old ones: they count no second time.
+            if f"of={batch_id}" not in tables._folders(spark, f"{out}-numbers/changes", "of=") or not _done(spark, f"{out}-numbers/changes/of={batch_id}"):
+                old = slim_current(spark, out, snapshot, new.select("lead_id"), before=batch_id)
+                both = new.select("status", "opportunity_score", F.lit(1).alias("sign")).union(old.select("status", "opportunity_score", F.lit(-1)))
+                _numbers(both).write.mode("overwrite").parquet(f"{out}-numbers/changes/of={batch_id}")
+            new.repartition("part").sortWithinPartitions("part", "lead_id").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            release(spark, mark)
+
+    return _start(slim_state(events), "update", write, checkpoint, live)
 
 
 def payload_stream(events: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
-    """The contacts, texts and documents of events, by lead and event number."""
-    held = events.where("kind in ('scraped', 'analysis')").select("lead_id", "seq", *PAYLOAD)
-    return _start(held, "append", _batch_writer(out), checkpoint, live)
+    """The contacts, texts and documents of events, by part, lead and event number."""
+    held = events.where("kind in ('scraped', 'analysis')").select("lead_id", "seq", *PAYLOAD, tables.part(F.col("lead_id")).alias("part"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.repartition("part").sortWithinPartitions("part", "lead_id").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch_id={batch_id}")
+
+    return _start(held, "append", write, checkpoint, live)
+
+
+def _done(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def _changes(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
+def _changes(spark: SparkSession, out: str, after: int = -1, parts: list[int] | None = None) -> DataFrame:
     """State rows that batches after ``after`` wrote; none before the first batch."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not tables._folders(spark, out, "batch_id="):
         return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(out).where(F.col("batch_id") > after)
+    rows = spark.read.schema(STATE_SCHEMA).parquet(out).where(F.col("batch_id") > after)
+    return rows if parts is None else rows.where(F.col("part").isin(parts))
+
+
+def _seen(spark: SparkSession, snapshot: str | None) -> int:
+    """The last batch that the snapshot holds."""
+    if snapshot is None or not _done(spark, f"{snapshot}/seen"):
+        return -1
+    return spark.read.parquet(f"{snapshot}/seen").first()[0]
 
 
 def compact_state(spark: SparkSession, out: str, snapshot: str) -> None:
-    """Fold the changes since the last snapshot into the next one, so that reading never goes through all history.
+    """Fold the changes since the last snapshot into it, so that reading never goes through all history.
 
-    The folders of batches that the snapshot before this one holds already are deleted.
+    Only the parts that have changed are written.  The folders of batches that the snapshot before this one holds already
+    are deleted, for state and numbers alike.
+    """
+    seen = _seen(spark, snapshot)
+    changed = _changes(spark, out, seen)
+    found = [r.part for r in changed.select("part").distinct().collect()]  # at most as many numbers as parts
+    if found:
+        upto = changed.agg(F.max("batch_id")).first()[0]
+        old = tables.read_parts(spark, snapshot, STATE_SCHEMA, found)
+        tables.write_parts(tables.merged_snapshot(old, changed, order="batch_id"), snapshot, bloom=("website",))
+        _fold_numbers(spark, out, seen, upto)
+        spark.range(1).select(F.lit(upto).cast("int").alias("seen")).write.mode("overwrite").parquet(f"{snapshot}/seen")
+    for name in tables._folders(spark, out, "batch_id="):
+        if int(name[9:]) <= seen:
+            delete(spark, f"{out}/{name}")
+
+
+def _ids(leads: DataFrame | None) -> tuple[list | None, list | None]:
+    """(ids, parts) of the leads asked for; ids where they are few, None where everything is asked for."""
+    if leads is None:
+        return None, None
+    few = [r[0] for r in leads.select("lead_id").limit(LOOKED_UP + 1).collect()]
+    parts = [r[0] for r in leads.select(tables.part(F.col("lead_id"))).distinct().collect()]  # at most as many numbers as parts
+    return (few if len(few) <= LOOKED_UP else None), parts
+
+
+def _of(rows: DataFrame, leads: DataFrame | None, ids: list | None, parts: list | None) -> DataFrame:
+    """The rows of the leads asked for, read from their parts alone."""
+    if leads is None:
+        return rows
+    rows = rows.where(F.col("part").isin(parts))
+    return rows.where(F.col("lead_id").isin(ids)) if ids is not None else rows.join(leads.select("lead_id").distinct(), "lead_id", "left_semi")
+
+
+def slim_current(spark: SparkSession, out: str, snapshot: str | None = None, leads: DataFrame | None = None, before: int | None = None) -> DataFrame:
+    """The last state row per lead (of ``leads``, if given): the snapshot and the changes after it.
+
+    With ``before`` it is the state before that batch, which no snapshot holds yet.
     """
-    old = tables.read_snapshot(spark, snapshot, STATE_SCHEMA)
-    seen = old.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-    tables.write_snapshot(tables.merged_snapshot(old, _changes(spark, out, seen), order="batch_id"), snapshot)
-    place = spark._jvm.org.apache.hadoop.fs.Path(out)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in system.listStatus(place) if system.exists(place) else []:
-        name = folder.getPath().getName()
-        if name.startswith("batch_id=") and int(name[9:]) <= seen:
-            system.delete(folder.getPath(), True)
-
-
-def slim_current(spark: SparkSession, out: str, snapshot: str | None = None) -> DataFrame:
-    """The last state row per lead: the snapshot and the changes after it."""
-    if snapshot is None:
-        return tables.merged_snapshot(spark.createDataFrame([], STATE_SCHEMA), _changes(spark, out), order="batch_id").drop("batch_id")
-    old = tables.read_snapshot(spark, snapshot, STATE_SCHEMA)
-    seen = old.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-    return tables.merged_snapshot(old, _changes(spark, out, seen), order="batch_id").drop("batch_id")
-
-
-def current_state(spark: SparkSession, out: str, payloads: str, snapshot: str | None = None) -> DataFrame:
-    """Lead rows as ``leads.fold_state`` gives them, with contacts, text and document."""
-    held = spark.read.parquet(payloads).dropDuplicates(["lead_id", "seq"])
+    ids, parts = _ids(leads)
+    new = _of(_changes(spark, out, _seen(spark, snapshot), parts), leads, ids, parts)
+    if before is not None:
+        new = new.where(F.col("batch_id") < before)
+    old = spark.createDataFrame([], STATE_SCHEMA) if snapshot is None else _of(tables.read_parts(spark, snapshot, STATE_SCHEMA, parts), leads, ids, parts)
+    return tables.merged_snapshot(old, new, order="batch_id").drop("batch_id")
+
+
+def current_state(spark: SparkSession, out: str, payloads: str, snapshot: str | None = None, leads: DataFrame | None = None) -> DataFrame:
+    """Lead rows as ``leads.fold_state`` gives them, with contacts, text and document; all leads or those of ``leads``.
+
+    The state's event numbers come first; only the payloads they name are read out of their parts and moved.
+    """
+    slim = stored(slim_current(spark, out, snapshot, leads), "slim-state")
+    if not tables._folders(spark, payloads, "batch_id="):
+        held = spark.createDataFrame([], PAYLOAD_SCHEMA)
+    else:
+        ids, parts = _ids(leads)
+        held = _of(spark.read.schema(PAYLOAD_SCHEMA).parquet(payloads), leads, ids, parts)
+    named = slim.select("part", "lead_id", F.explode(F.array_compact(F.array("scraped_seq", "analysis_seq"))).alias("seq")).distinct()
+    named = F.broadcast(named) if named.count() <= BROADCAST_POINTERS else named
+    held = stored(held.join(named, ["part", "lead_id", "seq"], "left_semi").dropDuplicates(["lead_id", "seq"]).drop("part", "batch_id"), "named-payloads")
     scraped = held.select("lead_id", F.col("seq").alias("scraped_seq"), "emails", "phones", "body_text")
     analysis = held.select("lead_id", F.col("seq").alias("analysis_seq"), "analysis_json")
-    return (slim_current(spark, out, snapshot).join(scraped, ["lead_id", "scraped_seq"], "left")
+    return (slim.drop("part").join(scraped, ["lead_id", "scraped_seq"], "left")
             .join(analysis, ["lead_id", "analysis_seq"], "left").drop("scraped_seq", "analysis_seq"))
 
 
-def live_stats(spark: SparkSession, out: str, snapshot: str | None = None) -> DataFrame:
-    """Dashboard numbers over the streamed state; zeros before the first batch."""
-    return dashboard.stats(slim_current(spark, out, snapshot))
+def lead_by_id(spark: SparkSession, out: str, payloads: str, snapshot: str, lead_id: int) -> DataFrame:
+    """One lead as it stands: one part of the snapshot, the changes since, and its own payloads."""
+    return current_state(spark, out, payloads, snapshot, spark.range(lead_id, lead_id + 1).withColumnRenamed("id", "lead_id"))
+
+
+def next_pending(spark: SparkSession, out: str, payloads: str, snapshot: str) -> DataFrame:
+    """The PENDING lead with the lowest id, found by status and id alone."""
+    lowest = slim_current(spark, out, snapshot).where("status = 'PENDING'").agg(F.min("lead_id").alias("lead_id")).where("lead_id is not null")
+    return current_state(spark, out, payloads, snapshot, stored(lowest, "lowest"))
+
+
+def latest_of_website(spark: SparkSession, out: str, snapshot: str, website: str) -> DataFrame:
+    """The state row with the highest id of one website; the address reaches the snapshot's Bloom filters."""
+    seen = _seen(spark, snapshot)
+    named = tables.read_parts(spark, snapshot, STATE_SCHEMA).where(F.col("website") == website).select("lead_id")
+    leads = named.union(_changes(spark, out, seen).where(F.col("website") == website).select("lead_id")).distinct()
+    return (slim_current(spark, out, snapshot, stored(leads, "candidates")).where(F.col("website") == website)
+            .orderBy(F.desc("lead_id")).limit(1))
+
+
+NUMBERS = ("total", "pending", "processing", "completed", "failed", "high_opportunity", "score_sum", "scored")
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    """One row of ``NUMBERS``: those of rows with sign 1, less those of rows with sign -1."""
+    c = F.col
+    count = lambda test: F.coalesce(F.sum(F.when(test, c("sign")).otherwise(0)), F.lit(0)).cast("long")
+    states = [count(c("status") == s.upper()).alias(s) for s in NUMBERS[1:5]]
+    return rows.agg(count(F.lit(True)).alias("total"), *states, count(c("opportunity_score") >= vocab.BAND_HIGH).alias("high_opportunity"),
+                    F.coalesce(F.sum(c("opportunity_score") * c("sign")), F.lit(0)).cast("long").alias("score_sum"),
+                    count(c("opportunity_score").isNotNull()).alias("scored"))
+
+
+_NUMBERS_SCHEMA = ", ".join(f"{n} long" for n in NUMBERS)
+
+
+def _number_rows(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
+    """Rows of changes to the numbers that add up to them, and the last batch that the folded one holds."""
+    folded = [n for n in tables._folders(spark, f"{out}-numbers/folded", "upto=") if _done(spark, f"{out}-numbers/folded/{n}")]
+    upto = max((int(n[5:]) for n in folded), default=-1)
+    names = [f"{out}-numbers/changes/{n}" for n in tables._folders(spark, f"{out}-numbers/changes", "of=") if int(n[3:]) > upto
+             and _done(spark, f"{out}-numbers/changes/{n}")]
+    names += [f"{out}-numbers/folded/upto={upto}"] if folded else []
+    return (spark.read.schema(_NUMBERS_SCHEMA).parquet(*names) if names else spark.createDataFrame([], _NUMBERS_SCHEMA)), upto
+
+
+def _fold_numbers(spark: SparkSession, out: str, before: int, upto: int) -> None:
+    """Unite the changes of batches up to ``upto``; those that the fold before held go."""
+    rows, had = _number_rows(spark, out)
+    if upto <= had:
+        return
+    names = [f"{out}-numbers/changes/of={k}" for k in range(had + 1, upto + 1) if _done(spark, f"{out}-numbers/changes/of={k}")]
+    names += [f"{out}-numbers/folded/upto={had}"] if had >= 0 else []
+    spark.read.schema(_NUMBERS_SCHEMA).parquet(*names).agg(*[F.sum(n).alias(n) for n in NUMBERS]).write.mode("overwrite").parquet(
+        f"{out}-numbers/folded/upto={upto}")
+    for name in tables._folders(spark, f"{out}-numbers/folded", "upto="):
+        if int(name[5:]) < had:
+            delete(spark, f"{out}-numbers/folded/{name}")
+    for name in tables._folders(spark, f"{out}-numbers/changes", "of="):
+        if int(name[3:]) <= before:
+            delete(spark, f"{out}-numbers/changes/{name}")
+
+
+def live_stats(spark: SparkSession, out: str) -> DataFrame:
+    """Dashboard numbers, from one row per batch since the last fold; zeros before the first batch."""
+    total = _number_rows(spark, out)[0].agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in NUMBERS])
+    mean = F.when(F.col("scored") > 0, F.col("score_sum").cast("double") / F.col("scored"))
+    return total.select(*NUMBERS[:6], F.bround(mean, 1).alias("average_score"))

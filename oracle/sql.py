@@ -183,6 +183,8 @@ def queries() -> dict[str, str]:
             CASE WHEN l.website = 'NOT_FOUND' THEN 'none' WHEN h.mode = 'http' THEN 'http' ELSE 'failed' END AS method,
             l.website <> 'NOT_FOUND' AND h.mode <> 'http' AS failed FROM located l LEFT JOIN homes h USING (website)""",
         "lead_enrichment": DONE,
+        "lead_enrichment_in_place": DONE,
+        "t1_pages_after_leads": DONE,
         "l03_next_pending": f"SELECT lead_id, status, {dash('website')} FROM state WHERE status = 'PENDING' ORDER BY lead_id LIMIT 1",
         "l04_lead_by_id": f"SELECT {STATE} FROM state WHERE lead_id = 17",
         "l05_decoded_analysis": """SELECT lead_id, doc IS NULL AS no_analysis, coalesce(doc->>'$.business_name', '-') AS business_name,
@@ -207,6 +209,8 @@ def queries() -> dict[str, str]:
             WHERE l.website <> 'NOT_FOUND' AND h.mode <> 'http'""",
         "s2_refused_captures": """SELECT page_id, url, 'http' AS channel, CASE WHEN page_id % 29 = 9 THEN 'http_error' ELSE 'not_html' END AS verdict
             FROM docs WHERE src = 'seed' AND page_id % 23 <> 6 AND (page_id % 29 = 9 OR page_id % 31 = 12)""",
+        "l03_stored_pending": f"SELECT lead_id, status, {dash('website')} FROM state WHERE status = 'PENDING' ORDER BY lead_id LIMIT 1",
+        "l04_stored_lead": f"SELECT {STATE} FROM state WHERE lead_id = 17",
         "t2_streamed_state": f"SELECT {STATE} FROM state",
         "t3_live_stats": f"SELECT {STATS} FROM state",
     }
@@ -215,5 +219,5 @@ def queries() -> dict[str, str]:
     for n, kind in enumerate(kinds, 1):
         out[f"r{n:02d}_{kind}"] = (f"SELECT website, rank, priority, score, impact, confidence, fit AS solution_fit, evidence, unknowns "
                                    f"FROM site_opps WHERE type = '{kind}'")
-    leads_first = {"t1_rejects", "a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment"}
+    leads_first = {"t1_rejects", "a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment", "lead_enrichment_in_place", "t1_pages_after_leads"}
     return {n: full(s, "located" if n in leads_first else "newweb") for n, s in out.items()}

@@ -134,7 +134,7 @@ def test_state_stream_equals_batch_over_many_files(spark, folder):
     stream = seeding.as_lead_events(jobs.file_stream(spark, source, schema))
     out, checkpoint, payloads, snapshot = (new_path(spark, n) for n in ("state", "check", "payloads", "snapshot"))
     # Before the first batch the numbers are zero.
-    assert jobs.live_stats(spark, out, snapshot).first().total == 0
+    assert jobs.live_stats(spark, out).first().total == 0
     jobs.state_stream(stream, out, checkpoint).awaitTermination()
     jobs.payload_stream(stream, payloads, new_path(spark, "check")).awaitTermination()
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
@@ -146,7 +146,84 @@ def test_state_stream_equals_batch_over_many_files(spark, folder):
             jobs.compact_state(spark, out, snapshot)
         streamed = jobs.current_state(spark, out, payloads, use).select(*batch.columns)
         assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
-        assert jobs.live_stats(spark, out, use).first() == dashboard.stats(batch).first()
+        assert jobs.live_stats(spark, out).first() == dashboard.stats(batch).first()
     # Started again with nothing new, it changes nothing.
     jobs.state_stream(stream, out, checkpoint).awaitTermination()
     assert jobs.slim_current(spark, out, snapshot).count() == batch.count()
+
+
+def test_numbers_after_every_batch(spark, folder):
+    """Each batch takes its leads' old rows out of the numbers and puts the new ones in; repeated, it changes nothing."""
+    source = tables.table(spark, folder, "events")
+    arriving, out, snapshot, check = (new_path(spark, n) for n in ("events", "state", "snapshot", "check"))
+    sofar, reads = None, []
+    for k in range(4):
+        some = source.where(F.col("event_id") % 4 == k)
+        some.coalesce(1).write.mode("append").parquet(arriving)
+        stream = seeding.as_lead_events(jobs.file_stream(spark, arriving, source.schema))
+        jobs.state_stream(stream, out, check, snapshot=snapshot).awaitTermination()
+        sofar = some if sofar is None else sofar.union(some)
+        want = dashboard.stats(leads.fold_state(seeding.as_lead_events(sofar))).first()
+        assert jobs.live_stats(spark, out).first() == want
+        if k % 2:
+            jobs.compact_state(spark, out, snapshot)
+            assert jobs.live_stats(spark, out).first() == want
+        reads.append(jobs._number_rows(spark, out)[0].count())
+    assert reads == [1, 1, 2, 1]
+    # A batch that is written again, after its rows are seen and folded.
+    rows = spark.read.schema(jobs.STATE_SCHEMA).parquet(f"{out}/batch_id=3").drop("part", "batch_id")
+    writes = []
+    start, jobs._start = jobs._start, lambda stream, mode, write, *rest: writes.append(write)
+    try:
+        jobs.state_stream(stream, out, check, snapshot=snapshot)
+    finally:
+        jobs._start = start
+    writes[0](rows, 3)
+    assert jobs.live_stats(spark, out).first() == want
+    batch = leads.fold_state(seeding.as_lead_events(source))
+    assert sorted(jobs.slim_current(spark, out, snapshot).select("lead_id", "status", "last_seq").collect()) == sorted(
+        batch.select("lead_id", "status", "last_seq").collect())
+
+
+def test_one_lead_reads_one_part(spark, folder):
+    """A look-up reads the lead's part of snapshot and payloads; compaction writes the touched parts alone."""
+    arriving, out, payloads, snapshot = (new_path(spark, n) for n in ("events", "state", "payloads", "snapshot"))
+    events = tables.table(spark, folder, "events")
+    events.coalesce(1).write.parquet(arriving)
+    stream = seeding.as_lead_events(jobs.file_stream(spark, arriving, events.schema))
+    check, pcheck = new_path(spark, "check"), new_path(spark, "check")
+    for _ in range(2):
+        jobs.state_stream(stream, out, check, snapshot=snapshot).awaitTermination()
+        jobs.payload_stream(stream, payloads, pcheck).awaitTermination()
+        jobs.compact_state(spark, out, snapshot)
+    batch = leads.fold_state(seeding.lead_events(spark, folder))
+    some = batch.where("website is not null").orderBy("lead_id").first()
+    assert jobs.lead_by_id(spark, out, payloads, snapshot, some.lead_id).select(*batch.columns).collect() == [some]
+    part = spark.range(some.lead_id, some.lead_id + 1).select(tables.part(F.col("id"))).first()[0]
+    one = tables.read_parts(spark, snapshot, jobs.STATE_SCHEMA, [part])
+    assert len(one.inputFiles()) == 1 and one.count() < batch.count() / 4
+    asked = spark.createDataFrame([(some.lead_id,)], "lead_id long")
+    held = jobs._of(spark.read.schema(jobs.PAYLOAD_SCHEMA).parquet(payloads), asked, *jobs._ids(asked))
+    plan = held._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    assert plan.collectLeaves().head().metrics().apply("numFiles").value() == 1
+    assert "In(lead_id" in plan.toString() or "EqualTo(lead_id" in plan.toString()
+    assert jobs.next_pending(spark, out, payloads, snapshot).select("lead_id").collect() == leads.next_pending(batch).select("lead_id").collect()
+    latest = leads.latest_by_website(batch).where(F.col("website") == some.website).first()
+    assert [r.lead_id for r in jobs.latest_of_website(spark, out, snapshot, some.website).collect()] == [latest.lead_id]
+    # Many leads take the join instead of literal ids.
+    jobs.LOOKED_UP, before = 3, jobs.LOOKED_UP
+    try:
+        few = batch.where("lead_id % 5 = 0")
+        got = jobs.current_state(spark, out, payloads, snapshot, few).select(*batch.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, few.collect()))
+    finally:
+        jobs.LOOKED_UP = before
+    # New events of one lead: one part is written again.
+    first = events.orderBy("event_id").limit(1).withColumn("event_id", F.col("event_id") + 10**9)
+    first.write.mode("append").parquet(arriving)
+    jobs.state_stream(stream, out, check, snapshot=snapshot).awaitTermination()
+    jobs.compact_state(spark, out, snapshot)
+    versions = tables._versions(spark, snapshot)
+    assert len(tables._folders(spark, f"{snapshot}/v={versions[-1]}", "part=")) == 1
+    assert jobs.slim_current(spark, out, snapshot).count() == batch.count()
