@@ -2,10 +2,14 @@
 
 Vectors are scaled to length 1.  A coarse quantiser files each distinct vector in the list of its nearest centroid; the residual
 is coded by eight subspaces of 256 codewords, and the length of what the code leaves out is kept.  Each vector is also a
-query.  A neighbour within distance d lies on its side of the plane between two centroids, so only lists whose plane is no
-further than d from the query can hold one, and all of these are probed, however many: in 64 dimensions without clusters
-that is most lists, so the work then grows faster than the rows.  In a list the asymmetric distance (table look-ups of the query's residual) must be within d plus the coded vector's left-out length,
-which by the triangle inequality loses nothing; the exact cosine in double precision decides.
+query.  A neighbour within distance d lies on its side of the plane between two centroids, so a list can hold one only if
+its plane is no further than d from the query.  Hardly any neighbour is displaced by all of d along one normal, so a list is probed if
+its plane is within a learned share of d: the share that finds ``RECALL`` of neighbours made at the threshold, in random
+directions and in those in which the sample's vectors differ, and all linked pairs of the sample, for each list by itself.
+With ``margin`` 1 every list that can hold a neighbour is probed.  A list further from the query than d and its
+largest residual is never probed.  In a list the asymmetric distance (table look-ups of the query's residual) must be within d plus the coded vector's left-out length,
+which by the triangle inequality loses nothing; the exact cosine in double precision decides.  A link that only one of
+its vectors finds counts for both.
 
 The quantisers are fitted on at most ``TRAIN_ROWS`` distinct vectors (by hash); all rows are indexed and all are queries.
 Equal vectors are one entry with a count.  Lists are cut in blocks, and a pair of blocks gives counts and a spanning
@@ -32,6 +36,9 @@ WORDS = 256
 LIST_ROWS = 512
 MAX_LISTS = 4096
 BLOCK = 1024
+#: The share of made neighbours that the probed lists hold, and sample vectors from which margins are learned.
+RECALL = 0.9995
+MARGIN_ROWS = 8192
 _SLACK = 1e-4
 
 
@@ -79,19 +86,43 @@ class Index:
         said = np.hstack([b[codes[:, m]] for m, b in enumerate(self.books)])
         return near, codes, np.sqrt(((rest - said) ** 2).sum(axis=1))
 
-    def probes(self, x: np.ndarray, near: np.ndarray, distance: float) -> list[np.ndarray]:
-        """The lists that can hold a vector within ``distance`` of each row."""
-        gaps = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2), 0)) \
-            if len(self.centres) <= 512 else None
+    def _planes(self, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row and list: twice the distance of centroids times that of the row to their plane, and the former doubled."""
         square = (self.centres ** 2).sum(axis=1)
+        far = square - 2 * x @ self.centres.T  # squared distances, less the row's own square
+        between = np.sqrt(np.maximum(square[near][:, None] + square - 2 * self.centres[near] @ self.centres.T, 0))
+        return far - far[np.arange(len(x)), near][:, None], 2 * between
+
+    def learn_margins(self, sample: np.ndarray, cosine: float, recall: float) -> None:
+        """Per list, the share of the neighbour distance within which its plane must lie to be probed."""
+        distance, near = np.sqrt(2 - 2 * cosine), _nearest(sample, self.centres)
+        rng = np.random.default_rng(0)
+        x = sample[:MARGIN_ROWS]
+        way = np.where(np.arange(len(x))[:, None] % 2 == 0, rng.normal(size=x.shape), sample[rng.permutation(len(sample))[:len(x)]] - x)
+        way -= (way * x).sum(axis=1, keepdims=True) * x
+        way /= np.maximum(np.sqrt((way ** 2).sum(axis=1, keepdims=True)), 1e-12)
+        made = cosine * x + np.sqrt(1 - cosine ** 2) * way
+        target, needed = _nearest(made, self.centres), np.zeros(len(x))
+        self.margins = np.zeros(len(self.centres))
+        for i in range(0, len(x), 512):
+            rows = slice(i, i + 512)
+            plane, between = self._planes(x[rows], near[rows])
+            share = np.divide(plane, between * distance, out=np.zeros_like(plane), where=between > 0)
+            needed[rows] = share[np.arange(len(plane)), target[rows]]
+            a, b = np.nonzero(x[rows] @ sample.T >= cosine)
+            np.maximum.at(self.margins, near[b], share[a, near[b]])
+        self.margins = np.minimum(1, 1.1 * np.maximum(self.margins, np.quantile(needed, recall)))
+
+    def probes(self, x: np.ndarray, near: np.ndarray, distance: float, reach: np.ndarray) -> list[np.ndarray]:
+        """The lists to search for vectors within ``distance`` of each row; ``reach`` is each list's largest residual, -1 if empty."""
         out = []
         for i in range(0, len(x), 1024):
             rows, own = x[i:i + 1024], near[i:i + 1024]
-            far = square - 2 * rows @ self.centres.T  # squared distances, less the row's own square
-            more = far - far[np.arange(len(rows)), own][:, None]
-            between = gaps[own] if gaps is not None else np.sqrt(np.maximum(
-                square[own][:, None] + square - 2 * self.centres[own] @ self.centres.T, 0))
-            for row in more <= 2 * between * (distance + _SLACK):
+            plane, between = self._planes(rows, own)
+            apart = np.sqrt(np.maximum(((rows ** 2).sum(axis=1))[:, None] + (self.centres ** 2).sum(axis=1) - 2 * rows @ self.centres.T, 0))
+            wanted = (plane <= between * (distance * self.margins + _SLACK)) & (apart <= distance + reach + _SLACK) & (reach >= 0)
+            wanted[np.arange(len(rows)), own] = True
+            for row in wanted:
                 out.append(np.flatnonzero(row).astype(np.int32))
         return out
 
@@ -145,7 +176,11 @@ def _compare(index, cosine: float, width: int):
         a, b = np.concatenate(found_q), np.concatenate(found_b)
         if not len(a):
             return None
-        links = np.bincount(a, copies[b], minlength=len(node)).astype(np.int64)
+        # The entry finds the query by itself unless it doesn't probe the query's list.
+        probed, size = rows["probes"].combine_chunks(), len(index.value.centres)
+        told = np.repeat(np.arange(len(node)), np.diff(probed.offsets.to_numpy())) * size + probed.flatten().to_numpy()
+        alone = ~np.isin(b * size + rows["own"].to_numpy()[a], told)
+        links = (np.bincount(a, copies[b], minlength=len(node)) + np.bincount(b[alone], copies[a[alone]], minlength=len(node))).astype(np.int64)
         ids, place = np.unique(node, return_inverse=True)
         root = ids[_roots(len(ids), place[a], place[b])][place]
         some = np.zeros(len(node), bool)
@@ -180,8 +215,11 @@ def _compare(index, cosine: float, width: int):
 
 
 def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
-                 vector_col: str = "embedding") -> DataFrame:
-    """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
+                 vector_col: str = "embedding", margin: float | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept.
+
+    ``margin`` replaces the learned margins; 1 is exact.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(
@@ -200,7 +238,12 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     width = size.width
     lists = int(min(MAX_LISTS, max(1, size.rows // LIST_ROWS)))
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(TRAIN_ROWS).select("v").toArrow()["v"].combine_chunks()
-    index = spark.sparkContext.broadcast(Index(_unit(sample, width), lists))
+    fitted = Index(_unit(sample, width), lists)
+    if margin is None:
+        fitted.learn_margins(_unit(sample, width), cosine, RECALL)
+    else:
+        fitted.margins = np.full(len(fitted.centres), margin)
+    index = spark.sparkContext.broadcast(fitted)
     distance = float(np.sqrt(2 - 2 * cosine))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +252,30 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
                 batch = whole.slice(i, 4096)
                 x = _unit(batch.column(2), width)
                 near, codes, left_out = index.value.encode(x)
-                probes = index.value.probes(x, near, distance)
+                far = np.sqrt(((x - index.value.centres[near]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x]), pa.array(near.astype(np.int32)),
-                     pa.array([c.tobytes() for c in codes]), pa.array(left_out), pa.array(probes, pa.list_(pa.int32()))],
-                    ["node", "copies", "unit", "list", "codes", "left_out", "probes"])
+                     pa.array([c.tobytes() for c in codes]), pa.array(left_out), pa.array(far)],
+                    ["node", "copies", "unit", "list", "codes", "left_out", "far"])
 
     coded = stored(classes.select("node", "copies", "v").mapInArrow(
-        code, "node long, copies long, unit binary, list int, codes binary, left_out double, probes array<int>"), "codes")
-    asked = coded.select("node", "copies", "unit", F.explode("probes").alias("list"))
+        code, "node long, copies long, unit binary, list int, codes binary, left_out double, far double"), "codes")
+    reach = np.full(len(fitted.centres), -1.0)
+    for r in coded.groupBy("list").agg(F.max("far").alias("far")).collect():  # a row per list
+        reach[r.list] = r.far
+    reach = spark.sparkContext.broadcast(reach)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096).drop_columns(["far"])
+                x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, width)
+                probes = index.value.probes(x, batch.column("list").to_numpy(), distance, reach.value)
+                yield batch.append_column("probes", pa.array(probes, pa.list_(pa.int32())))
+
+    coded = stored(coded.mapInArrow(
+        probe, "node long, copies long, unit binary, list int, codes binary, left_out double, probes array<int>"), "probed")
+    asked = coded.select("node", "copies", "unit", F.col("list").alias("own"), F.explode("probes").alias("list"))
     # Blocks per list, of entries and of queries: at most MAX_LISTS rows.
     blocks = (coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
               .join(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups")), "list"))
@@ -226,10 +284,10 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["list", "block", "group"]
     base = coded.join(blocks, "list").withColumn("block", spread("blocks")).withColumn("group", every("groups")).select(
-        *keys, F.lit(0).alias("side"), "node", "copies", "unit", "codes", "left_out")
+        *keys, F.lit(0).alias("side"), "node", "copies", "unit", "codes", "left_out", "probes", F.col("list").alias("own"))
     asked = asked.join(blocks, "list").withColumn("group", spread("groups")).withColumn("block", every("blocks")).select(
         *keys, F.lit(1).alias("side"), "node", "copies", "unit", F.lit(None).cast("binary").alias("codes"),
-        F.lit(None).cast("double").alias("left_out"))
+        F.lit(None).cast("double").alias("left_out"), F.expr("cast(array() as array<int>)").alias("probes"), "own")
     met = base.union(asked).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
     links = stored(met.mapInArrow(_compare(index, cosine, width), "node long, links long, root long"), "links")
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -353,6 +353,26 @@ def test_vector_hot_cluster(spark, monkeypatch):
     assert [rows[i] for i in range(3000)] == near.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("margin, least", [(None, 0.98), (1.0, 1.0)])
+def test_vector_recall_beyond_the_sample(spark, monkeypatch, margin, least):
+    """Margins learned from a fifteenth of the rows; near copies lie in eight dimensions of 64; counts are symmetric."""
+    monkeypatch.setattr(vector_dedup, "LIST_ROWS", 64)
+    monkeypatch.setattr(vector_dedup, "TRAIN_ROWS", 400)
+    rng = np.random.default_rng(21)
+    plane = rng.standard_normal((8, 64))
+    x = rng.standard_normal((3000, 64))
+    near = x + rng.standard_normal((3000, 8)) @ plane * 0.1 * np.linalg.norm(x, axis=1, keepdims=True) / 8
+    both = np.concatenate([x, near])
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r.n_links for r in vector_dedup.vector_dedup(table, margin=margin).collect()}
+    found = np.array([rows[i] for i in range(6000)])
+    assert close.sum() > 2000 and (found <= close.sum(axis=1)).all() and found.sum() >= least * close.sum()
+    assert found[:3000].sum() == found[3000:].sum()
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x.com/{i}\r\nEvil: 1", "é<p>" * (300 if i % 3 else 2)) for i in range(30)],
                                   "page_id long, url string, html string").repartition(2)
