@@ -14,7 +14,6 @@ tokens.  Null counts as empty; an empty text has no ids.  Repeated rows are enco
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -48,7 +47,7 @@ def _byte_letters() -> list[str]:
 class Bpe:
     """Encoder of one vocabulary; ``view`` is what is kept and joined of each piece of text."""
 
-    def __init__(self, file: bytes, view: Callable[[list[int], "Bpe"], object]):
+    def __init__(self, file: bytes, view: Callable[[list[int], "Bpe"], object], cached: int = CACHED):
         spec = json.loads(file)
         model = spec["model"]
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
@@ -58,7 +57,7 @@ class Bpe:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self._added = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")")
         self._letters = {b: letter for b, letter in enumerate(_byte_letters())}
-        self._view = view
+        self._view, self._cached = view, cached
         # parts and rank of the merge that makes a token; a token without merge is a letter.
         self._merge: dict[tuple[int, int], tuple[int, int]] = {}
         self._split: dict[int, tuple[int, int, int]] = {}
@@ -115,7 +114,7 @@ class Bpe:
                 key = last[start] << 20 | token
                 fit = known.get(key)
                 if fit is None:
-                    if len(known) > 4 * CACHED:
+                    if len(known) > 4 * self._cached:
                         known.clear()
                     fit = known[key] = self.fits(last[start], token)
                 if not fit:
@@ -128,7 +127,11 @@ class Bpe:
         out.reverse()
         return out
 
-    def _piece(self, piece: str) -> list[int]:
+    def word_ids(self, word: bytes) -> list[int]:
+        """Ids of one lowered word, given as its bytes."""
+        return self.word(word.decode("latin-1").translate(self._letters))
+
+    def piece_ids(self, piece: str) -> list[int]:
         """Ids of a stretch without white space."""
         if piece.isascii():
             piece = piece.lower()
@@ -145,9 +148,9 @@ class Bpe:
         for word in words:
             ids = self._words.get(word)
             if ids is None:
-                ids = self.word(word.encode().decode("latin-1").translate(self._letters))
+                ids = self.word_ids(word.encode())
                 if len(word) <= CACHED_LENGTH:
-                    if len(self._words) >= CACHED:
+                    if len(self._words) >= self._cached:
                         self._words.clear()
                     self._words[word] = ids
             out += ids
@@ -164,9 +167,9 @@ class Bpe:
             for piece in filter(None, _GAPS.split(part)) if _OTHER_GAPS.search(part) else part.split():
                 view = known.get(piece)
                 if view is None:
-                    view = self._view(self._piece(piece), self)
+                    view = self._view(self.piece_ids(piece), self)
                     if len(piece) <= CACHED_LENGTH:
-                        if len(known) >= CACHED:
+                        if len(known) >= self._cached:
                             known.clear()
                         known[piece] = view
                 out.append(view)
@@ -186,11 +189,6 @@ def as_ids(ids: list[int], _: Bpe) -> list[int]:
     return ids
 
 
-def as_bytes(ids: list[int], _: Bpe) -> bytes:
-    """Little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def as_text(ids: list[int], bpe: Bpe) -> tuple[int, str, str]:
     """Number of ids, the ids in decimal, and their decoded text."""
     decimals, names = bpe.decimals, bpe.names
@@ -200,12 +198,12 @@ def as_text(ids: list[int], bpe: Bpe) -> tuple[int, str, str]:
 _made: dict[tuple, Bpe] = {}
 
 
-def encoder(file: bytes, view: Callable) -> Bpe:
+def encoder(file: bytes, view: Callable, cached: int = CACHED) -> Bpe:
     """One encoder per Python worker, so words met before are not encoded again."""
-    key = (hash(file), view.__name__)
+    key = (hash(file), view.__name__, cached)
     if key not in _made:
         _made.clear()
-        _made[key] = Bpe(file, view)
+        _made[key] = Bpe(file, view, cached)
     return _made[key]
 
 

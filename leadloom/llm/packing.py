@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from leadloom.llm.bpe import as_bytes, encoder, shared_file
+from leadloom.llm.bpe import as_ids, encoder, shared_file
+from leadloom.llm.bpe_batches import BatchEncoder
 from leadloom.llm.tables import texts
+from leadloom.llm.words import chunks
 
 WINDOW = 2048
 OPEN = 64
 CLOSING_ID = 1
+#: Words of odd pieces and a quarter of the token pairs that an encoder keeps, beside the words of ``BatchEncoder``.
+CACHED_WORDS = 50_000
 _FIELDS = [("doc_id", None), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
            ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -97,7 +101,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, windows: int = OPEN
     closing = np.array([closing_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(file.value, as_bytes)
+        batches_of = BatchEncoder(encoder(file.value, as_ids, CACHED_WORDS))
         packer = Packer(TaskContext.get().partitionId() << 32, window, windows)
         kind = None
 
@@ -108,8 +112,10 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, windows: int = OPEN
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc, b"".join(bpe.views(text.as_py() or "")) + closing)
+            docs_of = batch.column(0).to_pylist()
+            for first, last, data, offsets in chunks(batch.column(1)):
+                for doc, ids in zip(docs_of[first:last], batches_of.encode(data, offsets)):
+                    packer.add(doc, ids + closing)
                 if len(packer.rows) > 20_000:
                     yield out()
         packer.finish()
