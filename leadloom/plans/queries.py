@@ -13,7 +13,7 @@ from leadloom.plans import enrichment
 from leadloom.session import new_path, stored
 from leadloom.sources import seeding, tables
 from leadloom.sources.page_store import PageStore
-from leadloom.streaming import jobs
+from leadloom.streaming import intake, jobs
 from leadloom.streaming.waiting import WaitingLeads
 
 QUERIES = {}
@@ -47,6 +47,17 @@ def _(spark, d):
     return leads.intake(seeding.link_lists(spark, d), F.lit(100)).select("lead_id", "source_url", "status")
 
 
+@query("s1_streamed_intake")
+def _(spark, d):
+    lists = stored(seeding.link_lists(spark, d), "lists")
+    arriving, out, log, check = (new_path(spark, n) for n in ("lists", "queued", "ids", "check"))
+    middle = lists.agg(F.percentile_approx("request_id", 0.5)).first()[0]
+    for half in (F.col("request_id") <= middle, F.col("request_id") > middle):
+        lists.where(half).coalesce(1).write.mode("append").parquet(arriving)
+        intake.link_stream(jobs.file_stream(spark, arriving, lists.schema), out, intake.LeadIds(spark, log, 100), check).awaitTermination()
+    return spark.read.parquet(out).select("lead_id", "source_url", "status")
+
+
 @query("s2_crawl_admission")
 def _(spark, d):
     return tables.admission(seeding.crawl_log(spark, d)).select("page_id", "status_code", "verdict")
@@ -88,6 +99,14 @@ def _(spark, d):
     return reports.updated_report(report, changes)
 
 
+@query("s5_report_in_place")
+def _(spark, d):
+    path = new_path(spark, "report")
+    reports.write_report_table(reports.report_rows(enrichment.report(_enriched(spark, d))), path, span=50)
+    reports.update_report_table(path, _manual(spark, d).withColumn("opportunity_score", F.lit(None).cast("int")), span=50)
+    return reports.read_report_table(spark, path)
+
+
 @query("s6_snapshot_columns")
 def _(spark, d):
     old = seeding.new_leads(spark, d).select("lead_id", "company_name", "source_url")

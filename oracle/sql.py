@@ -219,5 +219,6 @@ def queries() -> dict[str, str]:
     for n, kind in enumerate(kinds, 1):
         out[f"r{n:02d}_{kind}"] = (f"SELECT website, rank, priority, score, impact, confidence, fit AS solution_fit, evidence, unknowns "
                                    f"FROM site_opps WHERE type = '{kind}'")
-    leads_first = {"t1_rejects", "a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment", "lead_enrichment_in_place", "t1_pages_after_leads"}
+    out["s1_streamed_intake"], out["s5_report_in_place"] = out["s1_link_intake"], out["s5_report_update"]
+    leads_first = {"s5_report_in_place", "t1_rejects", "a10_analysis_document", "l05_stored_analysis", "l09_stored_rows", "l11_stored_detail", "lead_enrichment", "l02_final_status", "l02_failed_without_browser", "s5_report_append", "s5_report_update", "t1_streamed_enrichment", "lead_enrichment_in_place", "t1_pages_after_leads"}
     return {n: full(s, "located" if n in leads_first else "newweb") for n, s in out.items()}

@@ -8,7 +8,7 @@ from leadloom.operators import dashboard, leads, reports
 from leadloom.plans import enrichment
 from leadloom.session import new_path
 from leadloom.sources import seeding, tables
-from leadloom.streaming import jobs
+from leadloom.streaming import intake, jobs
 
 EVENT = ("seq long, lead_id long, ts timestamp, kind string, status string, website string, company_name string, "
          "emails string, phones string, body_text string, score int, analysis_json string")
@@ -227,3 +227,54 @@ def test_one_lead_reads_one_part(spark, folder):
     versions = tables._versions(spark, snapshot)
     assert len(tables._folders(spark, f"{snapshot}/v={versions[-1]}", "part=")) == 1
     assert jobs.slim_current(spark, out, snapshot).count() == batch.count()
+
+
+def test_report_in_place(spark):
+    """Ten changed leads: only their id ranges are written again, and new leads come into ranges of their own."""
+    df = spark.range(1, 1001).select(F.col("id").alias("lead_id"), F.lit("C").alias("company_name"), F.lit("s").alias("source_url"), F.lit("w").alias("website"),
+                                     F.array(F.lit("a")).alias("emails"), F.array(F.lit("1")).alias("phones"), F.lit("S").alias("status"),
+                                     F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit(5).alias("opportunity_score"))
+    report, path = reports.report_rows(df), new_path(spark, "report")
+    reports.write_report_table(report, path, span=100)
+    files = set(spark.read.parquet(path).inputFiles())
+    assert len(files) == 11
+    changes = df.where("lead_id between 201 and 210").withColumn("status", F.lit("N")).union(
+        df.limit(1).withColumn("lead_id", F.lit(5000).cast("long")))
+    want = sorted(map(tuple, reports.updated_report(report, changes).collect()))
+    reports.update_report_table(path, changes, span=100)
+    after = set(spark.read.parquet(path).inputFiles())
+    assert len(files & after) == 10 and len(after) == 12
+    assert sorted(map(tuple, reports.read_report_table(spark, path).collect())) == want
+    reports.update_report_table(path, changes, span=100)
+    assert sorted(map(tuple, reports.read_report_table(spark, path).collect())) == want
+
+
+def test_streamed_ids(spark, monkeypatch):
+    """A repeated batch gets its old ids, batches never overlap, and two streams share one log."""
+    ids = intake.LeadIds(spark, new_path(spark, "ids"), after=10)
+    writers = []
+    monkeypatch.setattr(intake, "_start", lambda stream, mode, write, *rest: writers.append(write))
+    queued, manual = new_path(spark, "queued"), new_path(spark, "manual")
+    known = spark.createDataFrame([(3, "https://k", "K", "", "s")], "lead_id long, website string, company_name string, location string, source_url string")
+    intake.link_stream(None, queued, ids, "")
+    intake.manual_stream(None, lambda: known, manual, ids, "")
+    links, pages = writers
+    batches = [spark.createDataFrame([(r, "http://a\nhttp://b")], "request_id long, links string") for r in (2, 1)]
+    sent = [spark.createDataFrame(rows, "seq long, url string, html string") for rows in (
+        [(1, "https://n", "x"), (2, "https://k", "y"), (3, "https://m", "z")], [(4, "https://n", "more"), (5, "https://o", "x")])]
+
+    def seen():
+        rows = spark.read.parquet(queued).select("lead_id", "source_url").union(spark.read.parquet(manual).select("lead_id", "website"))
+        return sorted(map(tuple, rows.collect()))
+
+    links(batches[0], 0)
+    pages(sent[0], 0)
+    links(batches[1], 1)
+    pages(sent[1], 1)
+    assert ids.ranges() == {"links-0": (11, 2), "manual-0": (13, 2), "links-1": (15, 2), "manual-1": (17, 1)}
+    first = seen()
+    assert first == sorted([(3, "https://k"), (11, "http://a"), (12, "http://b"), (13, "https://n"), (14, "https://m"), (15, "http://a"), (16, "http://b"),
+                            (13, "https://n"), (17, "https://o")])
+    for write, batch, number in ((pages, sent[1], 1), (links, batches[0], 0), (pages, sent[0], 0)):
+        write(batch, number)
+    assert seen() == first and len(ids.ranges()) == 4
