@@ -4,8 +4,9 @@ Vectors are scaled to length 1.  A coarse quantiser files each distinct vector i
 is coded by eight subspaces of 256 codewords, and the length of what the code leaves out is kept.  Each vector is also a
 query.  A neighbour within distance d lies on its side of the plane between two centroids, so a list can hold one only if
 its plane is no further than d from the query.  Hardly any neighbour is displaced by all of d along one normal, so a list is probed if
-its plane is within a learned share of d: the share that finds ``RECALL`` of neighbours made at the threshold, in random
-directions and in those in which the sample's vectors differ, and all linked pairs of the sample, for each list by itself.
+its plane is within a learned share of d: the share with which ``RECALL`` of neighbours made at the threshold in random
+directions are found by one side at least, as are ``RECALL`` of the links of ``ASKED`` vectors, which a pass over the whole table
+finds, and all linked pairs of the sample by both, for each list by itself.
 With ``margin`` 1 every list that can hold a neighbour is probed.  A list further from the query than d and its
 largest residual is never probed.  In a list the asymmetric distance (table look-ups of the query's residual) must be within d plus the coded vector's left-out length,
 which by the triangle inequality loses nothing; the exact cosine in double precision decides.  A link that only one of
@@ -36,9 +37,12 @@ WORDS = 256
 LIST_ROWS = 512
 MAX_LISTS = 4096
 BLOCK = 1024
-#: The share of made neighbours that the probed lists hold, and sample vectors from which margins are learned.
-RECALL = 0.9995
+#: The share of links that margins are to keep, sample vectors that they are learned from, and vectors whose links are all found
+#: by comparing them with the whole table.
+RECALL = 0.995
 MARGIN_ROWS = 8192
+ASKED = 512
+_STEPS = 64
 _SLACK = 1e-4
 
 
@@ -93,34 +97,38 @@ class Index:
         between = np.sqrt(np.maximum(square[near][:, None] + square - 2 * self.centres[near] @ self.centres.T, 0))
         return far - far[np.arange(len(x)), near][:, None], 2 * between
 
-    def learn_margins(self, sample: np.ndarray, cosine: float, recall: float) -> None:
+    def margins(self, sample: np.ndarray, cosine: float, recall: float) -> np.ndarray:
         """Per list, the share of the neighbour distance within which its plane must lie to be probed."""
         distance, near = np.sqrt(2 - 2 * cosine), _nearest(sample, self.centres)
-        rng = np.random.default_rng(0)
-        x = sample[:MARGIN_ROWS]
-        way = np.where(np.arange(len(x))[:, None] % 2 == 0, rng.normal(size=x.shape), sample[rng.permutation(len(sample))[:len(x)]] - x)
+        x, own = sample[:MARGIN_ROWS], near[:MARGIN_ROWS]
+        way = np.random.default_rng(0).normal(size=x.shape)
         way -= (way * x).sum(axis=1, keepdims=True) * x
         way /= np.maximum(np.sqrt((way ** 2).sum(axis=1, keepdims=True)), 1e-12)
         made = cosine * x + np.sqrt(1 - cosine ** 2) * way
         target, needed = _nearest(made, self.centres), np.zeros(len(x))
-        self.margins = np.zeros(len(self.centres))
+        margins = np.zeros(len(self.centres))
+
+        def share(rows: np.ndarray, lists: np.ndarray) -> np.ndarray:
+            plane, between = self._planes(rows, lists)
+            return np.divide(plane, between * distance, out=np.zeros_like(plane), where=between > 0)
+
         for i in range(0, len(x), 512):
             rows = slice(i, i + 512)
-            plane, between = self._planes(x[rows], near[rows])
-            share = np.divide(plane, between * distance, out=np.zeros_like(plane), where=between > 0)
-            needed[rows] = share[np.arange(len(plane)), target[rows]]
+            there, every = share(x[rows], own[rows]), np.arange(len(x[rows]))
+            # It's enough that one of the two finds the other.
+            needed[rows] = np.minimum(there[every, target[rows]], share(made[rows], target[rows])[every, own[rows]])
             a, b = np.nonzero(x[rows] @ sample.T >= cosine)
-            np.maximum.at(self.margins, near[b], share[a, near[b]])
-        self.margins = np.minimum(1, 1.1 * np.maximum(self.margins, np.quantile(needed, recall)))
+            np.maximum.at(margins, near[b], there[a, near[b]])
+        return 1.1 * np.maximum(margins, np.quantile(needed, recall))
 
-    def probes(self, x: np.ndarray, near: np.ndarray, distance: float, reach: np.ndarray) -> list[np.ndarray]:
+    def probes(self, x: np.ndarray, near: np.ndarray, distance: float, reach: np.ndarray, margins: np.ndarray) -> list[np.ndarray]:
         """The lists to search for vectors within ``distance`` of each row; ``reach`` is each list's largest residual, -1 if empty."""
         out = []
         for i in range(0, len(x), 1024):
             rows, own = x[i:i + 1024], near[i:i + 1024]
             plane, between = self._planes(rows, own)
             apart = np.sqrt(np.maximum(((rows ** 2).sum(axis=1))[:, None] + (self.centres ** 2).sum(axis=1) - 2 * rows @ self.centres.T, 0))
-            wanted = (plane <= between * (distance * self.margins + _SLACK)) & (apart <= distance + reach + _SLACK) & (reach >= 0)
+            wanted = (plane <= between * (distance * margins + _SLACK)) & (apart <= distance + reach + _SLACK) & (reach >= 0)
             wanted[np.arange(len(rows)), own] = True
             for row in wanted:
                 out.append(np.flatnonzero(row).astype(np.int32))
@@ -214,6 +222,44 @@ def _compare(index, cosine: float, width: int):
     return run
 
 
+def _asked_margin(coded: DataFrame, index, cosine: float, width: int) -> float:
+    """The margin that keeps ``RECALL`` of the links of ``ASKED`` vectors (by hash), compared with all rows; each counts alike."""
+    asked = coded.orderBy(F.xxhash64("node"), "node").limit(ASKED).select("node", "unit", "list").toArrow().combine_chunks()
+    table = coded.sparkSession.sparkContext.broadcast(asked)
+    distance = np.sqrt(2 - 2 * cosine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists = table.value["node"].to_numpy(), table.value["list"].to_numpy()
+        q = np.frombuffer(b"".join(table.value["unit"].to_pylist()), np.float64).reshape(-1, width)
+        ahead, between = index.value._planes(q, lists)
+        back = np.divide(ahead, between * distance, out=np.zeros_like(ahead), where=between > 0)
+        count = np.zeros((len(q), _STEPS + 1), np.int64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, width)
+                a, b = np.nonzero((x @ q.T >= cosine) & (batch.column(0).to_numpy()[:, None] != ids[None]))
+                if not len(a):
+                    continue
+                near, (rows, place) = batch.column(2).to_numpy(), np.unique(a, return_inverse=True)
+                ahead, between = index.value._planes(x[rows], near[rows])
+                there = np.divide(ahead, between * distance, out=np.zeros_like(ahead), where=between > 0)
+                least = np.minimum(there[place, lists[b]], back[b, near[a]])
+                np.add.at(count, (b, np.ceil(np.clip(least, 0, 1) * _STEPS).astype(int)), 1)
+        who, step = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(step), pa.array(count[who, step])], ["who", "step", "n"])
+
+    rows = coded.select("node", "unit", "list").mapInArrow(run, "who long, step long, n long").groupBy("who", "step").agg(F.sum("n").alias("n")).collect()
+    count = np.zeros((len(asked), _STEPS + 1))
+    for r in rows:  # at most ASKED times _STEPS + 1
+        count[r.who, r.step] = r.n
+    count = count[count.sum(axis=1) > 0]
+    if not len(count):
+        return 0.0
+    found = (np.cumsum(count, axis=1) / count.sum(axis=1, keepdims=True)).mean(axis=0)
+    return float(np.argmax(found >= min(RECALL, found[-1])) / _STEPS)
+
+
 def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
                  vector_col: str = "embedding", margin: float | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept.
@@ -239,10 +285,6 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     lists = int(min(MAX_LISTS, max(1, size.rows // LIST_ROWS)))
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(TRAIN_ROWS).select("v").toArrow()["v"].combine_chunks()
     fitted = Index(_unit(sample, width), lists)
-    if margin is None:
-        fitted.learn_margins(_unit(sample, width), cosine, RECALL)
-    else:
-        fitted.margins = np.full(len(fitted.centres), margin)
     index = spark.sparkContext.broadcast(fitted)
     distance = float(np.sqrt(2 - 2 * cosine))
 
@@ -263,14 +305,18 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     reach = np.full(len(fitted.centres), -1.0)
     for r in coded.groupBy("list").agg(F.max("far").alias("far")).collect():  # a row per list
         reach[r.list] = r.far
-    reach = spark.sparkContext.broadcast(reach)
+    if margin is None:
+        margins = np.minimum(1, np.maximum(fitted.margins(_unit(sample, width), cosine, RECALL), _asked_margin(coded, index, cosine, width)))
+    else:
+        margins = np.full(len(reach), margin)
+    limits = spark.sparkContext.broadcast((reach, margins))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 4096):
                 batch = whole.slice(i, 4096).drop_columns(["far"])
                 x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, width)
-                probes = index.value.probes(x, batch.column("list").to_numpy(), distance, reach.value)
+                probes = index.value.probes(x, batch.column("list").to_numpy(), distance, *limits.value)
                 yield batch.append_column("probes", pa.array(probes, pa.list_(pa.int32())))
 
     coded = stored(coded.mapInArrow(
