@@ -7,9 +7,9 @@ broadcast, the cosine of every document to every one of them is worked out exact
 of label 1 among the ``NEIGHBOURS`` nearest, each weighted by its similarity.  Both labels weigh the same in the sample;
 the score puts the share of label 1 among all labelled training documents back in.
 
-Document frequencies cover all documents.  The sample has at most ``TRAIN_ROWS`` labelled documents, half of each label where
-there are enough, by hash of the id; held-out documents are never in it.  Nulls and empty texts have no
-features and score the share of label 1.  Repeated rows and ties are scored row by row; of equally near neighbours those
+Document frequencies cover all documents.  The sample has at most ``TRAIN_ROWS`` labelled rows, half of each label where
+there are enough, by hash of the id; rows with the same id and text are one, however often they are repeated; held-out documents
+are never in it.  Nulls and empty texts have no features and score the share of label 1.  Repeated rows and ties are scored row by row; of equally near neighbours those
 that come first in the sample count.  With no labelled document every score is 0.5.
 """
 
@@ -29,6 +29,8 @@ DIMENSIONS = 48
 NEIGHBOURS = 25
 FOLDS = 5
 PREDICT_AT = 0.3
+#: A larger count says no more.
+MOST = 65_535
 _BLOCK = 256
 
 
@@ -121,9 +123,12 @@ class Neighbours:
         out = []
         k = min(NEIGHBOURS, len(self.label))
         for part, bounds in _blocks(data, offsets):
-            count = counts(part, bounds)
+            count = np.minimum(counts(part, bounds), MOST)
             cosine = self.latent(count) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+            for row in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):  # ties at the border
+                near[row] = np.argsort(-cosine[row], kind="stable")[:k]
             vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * self.weight[near]
             total = vote.sum(axis=1)
             share = (vote * self.label[near]).sum(axis=1) / np.where(total > 0, total, 1)
@@ -135,14 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
     """Neighbours from the labelled documents outside the held-out fold; None without any."""
     docs = texts(docs)
     known = labelled(docs, labels, column, F.min).where(fold(F.col("doc_id"), folds) != 0)
-    ids = known.select("doc_id", "label")
+    known = known.withColumn("row", F.xxhash64("doc_id", "text"))
+    ids = known.select("doc_id", "row", "label")
     totals = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
     if not totals:
         return None
     each = {0: min(totals.get(0, 0), TRAIN_ROWS // 2), 1: min(totals.get(1, 0), TRAIN_ROWS // 2)}
     picked = None
     for label, rows in each.items():
-        some = ids.where(F.col("label") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        some = ids.where(F.col("label") == label).select("doc_id", "row").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(rows)
         picked = some if picked is None else picked.union(some)
 
     def counted(batches):
@@ -150,14 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
             for first, last, data, offsets in chunks(batch.column(0)):
                 for part, bounds in _blocks(data, offsets):
                     rows = len(bounds) - 1
-                    made = np.minimum(counts(part, bounds), 65535).astype(np.uint16)
+                    made = np.minimum(counts(part, bounds), MOST).astype(np.uint16)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(1)[first:first + rows], batch.column(2)[first:first + rows],
                          pa.array([m.tobytes() for m in made])], ["doc_id", "label", "counts"])
                     first += rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = (known.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "doc_id", "label")
+    sample = (known.join(F.broadcast(picked.select("row")), "row", "left_semi").dropDuplicates(["row"]).select("text", "doc_id", "label")
               .mapInArrow(counted, f"doc_id {kind}, label int, counts binary").toPandas())
     sample = sample.sort_values(["doc_id", "label", "counts"])
     found = docs.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))

@@ -264,6 +264,35 @@ def test_quality_held_out(larger):
     assert sum(r.predicted for r in rows if r.quality) / sum(r.quality for r in rows) > 0.98
 
 
+def test_votes_against_brute_force(spark, docs, labels):
+    """Every score from cosines and votes worked out one by one; a held-out row is never a neighbour."""
+    model = quality_classifier.fit(docs, labels)
+    column = pa.array([r.text for r in docs.orderBy("doc_id").collect()] + [None, "", "tie " * 90], pa.string())
+    count = np.concatenate([quality_classifier.counts(data, offsets) for _, _, data, offsets in chunks(column, 1)])
+    latent = model.latent(count.astype(np.float32))
+    wanted = []
+    for row, x in zip(count, latent):
+        cosine = [float(np.float32(c)) for c in (x[None] @ model.vectors.T)[0]]
+        near = sorted(range(len(cosine)), key=lambda k: (-cosine[k], k))[:quality_classifier.NEIGHBOURS]
+        votes = [max(cosine[k], 0) ** 4 * float(model.weight[k]) for k in near]
+        total = sum(votes)
+        wanted.append(sum(v * float(model.label[k]) for v, k in zip(votes, near)) / total if total > 0 and row.any() else model.prior)
+    got = {r.doc_id: r.score for r in quality_classifier.quality_classifier(docs, labels).collect()}
+    assert np.allclose([got[r.doc_id] for r in docs.orderBy("doc_id").collect()], wanted[:-3], atol=2e-3)
+    made = np.concatenate([model.score(data, offsets) for _, _, data, offsets in chunks(column)])
+    assert np.allclose(made, wanted, atol=2e-3) and made[-3] == made[-2] and abs(made[-3] - model.prior) < 1e-6
+
+
+def test_copies_do_not_fill_the_sample(larger, monkeypatch):
+    """Nine thousand copies of one labelled row are one row of the sample."""
+    docs, labels = larger
+    one = labels.where("quality = 0 and crc32(cast(doc_id as string)) % 5 <> 0").first().doc_id
+    monkeypatch.setattr(quality_classifier, "TRAIN_ROWS", 400)
+    copies = docs.where(F.col("doc_id") == one).crossJoin(docs.sparkSession.range(9000)).drop("id")
+    model = quality_classifier.fit(docs.union(copies), labels)
+    assert len(model.label) <= 400 and (model.label == 0).sum() == 200
+
+
 def test_toxic_and_clean(larger):
     rows = toxicity.toxicity(*larger).join(larger[1].withColumnRenamed("toxic", "label"), "doc_id").collect()
     assert sum(r.toxic for r in rows if r.label) / sum(r.label for r in rows) > 0.95
