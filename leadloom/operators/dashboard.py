@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadloom.functions import vocab
 from leadloom.operators.opportunities import fallback_band
@@ -30,11 +31,30 @@ ANALYSIS_SCHEMA = f"""
 DEFAULT_ROWS, MAX_ROWS = 100, 500
 
 
+def _fields(schema: str) -> list[tuple[str, str]]:
+    """(name, type) of the top level of a schema text."""
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema).fields]
+
+
+def documents(leads: DataFrame) -> DataFrame:
+    """``document`` as a VARIANT instead of the JSON text; null when that is empty or broken.
+
+    The text is parsed once; views read by path what they show and decode nothing else.
+    """
+    return leads.withColumn("document", F.try_parse_json("analysis_json")).drop("analysis_json")
+
+
+def _read(path: str, kind: str) -> Column:
+    return F.try_variant_get("document", f"$.{path}", kind)
+
+
 def decode_analysis(leads: DataFrame) -> DataFrame:
-    """``analysis`` struct instead of the JSON text; null when that is empty or broken."""
-    raw = F.col("analysis_json")
-    return leads.withColumn("analysis", F.when(
-        F.try_parse_json(raw).isNotNull(), F.from_json(raw, ANALYSIS_SCHEMA))).drop("analysis_json")
+    """``analysis`` struct with the whole document instead of the JSON text; null when that is empty or broken.
+
+    A field of another type than expected is null by itself.
+    """
+    fields = [_read(name, kind).alias(name) for name, kind in _fields(ANALYSIS_SCHEMA)]
+    return documents(leads).withColumn("analysis", F.when(F.col("document").isNotNull(), F.struct(*fields))).drop("document")
 
 
 def recent(leads: DataFrame, limit: int = DEFAULT_ROWS) -> DataFrame:
@@ -57,33 +77,33 @@ def _first_text(*cols) -> Column:
 
 
 def shown_band() -> Column:
-    return F.coalesce(F.nullif(F.col("analysis.opportunity_score_band"), F.lit("")),
+    return F.coalesce(F.nullif(_read("opportunity_score_band", "string"), F.lit("")),
                       fallback_band(F.coalesce("opportunity_score", F.lit(0))))
 
 
-def rows(decoded: DataFrame) -> DataFrame:
-    """What the lead list shows per lead; needs ``decode_analysis``."""
-    return decoded.select(
+def rows(leads: DataFrame) -> DataFrame:
+    """What the lead list shows per lead; needs ``documents``."""
+    return leads.select(
         "lead_id",
-        F.coalesce(_first_text("company_name", "analysis.business_name"), F.lit("Unknown")).alias("name"),
+        F.coalesce(_first_text("company_name", _read("business_name", "string")), F.lit("Unknown")).alias("name"),
         _first_text("website", "source_url").alias("address"), "status", "opportunity_score",
         F.when(F.col("opportunity_score").isNotNull(), shown_band()).alias("band"),
         F.array_compact(F.array(_first_text("emails"), _first_text("phones"))).alias("contacts"),
-        F.slice(F.coalesce("analysis.opportunities", F.expr(f"cast(array() as array<{OPPORTUNITY}>)")), 1, 4
+        F.slice(F.coalesce(_read("opportunities", f"array<{OPPORTUNITY}>"), F.expr(f"cast(array() as array<{OPPORTUNITY}>)")), 1, 4
                 ).alias("top_opportunities"))
 
 
-def detail(decoded: DataFrame) -> DataFrame:
-    """The detail view: one row per opportunity of a lead, one row if it has none."""
-    return decoded.select(
+def detail(leads: DataFrame) -> DataFrame:
+    """The detail view: one row per opportunity of a lead, one row if it has none; needs ``documents``."""
+    return leads.select(
         "lead_id",
-        F.coalesce(_first_text("company_name", "analysis.business_name"), F.lit("Unknown")).alias("name"),
+        F.coalesce(_first_text("company_name", _read("business_name", "string")), F.lit("Unknown")).alias("name"),
         F.coalesce(_first_text("website", "source_url"), F.lit("")).alias("address"), "status",
         "opportunity_score", shown_band().alias("band"),
         F.coalesce(_first_text("emails"), F.lit("Not found")).alias("email"),
         F.coalesce(_first_text("phones"), F.lit("Not found")).alias("phone"),
-        F.col("analysis.opportunity_score_breakdown.top_opportunity").alias("top_opportunity"),
-        F.col("analysis.opportunity_score_breakdown.secondary_opportunity").alias("secondary_opportunity"),
-        F.posexplode_outer("analysis.opportunities").alias("pos", "o"),
+        _read("opportunity_score_breakdown.top_opportunity", "int").alias("top_opportunity"),
+        _read("opportunity_score_breakdown.secondary_opportunity", "int").alias("secondary_opportunity"),
+        F.posexplode_outer(_read("opportunities", f"array<{OPPORTUNITY}>")).alias("pos", "o"),
     ).select("*", *[F.col(f"o.{n}").alias(n) for n in (
         "type", "title", "priority", "score", "impact", "confidence", "evidence", "recommendation")]).drop("o")

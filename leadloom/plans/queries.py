@@ -571,7 +571,7 @@ def _(spark, d):
 
 @query("l09_dashboard_rows")
 def _(spark, d):
-    out = dashboard.rows(dashboard.decode_analysis(dashboard.recent(_snapshot(spark, d))))
+    out = dashboard.rows(dashboard.documents(dashboard.recent(_snapshot(spark, d))))
     return out.select(
         "lead_id", "name", "address", "status", F.coalesce("opportunity_score", F.lit(-1)).alias("score"),
         F.coalesce("band", F.lit("-")).alias("band"), joined("contacts").alias("contacts"),
@@ -587,7 +587,7 @@ def _(spark, d):
 
 @query("l11_lead_detail")
 def _(spark, d):
-    out = dashboard.detail(dashboard.decode_analysis(_snapshot(spark, d)))
+    out = dashboard.detail(dashboard.documents(_snapshot(spark, d)))
     number = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
     return out.select("lead_id", "name", "address", "status", number("opportunity_score"), "band", "email", "phone",
                       number("top_opportunity"), number("secondary_opportunity"), number("pos"),
@@ -632,14 +632,14 @@ def _(spark, d):
 
 @query("l09_stored_rows")
 def _(spark, d):
-    out = dashboard.rows(dashboard.decode_analysis(dashboard.recent(_stored_leads(spark, d))))
+    out = dashboard.rows(dashboard.documents(dashboard.recent(_stored_leads(spark, d))))
     return out.select("lead_id", "name", "address", "status", "opportunity_score", "band", joined("contacts").alias("contacts"),
                       joined(F.transform("top_opportunities", lambda o: F.concat(o["type"], F.lit(":"), o["score"]))).alias("top"))
 
 
 @query("l11_stored_detail")
 def _(spark, d):
-    out = dashboard.detail(dashboard.decode_analysis(_stored_leads(spark, d)))
+    out = dashboard.detail(dashboard.documents(_stored_leads(spark, d)))
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
     return out.select(
         "lead_id", "name", "address", "status", "opportunity_score", "band", "email", "phone", dash("pos"), dash("type"),

@@ -75,6 +75,22 @@ def test_broken_analysis_is_null(spark):
     assert got == {1: None, 2: None, 3: None, 4: "B"}
 
 
+def test_views_read_the_document_by_path(spark):
+    """One parse per document and no decode of fields that a view doesn't show; a field of another type is null by itself."""
+    text = '{"business_name":"B","opportunity_score":"x","opportunities":[{"type":"t","score":90,"evidence":[{"code":"c","arg":"a"}]}],"signal_evidence":{"email":[{"code":"k"}]}}'
+    df = spark.createDataFrame([(1, text, 90), (2, "[1]", 0), (3, '{"opportunities":3}', None)], "lead_id long, analysis_json string, opportunity_score int")
+    full = df.selectExpr("*", "'' company_name", "'w' website", "'s' source_url", "'S' status", "'' emails", "'' phones")
+    decoded = dashboard.decode_analysis(full)
+    got = {r.lead_id: r.analysis for r in decoded.collect()}
+    assert got[1].opportunity_score is None and got[1].opportunities[0].evidence[0].arg == "a" and got[1].signal_evidence["email"][0].code == "k"
+    assert got[2].business_name is None and got[3].opportunities is None
+    view = dashboard.rows(dashboard.documents(full))
+    plan = view._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and plan.count("parseJson") == 1 and "page_details" not in plan and "signal_evidence" not in plan
+    assert [len(r.top_opportunities) for r in view.orderBy("lead_id").collect()] == [1, 0, 0]
+    assert [r.pos for r in dashboard.detail(dashboard.documents(full)).orderBy("lead_id").collect()] == [0, None, None]
+
+
 def test_report(spark):
     df = spark.createDataFrame(
         [(1, "", "s", None, ["a", "", "b"], [], "S", "x" * 501, 0), (2, "C", None, "w", [], ["1"], None, "t", None)],
