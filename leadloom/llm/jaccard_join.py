@@ -33,6 +33,8 @@ BLOCK_BYTES = 8 << 20
 #: Up to so many ids (8 bytes each) are sent to every executor to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _SLAB = 4096
+#: Rows that are copied out of an Arrow batch at once.
+SLICE_ROWS = 512
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -195,12 +197,10 @@ def _verify(similarity: float):
             for key, rows in frame.groupby(keys, sort=False):
                 made.append(linked(key, rows))
 
-        for batch in batches:
-            frame = batch.to_pandas()
+        # A few rows at a time: a batch has thousands, and each copy of its sets counts.
+        for frame in (whole.slice(i, SLICE_ROWS).to_pandas() for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             if held is not None:
                 frame = pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
             # Rows come sorted, so only the last group can go on in the next batch.
             last = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
             done(frame[~last])
@@ -297,14 +297,15 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, recall:
     """
     kept = _joined(docs, similarity, recall, n).where("kept")
     # Of a class, the rows of one text; documents without words are each their own class.
-    kept = (kept.where("high is not null").groupBy("high", "low").agg(F.min("row").alias("_kept_row"), F.count("*").alias("_kept_rows"))
-            .select("_kept_row", "_kept_rows")
+    row, rows_of = (next(n for n in (base + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("_kept_row", "_kept_rows"))
+    kept = (kept.where("high is not null").groupBy("high", "low").agg(F.min("row").alias(row), F.count("*").alias(rows_of))
+            .select(row, rows_of)
             .union(kept.where("high is null").groupBy("row").agg(F.count("*"))))
     kept = stored(kept, "kept")
-    here = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))) == F.col("_kept_row")
+    here = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))) == F.col(row)
 
     def those(rows: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, here, "left_semi")
 
-    return those(kept.where("_kept_rows = 1")).union(
-        those(kept.where("_kept_rows > 1")).dropDuplicates(["doc_id", "text"]))
+    return those(kept.where(F.col(rows_of) == 1)).union(
+        those(kept.where(F.col(rows_of) > 1)).dropDuplicates(["doc_id", "text"]))

@@ -82,6 +82,8 @@ def test_jaccard_null_and_repeated_ids(spark, odd_docs):
     left = [(r.doc_id, r.text) for r in jaccard_join.distinct_documents(docs).collect()]
     assert len(left) == 5 and len({first, near} & {t for _, t in left}) == 1
     assert len({other, other + " y"} & {t for _, t in left}) == 1
+    clashing = docs.withColumn("_kept_row", F.lit(1)).withColumn("_kept_rows", F.lit("x")).withColumn("row", F.lit(2)).withColumn("high", F.lit(3))
+    assert len(jaccard_join.distinct_documents(clashing).collect()) == 5 and jaccard_join.distinct_documents(clashing).columns == clashing.columns
 
 
 def test_urls_and_pages(spark):
