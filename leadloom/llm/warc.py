@@ -17,11 +17,12 @@ import json
 import zlib
 from collections.abc import Iterator
 from hashlib import sha1
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.tables import new_path, stored
@@ -42,6 +43,21 @@ def _folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:/") else f"file://{path}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark takes it: a plain path is one of the default file system, not of this machine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _name(page_id) -> str:
+    """An id as a URN without characters that end a line or the URN; null and the empty text differ."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def _page(urn: str | None) -> str | None:
+    return unquote(urn[len("<urn:page:"):-1]) if urn and urn.startswith("<urn:page:") else None
+
+
 def _clean(value: str) -> str:
     """A header value on one line."""
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
@@ -50,11 +66,11 @@ def _clean(value: str) -> str:
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC record with its closing blank lines."""
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-            f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {_DATE}",
-            f"WARC-Target-URI: {_clean(url or f'urn:page:{page_id}')}", f"WARC-Payload-Digest: sha1:{digest}",
+            f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {_DATE}",
+            f"WARC-Target-URI: {_clean(url or _name(page_id)[1:-1])}", f"WARC-Payload-Digest: sha1:{digest}",
             f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>",
+        head += [f"WARC-Refers-To: {_name(refers_to)}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = _HTTP + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -202,9 +218,6 @@ def read_back(archives: DataFrame, folder: str, id_type: str = "bigint") -> Data
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
-    def page(urn: str | None) -> str | None:
-        return urn.removeprefix("<urn:page:").removesuffix(">") or None if urn else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _folder(folder)
         for batch in batches:
@@ -219,8 +232,8 @@ def read_back(archives: DataFrame, folder: str, id_type: str = "bigint") -> Data
                         digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                         if head["WARC-Type"] == "response" and (sha1(payload).hexdigest(), len(payload)) != (digest, size):
                             raise ValueError(f"{name}, offset {offset}: the payload is not the one that was stored")
-                        rows.append((page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"],
-                                     page(head.get("WARC-Refers-To"))))
+                        rows.append((_page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"],
+                                     _page(head.get("WARC-Refers-To"))))
                         if len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                             rows = []
@@ -236,7 +249,7 @@ def read_back(archives: DataFrame, folder: str, id_type: str = "bigint") -> Data
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write, normalise and read back the archives of a table of pages."""
     spark = pages.sparkSession
-    whole, split = new_path(spark, "warc-whole"), new_path(spark, "warc")
+    whole, split = (qualified(spark, new_path(spark, n)) for n in ("warc-whole", "warc"))
     first = stored(written(pages, whole, id_col, url_col, html_col), "warc-list")
     second = stored(normalised(first, whole, split), "warc-list")
     system, top = _folder(whole)

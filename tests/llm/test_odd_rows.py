@@ -101,6 +101,16 @@ def test_urls_and_pages(spark):
     assert warc.archived(pages.limit(0)).collect() == []
 
 
+def test_text_ids_of_records(spark):
+    """Ids with line ends, brackets and signs come back as they are; the empty id is not null."""
+    ids = ["a\r\nX: 1", "", None, "é>%20", "<urn:page:1>", "same", "same"]
+    pages = spark.createDataFrame([(i, "http://a", "h" * (2000 if k > 2 else 5)) for k, i in enumerate(ids)], "page_id string, url string, html string")
+    back = warc.archived(pages).collect()
+    assert sorted(map(str, (r.page_id for r in back))) == sorted(map(str, ids)) and sum(r.page_id is None for r in back) == 1
+    assert {r.refers_to for r in back if r.record_type == "revisit"} == {max(i for i in ids[3:])}
+    assert warc.qualified(spark, "/tmp/x").startswith("file:/")
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]),
             (9, [1.0]), (10, [1e-30, 1e-31]), (10, [1e-30, 1e-31]), (None, [0.0, -1.0])]
