@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import vocab
 from leadloom.functions.text import strip
 
+# The address, the obfuscated address and the phone number that count, in the forms below.
 _LOCAL = r"a-zA-Z0-9._%+-"
 # A match can only start where a run of address characters starts, or right after
 # the previous match.  Saying so keeps long character runs linear.

@@ -122,6 +122,7 @@ def evidence(df: DataFrame) -> DataFrame:
 def business_name(title: Column, text: Column, url: Column) -> Column:
     """From the title, else from "welcome to / about ...", else from the host."""
     head = strip(F.element_at(F.split(title, rf"(?U)\s+[|–-]\s+"), 1))
+    # Fixed value: the pattern of a name in the text.
     named = F.regexp_extract(text, r"(?i)(?:welcome to|about)\s+([A-Z][A-Za-z0-9 &'.,-]{2,60})", 1)
     host = F.regexp_replace(F.substring_index(F.substring_index(url, "//", -1), "/", 1), r"^www\.", "")
     label = F.translate(F.substring_index(host, ".", 1), "-_", "  ")

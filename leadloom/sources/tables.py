@@ -30,12 +30,6 @@ def admission(crawl: DataFrame) -> DataFrame:
         .otherwise("ok")))
 
 
-def admitted(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected rows of a crawl log."""
-    judged = admission(crawl)
-    return (judged.where("verdict = 'ok'").drop("verdict"), judged.where("verdict <> 'ok'"))
-
-
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a snapshot, oldest first."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
