@@ -446,3 +446,35 @@ def test_pipeline(spark, folder):
     left = {r.doc_id for r in different.collect()}
     assert left == set(texts) - later and different.columns == docs.columns
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == left
+
+
+def test_verdicts_of_quality_rules_against_brute_force(docs, labels):
+    """Score by distinct texts and verdict of every document, gram by gram."""
+    rows = docs.collect()
+    marks = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            marks[r.doc_id] = min(marks.get(r.doc_id, 1), r.quality)
+    bucket = {}
+
+    def grams(text):
+        data = text.encode()
+        out = [data[k:k + quality_rules.GRAM] for k in range(len(data) - quality_rules.GRAM + 1)]
+        for g in out:
+            if g not in bucket:
+                bucket[g] = int(quality_rules._buckets(np.frombuffer(g, np.uint8))[0])
+        return [bucket[g] for g in out]
+
+    raw, target = Counter(), Counter()
+    for t in {r.text or "" for r in rows}:
+        raw.update(grams(t))
+    for t in {r.text or "" for r in rows if marks.get(r.doc_id) == 1}:
+        target.update(grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    weight = {b: round(float(np.log((0.95 * target[b] / m + 0.05 * raw[b] / n) / (raw[b] / n))) * quality_rules.MICRO) for b in raw}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    for r in rows:
+        found = grams(r.text or "")
+        score = sum(weight[b] for b in found) / max(len(found), 1) / quality_rules.MICRO
+        assert abs(got[r.doc_id].distinct_score - score) < 2e-6
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and got[r.doc_id].distinct_score >= quality_rules.THRESHOLD)

@@ -1,5 +1,6 @@
 """Ids of batches against the tokenizer library, text by text."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -41,6 +42,15 @@ def test_against_the_library(docs, library):
     assert ids(encoder, [None, ""]) == [[], []] and ids(encoder, []) == []
 
 
+def test_registered_digests(spark, docs, library):
+    """Both digests of the registered path against the library's ids and decoded text."""
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.digests(docs, PATH).collect()}
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert got[r.doc_id] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
 def test_forgetting_and_equal_hashes(docs, library, monkeypatch):
     texts = [r.text for r in docs.limit(60).collect()]
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
