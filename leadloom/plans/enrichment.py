@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import urls
 from leadloom.operators import analysis, leads as lead_ops, opportunities, sites
-from leadloom.session import stored
+from leadloom.session import release, stored, stored_so_far
 from leadloom.sources import tables
 from leadloom.sources.page_store import PageStore
 
@@ -107,6 +107,16 @@ def enrich(leads: DataFrame, links: DataFrame, captures: DataFrame | PageStore,
         *[F.when(~failed, c(n)).alias(n) for n in kept])
 
 
+def finish(leads: DataFrame, links: DataFrame, captures: DataFrame | PageStore, out: str, use_browser: bool = True) -> DataFrame:
+    """``enrich`` as a batch job: the finished leads are written to ``out``, and the tables stored on the way are deleted."""
+    spark, mark = leads.sparkSession, stored_so_far()
+    try:
+        enrich(leads, links, captures, use_browser).write.mode("errorifexists").parquet(out)
+    finally:
+        release(spark, mark)
+    return spark.read.parquet(out)
+
+
 def analysis_document() -> Column:
     """The whole analysis of a finished lead as JSON, as ``dashboard.ANALYSIS_SCHEMA`` reads it."""
     c = F.col

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from leadloom import session
 from leadloom.operators import sites
 from leadloom.plans import enrichment
 from leadloom.session import new_path
@@ -127,6 +128,15 @@ def test_two_writers(spark, rows, websites):
     assert flat(store.assemble(websites)) == flat(sites.assemble(websites, enrichment.parsed_captures(captures(spark, rows))))
 
 
+def test_batch_job_leaves_only_its_result(spark, rows):
+    store = PageStore(spark, new_path(spark, "pages"), buckets=4)
+    store.append("a", enrichment.parsed_captures(captures(spark, rows)))
+    leads = spark.createDataFrame([(1, "A", "", "https://d1.example.org/0"), (2, "B", "", "Manual HTML")], "lead_id long, company_name string, location string, source_url string")
+    mark, out = session.stored_so_far(), new_path(spark, "finished")
+    done = enrichment.finish(leads, store.links(), store, out)
+    assert session.stored_so_far() == mark and {r.lead_id: len(r.pages or []) for r in done.collect()} == {1: 4, 2: 0}
+
+
 def test_empty_store(spark, websites):
     store = PageStore(spark, new_path(spark, "pages"))
     assert {r.method for r in store.assemble(websites).collect()} == {"playwright"} and store.links().count() == 0
