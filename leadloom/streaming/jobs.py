@@ -111,17 +111,15 @@ def state_stream(events: DataFrame, out: str, checkpoint: str, live: bool = Fals
     ``compact_state`` folds the changes, if it runs beside the stream.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, mark = batch.sparkSession, stored_so_far()
-        try:
-            new = stored(batch.withColumn("part", tables.part(F.col("lead_id"))), "changed-leads")
-            # A repeated batch finds its numbers written, and its own rows among the old ones: they count no second time.
-            if f"of={batch_id}" not in tables._folders(spark, f"{out}-numbers/changes", "of=") or not _done(spark, f"{out}-numbers/changes/of={batch_id}"):
-                old = slim_current(spark, out, snapshot, new.select("lead_id"), before=batch_id)
-                both = new.select("status", "opportunity_score", F.lit(1).alias("sign")).union(old.select("status", "opportunity_score", F.lit(-1)))
-                _numbers(both).write.mode("overwrite").parquet(f"{out}-numbers/changes/of={batch_id}")
-            new.repartition("part").sortWithinPartitions("part", "lead_id").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch_id={batch_id}")
-        finally:
-            release(spark, mark)
+        spark = batch.sparkSession
+        rows = batch.withColumn("part", tables.part(F.col("lead_id"))).repartition("part").sortWithinPartitions("part", "lead_id")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch_id={batch_id}")
+        # A repeated batch finds its numbers written: it counts no second time.
+        if not _done(spark, f"{out}-numbers/changes/of={batch_id}"):
+            new = spark.read.schema(STATE_SCHEMA).parquet(f"{out}/batch_id={batch_id}")
+            old = slim_current(spark, out, snapshot, new, before=batch_id)
+            both = new.select("status", "opportunity_score", F.lit(1).alias("sign")).union(old.select("status", "opportunity_score", F.lit(-1)))
+            _numbers(both).coalesce(1).write.mode("overwrite").parquet(f"{out}-numbers/changes/of={batch_id}")
 
     return _start(slim_state(events), "update", write, checkpoint, live)
 
@@ -163,7 +161,9 @@ def compact_state(spark: SparkSession, out: str, snapshot: str) -> None:
     are deleted, for state and numbers alike.
     """
     seen = _seen(spark, snapshot)
-    changed = _changes(spark, out, seen)
+    # A batch is folded once its numbers are written, for these need the state before it.
+    numbered = [int(n[3:]) for n in tables._folders(spark, f"{out}-numbers/changes", "of=") if _done(spark, f"{out}-numbers/changes/{n}")]
+    changed = _changes(spark, out, seen).where(F.col("batch_id") <= max(numbered, default=-1))
     found = [r.part for r in changed.select("part").distinct().collect()]  # at most as many numbers as parts
     if found:
         upto = changed.agg(F.max("batch_id")).first()[0]
@@ -180,9 +180,11 @@ def _ids(leads: DataFrame | None) -> tuple[list | None, list | None]:
     """(ids, parts) of the leads asked for; ids where they are few, None where everything is asked for."""
     if leads is None:
         return None, None
-    few = [r[0] for r in leads.select("lead_id").limit(LOOKED_UP + 1).collect()]
-    parts = [r[0] for r in leads.select(tables.part(F.col("lead_id"))).distinct().collect()]  # at most as many numbers as parts
-    return (few if len(few) <= LOOKED_UP else None), parts
+    part = tables.part(F.col("lead_id"))
+    few = leads.select("lead_id", part.alias("part")).limit(LOOKED_UP + 1).collect()
+    if len(few) <= LOOKED_UP:
+        return [r.lead_id for r in few], sorted({r.part for r in few})
+    return None, [r[0] for r in leads.select(part).distinct().collect()]  # at most as many numbers as parts
 
 
 def _of(rows: DataFrame, leads: DataFrame | None, ids: list | None, parts: list | None) -> DataFrame:
