@@ -14,13 +14,14 @@ equal results and count once for the wrapper, as do pages of a host with the sam
 ``LEAST_PAGES`` different pages have no wrapper.  Extra columns are not read.
 """
 
-import bisect
 import hashlib
 import html as entities
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ LEAST_PAGES = 10
 CONSTANT = 0.95
 #: Wrappers up to so many bytes in all are sent to every executor; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
-#: Children are matched by a full table up to so many pairs, and beyond by shape, the n-th of a shape with the n-th.
+#: Up to so many pairs of children the table is made by plain loops, beyond in numpy; both find the same pairs.
 TABLE_PAIRS = 40_000
 #: Deeper elements count as children of the one at this depth when trees are aligned; texts are read at any depth.
 DEEPEST = 100
@@ -273,7 +274,6 @@ class Tree:
             if self.labels[a] != other.labels[b]:
                 return 0
             if (a, b) not in known:
-                known[a, b] = (0, [])
                 pairs = self._aligned(self.children[a], other.children[b], other, weight)
                 known[a, b] = (1 + (not self.texts[a].isdisjoint(other.texts[b])) + sum(w for w, _, _ in pairs), [p[1:] for p in pairs])
             return known[a, b][0]
@@ -289,7 +289,7 @@ class Tree:
 
     def _aligned(self, mine: list[int], theirs: list[int], other: "Tree", weight) -> list[tuple[int, int, int]]:
         if len(mine) * len(theirs) > TABLE_PAIRS:
-            return self._by_shape(mine, theirs, other, weight)
+            return self._in_rows(mine, theirs, other, weight)
         best = [[0] * (len(theirs) + 1) for _ in range(len(mine) + 1)]
         for i, a in enumerate(mine, 1):
             above, row = best[i - 1], best[i]
@@ -308,28 +308,84 @@ class Tree:
                 out.append((weight(mine[i], theirs[j]), mine[i], theirs[j]))
         return out
 
-    def _by_shape(self, mine: list[int], theirs: list[int], other: "Tree", weight) -> list[tuple[int, int, int]]:
-        """The longest increasing run of pairs of which both are the n-th child of their shape."""
-        place, seen = {}, Counter()
-        for j, b in enumerate(theirs):
-            place[other.shapes[b], seen[other.shapes[b]]] = j
-            seen[other.shapes[b]] += 1
-        found, seen = [], Counter()
-        for i, a in enumerate(mine):
-            if (key := (self.shapes[a], seen[self.shapes[a]])) in place:
-                found.append((i, place[key]))
-            seen[self.shapes[a]] += 1
-        ends, last, before = [], [], {}
-        for i, j in found:
-            k = bisect.bisect_left(ends, j)
-            ends[k:k + 1], last[k:k + 1] = [j], [(i, j)]
-            before[i, j] = last[k - 1] if k else None
-        out, pair = [], last[-1] if last else None
-        while pair:
-            out.append((weight(mine[pair[0]], theirs[pair[1]]), mine[pair[0]], theirs[pair[1]]))
-            pair = before[pair]
+    def _in_rows(self, mine: list[int], theirs: list[int], other: "Tree", weight) -> list[tuple[int, int, int]]:
+        """The same path through the same table, for many children.
+
+        Rows of the table are numpy arrays, of which every so many-th is kept and the others are made again on the
+        way back.  Nodes of equal shape whose texts below are equal too, as far as both sides have them, weigh the same.
+        """
+        weights, likes = {}, {}
+        under_mine, under_theirs = [self._below(a) for a in mine], [other._below(b) for b in theirs]
+        places, plain = defaultdict(list), {}
+        kinds, shapes = np.unique([other.shapes[b] for b in theirs], return_inverse=True)
+        for j, texts in enumerate(under_theirs):
+            for text in texts:
+                places[text].append(j)
+
+        def like(tree: Tree, k: int, shared: frozenset) -> int:
+            if not shared:
+                return tree.shapes[k]
+            key = (tree is self, k, shared)
+            if key not in likes:
+                likes[key] = hash((tree.labels[k], frozenset(tree.texts[k] & shared), tuple(like(tree, c, shared) for c in tree.children[k])))
+            return likes[key]
+
+        def weighed(i: int, j: int, shared: frozenset) -> int:
+            key = (like(self, mine[i], shared), like(other, theirs[j], shared), bool(shared))
+            if key not in weights:
+                weights[key] = weight(mine[i], theirs[j])
+            return weights[key]
+
+        def row_of(i: int) -> np.ndarray:
+            sharing = {j for text in under_mine[i] for j in places.get(text, ())}
+            apart = plain.setdefault(self.shapes[mine[i]], np.full(len(kinds), -1))  # by shape, where no text is shared
+            row = apart[shapes]
+            for j in sharing:
+                row[j] = weighed(i, j, frozenset(under_mine[i] & under_theirs[j]))
+            while row.size and row.min() < 0:
+                j = int(row.argmin())
+                apart[shapes[j]] = weighed(i, j, frozenset())
+                row[(row < 0) & (shapes == shapes[j])] = apart[shapes[j]]
+            return row
+
+        def following(above: np.ndarray, i: int) -> np.ndarray:
+            here = above.copy()
+            np.maximum(here[1:], above[:-1] + row_of(i), out=here[1:])
+            return np.maximum.accumulate(here)
+
+        step = math.isqrt(len(mine)) + 1
+        best, kept = np.zeros(len(theirs) + 1, np.int64), []
+        for i in range(len(mine)):
+            if i % step == 0:
+                kept.append(best)
+            best = following(best, i)
+        out, j = [], len(theirs)
+        for block in range(len(kept) - 1, -1, -1):
+            start = block * step
+            rows = [kept[block]]
+            for i in range(start, min(start + step, len(mine))):
+                rows.append(following(rows[-1], i))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    a, b = mine[start + i], theirs[j]
+                    out.append((weight(a, b), a, b))
         return out
 
+    def _below(self, k: int) -> set[int]:
+        """The texts of a node and of all below it."""
+        texts, todo = set(), [k]
+        while todo:
+            now = todo.pop()
+            texts |= self.texts[now]
+            todo.extend(self.children[now])
+        return texts
+
 
 def _class(attrs: str) -> str:
     for name, *values in _ATTR.findall(attrs) if attrs else ():

@@ -109,3 +109,31 @@ def test_odd_rows(spark):
         [("1", None, "", 0), ("2", "http://a.example", "", 0), ("3", "http://a.example", "x", 1), ("3", "http://a.example", "x", 1),
          ("None", "http://a.example", "y", 1), ("4", "://", "z", 1), ("5", "http://a.example", "very long page", 50_000 * 15 - 1)], key=lambda r: (r[0], str(r[1])))
     assert h.html_extraction(df.limit(0)).collect() == []
+
+
+def test_pairs_do_not_depend_on_the_number_of_children(monkeypatch):
+    draw = random.Random(5)
+
+    def page(n):
+        rows = []
+        for _ in range(n):
+            more = "".join(f"<{t}>{draw.choice(['more', 'x', str(draw.randrange(9))])}</{t}>" for t in draw.choices(["h2", "p", "ul"], k=draw.randrange(4)))
+            tag = draw.choice(["div", "section"])
+            rows.append(f"<{tag}>{more}</{tag}>")
+        return h.Tree.of(h.Page("".join(rows)))[0]
+
+    for n in (1, 3, 12, 40):
+        for _ in range(8):
+            x, y = page(n), page(draw.randrange(n + 5))
+            monkeypatch.setattr(h, "TABLE_PAIRS", 1 << 40)
+            loops = x.matched(y)
+            monkeypatch.setattr(h, "TABLE_PAIRS", -1)
+            assert x.matched(y) == loops
+
+
+def test_many_children_are_matched_by_the_full_table():
+    # 300 lines that differ in shape by turns; the second page lacks the first line, so the n-th of a shape is another line.
+    line = lambda k: f"<p>line {k}</p>" if k % 2 else f"<div><b>line {k}</b></div>"
+    x, y = (h.Tree.of(h.Page("".join(line(k) for k in range(first, 300))))[0] for first in (0, 2))
+    shared = {t for a, b in x.matched(y) for t in x.texts[a] & y.texts[b]}
+    assert len(shared) == 298
