@@ -35,16 +35,41 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(rf"(?U)[^{WS}]")
 
 
+#: Characters of pages from common to rare, others count as rarest.  Sets the order of tests, never a result.
+_COMMON = " eatoinsrl/-hdcumf.pgwybvkxjqz"
+_SHARED_CHARS = 4
+
+
+def _parts(words: list[str]) -> list[tuple[str, list[str]]]:
+    """(part, the words that hold it), each word once: parts shared by many words first, starting with a rare character.
+
+    A search stops at every first character of what it looks for, so a text without the part is done in one quick
+    scan for all its words.
+    """
+    out, left = [], list(words)
+    rare = lambda s: _COMMON.find(s[0]) % 100
+    while left:
+        parts = sorted({w[i:j] for w in left for i in range(len(w)) for j in range(i + 1, len(w) + 1)
+                        if j - i >= min(_SHARED_CHARS, len(w))})
+        part = max(parts, key=lambda s: (sum(s in w for w in left), rare(s), len(s)))
+        out.append((part, [w for w in left if part in w]))
+        left = [w for w in left if part not in w]
+    return out
+
+
 def contains_any(c: Column | str, words) -> Column:
     """Whether a column (or, cheaper to build, a column name) holds one of the words.
 
-    An OR of ``contains``; a word that holds another listed word can add no hit.
+    An OR of ``contains``; a word that holds another listed word can add no hit.  Words with a common part are
+    looked for only where the part is found.  ``c`` is read many times: a stored column, not an expression.
     """
     needed = [w for w in dict.fromkeys(words)
               if not any(o != w and o in w for o in words)]
     if isinstance(c, str):
-        return F.expr("(" + " or ".join(f"contains({c}, '{w}')" for w in needed) + ")")
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in needed])
+        has = lambda ws: "(" + " or ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+        return F.expr("(" + " or ".join(has(ws) if ws == [part] else f"({has([part])} and {has(ws)})" for part, ws in _parts(needed)) + ")")
+    any_of = lambda ws: reduce(lambda a, b: a | b, [c.contains(w) for w in ws])
+    return reduce(lambda a, b: a | b, [any_of(ws) if ws == [part] else c.contains(part) & any_of(ws) for part, ws in _parts(needed)])
 
 
 def count_words(c: str, words) -> Column:

@@ -132,9 +132,8 @@ def business_name(title: Column, text: Column, url: Column) -> Column:
             .otherwise(titled))
 
 
-def industry(text: Column, schema_types: Column) -> Column:
-    """First industry with a word in the text or the schema types."""
-    value = F.lower(F.concat(text, F.lit(" "), F.array_join(schema_types, " ")))
+def industry(value: str) -> Column:
+    """First industry with a word in a column of text and schema types in lower case."""
     return F.coalesce(*[F.when(contains_any(value, words), F.lit(name))
                         for name, words in vocab.INDUSTRIES.items()], F.lit("unknown"))
 
@@ -144,15 +143,17 @@ def classes(df: DataFrame) -> DataFrame:
     c = F.col
     paths = {"appointment_or_consultation": "booking", "inquiry_form": "lead_form", "phone": "phone",
              "email": "email", "live_chat": "live_chat", "transaction": "ecommerce"}
-    return df.withColumns({
+    # A column of its own: in the expression it would be put into lower case again for every word.
+    value = F.lower(F.concat("normal_text", F.lit(" "), F.array_join("schema_types", " ")))
+    return df.withColumn("_industry", value).withColumns({
         "business_name": business_name(c("title"), c("normal_text"), c("website")),
-        "industry": industry(c("normal_text"), c("schema_types")),
+        "industry": industry("_industry"),
         "services": names_of(vocab.SERVICES, [contains_any("lower_text", [t]) for t in vocab.SERVICES]),
         "audiences": detect_groups("lower_text", vocab.AUDIENCES),
         "workflows": detect_groups("lower_text", vocab.WORKFLOWS),
         "capabilities": names_of(vocab.SIGNALS, [signal(n) for n in vocab.SIGNALS]),
         "conversion_paths": names_of(paths, [signal(n) for n in paths.values()]),
-    })
+    }).drop("_industry")
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -42,13 +42,13 @@ def text_layers(df: DataFrame) -> DataFrame:
 def quality(df: DataFrame) -> DataFrame:
     """Adds usable, reason, text_length, html_length; needs ``text_layers``."""
     c = F.col
-    lower, size = F.lower("plain_text"), F.length("_html")
-    phrase = F.coalesce(*[F.when(lower.contains(p), F.lit(p)) for p in vocab.BLOCK_PHRASES])
+    size = F.length("_html")
+    phrase = F.coalesce(*[F.when(c("_plain_lower").contains(p), F.lit(p)) for p in vocab.BLOCK_PHRASES])
     reason = F.coalesce(
         F.when(is_blank(c("_html")), "empty"), F.when(size < vocab.MIN_HTML_CHARS, "small_html"),
         F.concat(F.lit("blocked: "), phrase),
         F.when(F.length("plain_text") < vocab.MIN_TEXT_CHARS, "little_text"), F.lit("ok"))
-    return df.withColumn("reason", reason).withColumns({
+    return df.withColumn("_plain_lower", F.lower("plain_text")).withColumn("reason", reason).withColumns({
         "usable": c("reason") == "ok",
         "text_length": F.when(c("reason").isin("empty", "small_html"), 0).otherwise(F.length("plain_text")),
         "html_length": F.when(c("reason") == "empty", 0).otherwise(size)})
@@ -138,9 +138,9 @@ def features(df: DataFrame) -> DataFrame:
         return F.filter(cut, lambda l: l != "")
 
     def is_lead(form):
-        return (F.size(form["fields"]) >= 2) | contains_any(F.lower(form["text"]), vocab.FORM_ACTION_WORDS)
+        return (F.size(form["fields"]) >= 2) | contains_any(form["lower"], vocab.FORM_ACTION_WORDS)
 
-    cta = lambda a: F.size(F.filter(a, lambda t: contains_any(F.lower(t), vocab.CTA_WORDS)))
+    cta = lambda a: F.size(F.filter(F.transform(a, F.lower), lambda t: contains_any(t, vocab.CTA_WORDS)))
     return (
         df.withColumns({"_form_html": html.elements(c("_base"), "form", c("_low")),
                         "_button_html": html.elements(c("_base"), "button", c("_low")), "_lower": F.lower("raw_text")})
@@ -159,7 +159,7 @@ def features(df: DataFrame) -> DataFrame:
         .withColumns({
             "form_count": F.size("_forms"),
             "form_details": F.slice("_forms", 1, vocab.FORM_DETAILS_KEPT),
-            "lead_form": F.exists("_forms", is_lead) | (
+            "lead_form": F.exists(F.transform("_forms", lambda f: F.struct(f["fields"].alias("fields"), F.lower(f["text"]).alias("lower"))), is_lead) | (
                 (count_words("_lower", vocab.FORM_FIELD_WORDS) >= 2)
                 & contains_any("_lower", vocab.FORM_ACTION_WORDS)),
             **{n: contains_any("_haystack", w) for n, w in vocab.FEATURES.items()},

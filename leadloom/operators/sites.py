@@ -38,7 +38,8 @@ def with_subpages(df: DataFrame) -> DataFrame:
         .withColumn("_links", F.filter("_links", lambda a: (a["href"] != "") & ~skip(a["href"])))
         .withColumn("_links", F.transform("_links", lambda a: F.struct(
             urls.resolve(c("url"), a["href"]).alias("url"), a["pos"].alias("pos"),
-            rank(F.lower(F.concat(a["href"], F.lit(" "), a["text"]))).alias("rank"))))
+            F.lower(F.concat(a["href"], F.lit(" "), a["text"])).alias("words"))))
+        .withColumn("_links", F.transform("_links", lambda a: F.struct(a["url"].alias("url"), a["pos"].alias("pos"), rank(a["words"]).alias("rank"))))
         .withColumn("_links", F.array_sort(F.filter("_links", lambda a: a["rank"].isNotNull()
                                                     & (urls.site_domain(a["url"]) == home))))
         .withColumn("_links", F.filter("_links", lambda a, i: F.coalesce(

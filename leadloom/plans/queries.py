@@ -690,8 +690,9 @@ def _waited(spark, d) -> WaitingLeads:
     service.intake_stream(jobs.file_stream(spark, leads_folder, asked.schema), new_path(spark, "intake-checkpoint")).awaitTermination()
     captures = seeding.captures(spark, d)
     early = (F.xxhash64("url") % 2) == 0  # all captures of an address together
-    captures.where(early).repartition(2).write.parquet(pages)
-    jobs.parse_stream(jobs.file_stream(spark, pages, captures.schema, files=2), store, new_path(spark, "parse-checkpoint"), sources=False,
+    files = seeding.splits(spark, d)  # one batch, in parts that grow in number with the pages
+    captures.where(early).repartition(files).write.parquet(pages)
+    jobs.parse_stream(jobs.file_stream(spark, pages, captures.schema, files=files), store, new_path(spark, "parse-checkpoint"), sources=False,
                       arrived=at(90)).awaitTermination()
     store.append("rest", enrichment.parsed_captures(captures.where(~early)), enrichment.parsed_sources(seeding.seeded_pages(spark, d)), at(120))
     checkpoint = new_path(spark, "waiting-checkpoint")

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from leadloom.sources import tables
 from leadloom.sources.tables import table
 
-#: The given pages are one file of one row group; the test view deals them out.  Real tables have many files.
+#: The given pages are one file of one row group; the test view deals them out, by their number.  Real tables have many files.
 SPLITS = 16
+SPLIT_ROWS = 2000
 
 # (modulus, remainder, html): added to pages with page_id % modulus = remainder.
 # {id} is the page id, {id4} its last four digits, {origin} scheme and host of the
@@ -143,8 +144,13 @@ def _page_url(page_id: Column) -> Column:
                                 .when(part == 3, "/people/team.html").otherwise("/services?ref=nav"))))
 
 
+def splits(spark: SparkSession, folder: str) -> int:
+    """Parts of the test view: enough small ones that no core waits long for the last."""
+    return max(SPLITS, -(-tables.pages(spark, folder).count() // SPLIT_ROWS))
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.pages(spark, folder).repartition(SPLITS)
+    return tables.pages(spark, folder).repartition(splits(spark, folder))
 
 
 def seeded_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,8 +5,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.functions import contacts, html, text
+from leadloom.functions import contacts, html, text, vocab
+from leadloom.functions.text import _parts, contains_any
 from leadloom.operators import pages
+from leadloom.sources import seeding
 
 WORKSHOP = """
 <html><head><title>Canal Street Workshop</title></head><body><h2>Repairs</h2>
@@ -161,3 +163,19 @@ def test_page_job_splits_blanks(spark):
     df = spark.createDataFrame([(1, "u", " "), (2, "u", "x")], "page_id long, url string, html string")
     good, bad = pages.page_job(df)
     assert [r.page_id for r in good.collect()] == [2] and [r.page_id for r in bad.collect()] == [1]
+
+
+def test_words_with_a_common_part(spark):
+    words = ["book online", "book now", "reserve now", "checkout", "aab", "ab/"]
+    texts = words + ["book", " now", "reserve  now", "", "checkou", "kout", "aa", "b/", "say book nowhere", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.a, r.b) for r in df.select(contains_any("t", words).alias("a"), contains_any(F.col("t"), words).alias("b")).collect()]
+    wanted = [None if t is None else any(w in t for w in words) for t in texts]
+    assert got == [(w, w) for w in wanted]
+    # One scan tells that none of several words with a common part is there.
+    assert len(_parts(vocab.FEATURES["live_chat"])) == 1
+
+
+def test_parts_of_the_test_view_grow_with_the_pages(spark, tmp_path):
+    spark.range(50_000).selectExpr("id as page_id", "'u' as url", "'h' as html").write.parquet(f"{tmp_path}/pages.parquet")
+    assert seeding.pages(spark, str(tmp_path)).rdd.getNumPartitions() == 25
