@@ -121,6 +121,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, windows: int = OPEN
         packer.finish()
         if packer.rows:
             yield out()
+        pa.default_memory_pool().release_unused()  # workers live on
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "

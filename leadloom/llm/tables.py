@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from leadloom.session import new_path, stored
 
-__all__ = ["read", "stored", "new_path", "texts", "fold", "labelled", "distinct_texts", "per_text", "kept_rows"]
+__all__ = ["read", "stored", "new_path", "texts", "fold", "labelled", "distinct_texts", "per_text", "kept_rows", "small_batches"]
 
 #: Up to so many label rows (16 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Up to so many hashes of repeated texts (16 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_REPEATED = 2_000_000
+#: Rows that go to a Python worker at once; the batch is held several times, by the JVM and by the worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold less memory outside the heap where whole texts go through Python; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +75,7 @@ def per_text(docs: DataFrame, schema: str, work: Callable[[pa.Array], dict]) ->
         for batch in batches:
             made = work(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[n]) for n in names)], ["doc_id", *names])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
 
@@ -77,5 +87,6 @@ def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(place)), pa.bool_()))
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,8 @@ per word.  A word is a run of bytes outside space and 09-0D; words never cross d
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+#: Arrays made of a chunk take some 100 bytes for each of its bytes, in every Python worker.
+CHUNK_BYTES = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _U = np.uint64
@@ -39,11 +40,15 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each text in them; null counts as empty."""
-    column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
+    if pa.types.is_string(column.type):  # 32-bit offsets; the bytes are read where they are
+        kind = np.int32
+    else:
+        column, kind = column.cast(pa.large_string()), np.int64
+    _, places, data = column.buffers()
+    offsets = np.zeros(1, np.int64) if places is None or not places.size else (
+        np.frombuffer(places, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64))
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
