@@ -97,7 +97,9 @@ def _decode_sql(c: str) -> str:
     number = f"""case when not e rlike '^&#([0-9]+|[xX][0-9A-Fa-f]+);$' then e when length({digits}) > 8 then '\ufffd'
         when {code} between 128 and 159 then substr('{WINDOWS_1252}', {code} - 127, 1)
         when {code} between 1 and 55295 or {code} between 57344 and 1114111 then {char} else '\ufffd' end"""
-    one = (f"case when e is null then '' when startswith(e, '&#') then {number} "
+    # The map is searched entry by entry; most references are one of these.
+    usual = " ".join(f"when e = '{e}' then r'{vocab.ENTITIES[e]}'" for e in ("&amp;", "&nbsp;", "&lt;", "&gt;", "&copy;", "&mdash;", "&ndash;", "&hellip;"))
+    one = (f"case when e is null then '' when startswith(e, '&#') then {number} {usual} when e = '&quot;' then '\"' "
            f"else coalesce(try_element_at(from_json(r'{table}', 'map<string,string>'), e), e) end")
     return (f"case when contains({c}, '&') then array_join(zip_with(split({c}, '{ENTITY}', -1), "
             f"regexp_extract_all({c}, '{ENTITY}', 0), (t, e) -> concat(t, {one})), '') else {c} end")

@@ -43,7 +43,9 @@ def quality(df: DataFrame) -> DataFrame:
     """Adds usable, reason, text_length, html_length; needs ``text_layers``."""
     c = F.col
     size = F.length("_html")
-    phrase = F.coalesce(*[F.when(c("_plain_lower").contains(p), F.lit(p)) for p in vocab.BLOCK_PHRASES])
+    # Most pages hold none of the phrases, which takes few scans to see.
+    phrase = F.when(contains_any("_plain_lower", vocab.BLOCK_PHRASES), F.coalesce(
+        *[F.when(c("_plain_lower").contains(p), F.lit(p)) for p in vocab.BLOCK_PHRASES]))
     reason = F.coalesce(
         F.when(is_blank(c("_html")), "empty"), F.when(size < vocab.MIN_HTML_CHARS, "small_html"),
         F.concat(F.lit("blocked: "), phrase),

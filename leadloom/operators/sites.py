@@ -36,12 +36,14 @@ def with_subpages(df: DataFrame) -> DataFrame:
         df.withColumn("_links", F.transform("hrefs", lambda h, i: F.struct(
             strip(h).alias("href"), F.get("link_texts", i).alias("text"), i.alias("pos"))))
         .withColumn("_links", F.filter("_links", lambda a: (a["href"] != "") & ~skip(a["href"])))
+        # Few links have a rank, and only these are resolved.
         .withColumn("_links", F.transform("_links", lambda a: F.struct(
-            urls.resolve(c("url"), a["href"]).alias("url"), a["pos"].alias("pos"),
-            F.lower(F.concat(a["href"], F.lit(" "), a["text"])).alias("words"))))
-        .withColumn("_links", F.transform("_links", lambda a: F.struct(a["url"].alias("url"), a["pos"].alias("pos"), rank(a["words"]).alias("rank"))))
-        .withColumn("_links", F.array_sort(F.filter("_links", lambda a: a["rank"].isNotNull()
-                                                    & (urls.site_domain(a["url"]) == home))))
+            a["href"].alias("href"), a["pos"].alias("pos"), F.lower(F.concat(a["href"], F.lit(" "), a["text"])).alias("words"))))
+        .withColumn("_links", F.transform("_links", lambda a: F.struct(
+            a["href"].alias("href"), a["pos"].alias("pos"), rank(a["words"]).alias("rank"))))
+        .withColumn("_links", F.transform(F.filter("_links", lambda a: a["rank"].isNotNull()), lambda a: F.struct(
+            urls.resolve(c("url"), a["href"]).alias("url"), a["pos"].alias("pos"), a["rank"].alias("rank"))))
+        .withColumn("_links", F.array_sort(F.filter("_links", lambda a: urls.site_domain(a["url"]) == home)))
         .withColumn("_links", F.filter("_links", lambda a, i: F.coalesce(
             F.get("_links", i + 1)["url"] != a["url"], F.lit(True))))
         .withColumn("subpages", F.transform(

@@ -179,3 +179,12 @@ def test_words_with_a_common_part(spark):
 def test_parts_of_the_test_view_grow_with_the_pages(spark, tmp_path):
     spark.range(50_000).selectExpr("id as page_id", "'u' as url", "'h' as html").write.parquet(f"{tmp_path}/pages.parquet")
     assert seeding.pages(spark, str(tmp_path)).rdd.getNumPartitions() == 25
+
+
+def test_every_reference_is_decoded_and_usual_ones_without_the_map(spark):
+    from leadloom.functions import text, vocab
+
+    assert "when e = '&amp;' then" in text._decode_sql("x") and "when e = '&quot;' then" in text._decode_sql("x")
+    rows = [(f"a{e}b", f"a{v}b") for e, v in vocab.ENTITIES.items()] + [("&nosuch; &amp &#38;amp;", "&nosuch; &amp &amp;")]
+    found = spark.createDataFrame(rows, "x string, wanted string").withColumn("found", text.decode_entities("x"))
+    assert found.where("not found <=> wanted").collect() == []
