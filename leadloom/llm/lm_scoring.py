@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.tables import fold, stored, texts
-from leadloom.llm.words import SPACE, Words, _power, chunks, mix
+from leadloom.llm.words import SPACE, Words, _power, chunks, mix, top_bits
 
 FOLDS = 10
 MIXING_FOLDS = 16
@@ -41,8 +41,8 @@ BLOCK = 4096
 PRIOR = 0.4
 SEGMENT, LONGEST_SEGMENT = 256, 65_536
 STEP = 4096
-#: Decisions that are gathered before they are counted.
-_GATHERED = 5 << 20
+#: Bytes whose decisions are made at once: their arrays stay in the processor's cache.
+_WINDOW = 1 << 15
 RATE, DAMPING, INERTIA = 0.15, 0.3, 20.0
 _CHUNK = 1 << 18
 _UNIT = 256.0  # log odds are kept as 16-bit numbers in this unit
@@ -75,7 +75,8 @@ def _code(counts: np.ndarray) -> list[list[tuple[int, int]]]:
 class Tree:
     """A Huffman code for each preceding byte: where the decisions of (before, byte) start in a flat array, and how many.
 
-    A decision is a node number, its depth times 16 from bit 16 on, and the outcome as bit 24.
+    A decision is a node number, its depth times 16 from bit 16 on, and the outcome as bit 24.  All numbers, slots and gates
+    are as wide as an index, as numpy would otherwise copy them in small buffers whenever they look something up.
     """
 
     start: np.ndarray
@@ -88,9 +89,9 @@ class Tree:
         pairs = pairs.reshape(256, 256)
         rest = _code(pairs.sum(axis=0))
         paths = [path for before in pairs for path in (_code(before) if before.any() else rest)]
-        length = np.array([len(p) for p in paths], np.int32)
+        length = np.array([len(p) for p in paths], np.int64)
         flat = [n | min(d, 15) << 20 | b << 24 for p in paths for d, (n, b) in enumerate(p)]
-        return cls((np.cumsum(length) - length).astype(np.int32), length, np.array(flat, np.uint32))
+        return cls(np.cumsum(length) - length, length, np.array(flat, np.int64))
 
 
 class Stream:
@@ -109,7 +110,7 @@ class Stream:
         inside = np.ones(n, bool)
         inside[stop] = False
         self.data = np.empty(n, np.uint8)
-        self.data[inside] = words.data[~SPACE[words.data]]
+        self.data[inside] = words.data[~SPACE[data]]
         self.data[stop] = 0x20
         self.data[stop[last]] = 0x0A
         self.size = np.diff(stop[last], prepend=-1)
@@ -123,76 +124,100 @@ class Stream:
         """Each byte with the one before it, as a number."""
         return self.before.astype(np.int64) << 8 | self.data
 
+    def hashes(self) -> np.ndarray:
+        """``Words.hashes`` of the texts, from what ``prepare`` has summed."""
+        return mix(self._whole[np.repeat(self.words.count > 0, self._units[2])])
+
     def prepare(self) -> "Stream":
         """Context hashes and the place in the word, for predicting."""
         unit_length, stop, units = self._units
         n = len(self.data)
-        place = np.arange(n) - np.repeat(self.first, self.size)
-        before = []
-        for k in range(1, 5):
-            shifted = np.full(n, 0x0A, np.uint32)
-            shifted[k:] = self.data[:max(n - k, 0)]
-            shifted[place < k] = 0x0A
-            before.append(shifted << np.uint32(8 * (k - 1)))
         begin = stop - unit_length + 1
+        padded = np.full(n + 4, 0x0A, np.uint8)
+        padded[4:] = self.data
+        four = padded[3:n + 3].astype(np.uint32)
+        for k in range(2, 5):
+            part = padded[4 - k:n + 4 - k].astype(np.uint32)
+            part <<= np.uint32(8 * (k - 1))
+            four |= part
+        for k in range(4):  # the bytes before a text's first ones are line ends
+            at = self.first[self.size > k] + k
+            own = np.uint32((1 << 8 * k) - 1)
+            four[at] = four[at] & own | np.uint32(0x0A0A0A0A) & ~own
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + _U(1)) * _power("up", n), out=sums[1:])
-            down = _power("down", n + 1)
-            whole = (sums[stop] - sums[begin]) * down[begin]
+            sums[1:] = self.data
+            sums[1:] += _U(1)
+            sums[1:] *= _power("up", n)
+            np.cumsum(sums[1:], out=sums[1:])
+            back = _power("down", n + 1)[begin]
+            self._whole = whole = (sums[stop] - sums[begin]) * back
             earlier = np.zeros(len(stop), np.uint64)
             earlier[1:] = whole[:-1]
             earlier[np.cumsum(units) - units] = 0
-            word = (sums[:-1] - np.repeat(sums[begin], unit_length)) * np.repeat(down[begin], unit_length)
-            four = (before[0] | before[1] | before[2] | before[3]).astype(np.uint64)
-            made = [four, word, word + np.repeat(mix(earlier + _U(99)), unit_length)]
-            self.contexts = [(mix(c + _U(k + 1)) >> _U(64 - BITS[k])).astype(np.uint32) for k, c in enumerate(made)]
-        self.letters = np.minimum(np.arange(n) - np.repeat(begin, unit_length), 15).astype(np.uint8)
+            unit = np.zeros(n, np.int64)
+            unit[begin[1:]] = 1
+            np.cumsum(unit, out=unit)
+            word = sums[:-1] - sums[begin].take(unit)
+            word *= back.take(unit)
+            self.contexts = [top_bits(four, 1, BITS[0]), top_bits(word, 2, BITS[1])]
+            word += mix(earlier + _U(99)).take(unit)
+            self.contexts.append(top_bits(word, 3, BITS[2]))
+        letters = np.arange(n)
+        letters -= begin.take(unit)
+        self.letters = np.minimum(letters, 15, out=letters).astype(np.uint8)
         return self
 
-    def _steps(self, tree: Tree, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of decisions of each byte at ``at``, and all of them."""
-        pair = self.before[at].astype(np.int32) << 8 | self.data[at]
-        length = tree.length[pair]
-        begin = np.cumsum(length, dtype=np.int32) - length
-        flat = np.repeat(tree.start[pair] - begin, length)
-        flat += np.arange(len(flat), dtype=np.int32)
-        return length, tree.decision[flat]
-
-    def decisions(self, tree: Tree, at: np.ndarray):
+    def _steps(self, tree: Tree, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of decisions of each byte at ``at``; all of them, and which of these bytes each belongs to."""
+        pair = self.before[at].astype(np.int64)
+        pair <<= 8
+        pair |= self.data[at]
+        length = tree.length.take(pair)
+        end = np.cumsum(length)
+        which = np.zeros(end[-1], np.int64)
+        which[end[:-1]] = 1
+        np.cumsum(which, out=which)
+        flat = (tree.start.take(pair) - end + length).take(which)
+        flat += np.arange(len(flat))
+        return length, tree.decision.take(flat), which
+
+    def decisions(self, tree: Tree, at: np.ndarray | slice):
         """Number of decisions of each byte at ``at``; gate, outcome and one table slot per context of each decision.
 
         The decisions of one context lie side by side in its table, so they share a cache line.
         """
-        length, decision = self._steps(tree, at)
-        node = decision & np.uint32(0xFFFF)
-        gate = (decision >> np.uint32(16)).astype(np.uint8)
-        gate |= np.repeat(self.letters[at], length)
+        length, decision, which = self._steps(tree, at)
+        node = decision & 0xFFFF
+        decision >>= 16
+        gate = decision & 0xFF
+        gate |= self.letters[at].take(which)
+        decision >>= 8
         slots = []
         for context, bits in zip(self.contexts, BITS):
-            slot = np.repeat(context[at], length)
+            slot = context[at].astype(np.int64).take(which)
             slot += node
-            slot &= np.uint32((1 << bits) - 1)
+            slot &= (1 << bits) - 1
             slots.append(slot)
-        return length, gate, (decision >> np.uint32(24)).astype(np.uint8), slots
+        return length, gate, decision, slots
 
-    def outcomes(self, tree: Tree, at: np.ndarray) -> list[np.ndarray]:
+    def outcomes(self, tree: Tree, at: np.ndarray | slice) -> Iterator[np.ndarray]:
         """For each context twice the slot of each decision, plus the outcome."""
-        length, decision = self._steps(tree, at)
-        step = (decision & np.uint32(0xFFFF)) << np.uint32(1)
-        step |= decision >> np.uint32(24)
-        made = []
+        _, decision, which = self._steps(tree, at)
+        step = decision & 0xFFFF
+        step <<= 1
+        decision >>= 24
+        step |= decision
         for context, bits in zip(self.contexts, BITS):
-            place = np.repeat(context[at] << np.uint32(1), length)
+            place = (context[at].astype(np.int64) << 1).take(which)
             place += step
-            place &= np.uint32((2 << bits) - 1)
-            made.append(place)
-        return made
+            place &= (2 << bits) - 1
+            yield place
 
 
-def _windows(n: int, width: int = LONGEST_SEGMENT):
+def _windows(n: int, width: int = _WINDOW):
     for i in range(0, n, width):
-        yield np.arange(i, min(n, i + width))
+        yield slice(i, i + width)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,26 +259,13 @@ def _context_counts(tree: Tree):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * _TOP[-1], np.int32)
-        gathered: list[list[np.ndarray]] = [[] for _ in BITS]
-        size = 0
-
-        def count():
-            for k, parts in enumerate(gathered):
-                if parts:
-                    counts[2 * _TOP[k]:2 * _TOP[k + 1]] += np.bincount(np.concatenate(parts), minlength=2 << BITS[k]).astype(np.int32)
-                parts.clear()
-
+        tables = [counts[2 * low:2 * high] for low, high in zip(_TOP[:-1], _TOP[1:])]
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), _CHUNK):
                 stream = Stream(data, offsets).prepare()
                 for at in _windows(len(stream.data)):
-                    for parts, places in zip(gathered, stream.outcomes(tree, at)):
-                        parts.append(places)
-                    size += len(places)
-                    if size >= _GATHERED:
-                        count()
-                        size = 0
-        count()
+                    for table, places in zip(tables, stream.outcomes(tree, at)):
+                        np.add.at(table, places, np.int32(1))
         # Most counts fit a byte and most bytes are 0 or 1, which deflate brings to about two bits.
         for block, part in enumerate(counts.reshape(-1, 2 * BLOCK)):
             if part.any():
@@ -291,7 +303,7 @@ class Mixer:
 
     def inputs(self, slots: list[np.ndarray]) -> list[np.ndarray]:
         """Log odds of each decision under each context, in units of 1 / _UNIT."""
-        return [self.odds[_TOP[k]:_TOP[k + 1]][slot].astype(np.float32) for k, slot in enumerate(slots)]
+        return [self.odds[_TOP[k]:_TOP[k + 1]].take(slot).astype(np.float32) for k, slot in enumerate(slots)]
 
     def learned(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Weights after online steps over the task's documents, times the gate's decisions, and those decisions."""
@@ -299,12 +311,12 @@ class Mixer:
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), _CHUNK):
                 stream = Stream(data, offsets).prepare()
-                for at in _windows(len(stream.data)):
+                for at in _windows(len(stream.data), LONGEST_SEGMENT):
                     _, gates, bit, slots = stream.decisions(self.tree, at)
                     x = np.stack(self.inputs(slots)) / _UNIT
                     for i in range(0, len(gates), STEP):
                         gate, part = gates[i:i + STEP], x[:, i:i + STEP]
-                        z = np.clip((weight[:, gate] * part).sum(axis=0), -_LIMIT, _LIMIT)
+                        z = np.clip((weight.take(gate, axis=1) * part).sum(axis=0), -_LIMIT, _LIMIT)
                         wrong = bit[i:i + STEP] - 1 / (1 + np.exp(-z))
                         use += np.bincount(gate, minlength=GATES)
                         for k in range(len(BITS)):
@@ -316,8 +328,8 @@ class Mixer:
              pa.array(np.repeat(np.arange(len(BITS), dtype=np.int32), GATES)),
              pa.array((weight * use).ravel()), pa.array(np.tile(use, len(BITS)))], ["gate", "context", "weighted", "used"])
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
-        """Natural log probability and number of bytes of each text, its weights refined as it goes."""
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Stream]:
+        """Natural log probability and number of bytes of each text, its weights refined as it goes; and the texts' stream."""
         stream = Stream(data, offsets).prepare()
         weight = (self.weight / _UNIT).astype(np.float32)
         total = np.zeros(stream.texts)
@@ -330,11 +342,11 @@ class Mixer:
             on = stream.size > start + width
             for live in (np.flatnonzero(on), np.flatnonzero((stream.size > start) & ~on)):
                 length = np.minimum(stream.size[live] - start, width)
-                for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(length) // LONGEST_SEGMENT)) + 1):
+                for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(length) // _WINDOW)) + 1):
                     if len(some):
                         self._segment(stream, some, start, width, weight, own, bend, curve, total)
             start, width = start + width, min(2 * width, LONGEST_SEGMENT)
-        return total, stream.size, stream.words
+        return total, stream.size, stream
 
     def _segment(self, stream: Stream, live, start: int, width: int, weight, own, bend, curve, total) -> None:
         """Score the bytes from ``start`` of the texts ``live``; if they go on after ``width`` bytes, refine their weights."""
@@ -346,7 +358,7 @@ class Mixer:
         x = self.inputs(slots)
         z = np.zeros(len(gate), np.float32)
         for k in range(len(BITS)):
-            w = weight[k][gate]
+            w = weight[k].take(gate)
             if start:
                 w += np.repeat(own[k][live], edges)
             w *= x[k]
@@ -418,18 +430,21 @@ def lm_scoring(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     often = tokens.where(F.floor(F.log2("n")) >= power).select("token", "n").toArrow()
     token, n = (often[c].to_numpy() for c in ("token", "n"))
     order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], n[order], train(known, pairs)))
+    shared = spark.sparkContext.broadcast((token[order], np.log10(n[order] + 0.1), train(known, pairs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, n, mixer = shared.value
+        token, log, mixer = shared.value
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(1), _CHUNK):
-                chance, size, words = mixer.score(data, offsets)
+                chance, size, stream = mixer.score(data, offsets)
+                words = stream.words
                 row = np.concatenate([words.row, np.arange(words.texts)])
-                value = np.concatenate([words.hashes().view(np.int64), np.full(words.texts, _END_TOKEN)])
-                at = np.minimum(np.searchsorted(token, value), max(len(token) - 1, 0))
-                found = token[at] == value if len(token) else np.zeros(len(value), bool)
-                logs = np.bincount(row[found], np.log10(n[at[found]] + 0.1), minlength=words.texts)
+                value = np.concatenate([stream.hashes().view(np.int64), np.full(words.texts, _END_TOKEN)])
+                each, place = np.unique(value, return_inverse=True)  # in order they are found with fewer cache misses
+                at = np.minimum(np.searchsorted(token, each), max(len(token) - 1, 0))
+                met = token[at] == each if len(token) else np.zeros(len(each), bool)
+                found, at = met[place], at[place]
+                logs = np.bincount(row[found], log[at[found]], minlength=words.texts)
                 rare, rest = row[~found], value[~found]
                 by_text = np.argsort(rare, kind="stable")
                 bounds = np.searchsorted(rare[by_text], np.arange(words.texts + 1)).astype(np.int32)

@@ -12,6 +12,7 @@ CHUNK_BYTES = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _U = np.uint64
+_PART = 1 << 14
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Every ASCII byte that is no letter; bytes of longer characters count as letters.
@@ -28,6 +29,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def top_bits(h: np.ndarray, add: int, bits: int) -> np.ndarray:
+    """The first ``bits`` (at most 32) bits of ``mix(h + add)``, some numbers at a time so that they stay in the processor's cache."""
+    made = np.empty(len(h), np.uint32)
+    for i in range(0, len(h), _PART):
+        part = h[i:i + _PART] + _U(add)
+        part ^= part >> _U(32)
+        part *= _MULT
+        part ^= part >> _U(29)
+        part *= _U(0xBF58476D1CE4E5B9)
+        part >>= _U(64 - bits)
+        made[i:i + _PART] = part
+    return made
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         step = _BASE if kind == "up" else _U(pow(int(_BASE), -1, 1 << 64))
